@@ -4,19 +4,24 @@ from __future__ import annotations
 
 from quillspark.llm.bpe import op7_bpe
 from quillspark.llm.chat_format import OP8_SQL, op8_chat_format
+from quillspark.llm.decontamination import OP1_SQL, op1_decontamination
 from quillspark.llm.quality_rules import OP4_SQL, op4_quality_rules
 from quillspark.llm.sharding import op6_sharding
+from quillspark.llm.simhash import op9_simhash
 from quillspark.llm.token_counts import op10_token_counts
 
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
     "op4_quality_rules": op4_quality_rules,
     "op6_sharding": op6_sharding,
     "op7_bpe": op7_bpe,
     "op8_chat_format": op8_chat_format,
+    "op9_simhash": op9_simhash,
     "op10_token_counts": op10_token_counts,
 }
 
 ORACLES = {
+    "op1_decontamination": OP1_SQL,
     "op4_quality_rules": OP4_SQL,
     "op8_chat_format": OP8_SQL,
 }
