@@ -8,11 +8,15 @@ from quillspark.llm.decontamination import OP1_SQL, op1_decontamination
 from quillspark.llm.quality_rules import OP4_SQL, op4_quality_rules
 from quillspark.llm.sharding import op6_sharding
 from quillspark.llm.simhash import op9_simhash
+from quillspark.llm.substring_dedup import op5_substring_dedup
+from quillspark.llm.suffix_dedup import op3_suffix_dedup
 from quillspark.llm.token_counts import op10_token_counts
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_quality_rules": op4_quality_rules,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_sharding": op6_sharding,
     "op7_bpe": op7_bpe,
     "op8_chat_format": op8_chat_format,
