@@ -11,9 +11,11 @@ from quillspark.llm.simhash import op9_simhash
 from quillspark.llm.substring_dedup import op5_substring_dedup
 from quillspark.llm.suffix_dedup import op3_suffix_dedup
 from quillspark.llm.token_counts import op10_token_counts
+from quillspark.llm.token_shards import op2_token_shards
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
+    "op2_token_shards": op2_token_shards,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_quality_rules": op4_quality_rules,
     "op5_substring_dedup": op5_substring_dedup,
