@@ -205,6 +205,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     reach = linked.groupBy("root").agg(F.min("least").alias("reached"))
     named = linked.join(reach, "root").select("fp", "reached")
     all_named = distinct.join(named, "fp", "left").select("fp", F.coalesce("reached", "least").alias("component_id"))
+    all_named = materialize(all_named, "named")  # written, so that the next join has two plain shuffles, which Spark can split where many rows share a fingerprint
     return rows.join(all_named, "fp").select(F.col("__qs_id").alias(id_column), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
