@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from quillspark.plans import text_queries
+from quillspark.plans.registry import ORACLES, QUERIES
+
+__all__ = ["oracles", "queries", "text_queries"]
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
