@@ -89,18 +89,27 @@ def spans_of(starts: np.ndarray, length: int, origin: int) -> list[list[int]]:
     return out
 
 
+def whole_windows(lefts: np.ndarray, sizes: np.ndarray, weights: np.ndarray, reach: int, width: int, length: int) -> np.ndarray:
+    """(strings, width): the starts of all windows of contexts that stand at two places or more."""
+    begin = (reach - lefts)[:, None]
+    at = np.arange(width)
+    return (weights > 1)[:, None] & (at >= begin) & (at + length <= begin + sizes[:, None])
+
+
 def decide(groups: np.ndarray, lefts: np.ndarray, contexts: list[bytes], weights: np.ndarray, k: int, length: int) -> list[list[int]]:
     """For each context the symbols, relative to its anchor, that windows found elsewhere cover.
 
-    ``weights``: 2 where the very same context stands at two places or more, so that all its windows repeat.
+    ``weights``: 2 where the very same context stands at two places or more, so that all its windows repeat. A context that is the
+    only one of its anchor shares windows with no other and doesn't enter the construction.
     """
     reach = length - k
     width = 2 * reach + k
-    columns = columns_of(contexts, lefts, reach, width)
-    with tempfile.TemporaryDirectory() as folder:
-        write_columns(columns, groups, folder)
-        starts = repeated_starts(folder, width, len(contexts), length)
-    lengths = np.fromiter(map(len, contexts), dtype=np.int64, count=len(contexts))
-    begin = (reach - lefts)[:, None]
-    whole = (weights > 1)[:, None] & (np.arange(width) >= begin) & (np.arange(width) + length <= begin + lengths[:, None])
-    return spans_of(starts | whole, length, reach)
+    starts = np.zeros((len(contexts), width), dtype=bool)
+    shared = np.flatnonzero(np.bincount(groups)[groups] > 1)
+    if len(shared):
+        columns = columns_of([contexts[i] for i in shared.tolist()], lefts[shared], reach, width)
+        with tempfile.TemporaryDirectory() as folder:
+            write_columns(columns, groups[shared], folder)
+            starts[shared] = repeated_starts(folder, width, len(shared), length)
+    sizes = np.fromiter(map(len, contexts), dtype=np.int64, count=len(contexts))
+    return spans_of(starts | whole_windows(lefts, sizes, weights, reach, width, length), length, reach)

@@ -11,10 +11,13 @@ common prefixes by range minima.
 
 from __future__ import annotations
 
+from collections import defaultdict
+from itertools import count
+
 import numpy as np
 
-#: Stands before the anchor of each context: a window can only match one of the same alignment, so never itself through another context.
-MARK = b"\x00#"
+#: The symbol that stands before the anchor of each context: a window can only match one of the same alignment, so never itself through another context.
+MARK = 1
 
 
 class WaveletTree:
@@ -31,7 +34,7 @@ class WaveletTree:
             counts = np.zeros(len(words) + 1, dtype=np.int64)
             np.cumsum(np.bitwise_count(words), out=counts[1:])
             zeros = n - int(bit.sum())
-            self.levels.append((level, words, counts.astype(np.int32), zeros))
+            self.levels.append((level, words, counts.astype(np.int32), np.int32(zeros)))
             current = np.concatenate([current[~bit], current[bit]])
 
     def descend(self, symbols: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -59,7 +62,7 @@ class FmIndex:
             second = np.zeros(n, dtype=np.int64)
             second[: n - step] = rank[step:] + 1
             key = rank * np.int64(n + 1) + second
-            suffixes = np.argsort(key, kind="stable")
+            suffixes = np.argsort(key)
             ordered = key[suffixes]
             new = np.zeros(n, dtype=np.int64)
             new[suffixes] = np.cumsum(np.concatenate([[0], ordered[1:] != ordered[:-1]]))
@@ -84,8 +87,9 @@ class FmIndex:
         alphabet = int(text.max()) + 1 if n else 1
         bwt = text[suffixes - 1]
         self.tree = WaveletTree(bwt, max(1, int(alphabet - 1).bit_length()))
-        every = np.arange(alphabet)
-        self.before = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=alphabet))])[:-1] - self.tree.descend(every, np.zeros(alphabet, dtype=np.int64))
+        every = np.arange(alphabet, dtype=np.int32)
+        before = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=alphabet))])[:-1]
+        self.before = before.astype(np.int32) - self.tree.descend(every, np.zeros(alphabet, dtype=np.int32))
         self.weight = np.concatenate([[0], np.cumsum(weights[owner[suffixes]])])
 
     def extend(self, symbols: np.ndarray, sp: np.ndarray, ep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -107,13 +111,13 @@ class FmIndex:
             ep[ok] += span
         root = length == 0
         sp[root], ep[root] = 0, self.n
-        return sp, ep, length.astype(np.int64)
+        return sp, ep, length.astype(np.int32)
 
     def matching_statistics(self, columns: np.ndarray, least_weight: int) -> np.ndarray:
         """columns: (width, documents), 0 outside. For each place the length of the longest match that starts there and has ``least_weight``."""
         width, m = columns.shape
         out = np.zeros((width, m), dtype=np.int16)
-        sp, ep, length = np.zeros(m, dtype=np.int64), np.full(m, self.n, dtype=np.int64), np.zeros(m, dtype=np.int64)
+        sp, ep, length = np.zeros(m, dtype=np.int32), np.full(m, self.n, dtype=np.int32), np.zeros(m, dtype=np.int32)
         for c in range(width - 1, -1, -1):
             symbols = columns[c]
             outside = symbols == 0
@@ -134,21 +138,30 @@ class FmIndex:
 
 
 def decide(lefts: np.ndarray, contexts: list[bytes], groups: np.ndarray, weights: np.ndarray, k: int, length: int) -> list[list[int]]:
-    """For each context, words joined by one space, the words, relative to its anchor, that windows found elsewhere cover."""
-    from quillspark.llm.column_bwt import spans_of
+    """For each context, words joined by one space, the words, relative to its anchor, that windows found elsewhere cover.
+
+    ``weights``: 2 where the very same context stands at two places or more: all its windows repeat, so it is indexed but need
+    not be searched for. A context that is the only one of its anchor shares windows with no other and isn't indexed.
+    """
+    from quillspark.llm.column_bwt import spans_of, whole_windows
 
     reach = length - k
     width = 2 * reach + k + 1
-    numbers: dict[bytes, int] = {MARK: 1}
-    columns = np.zeros((width, len(contexts)), dtype=np.int64)
-    number = numbers.setdefault
-    for i, (context, left) in enumerate(zip(contexts, lefts.tolist())):
-        words = context.split(b" ")
-        words.insert(left, MARK)
-        columns[reach - left : reach - left + len(words), i] = [number(w, len(numbers) + 1) for w in words]
-    rows = np.concatenate([columns.T, np.zeros((len(contexts), 1), dtype=np.int64)], axis=1)
-    inside = rows > 0
-    inside[:, -1] = True
-    index = FmIndex(rows[inside], weights)
-    matched = index.matching_statistics(columns, 2)
-    return spans_of((matched >= length + 1).T, length, reach)
+    shared = np.bincount(groups)[groups] > 1
+    numbers: defaultdict[bytes, int] = defaultdict(count(2).__next__)
+    columns = np.zeros((width, len(contexts)), dtype=np.int32)
+    for i in np.flatnonzero(shared).tolist():
+        left = int(lefts[i])
+        ids = list(map(numbers.__getitem__, contexts[i].split(b" ")))
+        ids.insert(left, MARK)
+        columns[reach - left : reach - left + len(ids), i] = ids
+    starts = np.zeros((len(contexts), width), dtype=bool)
+    if shared.any():
+        rows = np.concatenate([columns[:, shared].T, np.zeros((int(shared.sum()), 1), dtype=np.int32)], axis=1)
+        inside = rows > 0
+        inside[:, -1] = True
+        index = FmIndex(rows[inside], weights[shared])
+        streamed = np.flatnonzero(shared & (weights == 1))
+        starts[streamed] = (index.matching_statistics(np.ascontiguousarray(columns[:, streamed]), 2) >= length + 1).T
+    sizes = np.fromiter((c.count(b" ") + 2 for c in contexts), dtype=np.int64, count=len(contexts))
+    return spans_of(starts | whole_windows(lefts, sizes, weights, reach, width, length + 1), length, reach)
