@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import itertools
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
@@ -61,8 +62,10 @@ def discard(df: DataFrame) -> None:
 
 def release(spark: SparkSession) -> None:
     """Lets Spark drop the shuffle files of plans that are finished, instead of at some later collection of garbage."""
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):  # what finalizers let go in the first round is collected in the second
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def text_or_empty(column: str) -> Column:

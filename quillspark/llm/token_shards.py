@@ -108,11 +108,21 @@ def place_sequences(docs: DataFrame, length: int = 256, rows: int = 1 << 15, key
     ), total
 
 
-def write_shards(placed: DataFrame, path: str) -> None:
+#: Ranges of shards that are written one after another, so that a part of the sequences is shuffled at a time and an interrupted job resumes at a range.
+WAVES = 4
+
+
+def write_shards(placed: DataFrame, layout: Layout, waves: int = WAVES) -> None:
     """One file for each shard, in the folder shard=<number>, records in the order of slots."""
-    parts = int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = placed.select("shard", "slot", F.col("payload").cast("string").alias("value")).repartitionByRange(parts, "shard").sortWithinPartitions("shard", "slot")
-    dealt.select("shard", "value").write.partitionBy("shard").option("compression", "none").text(path, lineSep="\n")
+    spark = placed.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    step = max(1, -(-layout.shards // waves))
+    for low in range(0, layout.shards, step):
+        some = placed.where((F.col("shard") >= low) & (F.col("shard") < low + step)).select("shard", "slot", F.col("payload").cast("string").alias("value"))
+        dealt = some.repartitionByRange(min(parts, step), "shard").sortWithinPartitions("shard", "slot")
+        dealt.select("shard", "value").write.mode("append").partitionBy("shard").option("compression", "none").text(layout.path, lineSep="\n")
+        del some, dealt
+        release(spark)
 
 
 def materialize_training_order(docs: DataFrame, path: str | None = None, length: int = 256, rows: int = 1 << 15, key: int = 20241, tokenizer: str | None = None, id_column: str = "doc_id", text_column: str = "text") -> tuple[DataFrame, Layout]:
@@ -125,8 +135,7 @@ def materialize_training_order(docs: DataFrame, path: str | None = None, length:
     path = path or table_path(spark, "shards")
     placed, total = place_sequences(docs, length, rows, key, tokenizer, id_column, text_column)
     layout = Layout(path, total, length, rows, key)
-    write_shards(placed, path)
-    release(spark)
+    write_shards(placed, layout)
     manifest = placed.select(id_column, "seq", "n_tokens", "slot", "shard", (F.col("slot") % rows * layout.stride).alias("offset"), F.crc32("payload").alias("crc32"))
     return manifest, layout
 
