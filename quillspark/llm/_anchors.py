@@ -12,7 +12,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Symbols handled at once: bounds the memory of a Python worker whatever the length of a text.
-PIECE = 1 << 20
+PIECE = 1 << 19
 #: An odd base and its inverse modulo 2**64, for sums of symbols times powers.
 BASE = 0x9E3779B97F4A7C15
 BASE_INVERSE = pow(BASE, -1, 1 << 64)

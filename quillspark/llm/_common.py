@@ -41,11 +41,11 @@ def table_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{next(_counter):05d}-{name}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Writes ``df`` as Parquet to the shared folder and reads it back: the lineage ends there and survives lost executors."""
     spark = df.sparkSession
     path = table_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", compression).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._quillspark_path = path
     return out
@@ -68,6 +68,19 @@ def release(spark: SparkSession) -> None:
         time.sleep(0.2)
 
 
+def trim_memory() -> None:
+    """Gives freed memory of a Python worker back to the system: workers are kept for later stages, which need it."""
+    import ctypes
+    import ctypes.util
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.util.find_library("c")
+    if libc and hasattr(lib := ctypes.CDLL(libc), "malloc_trim"):
+        lib.malloc_trim(0)
+
+
 def text_or_empty(column: str) -> Column:
     return F.coalesce(F.col(f"`{column}`").cast("string"), F.lit(""))
 
@@ -105,6 +118,7 @@ def add_columns(df: DataFrame, column: str, fields: Sequence[T.StructField], fn:
             for value, field in zip(made, list(out_schema)[count:], strict=True):
                 arrays.append(value if isinstance(value, pa.Array) else pa.array(value, type=field.type))
             yield pa.RecordBatch.from_arrays(arrays, names=out_schema.names)
+        trim_memory()
 
     return source.mapInArrow(run, schema)
 

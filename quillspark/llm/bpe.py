@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from quillspark.llm._common import add_columns, field, table
 
 #: Words whose encoding a Python worker remembers; bounds its memory, never the result.
-REMEMBERED = 200_000
+REMEMBERED = 150_000
 #: Longer words are encoded anew each time.
 LONGEST_REMEMBERED = 64
 

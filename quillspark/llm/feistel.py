@@ -86,4 +86,5 @@ def permute(df: DataFrame, source: str, target: str, n: int, key: int) -> DataFr
     for _ in range(walk_length(n, key)):
         df = _pass(df, target, "__qs_again", a, keys)
         df = df.withColumn(target, F.when(F.col(target) >= n, F.col("__qs_again")).otherwise(F.col(target))).drop("__qs_again")
-    return df
+    # Through a generator, because a filter on the result would else be pushed below, with the whole network written out in it several times over.
+    return df.withColumn("__qs_place", F.col(target)).drop(target).select("*", F.explode(F.array("__qs_place")).alias(target)).drop("__qs_place")

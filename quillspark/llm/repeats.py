@@ -28,10 +28,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillspark.llm import _anchors
-from quillspark.llm._common import configure, discard, field, materialize, release, text_or_empty, without
+from quillspark.llm._common import configure, discard, field, materialize, release, text_or_empty, trim_memory, without
 
 #: Contexts decided at once; complete groups only, so a block exceeds it where one group does.
-BLOCK = 1 << 14
+BLOCK = 1 << 13
 
 
 @dataclass(frozen=True)
@@ -83,6 +83,7 @@ def _anchor_table(keyed: DataFrame, unit: Unit) -> DataFrame:
             ps = pa.ListArray.from_arrays(offsets, pa.array(at.astype(np.int32)))
             hs = pa.ListArray.from_arrays(offsets, pa.array(hashes.view(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(bounds).astype(np.int64)), ps, hs], names=schema.names)
+        trim_memory()
 
     return keyed.mapInArrow(run, schema)
 
@@ -123,6 +124,7 @@ def _instances(carriers: DataFrame, unit: Unit, ship: bool) -> DataFrame:
                         yield batch_of(columns)
                         columns, size = [[] for _ in schema.names], 0
         yield batch_of(columns)
+        trim_memory()
 
     return carriers.select("key", "copies", "ps", "packed").mapInArrow(run, schema)
 
@@ -157,6 +159,7 @@ def _decided(contexts: DataFrame, decide: Callable) -> DataFrame:
                 hs, lefts, contexts, weights = hs[cut:], lefts[cut:], contexts[cut:], weights[cut:]
         if len(hs):
             yield block(hs, lefts, contexts, weights)
+        trim_memory()
 
     return contexts.mapInArrow(run, schema)
 
@@ -209,7 +212,7 @@ def repeated(docs: DataFrame, unit: Unit, decide: Callable, id_column: str, text
     texts = found.groupBy("key").agg(F.min("rid").alias("rid"), F.count("*").alias("copies"))
     places = every.join(twice.hint("shuffle_hash"), "h", "left_semi").groupBy("rid").agg(F.collect_list(F.struct("p", "h")).alias("ps"))
     chosen = places.join(texts.select("rid", "copies"), "rid").join(found.select("rid", "key", "did"), "rid").select("key", "did", "copies", "ps")
-    carriers = materialize(_packed(keyed, "text").join(chosen.hint("shuffle_hash"), ["key", "did"]).select("key", "copies", "ps", "packed"), "carriers")
+    carriers = materialize(_packed(keyed, "text").join(chosen.hint("shuffle_hash"), ["key", "did"]).select("key", "copies", "ps", "packed"), "carriers", "none")
     copied = texts.where("copies > 1").select("key", "copies", F.expr("cast(null as array<array<int>>)").alias("spans"))
     copied = materialize(copied, "copied")
     del every, twice, places, chosen, texts

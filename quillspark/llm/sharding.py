@@ -35,14 +35,14 @@ def shard_rows(docs: DataFrame, shards: int = 8, key: int = 20240, id_column: st
         F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
     )
     rows, n = number_rows(source, [F.col(f"`{id_column}`").asc_nulls_first(), F.col("text_crc32"), F.col("size")], "__qs_row")
-    placed = permute(rows, "__qs_row", "__qs_place", max(n, 1), key)
+    placed = permute(rows, "__qs_row", "__qs_at", max(n, 1), key)
     return placed.select(
         *[F.col(f"`{c}`") for c in kept],
         "size",
         "text_crc32",
         F.lit("rows").alias("law"),
-        F.expr(f"cast(__qs_place % {shards}L as int)").alias("shard"),
-        F.expr(f"__qs_place div {shards}L").alias("slot"),
+        F.expr(f"cast(__qs_at % {shards}L as int)").alias("shard"),
+        F.expr(f"__qs_at div {shards}L").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
     )
 
