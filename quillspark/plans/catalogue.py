@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from quillspark.plans import relational_queries, search_queries, text_queries
+from quillspark.plans import relational_queries, search_queries, stream_queries, text_queries
 from quillspark.plans.registry import ORACLES, QUERIES
 
-__all__ = ["oracles", "queries", "relational_queries", "search_queries", "text_queries"]
+__all__ = ["oracles", "queries", "relational_queries", "search_queries", "stream_queries", "text_queries"]
 
 
 def queries() -> dict:
