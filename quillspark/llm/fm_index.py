@@ -6,7 +6,7 @@ with running counts), so it takes log2(alphabet) bits a symbol and answers rank
 for any symbol. Documents are streamed from their last symbol to the first, all
 of a block in step; each keeps the interval of its longest match. Where the
 match can't be extended, it is cut to the parent interval, found on the longest
-common prefixes by range minima.
+common prefixes by the nearest smaller ones on both sides.
 """
 
 from __future__ import annotations
@@ -46,6 +46,17 @@ class WaveletTree:
         return at
 
 
+def _smaller(lcp: np.ndarray) -> np.ndarray:
+    """For each place the nearest one before it that holds less; 0 without one. Pointers skip what is known to be no less, so a few rounds do."""
+    at = np.arange(-1, len(lcp) - 1, dtype=np.int32)
+    at[0] = 0
+    open_ = np.flatnonzero((lcp[at] >= lcp) & (at > 0))
+    while len(open_):
+        at[open_] = at[at[open_]]
+        open_ = open_[(lcp[at[open_]] >= lcp[open_]) & (at[open_] > 0)]
+    return at
+
+
 class FmIndex:
     """Over strings of symbols from 1 on, given as one array in which 0 ends each; ``weights``: how often each string stands for a place."""
 
@@ -54,36 +65,36 @@ class FmIndex:
         ends = text == 0
         owner = np.cumsum(ends) - ends
         strings = int(ends.sum())
-        rank = text.astype(np.int64) + strings
-        rank[ends] = np.arange(strings)
-        _, rank = np.unique(rank, return_inverse=True)
-        ranks, step = [rank.astype(np.int32)], 1
-        while True:  # suffixes by prefix doubling; ends are told apart, so the order is total after log2(longest) rounds
-            second = np.zeros(n, dtype=np.int64)
-            second[: n - step] = rank[step:] + 1
-            key = rank * np.int64(n + 1) + second
+        single = text.astype(np.int64) + strings
+        single[ends] = np.arange(strings)  # ends are told apart, so the order of suffixes is total
+        width = int(single.max()).bit_length() if n else 1
+        step = max(1, min(3, 63 // width))
+        key = single.copy()
+        for i in range(1, step):  # the first symbols of each suffix at once
+            key <<= width
+            key[: n - i] |= single[i:]
+        ranks: list[tuple[int, np.ndarray]] = []
+        while True:  # then prefix doubling
             suffixes = np.argsort(key)
             ordered = key[suffixes]
-            new = np.zeros(n, dtype=np.int64)
-            new[suffixes] = np.cumsum(np.concatenate([[0], ordered[1:] != ordered[:-1]]))
-            rank, step = new, 2 * step
+            rank = np.empty(n, dtype=np.int32)
+            rank[suffixes] = np.cumsum(np.concatenate([[0], ordered[1:] != ordered[:-1]]), dtype=np.int32)
             if n < 2 or rank[suffixes[-1]] == n - 1:
                 break
-            ranks.append(rank.astype(np.int32))
+            ranks.append((step, rank))
+            key = rank.astype(np.int64) * (n + 1)
+            key[: n - step] += rank[step:] + 1
+            step *= 2
         self.n = n
         self.lcp = np.zeros(n + 1, dtype=np.int16)
         if n > 1:
-            a, b, common = suffixes[:-1].copy(), suffixes[1:].copy(), np.zeros(n - 1, dtype=np.int64)
-            for j in range(len(ranks) - 1, -1, -1):
-                equal = ranks[j][np.minimum(a, n - 1)] == ranks[j][np.minimum(b, n - 1)]
-                equal &= (a < n) & (b < n)
-                jump = equal.astype(np.int64) << j
+            a, b = suffixes[:-1].astype(np.int32), suffixes[1:].astype(np.int32)
+            common = np.zeros(n - 1, dtype=np.int32)
+            for span, by in [*reversed(ranks), (1, single), (1, single)]:
+                jump = (by[a] == by[b]) * np.int32(span)  # never past an end, which equals none
                 a, b, common = a + jump, b + jump, common + jump
             self.lcp[1:n] = common
-        self.least = [self.lcp]
-        while 2 << (len(self.least) - 1) <= n + 1:
-            half, last = 1 << (len(self.least) - 1), self.least[-1]
-            self.least.append(np.minimum(last[:-half], last[half:]))
+        self.left, self.right = _smaller(self.lcp), n - _smaller(self.lcp[::-1])[::-1]
         alphabet = int(text.max()) + 1 if n else 1
         bwt = text[suffixes - 1]
         self.tree = WaveletTree(bwt, max(1, int(alphabet - 1).bit_length()))
@@ -95,31 +106,32 @@ class FmIndex:
     def extend(self, symbols: np.ndarray, sp: np.ndarray, ep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Backward search by one symbol: the intervals of ``symbols`` before the matches."""
         base = self.before[symbols]
-        return base + self.tree.descend(symbols, sp), base + self.tree.descend(symbols, ep)
+        both = self.tree.descend(np.concatenate([symbols, symbols]), np.concatenate([sp, ep]))
+        return base + both[: len(sp)], base + both[len(sp) :]
 
     def parent(self, sp: np.ndarray, ep: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The least interval that holds more than [sp, ep), and the length that its suffixes have in common."""
-        length = np.maximum(self.lcp[sp], self.lcp[ep])
-        sp, ep = sp.copy(), ep.copy()
-        for j in range(len(self.least) - 1, -1, -1):
-            span, least = 1 << j, self.least[j]
-            at = sp - span + 1
-            ok = (at >= 0) & (least[np.maximum(at, 0)] >= length)
-            sp[ok] -= span
-            ok = ep < len(least)
-            ok[ok] = least[ep[ok]] >= length[ok]
-            ep[ok] += span
+        edge = np.where(self.lcp[sp] >= self.lcp[ep], sp, ep)
+        length = self.lcp[edge].astype(np.int32)
+        sp, ep = self.left[edge], self.right[edge]
         root = length == 0
         sp[root], ep[root] = 0, self.n
-        return sp, ep, length.astype(np.int32)
+        return sp, ep, length
 
     def matching_statistics(self, columns: np.ndarray, least_weight: int) -> np.ndarray:
-        """columns: (width, documents), 0 outside. For each place the length of the longest match that starts there and has ``least_weight``."""
+        """columns: (width, documents), 0 outside. For each place the length of the longest match that starts there and has ``least_weight``.
+
+        What is found at a place depends on the symbols from there on alone, so documents that end alike share one search until
+        they part: near copies, however many, are searched for about once.
+        """
         width, m = columns.shape
         out = np.zeros((width, m), dtype=np.int16)
-        sp, ep, length = np.zeros(m, dtype=np.int32), np.full(m, self.n, dtype=np.int32), np.zeros(m, dtype=np.int32)
+        mine = np.zeros(m, dtype=np.int64)  # the state of each document
+        sp, ep, length = (np.array([x], dtype=np.int32) for x in (0, self.n, 0))
         for c in range(width - 1, -1, -1):
-            symbols = columns[c]
+            keys, mine = np.unique((mine << 32) | columns[c], return_inverse=True)
+            before, symbols = keys >> 32, (keys & 0xFFFFFFFF).astype(np.int32)
+            sp, ep, length = sp[before], ep[before], length[before]
             outside = symbols == 0
             sp[outside], ep[outside], length[outside] = 0, self.n, 0
             todo = np.flatnonzero(~outside)
@@ -133,7 +145,7 @@ class FmIndex:
                 todo = todo[length[todo] > 0]
                 if len(todo):
                     sp[todo], ep[todo], length[todo] = self.parent(sp[todo], ep[todo])
-            out[c] = length
+            out[c] = length[mine]
         return out
 
 

@@ -31,7 +31,7 @@ from quillspark.llm import _anchors
 from quillspark.llm._common import configure, discard, field, materialize, release, text_or_empty, trim_memory, without
 
 #: Contexts decided at once; complete groups only, so a block exceeds it where one group does.
-BLOCK = 1 << 13
+BLOCK = 1 << 14
 
 
 @dataclass(frozen=True)
@@ -242,16 +242,19 @@ def merge_spans(spans: list[list[int]] | None) -> list[tuple[int, int]]:
     return out
 
 
-def strip(docs: DataFrame, unit: Unit, decide: Callable, id_column: str, text_column: str, keep: list[str] | None = None) -> DataFrame:
-    """The columns of ``docs`` (or those in ``keep``) with n_symbols, n_removed, n_spans and kept (binary: the symbols that stay)."""
-    names = ("n_symbols", "n_removed", "n_spans", "kept")
-    carried = without(docs, names) if keep is None else keep
+#: The columns of a result.
+RESULT = ("n_symbols", "n_removed", "n_spans", "kept")
+
+
+def strip(docs: DataFrame, unit: Unit, decide: Callable, id_column: str, text_column: str, keep: list[str] | None = None, names: tuple[str, str, str, str] = RESULT) -> DataFrame:
+    """The columns of ``docs`` (or those in ``keep``) with symbols, removed symbols, removed spans and what stays (binary), under ``names``."""
+    carried = without(docs.select(*[F.col(f"`{c}`") for c in keep]) if keep is not None else docs, names)
     found = repeated(docs, unit, decide, id_column, text_column).select(F.col("key").alias("__qs_key"), F.col("copies").alias("__qs_copies"), F.col("spans").alias("__qs_spans"))
     text = text_or_empty(text_column)
     source = docs.select(*[F.col(f"`{c}`") for c in carried], text.alias("__qs_text"), F.unhex(F.md5(F.encode(text, "UTF-8"))).alias("__qs_key"))
     joined = _packed(source, "__qs_text").join(found.hint("shuffle_hash"), "__qs_key", "left").select(*[F.col(f"`{c}`") for c in carried], "packed", "__qs_copies", "__qs_spans")
     count = len(carried)
-    schema = T.StructType([source.schema[c] for c in carried] + [field("n_symbols", T.LongType()), field("n_removed", T.LongType()), field("n_spans", T.LongType()), field("kept", T.BinaryType())])
+    schema = T.StructType([source.schema[c] for c in carried] + [field(n, kind) for n, kind in zip(names, (T.LongType(), T.LongType(), T.LongType(), T.BinaryType()))])
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm import fm_index
 from quillspark.llm._common import table
-from quillspark.llm.repeats import Unit, strip
+from quillspark.llm.repeats import RESULT, Unit, strip
 
 LENGTH = 35
 #: Words of an anchor.
@@ -28,18 +28,22 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_column: str = "doc_
     first included, and repeated rows are copies. A null text has no words. Null ids are ids like others. Columns named as a
     result column are replaced. An empty table gives an empty result.
     """
+    return _strip(docs, length, id_column, text_column, keep, RESULT)
+
+
+def _strip(docs, length, id_column, text_column, keep, names) -> DataFrame:
     k = min(ANCHOR, max(1, length // 3))
 
     def decide(groups, lefts, contexts, weights):
         return fm_index.decide(lefts, contexts, groups, weights, k, length)
 
-    return strip(docs, Unit(True, length, k), decide, id_column, text_column, keep)
+    return strip(docs, Unit(True, length, k), decide, id_column, text_column, keep, names)
 
 
 def drop_repeats(docs: DataFrame, length: int = LENGTH, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``docs`` with the texts that hold repeated windows replaced by the words that stay; other texts and all columns unchanged."""
-    made = remove_repeats(docs, length, id_column, text_column, keep=docs.columns)
-    text = F.when(F.col("n_removed") > 0, F.decode("kept", "UTF-8")).otherwise(F.col(f"`{text_column}`"))
+    made = _strip(docs, length, id_column, text_column, docs.columns, ("__qs_n", "__qs_removed", "__qs_spans", "__qs_kept"))
+    text = F.when(F.col("__qs_removed") > 0, F.decode("__qs_kept", "UTF-8")).otherwise(F.col(f"`{text_column}`"))
     return made.select(*[text.alias(c) if c == text_column else F.col(f"`{c}`") for c in docs.columns])
 
 

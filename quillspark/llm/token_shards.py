@@ -56,7 +56,7 @@ def tokenize(docs: DataFrame, length: int, path: str, id_column: str, text_colum
     configure(docs.sparkSession)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     source = docs.select(F.col(f"`{id_column}`").alias("__qs_id"), text_or_empty(text_column).alias("__qs_text"))
-    order = [F.col("__qs_id").asc_nulls_first(), F.md5(F.encode("__qs_text", "UTF-8"))]
+    order = [F.col("__qs_id").asc_nulls_first(), F.xxhash64("__qs_text")]
     dealt = source.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     schema = T.StructType([source.schema["__qs_id"], field("ids", T.BinaryType()), field("n_seq", T.LongType()), field("part", T.IntegerType()), field("start", T.LongType())])
 
@@ -82,7 +82,7 @@ def tokenize(docs: DataFrame, length: int, path: str, id_column: str, text_colum
 def place_sequences(docs: DataFrame, length: int = 256, rows: int = 1 << 15, key: int = 20241, path: str | None = None, id_column: str = "doc_id", text_column: str = "text") -> tuple[DataFrame, int]:
     """(id, seq, n_tokens, payload, slot, shard) for every sequence, and how many there are.
 
-    Sequences are numbered in the order of (id, MD5 of the text, place in the document), whatever files and partitions the input
+    Sequences are numbered in the order of (id, XXH64 of the text, place in the document), whatever files and partitions the input
     comes in; slot = permutation of the number. A document's tokens are followed by END; the last sequence is filled up with END,
     n_tokens counts without the filling. So a null or empty text is one sequence with END alone. Repeated rows are repeated
     sequences; null ids come first.
