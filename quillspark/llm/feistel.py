@@ -3,7 +3,7 @@
 The network works on pairs of digits in base a = ceil(sqrt(n)), so its domain
 a * a exceeds n by 2 * sqrt(n) at most. Values outside are permuted again until
 they fall inside (cycle walking). How often that can be needed is computed
-exactly, by walking all 2 * sqrt(n) outside values once, so that the walk is a
+exactly, by walking the at most 2 * sqrt(n) outside values once, so that the walk is a
 fixed chain of expressions: no loop and no user-defined function runs on rows.
 """
 
@@ -60,9 +60,14 @@ def permute_np(x, n: int, key: int) -> np.ndarray:
 
 
 def walk_length(n: int, key: int) -> int:
-    """The most times that a value has to be permuted again before it is below n."""
+    """The most times that a place has to be permuted again before it is below n.
+
+    Only walks that come from below n count: they start at outside values that no outside value leads to, and end below n.
+    Cycles among outside values, if there are any, are never entered.
+    """
     a, keys = base_of(n), round_keys(key)
-    x, steps = np.arange(n, a * a, dtype=np.int64), 0
+    outside = np.arange(n, a * a, dtype=np.int64)
+    x, steps = np.setdiff1d(outside, _network_np(outside, a, keys)), 0
     while len(x):
         x = _network_np(x, a, keys)
         x, steps = x[x >= n], steps + 1
