@@ -8,7 +8,7 @@ from quillspark.llm.decontamination import OP1_SQL, op1_decontamination
 from quillspark.llm.quality_rules import OP4_SQL, op4_quality_rules
 from quillspark.llm.sharding import op6_sharding
 from quillspark.llm.simhash import op9_simhash
-from quillspark.llm.substring_dedup import op5_substring_dedup
+from quillspark.llm.substring_dedup import OP5_SQL, op5_substring_dedup
 from quillspark.llm.suffix_dedup import op3_suffix_dedup
 from quillspark.llm.token_counts import op10_token_counts
 from quillspark.llm.token_shards import op2_token_shards
@@ -29,5 +29,6 @@ QUERIES = {
 ORACLES = {
     "op1_decontamination": OP1_SQL,
     "op4_quality_rules": OP4_SQL,
+    "op5_substring_dedup": OP5_SQL,
     "op8_chat_format": OP8_SQL,
 }

@@ -50,3 +50,15 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH, id_column: str = "doc_id
 def op5_substring_dedup(spark, sf_dir):
     made = remove_repeats(table(spark, sf_dir, "documents"), keep=["doc_id"])
     return made.select("doc_id", F.col("n_symbols").alias("n_words"), "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP5_SQL = f"""
+with t as (select row_number() over () as r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w from documents),
+i as (select r, w, unnest(range(1, len(w) - {LENGTH} + 2)) as i from t where len(w) >= {LENGTH}),
+g as (select r, i, md5(array_to_string(w[i:i + {LENGTH - 1}], ' ')) as h from i),
+d as (select r, i from (select r, i, count(*) over (partition by h) as n from g) where n > 1),
+x as (select r, list(distinct p) as gone from (select r, unnest(range(i, i + {LENGTH})) as p from d) group by r)
+select doc_id, len(w)::bigint as n_words, coalesce(len(gone), 0)::bigint as n_removed,
+  sha256(coalesce(array_to_string(case when gone is null then w else list_transform(list_filter(range(1, len(w) + 1), lambda p: not list_contains(gone, p)), lambda p: w[p]) end, ' '), '')) as kept_sha256
+from t left join x on t.r = x.r
+"""
