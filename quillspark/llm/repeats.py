@@ -10,10 +10,11 @@ decided. The steps:
    anchors: the symbols of all windows that have the anchor. Equal contexts of
    an anchor are merged before they travel, so a passage in a third of all
    documents is one string.
-3. Shards of whole anchor groups, decided by the operator's index.
+3. Shards of whole anchor groups, decided by the operator's index. A group of very many distinct contexts, such as those at the
+   edge of a passage that a third of all documents hold, fits no task: its windows are counted one by one instead, exactly.
 4. What was decided about a context goes back to all the places where it stands.
 
-Texts never meet in one task; a shard is read in blocks of complete groups.
+Texts never meet in one task; a shard is read in blocks of complete groups, and a group is bounded.
 """
 
 from __future__ import annotations
@@ -34,6 +35,12 @@ from quillspark.llm._common import configure, discard, field, materialize, relea
 BLOCK = 1 << 14
 
 
+#: Distinct contexts of an anchor up to which its group is one block of an index; larger groups are told apart window by window.
+HOT = 1 << 13
+#: Hot anchors that are broadcast at most, 8 bytes each; there is one for every HOT contexts at most. Beyond, the same join is shuffled.
+BROADCAST_ROWS = 1 << 20
+
+
 @dataclass(frozen=True)
 class Unit:
     """What windows consist of: ``words`` or bytes; ``length`` symbols of a window, ``k`` of an anchor."""
@@ -164,6 +171,36 @@ def _decided(contexts: DataFrame, decide: Callable) -> DataFrame:
     return contexts.mapInArrow(run, schema)
 
 
+def _windows(contexts: DataFrame, unit: Unit) -> DataFrame:
+    """A row for each window of contexts (h, lft, context, weight): h, its start relative to the anchor, its MD5, and the context's signature and weight."""
+    schema = T.StructType([field("h", T.LongType()), field("start", T.IntegerType()), field("win", T.BinaryType()), field("sig", T.BinaryType()), field("weight", T.IntegerType())])
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            columns = [[] for _ in schema.names]
+            for h, left, context, weight in zip(*[batch.column(i).to_pylist() for i in range(4)]):
+                symbols, sig = context.split(b" ") if unit.words else context, _signature(left, context)
+                for a in range(len(symbols) - unit.length + 1):
+                    part = symbols[a : a + unit.length]
+                    win = hashlib.md5(b" ".join(part) if unit.words else part, usedforsecurity=False).digest()
+                    for column, value in zip(columns, (h, a - left, win, sig, weight)):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int32()])], names=schema.names)
+        trim_memory()
+
+    return contexts.mapInArrow(run, schema)
+
+
+def _decided_by_window(contexts: DataFrame, unit: Unit) -> DataFrame:
+    """What ``_decided`` gives, without gathering a group: windows that start alike are counted, and contexts joined to those that count twice."""
+    windows = _windows(contexts, unit)
+    twice = windows.groupBy("h", "start", "win").agg(F.sum("weight").alias("n")).where("n > 1").select("h", "start", "win")
+    found = windows.join(twice, ["h", "start", "win"]).groupBy("h", "sig").agg(F.collect_list("start").alias("starts"))
+    return found.select("h", "sig", F.flatten(F.transform("starts", lambda s: F.array(s, s + F.lit(unit.length)))).alias("spans"))
+
+
 def _packed(df: DataFrame, column: str) -> DataFrame:
     """``df`` with the texts in ``column`` as zstd frames: what shuffles carry of them is a third less than Spark's own codec leaves."""
     kept = [c for c in df.columns if c != column]
@@ -220,8 +257,16 @@ def repeated(docs: DataFrame, unit: Unit, decide: Callable, id_column: str, text
     release(spark)
     merged = _instances(carriers, unit, ship=True).groupBy("h", "lft", "context").agg(F.min("place").alias("a"), F.max("place").alias("b"), F.max("copies").alias("copies"))
     weighed = merged.select("h", "lft", "context", F.when(F.expr("a <> b or copies > 1"), 2).otherwise(1).alias("weight"))
-    verdicts = materialize(_decided(weighed.repartition(parts, "h").sortWithinPartitions("h"), decide), "verdicts")
-    del merged, weighed
+    weighed = materialize(weighed, "contexts")
+    release(spark)
+    hot = materialize(weighed.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("h"), "hot")
+    hot = F.broadcast(hot) if (hot_rows := hot.count()) <= BROADCAST_ROWS else hot
+    cold = weighed.join(hot, "h", "left_anti") if hot_rows else weighed
+    verdicts = materialize(_decided(cold.select("h", "lft", "context", "weight").repartition(parts, "h").sortWithinPartitions("h"), decide), "verdicts")
+    if hot_rows:
+        verdicts = verdicts.unionByName(materialize(_decided_by_window(weighed.join(hot, "h").select("h", "lft", "context", "weight"), unit), "hot_verdicts"))
+    discard(weighed)
+    del merged, weighed, cold
     release(spark)
     placed = _instances(carriers, unit, ship=False).join(verdicts.hint("shuffle_hash"), ["h", "sig"])
     spans = placed.select("key", F.expr("transform(spans, x -> x + p)").alias("s")).groupBy("key").agg(F.collect_list("s").alias("spans"))

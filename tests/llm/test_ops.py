@@ -181,11 +181,12 @@ def test_repeats(docs, module, words, length):
 
 
 @pytest.mark.parametrize("module", [suffix_dedup, substring_dedup])
-def test_repeats_in_blocks(docs, module, monkeypatch):
+def test_repeats_in_blocks_and_by_windows(docs, module, monkeypatch):
     from quillspark.llm import _anchors, repeats
 
     want = [tuple(r) for r in module.remove_repeats(docs, 30, keep=["doc_id"]).collect()]
     monkeypatch.setattr(repeats, "BLOCK", 4)
+    monkeypatch.setattr(repeats, "HOT", 2)
     monkeypatch.setattr(_anchors, "PIECE", 300)
     same([tuple(r) for r in module.remove_repeats(docs, 30, keep=["doc_id"]).collect()], want)
 
