@@ -77,7 +77,7 @@ EDGE = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))
 
 def remove_repeated_tokens(d: Dialect, x: str) -> str:
     """A token four times or more in a row, with ASCII edges, stays once. Back references: not in DuckDB."""
-    return d.replace(x, rf"{EDGE}({NOT_WS}+)({WS}+\1){{3,}}{EDGE}", "$1")
+    return d.replace(x, rf"{EDGE}({NOT_WS}++)({WS}++\1){{3,}}{EDGE}", "$1")
 
 
 def remove_garbage_symbols(d: Dialect, x: str, confidence: str | None = None) -> str:
@@ -103,9 +103,12 @@ def remove_isolated_fragments(d: Dialect, x: str, confidence: str | None = None)
 
 
 def collapse_repeated_words(d: Dialect, x: str) -> str:
-    """An Arabic word, or a phrase of two to four, three times or more in a row stays once. Back references: not in DuckDB."""
+    """An Arabic word, or a phrase of two to four, three times or more in a row stays once. Back references: not in DuckDB.
+
+    What follows a run of letters must be white space, so runs are possessive: giving letters back could not help, only cost time.
+    """
     letter = r"[\x{0600}-\x{06FF}]"
-    return d.chain(x, ((rf"({letter}{{2,}})({WS}+\1){{2,}}", "$1"), (rf"((?:{letter}+{WS}+){{1,3}}{letter}+)({WS}+\1){{2,}}", "$1")))
+    return d.chain(x, ((rf"({letter}{{2,}}+)({WS}++\1){{2,}}", "$1"), (rf"((?:{letter}++{WS}++){{1,3}}{letter}++)({WS}++\1){{2,}}", "$1")))
 
 
 def _headed(d: Dialect, t: str) -> str:

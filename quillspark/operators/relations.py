@@ -65,7 +65,7 @@ def streaks(df: DataFrame, keys: Sequence[str], order: Sequence[Column], failed:
 def claimable(jobs: DataFrame, per_queue: int) -> DataFrame:
     """The next jobs of each queue: by priority, then time, then id."""
     w = Window.partitionBy("queue").orderBy(F.col("priority").desc(), "run_at", "id")
-    return jobs.where("status = 'pending'").withColumn("claim", F.row_number().over(w)).where(F.col("claim") <= per_queue)
+    return jobs.where("status = 'pending'").withColumn("claim", F.row_number().over(w).cast("long")).where(F.col("claim") <= per_queue)
 
 
 def page(df: DataFrame, order: Sequence[Column], number: int = 1, limit: int = 20, most: int = 50) -> DataFrame:

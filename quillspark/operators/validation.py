@@ -60,7 +60,7 @@ def expiry(option: Column, created: Column) -> Column:
 def provider_order(health: DataFrame) -> DataFrame:
     """Providers (success_rate, mean_latency_ms, failures, state) best first, with score and place; open breakers come last."""
     scored = health.withColumn("score", F.expr(provider_score("success_rate", "mean_latency_ms", "failures", "state")))
-    return scored.withColumn("place", F.row_number().over(Window.orderBy(F.col("score").desc(), "provider")))  # a row for each provider: a handful
+    return scored.withColumn("place", F.row_number().over(Window.orderBy(F.col("score").desc(), "provider")).cast("long"))  # a row for each provider: a handful
 
 
 def select_pages(pages: DataFrame, ranges: DataFrame, key: str) -> DataFrame:
