@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillspark.session import read_table
+
 _counter = itertools.count()
 _roots: dict[str, str] = {}
 
@@ -127,5 +129,4 @@ def field(name: str, kind: T.DataType) -> T.StructField:
     return T.StructField(name, kind, True)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+table = read_table
