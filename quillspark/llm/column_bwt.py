@@ -24,12 +24,13 @@ import numpy as np
 def columns_of(contexts: list[bytes], lefts: np.ndarray, reach: int, width: int) -> np.ndarray:
     """The strings as a (width, strings) array of byte + 1, 0 outside; a context of ``left`` symbols before its anchor starts at column reach - left."""
     out = np.zeros((width, len(contexts)), dtype=np.uint16)
-    lengths = np.fromiter(map(len, contexts), dtype=np.int64, count=len(contexts))
-    data = np.frombuffer(b"".join(contexts), dtype=np.uint8)
-    row = np.repeat(np.arange(len(contexts)), lengths)
-    ends = np.cumsum(lengths)
-    within = np.arange(len(data)) - np.repeat(ends - lengths, lengths)
-    out[np.repeat(reach - lefts, lengths) + within, row] = data.astype(np.uint16) + 1
+    for first in range(0, len(contexts), 2048):  # places of all bytes at once would outweigh the strings
+        some = contexts[first : first + 2048]
+        lengths = np.fromiter(map(len, some), dtype=np.int32, count=len(some))
+        data = np.frombuffer(b"".join(some), dtype=np.uint8)
+        before = np.cumsum(lengths, dtype=np.int32) - lengths
+        column = np.arange(len(data), dtype=np.int32) + np.repeat((reach - lefts[first : first + 2048]).astype(np.int32) - before, lengths)
+        out[column, np.repeat(np.arange(first, first + len(some), dtype=np.int32), lengths)] = data.astype(np.uint16) + 1
     return out
 
 

@@ -36,7 +36,7 @@ BLOCK = 1 << 14
 
 
 #: Distinct contexts of an anchor up to which its group is one block of an index; larger groups are told apart window by window.
-HOT = 1 << 13
+HOT = 1 << 14
 #: Hot anchors that are broadcast at most, 8 bytes each; there is one for every HOT contexts at most. Beyond, the same join is shuffled.
 BROADCAST_ROWS = 1 << 20
 
@@ -178,7 +178,7 @@ def _windows(contexts: DataFrame, unit: Unit) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in (b.slice(at, 100) for b in batches for at in range(0, b.num_rows, 100)):  # a context has many windows
             columns = [[] for _ in schema.names]
             for h, left, context, weight in zip(*[batch.column(i).to_pylist() for i in range(4)]):
                 symbols, sig = context.split(b" ") if unit.words else context, _signature(left, context)
