@@ -26,7 +26,7 @@ MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 RULES = (
     (0, "few_words", "n_words < 50"),
     (1, "repeated_words", "100 * n_repeat_words > 50 * n_words"),
-    (2, "symbol_density", "n_words > 0 and n_symbols > n_words"),
+    (2, "symbol_density", "4 * n_symbols > n_words"),
     (3, "repeated_lines", "100 * n_dup_lines > 60 * n_lines"),
     (4, "short_words", "word_chars < 2 * n_words"),
     (5, "long_words", "word_chars > 40 * n_words"),
