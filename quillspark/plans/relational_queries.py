@@ -461,6 +461,37 @@ def subtree_docs(spark, sf_dir):
     return read(spark, sf_dir, "orders").select("o_orderkey", F.expr("concat('c', o_custkey)").alias("id")).join(below, "id", "left_semi").select("o_orderkey")
 
 
+def _filed_orders(spark, sf_dir):
+    return read(spark, sf_dir, "orders").select("o_orderkey", F.expr("concat('c', o_custkey)").alias("folder_id"))
+
+
+@query(f"with recursive {_TREE} select t.id, exists (select 1 from a where a.id = t.id and a.ancestor = 'r1') as deleted from t")
+def subtree_deletion(spark, sf_dir):
+    folders = _tree(spark, sf_dir).withColumn("deleted_at", F.lit(None).cast("timestamp"))
+    marked, _ = H.delete_subtree(folders, _filed_orders(spark, sf_dir), "r1", F.expr("timestamp '2024-01-01 00:00:00'"))
+    return marked.select("id", F.col("deleted_at").isNotNull().alias("deleted"))
+
+
+@query(f"with recursive {_TREE} select o_orderkey, case when not exists (select 1 from a where a.id = 'c' || o_custkey::varchar and a.ancestor = 'r1') then 'c' || o_custkey::varchar end as folder_id from orders")
+def subtree_detachment(spark, sf_dir):
+    folders = _tree(spark, sf_dir).withColumn("deleted_at", F.lit(None).cast("timestamp"))
+    _, freed = H.delete_subtree(folders, _filed_orders(spark, sf_dir), "r1", F.expr("timestamp '2024-01-01 00:00:00'"))
+    return freed.select("o_orderkey", "folder_id")
+
+
+@query(f"with recursive {_TREE} select id, case when parent = 'n3' then (select parent from t where id = 'n3') else parent end as parent from t")
+def folder_emptying(spark, sf_dir):
+    moved, _ = H.empty_folder(_tree(spark, sf_dir), _filed_orders(spark, sf_dir), "n3")
+    return moved.select("id", "parent")
+
+
+@query("select o_orderkey, case when o_custkey % 4 <> 0 and o_custkey in (select c_custkey from customer) then 'c' || o_custkey::varchar end as folder_id from orders")
+def document_restoring(spark, sf_dir):
+    folders = _tree(spark, sf_dir).withColumn("deleted_at", F.expr("case when id like 'c%' and cast(substring(id, 2) as int) % 4 = 0 then timestamp '2024-01-01 00:00:00' end"))
+    docs = _filed_orders(spark, sf_dir).withColumn("deleted_at", F.expr("timestamp '2024-01-01 00:00:00'"))
+    return H.restore_documents(docs, folders).select("o_orderkey", "folder_id")
+
+
 # --- derived tables ---
 
 
