@@ -236,25 +236,27 @@ def jaccard_neighbours(spark, sf_dir):
     return docs.where("nxt is not null").select("doc_id", F.expr(C.similarity(SPARK, "text", "nxt")).alias("similarity"))
 
 
-_MARKDOWN = "concat('# ', substring(text, 1, 20), '\n\n', substring(text, 21, 80), ' **b** *i*\n\n- one\n- two\n\n1. a\n2. b\n\n|x|y|\n|-|-|\n|1|2|\n\n```\ncode\n```\n')"
+#: A heading, the whole text, and a block of each kind for texts that hold none.
+_MARKDOWN = "concat('# t\n\n', text, ' **b** *i*\n\n- one\n- two\n\n1. a\n2. b\n\n|x|y|\n|-|-|\n|1|2|\n\n```\ncode\n```\n')"
 
 
 @query()
 def ir_blocks(spark, sf_dir):
-    """Markdown as blocks: a row for each."""
+    """Whole texts as markdown blocks: a row for each."""
     docs = read(spark, sf_dir, "documents").select("doc_id", F.expr(_MARKDOWN).alias("text"))
     return ir.explode_blocks(ir.with_blocks(docs), ["doc_id"])
 
 
 @query()
 def ir_outline(spark, sf_dir):
+    """The headings of whole texts."""
     docs = read(spark, sf_dir, "documents").select("doc_id", F.expr(_MARKDOWN).alias("text"))
     return ir.outline(ir.with_blocks(docs), ["doc_id"])
 
 
 @query()
 def ir_markdown(spark, sf_dir):
-    """Blocks written as markdown again."""
+    """Blocks of whole texts written as markdown again."""
     docs = read(spark, sf_dir, "documents").select("doc_id", F.expr(_MARKDOWN).alias("text"))
     return ir.render_markdown(ir.with_blocks(docs)).select("doc_id", F.md5("markdown").alias("result"))
 
