@@ -207,7 +207,8 @@ _numbers(
     from (select *, lead(text) over (partition by conv_id order by turn) as nxt from conversations) a) b"""
 )
 def cer_turns(spark, sf_dir):
-    """Character error rate between neighbouring turns; letters beyond ASCII are masked, as the oracle counts bytes."""
+    """Character error rate between the first 200 characters of neighbouring turns (``cer_turns_whole``: all of them); letters beyond
+    ASCII are masked, as the oracle counts bytes."""
     from pyspark.sql import Window
 
     turns = read(spark, sf_dir, "conversations").withColumn("nxt", F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn")))
@@ -215,6 +216,16 @@ def cer_turns(spark, sf_dir):
     return both.select("conv_id", "turn", F.expr(A.character_error_rate("t", "p")).alias("cer"))
 
 
+@query()
+def cer_turns_whole(spark, sf_dir):
+    """Character error rate between neighbouring turns, whole texts and all letters. No oracle: DuckDB's levenshtein counts bytes."""
+    from pyspark.sql import Window
+
+    turns = read(spark, sf_dir, "conversations").withColumn("nxt", F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn")))
+    both = turns.select("conv_id", "turn", F.expr(A.squeeze(SPARK, "text")).alias("t"), F.expr(A.squeeze(SPARK, "coalesce(nxt, '')")).alias("p"))
+    return both.select("conv_id", "turn", F.expr(A.character_error_rate("t", "p")).alias("cer"))
+
+
 @query()
 def wer_turns(spark, sf_dir):
     """Word error rate between neighbouring turns, whole texts."""

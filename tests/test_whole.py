@@ -5,9 +5,12 @@ import hashlib
 import pytest
 
 import __spark_entry__ as entry
+from quillspark.functions.analysis import edit_distance
 
 FILL = "Plain words that fill more than a hundred characters, so that what follows stands far from the start of the text. "
 MARKDOWN = f"{FILL}\n\n## Late\n\n- x\n- y\n\nLast words"
+#: Two turns that differ after character 200 alone, letters of several bytes, a turn of spaces.
+TURNS = {(1, 0): "ab " * 80 + "one end", (1, 1): "ab " * 80 + "another", (2, 0): "é\t ü" * 90, (2, 1): "é ö" * 70, (2, 2): "  "}
 
 
 @pytest.fixture(scope="module")
@@ -15,6 +18,7 @@ def tables(spark, tmp_path_factory):
     """A folder of small tables."""
     out = str(tmp_path_factory.mktemp("tables"))
     spark.createDataFrame([(1, MARKDOWN), (2, "short"), (3, None), (4, "")], "doc_id bigint, text string").write.parquet(f"{out}/documents.parquet")
+    spark.createDataFrame([(*k, t) for k, t in TURNS.items()], "conv_id bigint, turn int, text string").write.parquet(f"{out}/conversations.parquet")
     return out
 
 
@@ -42,3 +46,13 @@ def test_ir_markdown(spark, tables):
     got = {r.doc_id: r.result for r in found(spark, tables, "ir_markdown")}
     assert got[1] == md5(f"# t\n\n{FILL.strip()}\n\n## Late\n\n- x\n- y\n\nLast words **b** *i*\n\n{tail}")
     assert got[2] == md5(f"# t\n\nshort **b** *i*\n\n{tail}") and got[3] is None
+
+
+def test_cer_turns(spark, tables):
+    text = {k: " ".join(t.split()) for k, t in TURNS.items()}
+    want = {}
+    for (c, n), t in text.items():
+        p = text.get((c, n + 1), "")
+        want[c, n] = 1.0 if not p else len(p) if not t else edit_distance(t, p) / len(t)
+    got = {(r.conv_id, r.turn): r.cer for r in found(spark, tables, "cer_turns_whole")}
+    assert got == pytest.approx(want) and 0 < got[1, 0] < 0.1
