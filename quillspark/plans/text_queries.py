@@ -200,6 +200,29 @@ _numbers(
     },
 )
 
+_BREAK = "===PAGE_BREAK==="
+
+
+def _whole_pages(d: Dialect) -> str:
+    return f"concat('p1 ', chr(12), chr(12), coalesce(text, ''), '{_BREAK} b {_BREAK}c')"
+
+
+def _page_count(d: Dialect) -> str:
+    """As many pages as there are, and up to four that are missing."""
+    return f"cast({d.size(d.split(_whole_pages(d), _BREAK))} + doc_id % 5 as int)"
+
+
+#: Whole texts; ``page_splits`` sees the first 40 characters of each.
+_numbers(
+    "page_splits_whole", "documents", "doc_id",
+    lambda d: {
+        "n_marked": ("bigint", _page_count(d)),
+        "marked": ("string", digest(d, d.join(labels.split_pages(d, _whole_pages(d), _page_count(d)), "|"))),
+        "n_fed": ("bigint", d.size(labels.form_feed_pages(d, _whole_pages(d)))),
+        "fed": ("string", digest(d, d.join(labels.form_feed_pages(d, _whole_pages(d)), "|"))),
+    },
+)
+
 
 @query(
     f"""select conv_id, turn, cast({A.character_error_rate('t', 'p')} as double) as cer from (

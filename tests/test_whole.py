@@ -9,6 +9,8 @@ from quillspark.functions.analysis import edit_distance
 
 FILL = "Plain words that fill more than a hundred characters, so that what follows stands far from the start of the text. "
 MARKDOWN = f"{FILL}\n\n## Late\n\n- x\n- y\n\nLast words"
+#: Form feeds and page breaks far from the start.
+PAGES = f"{FILL}\fsecond===PAGE_BREAK=== third \f\f fourth===PAGE_BREAK===fifth"
 #: Two turns that differ after character 200 alone, letters of several bytes, a turn of spaces.
 TURNS = {(1, 0): "ab " * 80 + "one end", (1, 1): "ab " * 80 + "another", (2, 0): "é\t ü" * 90, (2, 1): "é ö" * 70, (2, 2): "  "}
 
@@ -17,7 +19,7 @@ TURNS = {(1, 0): "ab " * 80 + "one end", (1, 1): "ab " * 80 + "another", (2, 0):
 def tables(spark, tmp_path_factory):
     """A folder of small tables."""
     out = str(tmp_path_factory.mktemp("tables"))
-    spark.createDataFrame([(1, MARKDOWN), (2, "short"), (3, None), (4, "")], "doc_id bigint, text string").write.parquet(f"{out}/documents.parquet")
+    spark.createDataFrame([(1, MARKDOWN), (2, "short"), (3, None), (4, ""), (6, PAGES)], "doc_id bigint, text string").write.parquet(f"{out}/documents.parquet")
     spark.createDataFrame([(*k, t) for k, t in TURNS.items()], "conv_id bigint, turn int, text string").write.parquet(f"{out}/conversations.parquet")
     return out
 
@@ -32,12 +34,13 @@ def test_ir_blocks(spark, tables):
         1: [("heading", 1, "t"), ("paragraph", None, FILL.strip()), ("heading", 2, "Late"), ("list", None, "x / y"), ("paragraph", None, "Last words b i"), *tail],
         2: [("heading", 1, "t"), ("paragraph", None, "short b i"), *tail],
         4: [("heading", 1, "t"), ("paragraph", None, "b i"), *tail],
+        6: [("heading", 1, "t"), ("paragraph", None, "\n".join(x.strip() for x in PAGES.split("\n")) + " b i"), *tail],
     }
     assert sorted(map(tuple, found(spark, tables, "ir_blocks"))) == sorted((i, n, *b) for i, blocks in want.items() for n, b in enumerate(blocks))
 
 
 def test_ir_outline(spark, tables):
-    assert sorted(map(tuple, found(spark, tables, "ir_outline"))) == [(1, 0, 1, "t"), (1, 2, 2, "Late"), (2, 0, 1, "t"), (4, 0, 1, "t")]
+    assert sorted(map(tuple, found(spark, tables, "ir_outline"))) == [(1, 0, 1, "t"), (1, 2, 2, "Late"), (2, 0, 1, "t"), (4, 0, 1, "t"), (6, 0, 1, "t")]
 
 
 def test_ir_markdown(spark, tables):
@@ -56,3 +59,13 @@ def test_cer_turns(spark, tables):
         want[c, n] = 1.0 if not p else len(p) if not t else edit_distance(t, p) / len(t)
     got = {(r.conv_id, r.turn): r.cer for r in found(spark, tables, "cer_turns_whole")}
     assert got == pytest.approx(want) and 0 < got[1, 0] < 0.1
+
+
+def test_page_splits(spark, tables):
+    md5 = lambda pages: hashlib.md5("|".join(p.strip() for p in pages).encode()).hexdigest()
+    got = {r.doc_id: r for r in found(spark, tables, "page_splits_whole")}
+    for i, text in ((1, MARKDOWN), (2, "short"), (3, ""), (4, ""), (6, PAGES)):
+        text = f"p1 \f\f{text}===PAGE_BREAK=== b ===PAGE_BREAK===c"
+        marked, fed = text.split("===PAGE_BREAK===") + [""] * (i % 5), [p for p in text.split("\f") if p]
+        assert (got[i].n_marked, got[i].marked, got[i].n_fed, got[i].fed) == (len(marked), md5(marked), len(fed), md5(fed))
+    assert (got[6].n_marked, got[6].n_fed) == (6, 4)
