@@ -19,7 +19,8 @@ TURNS = {(1, 0): "ab " * 80 + "one end", (1, 1): "ab " * 80 + "another", (2, 0):
 def tables(spark, tmp_path_factory):
     """A folder of small tables."""
     out = str(tmp_path_factory.mktemp("tables"))
-    spark.createDataFrame([(1, MARKDOWN), (2, "short"), (3, None), (4, ""), (6, PAGES)], "doc_id bigint, text string").write.parquet(f"{out}/documents.parquet")
+    docs = [(1, MARKDOWN, "a"), (2, "short", "b"), (3, None, "c"), (4, "", "d"), (6, PAGES, "a")]
+    spark.createDataFrame(docs, "doc_id bigint, text string, source string").write.parquet(f"{out}/documents.parquet")
     spark.createDataFrame([(*k, t) for k, t in TURNS.items()], "conv_id bigint, turn int, text string").write.parquet(f"{out}/conversations.parquet")
     return out
 
@@ -69,3 +70,9 @@ def test_page_splits(spark, tables):
         marked, fed = text.split("===PAGE_BREAK===") + [""] * (i % 5), [p for p in text.split("\f") if p]
         assert (got[i].n_marked, got[i].marked, got[i].n_fed, got[i].fed) == (len(marked), md5(marked), len(fed), md5(fed))
     assert (got[6].n_marked, got[6].n_fed) == (6, 4)
+
+
+def test_set_sizes(spark, tables):
+    a, b = set(MARKDOWN.split(" ")), set(PAGES.split(" "))
+    assert list(map(tuple, found(spark, tables, "set_sizes_whole"))) == [(1, len(a & b), len(a | b))]
+    assert "third" in b and "words" in a and len(a | b) > len(set(MARKDOWN[:100].split(" ")) | set(PAGES[:100].split(" ")))
