@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import ir, labels
@@ -83,7 +84,7 @@ def page_selection(spark, sf_dir):
     select source, doc_id, n_chars, row_number() over (partition by source order by n_chars, doc_id) as place from documents) where place <= 3 group by 1"""
 )
 def journeys(spark, sf_dir):
-    """Ordered lists of documents, joined back in their order and rolled up."""
+    """Ordered lists of the three shortest documents of each source, joined back in their order and rolled up."""
     docs = read(spark, sf_dir, "documents").select("source", "doc_id", "n_chars")
     lists = docs.groupBy("source").agg(F.slice(F.transform(F.sort_array(F.collect_list(F.struct("n_chars", "doc_id"))), lambda s: s["doc_id"]), 1, 3).alias("steps"))
     steps = R.expand_references(lists, "source", "steps").join(docs.select(F.col("doc_id").alias("reference"), "n_chars"), "reference")
@@ -91,6 +92,26 @@ def journeys(spark, sf_dir):
     return steps.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("n_chars").alias("reading"), ordered.alias("steps"))
 
 
+#: Steps of a journey; a longer list goes on in the next part.
+PART = 100
+
+
+@query(
+    f"""select source, part, count(*) as n_docs, sum(n_chars)::bigint as reading, string_agg(doc_id::varchar, ',' order by place) as steps from (
+    select *, (place - 1) // {PART} as part from (select source, doc_id, n_chars, row_number() over (partition by source order by n_chars, doc_id) as place from documents)) group by 1, 2"""
+)
+def journeys_whole(spark, sf_dir):
+    """All documents of each source as ordered lists, in parts of fixed length so that no row gathers a source; ``journeys`` takes the first three."""
+    docs = read(spark, sf_dir, "documents").select("source", "doc_id", "n_chars")
+    place = F.row_number().over(Window.partitionBy("source").orderBy("n_chars", "doc_id")) - 1
+    placed = docs.withColumn("place", place).withColumn("part", F.floor(F.col("place") / PART))
+    lists = placed.groupBy(F.struct("source", "part").alias("journey")).agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "doc_id"))), lambda s: s["doc_id"]).alias("steps"))
+    steps = R.expand_references(lists, "journey", "steps").join(docs.select(F.col("doc_id").alias("reference"), "n_chars"), "reference")
+    ordered = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "reference"))), lambda s: s["reference"].cast("string")), ",")
+    rolled = steps.groupBy("journey").agg(F.count("*").alias("n_docs"), F.sum("n_chars").alias("reading"), ordered.alias("steps"))
+    return rolled.select("journey.source", "journey.part", "n_docs", "reading", "steps")
+
+
 @query("select o_custkey, max_by(o_orderkey, (o_orderdate, o_orderkey)) as latest from orders group by 1")
 def latest_job(spark, sf_dir):
     return read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.max_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("latest"))

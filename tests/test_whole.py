@@ -76,3 +76,16 @@ def test_set_sizes(spark, tables):
     a, b = set(MARKDOWN.split(" ")), set(PAGES.split(" "))
     assert list(map(tuple, found(spark, tables, "set_sizes_whole"))) == [(1, len(a & b), len(a | b))]
     assert "third" in b and "words" in a and len(a | b) > len(set(MARKDOWN[:100].split(" ")) | set(PAGES[:100].split(" ")))
+
+
+def test_journeys(spark, tmp_path):
+    docs = [(i, "a", i * 7 % 50) for i in range(250)] + [(900 + i, "b", 5) for i in range(4)]
+    spark.createDataFrame(docs, "doc_id bigint, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    want = []
+    for source in "ab":
+        rows = sorted((n, i) for i, s, n in docs if s == source)
+        for k in range(0, len(rows), 100):
+            part = rows[k : k + 100]
+            want.append((source, k // 100, len(part), sum(n for n, _ in part), ",".join(str(i) for _, i in part)))
+    assert sorted(map(tuple, found(spark, str(tmp_path), "journeys_whole"))) == want
+    assert sum(w[2] for w in want) == len(docs)
