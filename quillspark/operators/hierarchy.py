@@ -1,8 +1,8 @@
-"""Folder trees: an adjacency list (id, parent, name, order) climbed level by level.
+"""Folder trees of any depth: an adjacency list (id, parent, name, order) climbed by doubling.
 
-Trees are at most a few levels deep, so a climb is a fixed chain of joins that
-Catalyst sees whole: it can broadcast a small tree and shuffle a large one, and
-a cycle ends with the chain (rows remember their path).
+A round joins what each folder knows of its next ancestors with what the last of these knows, so a tree of depth d takes
+log2(d) + 1 rounds, each a join that Catalyst can broadcast or shuffle, written to shared storage. Each (folder, distance) is
+made once. A cycle ends where a folder would be met again, as a climb that marks what it has visited would.
 """
 
 from __future__ import annotations
@@ -10,56 +10,61 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.session import discard, materialize
+
+#: Levels that a move may lead to; trees that are deeper already stay as they are.
 MAX_DEPTH = 5
 
 
-def ancestors(folders: DataFrame, levels: int = MAX_DEPTH) -> DataFrame:
-    """(id, ancestor, distance): every folder with itself (0) and all above it, as far as they exist."""
+def ancestors(folders: DataFrame) -> DataFrame:
+    """(id, ancestor, distance): every folder with itself (0) and all above it, as far as they exist, each once, at its least distance."""
     nodes = folders.select("id", "parent")
-    climb = nodes.select("id", F.col("id").alias("ancestor"), F.lit(0).alias("distance"), "parent", F.array("id").alias("path"))
-    out = climb.select("id", "ancestor", "distance")
-    above = folders.select(F.col("id").alias("ancestor"), F.col("parent").alias("__qs_next"))
-    for d in range(1, levels + 1):
-        climb = (
-            climb.select("id", F.col("parent").alias("ancestor"), "path")
-            .where("ancestor is not null and not array_contains(path, ancestor)")
-            .join(above, "ancestor")
-            .select("id", "ancestor", F.lit(d).alias("distance"), F.col("__qs_next").alias("parent"), F.concat("path", F.array("ancestor")).alias("path"))
-        )
-        out = out.union(climb.select("id", "ancestor", "distance"))
-    return out
-
-
-def descendants(folders: DataFrame, roots: DataFrame, levels: int = MAX_DEPTH) -> DataFrame:
+    known = nodes.select("id", F.col("id").alias("ancestor"), F.lit(0).alias("distance"))
+    exists = folders.select(F.col("id").alias("up")).distinct()
+    jump = materialize(nodes.select("id", F.col("parent").alias("up")).join(exists, "up", "left_semi"), "jump")
+    reach = 1  # ancestors up to this distance, the folder itself included, are known; ``jump`` has the one at this distance
+    while not jump.isEmpty():
+        above = known.select(F.col("id").alias("up"), "ancestor", "distance")
+        further = jump.join(above, "up").select("id", "ancestor", (F.col("distance") + reach).alias("distance"))
+        before, known = known, materialize(known.unionByName(further).groupBy("id", "ancestor").agg(F.min("distance").alias("distance")), "ancestors")
+        reach *= 2
+        open_ = known.groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") == reach).select("id")  # fewer: the root is reached, or a cycle closed
+        last, jump = jump, materialize(jump.join(jump.select(F.col("id").alias("up"), F.col("up").alias("next")), "up").select("id", F.col("next").alias("up")).join(open_, "id", "left_semi"), "jump")
+        discard(before)
+        discard(last)
+    return known
+
+
+def descendants(folders: DataFrame, roots: DataFrame) -> DataFrame:
     """(root, id): each of ``roots`` (root) with the folders below it, itself included."""
-    return ancestors(folders, levels).join(roots, F.col("ancestor") == F.col("root")).select("root", "id")
+    return ancestors(folders).join(roots, F.col("ancestor") == F.col("root")).select("root", "id")
 
 
-def depths(folders: DataFrame, levels: int = MAX_DEPTH) -> DataFrame:
+def depths(folders: DataFrame) -> DataFrame:
     """(id, depth): 0 for a root."""
-    return ancestors(folders, levels).groupBy("id").agg(F.max("distance").alias("depth"))
+    return ancestors(folders).groupBy("id").agg(F.max("distance").alias("depth"))
 
 
-def heights(folders: DataFrame, levels: int = MAX_DEPTH) -> DataFrame:
+def heights(folders: DataFrame) -> DataFrame:
     """(id, height): levels below each folder, 0 for none."""
-    return ancestors(folders, levels).groupBy(F.col("ancestor").alias("id")).agg(F.max("distance").alias("height"))
+    return ancestors(folders).groupBy(F.col("ancestor").alias("id")).agg(F.max("distance").alias("height"))
 
 
-def paths(folders: DataFrame, separator: str = " / ", levels: int = MAX_DEPTH) -> DataFrame:
+def paths(folders: DataFrame, separator: str = " / ") -> DataFrame:
     """(id, path): names from the root down."""
-    named = ancestors(folders, levels).join(folders.select(F.col("id").alias("ancestor"), "name"), "ancestor")
+    named = ancestors(folders).join(folders.select(F.col("id").alias("ancestor"), "name"), "ancestor")
     ordered = F.transform(F.sort_array(F.collect_list(F.struct((-F.col("distance")).alias("d"), "name"))), lambda s: s["name"])
     return named.groupBy("id").agg(F.array_join(ordered, separator).alias("path"))
 
 
-def check_moves(folders: DataFrame, moves: DataFrame, levels: int = MAX_DEPTH) -> DataFrame:
+def check_moves(folders: DataFrame, moves: DataFrame) -> DataFrame:
     """``moves`` (id, target; null for the root) with a verdict: CIRCULAR, MAX_DEPTH or OK."""
-    above = ancestors(folders, levels)
+    above = ancestors(folders)
     circular = above.select(F.col("id").alias("target"), F.col("ancestor").alias("id"), F.lit(True).alias("below"))
     checked = (
         moves.join(circular, ["id", "target"], "left")
-        .join(depths(folders, levels).select(F.col("id").alias("target"), "depth"), "target", "left")
-        .join(heights(folders, levels), "id", "left")
+        .join(depths(folders).select(F.col("id").alias("target"), "depth"), "target", "left")
+        .join(heights(folders), "id", "left")
     )
     deep = F.coalesce(F.col("depth"), F.lit(0)) + 1 + F.coalesce(F.col("height"), F.lit(0)) >= MAX_DEPTH
     verdict = F.when(F.col("below"), "CIRCULAR").when(F.col("target").isNotNull() & deep, "MAX_DEPTH").otherwise("OK")
@@ -91,10 +96,10 @@ def restore_documents(documents: DataFrame, folders: DataFrame) -> DataFrame:
     return joined.withColumns({"deleted_at": F.lit(None).cast("timestamp"), "folder_id": F.col("__qs_live")}).drop("__qs_live")
 
 
-def tree(folders: DataFrame, separator: str = "/", levels: int = MAX_DEPTH) -> DataFrame:
+def tree(folders: DataFrame, separator: str = "/") -> DataFrame:
     """(id, depth, sort_path): folders in the order of a tree, siblings by ``order`` and id; orphans, whose parent is missing, are left out."""
     key = F.format_string("%08d:%s", F.col("order"), F.col("id").cast("string"))
-    above = ancestors(folders, levels)
+    above = ancestors(folders)
     rooted = above.join(folders.where("parent is null").select(F.col("id").alias("ancestor")), "ancestor", "left_semi").select("id")
     keyed = above.join(folders.select(F.col("id").alias("ancestor"), key.alias("k")), "ancestor").join(rooted, "id", "left_semi")
     ordered = F.transform(F.sort_array(F.collect_list(F.struct((-F.col("distance")).alias("d"), "k"))), lambda s: s["k"])

@@ -1,19 +1,75 @@
-"""Reading tables so that all cores have work."""
+"""Reading tables so that all cores have work, and tables of intermediate results in shared storage."""
 
 from __future__ import annotations
 
+import itertools
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: Tables of long texts: what is done to a row costs far more than moving it.
 TEXTS = ("documents", "pages", "conversations")
 
 
+#: A Parquet file gives a task for each row group at most, and writers make row groups of this size or more.
+ROW_GROUP = 128 << 20
+
+
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A Parquet table of a folder. A table of texts whose files give fewer partitions than half the cores (a small file with one
-    row group is one partition) is dealt out to all cores; tables of any size to speak of are read as they lie."""
+    """A Parquet table of a folder. A table of texts whose files hold row groups for less than half the cores is dealt out to all
+    cores: a small file is one row group, and so one busy task however many ways it is split. Tables of any size to speak of are
+    read as they lie."""
     df = spark.read.parquet(f"{folder}/{name}.parquet")
     if name in TEXTS:
-        cores = spark.sparkContext.defaultParallelism
-        if 2 * df._jdf.queryExecution().toRdd().getNumPartitions() < cores:
-            return df.repartition(cores)
+        cores, files = spark.sparkContext.defaultParallelism, df.inputFiles()
+        if 2 * len(files) < cores:
+            sizes = spark.read.format("binaryFile").load(files).select("length").collect() if files else []  # fewer rows than cores; contents are not read
+            if 2 * sum(-(-r.length // ROW_GROUP) for r in sizes) < cores:
+                return df.repartition(cores)
     return df
+
+
+_counter = itertools.count()
+_roots: dict[str, str] = {}
+
+
+def shared_root(spark: SparkSession) -> str:
+    """A folder of this application in shared storage: where spark.checkpoint.dir or setCheckpointDir say. Without either, a local
+    session gets a temporary folder, and a cluster an error: no folder of one machine would do there."""
+    context = spark.sparkContext
+    app = context.applicationId
+    if app not in _roots:
+        base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+        if not base:
+            if not context.master.startswith("local[") and context.master != "local":
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            base = f"file://{tempfile.mkdtemp(prefix='quillspark-')}"
+        root = f"{base.rstrip('/')}/quillspark-{uuid.uuid4().hex}"
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(path)
+        _roots[app] = root
+    return _roots[app]
+
+
+def table_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_root(spark)}/{next(_counter):05d}-{name}"
+
+
+def materialize(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
+    """Writes ``df`` as Parquet to the shared folder and reads it back: the lineage ends there and survives lost executors."""
+    spark = df.sparkSession
+    path = table_path(spark, name)
+    df.write.option("compression", compression).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._quillspark_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes a table of :func:`materialize` that nothing reads any more."""
+    path = getattr(df, "_quillspark_path", None)
+    if path:
+        spark = df.sparkSession
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

@@ -28,6 +28,26 @@ def test_hierarchy(spark):
     assert tree == [1, 9, 2, 3, 4, 5]
 
 
+def test_deep_trees_cycles_and_orphans(spark):
+    """A chain of 60, a cycle of three with a tail, a folder that is its own parent, and an orphan."""
+    chain = [(i, i - 1 if i else None, f"n{i}", 0) for i in range(60)]
+    odd = [(100, 102, "a", 0), (101, 100, "b", 0), (102, 101, "c", 0), (103, 100, "tail", 0), (110, 110, "self", 0), (120, 999, "orphan", 0), (121, 120, "below", 0)]
+    f = spark.createDataFrame(chain + odd, "id int, parent int, name string, order int")
+    above = {}
+    for r in hierarchy.ancestors(f).collect():
+        assert above.setdefault(r.id, {}).setdefault(r.distance, r.ancestor) == r.ancestor
+    parent = {i: p for i, p, _, _ in chain + odd}
+    for i in parent:
+        want, at = [], i
+        while at in parent and at not in want:
+            want.append(at)
+            at = parent[at]
+        assert [above[i][d] for d in sorted(above[i])] == want and sorted(above[i]) == list(range(len(want)))
+    assert {r.id: r.depth for r in hierarchy.depths(f).collect()}[59] == 59
+    assert len(hierarchy.descendants(f, spark.createDataFrame([(0,)], "root int")).collect()) == 60
+    assert {r.id: r.path for r in hierarchy.paths(f).collect()}[59] == " / ".join(f"n{i}" for i in range(60))
+
+
 def test_moves(spark):
     moves = spark.createDataFrame([(2, 4), (2, 2), (2, 9), (3, 9), (6, None), (6, 5)], "id int, target int")
     out = {(r.id, r.target): r.verdict for r in hierarchy.check_moves(folders(spark), moves).collect()}
