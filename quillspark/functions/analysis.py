@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ RETRY_CONFIDENCE = 0.65
 
 
 def word_count(d: Dialect, x: str) -> str:
-    return d.count(x, f"{NOT_WS}+")
+    return d.word_count(x)
 
 
 def headings(d: Dialect, x: str, level: int) -> str:
@@ -26,13 +27,13 @@ def headings(d: Dialect, x: str, level: int) -> str:
 
 def script_ratio(d: Dialect, x: str, script: str = P.ARABIC) -> str:
     """Characters of a script among those that aren't white space; 0 for none."""
-    return d.let(d.solid(x), "c", d.ratio(d.count("c", script), "length(c)"))
+    return d.let(d.solid(x), "c", d.ratio(d.count_class("c", script), "length(c)"))
 
 
 def garbage_ratio(d: Dialect, x: str, script: str = P.ARABIC) -> str:
     """Lines with little of the script, among lines of over five characters."""
     long = d.filter(d.split(x, "\n"), "l", f"length({d.trim('l')}) > 5")
-    bad = d.filter("ls", "m", d.let(d.solid("m"), "c", f"length(c) >= 5 and {d.count('c', script)} < 0.3 * length(c)"))
+    bad = d.filter("ls", "m", d.let(d.solid("m"), "c", f"length(c) >= 5 and {d.count_class('c', script)} < 0.3 * length(c)"))
     return d.let(long, "ls", d.ratio(d.size(bad), d.size("ls")))
 
 
@@ -118,7 +119,7 @@ def ocr_metrics(d: Dialect, x: str) -> dict[str, str]:
 
 def estimated_confidence(d: Dialect, x: str) -> str:
     """A confidence guessed from the share of Arabic among what isn't white space; 0 for nothing."""
-    ratio = d.ratio(d.count("c", P.ARABIC), "length(c)")
+    ratio = d.ratio(d.count_class("c", P.ARABIC), "length(c)")
     return d.let(d.solid(x), "c", f"case when c = '' then cast(0 as double) when {ratio} > 0.7 then cast(0.9 as double) when {ratio} > 0.4 then cast(0.7 as double) else cast(0.5 as double) end")
 
 
@@ -153,7 +154,7 @@ def indentation(d: Dialect, x: str) -> str:
 
 
 def squeeze(d: Dialect, x: str) -> str:
-    return d.trim(d.replace(x, f"{WS}+", " "))
+    return d.trim(d.single_spaced(x))
 
 
 def character_error_rate(truth: str, prediction: str) -> str:
@@ -162,13 +163,15 @@ def character_error_rate(truth: str, prediction: str) -> str:
 
 
 def edit_distance(a: Sequence, b: Sequence) -> int:
-    """Insertions, deletions and substitutions between two sequences, row by row."""
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        diagonal, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            diagonal, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, diagonal + (x != y))
-    return row[-1]
+    """Insertions, deletions and substitutions between two sequences, a row of the table at a time."""
+    numbers: dict = {}
+    x, y = (np.array([numbers.setdefault(w, len(numbers)) for w in s], dtype=np.int64) for s in (a, b))
+    place = np.arange(len(y) + 1)
+    row = place.copy()
+    for i, one in enumerate(x, 1):
+        made = np.minimum(row[1:] + 1, row[:-1] + (y != one))
+        row = np.minimum.accumulate(np.concatenate([[i], made]) - place) + place  # insertions run along the row
+    return int(row[-1])
 
 
 @F.pandas_udf(T.DoubleType())

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillspark.functions import patterns as P
-from quillspark.functions.dialect import NOT_WS, SPARK, WS, Dialect
+from quillspark.functions.dialect import NOT_WS, SPARK, WHITE, WS, Dialect
 
 
 def strip_controls(d: Dialect, x: str) -> str:
@@ -31,14 +31,14 @@ def strip_controls(d: Dialect, x: str) -> str:
 def normalize_letters(d: Dialect, x: str) -> str:
     """Variants of alef, yaa and kaf become one; a detached article is joined to its word; Hijri dates lose OCR debris."""
     x = d.translate(x, P.ALEF + P.YAA + P.KAF, "ا" * len(P.ALEF) + "ي" * len(P.YAA) + "ك" * len(P.KAF))
-    return d.chain(
-        x,
-        (
-            (rf"(^|[^{P.ARABIC_RANGES}])ال{WS}+({P.ARABIC})", "$1ال$2"),
-            (rf"[)\](]?{WS}*©{WS}*(\d+{WS}*ه)", "(ت $1"),
-            (rf"(\d+){WS}*ه{WS}*[)\]]", "$1 هـ)"),
-        ),
-    )
+    if d.duck:
+        x = d.replace(x, rf"(^|[^{P.ARABIC_RANGES}])ال{WS}+({P.ARABIC})", "$1ال$2")
+    else:
+        x = d.replace(x, rf"ال(?<!{P.ARABIC}ال){WS}++({P.ARABIC})", "ال$1")
+    edge = rf"[)\](]|(?<![)\]({WS[1:]})"
+    sign = d.either(rf"[)\](]?{WS}*©{WS}*(\d+{WS}*ه)", rf"(?:{edge}){WS}*+©{WS}*+(\d++{WS}*+ه)")
+    x = d.when_it_has(x, "©", lambda g: d.replace(g, sign, "(ت $1"))
+    return d.replace(x, d.either(rf"(\d+){WS}*ه{WS}*[)\]]", rf"(?<!\d)(\d++){WS}*+ه{WS}*+[)\]]"), "$1 هـ)")
 
 
 def remove_tashkeel(d: Dialect, x: str) -> str:
@@ -54,19 +54,20 @@ def normalize_digits(d: Dialect, x: str) -> str:
 
 
 def normalize_whitespace(d: Dialect, x: str) -> str:
-    x = d.chain(x, (("\r\n?", "\n"), (r"[ \t]+", " "), (r"\n{3,}", "\n\n")))
+    x = d.chain(x, (("\r\n?", "\n"), (d.either(r"[ \t]+", r"[ \t]{2,}+|\t"), " "), (d.either(r"\n{3,}", r"\n{3,}+"), "\n\n")))
     return d.trim(d.lines(x, "l", d.trim("l")))
 
 
 def remove_broken_html(d: Dialect, x: str) -> str:
-    return d.chain(x, (*P.HTML_TAGS, (r"\n{3,}", "\n\n")))
+    x = d.when_it_has(x, "<", lambda g: d.chain(g, P.HTML_TAGS))
+    return d.replace(x, r"\n{3,}", "\n\n")
 
 
 def remove_ascii_noise(d: Dialect, x: str) -> str:
     """Words of one or two Latin letters go from lines that are mostly Arabic."""
     word = rf"\b[a-zA-Z]{{1,2}}\b" if d.duck else r"(?<![A-Za-z0-9_])[a-zA-Z]{1,2}(?![A-Za-z0-9_])"
     cleaned = d.trim(d.chain("t", ((word, ""), (f"{WS}{{2,}}", " "))))
-    mostly = f"{d.count('t', P.ARABIC)} > 0.4 * length({d.solid('t')})"
+    mostly = f"{d.count_class('t', P.ARABIC)} > 0.4 * length({d.solid('t')})"
     skip = f"t = '' or {d.starts('t', '#')} or {d.starts('t', '---')}"
     return d.lines(x, "l", d.let(d.trim("l"), "t", f"case when {skip} then l when {mostly} then {cleaned} else l end"))
 
@@ -83,15 +84,19 @@ def remove_repeated_tokens(d: Dialect, x: str) -> str:
 def remove_garbage_symbols(d: Dialect, x: str, confidence: str | None = None) -> str:
     """Lines that are mostly symbols become empty; ``confidence`` is SQL of a double, or None."""
     threshold = "0.7" if confidence is None else f"(0.6 + (1.0 - {confidence}) * 0.2)"
-    real = d.count("c", f"[{P.ARABIC_RANGES}a-zA-Z0-9]")
-    noisy = f"length(c) > 5 and length(c) - {real} > {threshold} * length(c) and {real} < 2"
+    real = d.count_class("c", f"[{P.ARABIC_RANGES}a-zA-Z0-9]")
+    noisy = d.let(real, "r", f"length(c) > 5 and length(c) - r > {threshold} * length(c) and r < 2")
     only = d.matches("t", rf"^(?:[？！.،\-]|{WS}){{5,}}\z")
     body = d.let(d.solid("t"), "c", f"case when t = '' or length(c) < 2 then l when ({noisy}) or {only} then '' else l end")
     return d.lines(x, "l", d.let(d.trim("l"), "t", body))
 
 
 def normalize_punctuation(d: Dialect, x: str) -> str:
-    return d.chain(x, P.PUNCTUATION)
+    for mark, pattern, to in P.PUNCTUATION:
+        if not d.duck:  # what follows an Arabic letter is looked for from the mark, not from each letter
+            pattern = re.sub(r"^\((\[.+?\])(\[.+?\])\*\)(.+)$", r"(?<=\1)(\2*+)\3", pattern)
+        x = d.when_it_has(x, mark, lambda g, p=pattern, to=to: d.replace(g, p, to)) if mark else d.replace(x, pattern, to)
+    return x
 
 
 def remove_isolated_fragments(d: Dialect, x: str, confidence: str | None = None) -> str:
@@ -108,7 +113,12 @@ def collapse_repeated_words(d: Dialect, x: str) -> str:
     What follows a run of letters must be white space, so runs are possessive: giving letters back could not help, only cost time.
     """
     letter = r"[\x{0600}-\x{06FF}]"
-    return d.chain(x, ((rf"({letter}{{2,}}+)({WS}++\1){{2,}}", "$1"), (rf"((?:{letter}++{WS}++){{1,3}}{letter}++)({WS}++\1){{2,}}", "$1")))
+    word, phrase = rf"({letter}{{2,}}+)", rf"((?:{letter}++{WS}++){{1,3}}{letter}++)"
+    for repeated in (word, phrase):
+        # of three in a row, the second starts after white space and is followed by itself: looked for at starts of words alone
+        hint = d.matches("g", rf"(?<={WS}){repeated}{WS}++\1")
+        x = d.let(x, "g", f"if({hint}, {d.replace('g', rf'{repeated}({WS}++' + chr(92) + '1){2,}', '$1')}, g)")
+    return x
 
 
 def _headed(d: Dialect, t: str) -> str:
@@ -142,11 +152,12 @@ def remove_page_noise(d: Dialect, x: str) -> str:
 
 def final_cleanup(d: Dialect, x: str) -> str:
     """Joins letters parted by exclamation marks, strips debris at both ends of lines, and drops blank, decorative and garbled lines."""
-    joined = d.replace("l", r"([\x{0600}-\x{06FF}])!+([\x{0600}-\x{06FF}])", "$1$2")
+    joined = d.when_it_has("l", "!", lambda g: d.replace(g, r"([\x{0600}-\x{06FF}])!+([\x{0600}-\x{06FF}])", "$1$2"))
     marked = f"{_headed(d, 'j')} or {d.starts('j', '- ')} or {d.starts('j', '> ')} or {d.matches('j', P.BULLET)}"
     body = f"case when {marked} then j else {d.replace('j', r'^[^' + chr(92) + 'x{0600}-' + chr(92) + 'x{06FF}A-Za-z0-9_]+', '')} end"
-    lines = d.map(d.split(x, "\n"), "l", d.let(joined, "j", d.replace(f"({body})", P.TRAILING_JUNK, "")))
-    known = d.count("c", rf"[{P.ARABIC_RANGES}a-zA-Z0-9\-.,!?:;،؟؛\](){{}}\"'>&*%=@#«»]")
+    cut = d.replace(f"({body})", P.TRAILING_JUNK, "") if d.duck else d.let(f"({body})", "b", f"if({d.matches('right(b, 1)', P.JUNK)}, {d.replace('b', P.BEFORE_JUNK, '$1')}, b)")
+    lines = d.map(d.split(x, "\n"), "l", d.let(joined, "j", cut))
+    known = d.count_class("c", rf"[{P.ARABIC_RANGES}a-zA-Z0-9\-.,!?:;،؟؛\](){{}}\"'>&*%=@#«»]")
     decor = d.matches("t", rf"^(?:[\-–—•·*]|{WS})+\z")
     good = d.let(d.solid("t"), "c", f"length(c) < 3 or {known} >= {1 - P.GARBAGE_THRESHOLD} * length(c)")
     return d.join(d.filter(lines, "l", d.let(d.trim("l"), "t", f"case when t = '' or {decor} then false else {good} end")), "\n")
@@ -169,11 +180,11 @@ def _compiled(pattern: str) -> re.Pattern:
     return re.compile(pattern)
 
 
-_TRIM = _compiled(f"^{WS}+|{WS}+\\z")
 _SPACE = _compiled(f"{WS}+")
-_BULLET, _LINE_START, _LINE_END = _compiled(P.BULLET), _compiled(P.LINE_START), _compiled(P.LINE_END)
+_BULLET, _LINE_START = _compiled(P.BULLET), _compiled(P.LINE_START)
+_LAST_WORD, _ARABIC = _compiled(rf"{WS}(?:{P.LINE_END_WORDS})\z"), _compiled(P.ARABIC)
 _LISTED = _compiled(rf"^\[?{WS}*[0-9]+{WS}*\]?(?:[\-.)]|{WS})|^\([0-9]+\)|^[¹²³]")
-_SENTENCE_END = _compiled(r"[.?!،؟]\z")
+_SENTENCE_END = tuple(".?!،؟")
 SHORT_LINE = 40
 
 
@@ -181,6 +192,12 @@ def compose(text: str) -> str:
     return text if text.isascii() else unicodedata.normalize("NFKC", text)
 
 
+def _goes_on(line: str) -> bool:
+    """Whether a trimmed line ends with a word that asks for more, after an Arabic one."""
+    last = _LAST_WORD.search(line)
+    return bool(last and _ARABIC.match(line[: last.start()].rstrip(WHITE)[-1:]))
+
+
 def merge_lines(text: str) -> str:
     """Rejoins lines that a page layout has broken.
 
@@ -197,16 +214,16 @@ def merge_lines(text: str) -> str:
             open_lines.clear()
 
     for line in text.split("\n"):
-        line = _TRIM.sub("", line)
-        if not line or line.startswith(("## ", "# ", "### ")) or _BULLET.search(line) or _LISTED.search(line):
+        line = line.strip(WHITE)
+        if not line or line.startswith(("## ", "# ", "### ")) or _BULLET.match(line) or _LISTED.match(line):
             close()
             done.append(line)
             carried_on = False
             continue
-        free = not (_LINE_START.search(line) or carried_on)
-        carried_on = bool(_LINE_END.search(line))
+        free = not (_LINE_START.match(line) or carried_on)
+        carried_on = _goes_on(line)
         open_lines.append(line)
-        if free and (_SENTENCE_END.search(line) or len(line) < SHORT_LINE and not carried_on):
+        if free and (line.endswith(_SENTENCE_END) or len(line) < SHORT_LINE and not carried_on):
             close()
     close()
     return "\n".join(done)
@@ -225,7 +242,7 @@ def drop_near_paragraphs(text: str) -> str:
     """Drops a paragraph of over 20 characters that shares over 0.7 of its words with the last one kept."""
     kept, last = [], ""
     for paragraph in text.split("\n\n"):
-        plain = _SPACE.sub(" ", _TRIM.sub("", paragraph))
+        plain = _SPACE.sub(" ", paragraph.strip(WHITE))
         if last and len(plain) > 20 and jaccard(plain, last) > 0.7:
             continue
         kept.append(paragraph)
@@ -309,9 +326,9 @@ def clean(df: DataFrame, column: str = "text", name: str = "cleaned", options: C
     A null text stays null.
     """
     if mode == "auto":
-        exam = F.expr(exam_score(SPARK, f"`{column}`")) >= P.EXAM_CUTOFF
-        both = clean(clean(df, column, "__qs_general", options), column, "__qs_exam", EXAM)
-        return both.withColumn(name, F.when(exam, F.col("__qs_exam")).otherwise(F.col("__qs_general"))).drop("__qs_general", "__qs_exam")
+        scored = df.withColumn("__qs_exam", F.coalesce(F.expr(exam_score(SPARK, f"`{column}`")) >= P.EXAM_CUTOFF, F.lit(False)))
+        general = clean(scored.where("not __qs_exam"), column, name, options, confidence=confidence)
+        return general.unionByName(clean(scored.where("__qs_exam"), column, name, EXAM, confidence=confidence)).drop("__qs_exam")
     o = EXAM if mode == "exam" else options
     work = "__qs_work"
     df = df.withColumn(work, F.col(f"`{column}`"))

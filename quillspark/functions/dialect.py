@@ -17,6 +17,7 @@ class Dialect:
     def lit(self, text: str) -> str:
         if self.duck:
             return "'" + text.replace("'", "''") + "'"
+        text = text.replace(NOT_WS, _INK).replace(WS, f"[^{_INK[1:]}")
         return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
     def replace(self, x: str, pattern: str, to: str) -> str:
@@ -36,6 +37,19 @@ class Dialect:
     def count(self, x: str, pattern: str) -> str:
         return f"len(regexp_extract_all({x}, {self.lit(pattern)}))" if self.duck else f"regexp_count({x}, {self.lit(pattern)})"
 
+    def count_class(self, x: str, one: str) -> str:
+        """How many characters are of a class. ``x`` is named twice, so it should be a name. Spark takes whole runs away and compares
+        lengths: an object for each run and not for each character."""
+        return self.count(x, one) if self.duck else f"(length({x}) - length(regexp_replace({x}, {self.lit(one + '++')}, '')))"
+
+    def either(self, pattern: str, guarded: str) -> str:
+        """``pattern`` for DuckDB, which knows neither look-arounds nor possessive runs; for Spark one that finds the same in linear time."""
+        return pattern if self.duck else guarded
+
+    def when_it_has(self, x: str, part: str, body) -> str:
+        """``body(x)`` where ``x`` contains ``part``, which all that ``body`` replaces does; else ``x``: a plain search is far cheaper than patterns."""
+        return body(x) if self.duck else self.let(x, "g", f"if(contains(g, {self.lit(part)}), {body('g')}, g)")
+
     def extract_all(self, x: str, pattern: str) -> str:
         return f"regexp_extract_all({x}, {self.lit(pattern)})" if self.duck else f"regexp_extract_all({x}, {self.lit(pattern)}, 0)"
 
@@ -79,12 +93,24 @@ class Dialect:
         return f"translate({x}, {self.lit(source)}, {self.lit(target)})"
 
     def trim(self, x: str) -> str:
-        """Both ends, of all white space."""
-        return self.replace(x, f"^{WS}+|{WS}+\\z", "")
+        """Both ends, of all white space. A pattern would look at every run of it inside, from each of its characters."""
+        return self.replace(x, f"^{WS}+|{WS}+\\z", "") if self.duck else f"trim(both {self.lit(WHITE)} from {x})"
 
     def solid(self, x: str) -> str:
         """Without white space."""
-        return self.replace(x, f"{WS}+", "")
+        return self.replace(x, f"{WS}+", "") if self.duck else f"translate({x}, {self.lit(WHITE)}, '')"
+
+    def single_spaced(self, x: str) -> str:
+        """With one space for each run of white space; single spaces stay as they are, so they cost nothing."""
+        return self.replace(x, f"{WS}+", " ") if self.duck else self.replace(self.spaces(x), " {2,}+", " ")
+
+    def spaces(self, x: str) -> str:
+        """With a space for each character of white space."""
+        return self.translate(x, WHITE, " " * len(WHITE))
+
+    def word_count(self, x: str) -> str:
+        """Runs of what isn't white space."""
+        return self.count(x, f"{NOT_WS}+") if self.duck else f"length({self.replace(f'trim({self.spaces(x)})', '[^ ]++ *+', 'w')})"
 
     def round_half_up(self, x: str) -> str:
         return f"cast(floor({x} + 0.5) as bigint)"
@@ -101,4 +127,11 @@ SPARK, DUCK = Dialect(), Dialect(duck=True)
 
 #: White space as the text operators know it, and its complement.
 _SPACES = r"\t-\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
+#: The same, character by character.
+WHITE = "\t\n\v\f\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 WS, NOT_WS = f"[{_SPACES}]", f"[^{_SPACES}]"
+#: NOT_WS said by what it holds, the most frequent ranges first: Java tries ranges one by one until one fits.
+_INK = (
+    r"[!-\x{9F}\x{A1}-\x{167F}\x{00}-\x{08}\x{0E}-\x{1F}\x{3001}-\x{FEFE}\x{2070}-\x{2FFF}\x{2010}-\x{2027}\x{202A}-\x{202E}\x{2030}-\x{205E}\x{2060}-\x{206F}"
+    r"\x{1681}-\x{1FFF}\x{200B}-\x{200F}\x{FF00}-\x{10FFFF}]"
+)

@@ -14,7 +14,7 @@ def fold_index(d: Dialect, x: str) -> str:
 def fold_query(d: Dialect, x: str) -> str:
     """As search queries are folded: also hamza carriers, underscores and white space."""
     x = d.replace(d.translate(x, "أإآةىؤئ", "اااهيءء"), "[\\x{064B}-\\x{065F}ـ]", "")
-    return d.trim(d.replace(d.replace(x, "_", " "), f"{WS}+", " "))
+    return d.trim(d.single_spaced(d.translate(x, "_", " ")))
 
 
 def fold_token(d: Dialect, x: str) -> str:

@@ -9,14 +9,17 @@ TASHKEEL = r"[\x{0610}-\x{061A}\x{064B}-\x{065F}\x{0670}\x{06D6}-\x{06ED}\x{08D4
 ALEF, YAA, KAF = "آأإ", "يىی", "کڪ"
 GARBAGE_THRESHOLD = 0.35
 BULLET = rf"^[•·‣⁃\-–—]{WS}"
-TRAILING_JUNK = rf"[^{ARABIC_RANGES}a-zA-Z0-9\t-\r \x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}\x{{FEFF}}.,!?:;،؟؛()\]}}\-'\"»«﴿﴾]+\z"
+_SOUND = rf"{ARABIC_RANGES}a-zA-Z0-9\t-\r \x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}\x{{FEFF}}.,!?:;،؟؛()\]}}\-'\"»«﴿﴾"
+#: What lines must not end with; the pattern after it finds the end of the rest in one go, from behind.
+JUNK = f"[^{_SOUND}]"
+TRAILING_JUNK = rf"{JUNK}+\z"
+BEFORE_JUNK = rf"(?s)^((?:.*[{_SOUND}])?){JUNK}*+\z"
 
 LINE_END_WORDS = "من|في|عن|على|إلى|حتى|مذ|منذ|لدى|مع|غير|سوى|بين|تحت|فوق|دون|قبل|بعد|عند|نحو|حول|أو|أم|ثم|بل|لا|قد|هل|لم|لن|إن|أن|ما|هذا|هذه|ذلك|تلك|هو|هي|هم|هن|الذين|التي|الذي"
 LINE_START_WORDS = (
     "و|ف|ب|ل|ك|فـ|بال|فلـ|ولـ|بل|هل|قد|سـ|فسـ|وسـ|لن|لم|لما|إن|أن|فإن|فأن|فقد|فهل|ولا|فلا|ولن|فلم|بأن|لكن|لعل|ليت|حيث|حين|عند|بين|بعد|قبل|تحت|فوق|مع|منذ|من|في|عن|على|إلى|حتى|حول|خلال|"
     "دون|نحو|غير|سوى|مثل|بسبب|بعدما|قبلما|حينما|كلما|أين|أينما|كيف|كيفما|أي|أيها|أيتها|يا"
 )
-LINE_END = rf"{ARABIC}+{WS}+({LINE_END_WORDS}){WS}*\z"
 LINE_START = rf"^({LINE_START_WORDS}){WS}"
 
 PAGE_NUMBERS = (
@@ -80,23 +83,24 @@ HTML_TAGS = (
 )
 HTML_FRAGMENT = r"<[a-zA-Z][^>]{0,50}>"
 
+#: A mark without which the pattern finds nothing (or none), the pattern, what it becomes; in this order.
 PUNCTUATION = (
-    (rf"({ARABIC}{WS}*),", "$1،"),
-    (rf",{WS}*({ARABIC})", "، $1"),
-    (rf"({ARABIC}{WS}*);", "$1؛"),
-    (rf";{WS}*({ARABIC})", "؛ $1"),
-    ("；", "؛"),
-    (rf"({ARABIC}{WS}*)\?", "$1؟"),
-    (rf"\?{WS}*({ARABIC})", "؟ $1"),
-    ("？", "؟"),
-    ("：", ":"),
-    ("（", "("),
-    ("）", ")"),
-    ("[«»‹›〈〉]", ""),
-    ("[—ー‒]", "–"),
-    (r"\.{3,}|[…⋯]+", "…"),
-    ("،{2,}", "،"),
-    ("؛{2,}", "؛"),
+    (",", rf"({ARABIC}{WS}*),", "$1،"),
+    (",", rf",{WS}*({ARABIC})", "، $1"),
+    (";", rf"({ARABIC}{WS}*);", "$1؛"),
+    (";", rf";{WS}*({ARABIC})", "؛ $1"),
+    ("；", "；", "؛"),
+    ("?", rf"({ARABIC}{WS}*)\?", "$1؟"),
+    ("?", rf"\?{WS}*({ARABIC})", "؟ $1"),
+    ("？", "？", "؟"),
+    ("：", "：", ":"),
+    ("（", "（", "("),
+    ("）", "）", ")"),
+    ("", "[«»‹›〈〉]", ""),
+    ("", "[—ー‒]", "–"),
+    ("", r"\.{3,}|[…⋯]+", "…"),
+    ("،،", "،{2,}", "،"),
+    ("؛؛", "؛{2,}", "؛"),
 )
 
 STOP_WORDS = tuple(

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.functions.dialect import DUCK, SPARK, Dialect
+from quillspark.functions.cleaning import _SPACE
+from quillspark.functions.dialect import DUCK, SPARK, WHITE, Dialect
 from quillspark.functions.normalizers import fold_query
 
 #: Weights of the fields, title first; limits of queries and excerpts.
@@ -45,12 +47,8 @@ def write_postings(index: DataFrame, table: str, buckets: int = 64) -> None:
 
 def query_terms(query: str) -> list[str]:
     """The distinct terms of a query, or an error if it has none worth searching."""
-    import re
-
-    from quillspark.functions.cleaning import _SPACE, _TRIM
-
     folded = query.translate(str.maketrans("أإآةىؤئ_", "اااهيءء "))
-    folded = _SPACE.sub(" ", _TRIM.sub("", re.sub("[ً-ٟـ]", "", folded))).lower()
+    folded = _SPACE.sub(" ", re.sub("[ً-ٟـ]", "", folded).strip(WHITE)).lower()
     if len(query.strip()) < LEAST_QUERY or not folded:
         raise ValueError(f"a query has {LEAST_QUERY} characters at least")
     out, word = [], ""

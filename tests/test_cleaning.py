@@ -5,7 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quillspark.functions import analysis, cleaning, labels, normalizers
+from quillspark.functions import analysis, cleaning, dialect, labels, normalizers
 from quillspark.functions.dialect import SPARK
 from quillspark.functions.ir import parse, protected_spans, render
 
@@ -178,3 +178,66 @@ def test_parsing_never_fails_and_rendering_settles(text):
 def test_protected_spans():
     text = "قال ﴿x﴾ المادة 15 قانون رقم 4"
     assert [text[s["start"] : s["end"]] for s in protected_spans(text)] == ["﴿x﴾", "المادة 15", "قانون رقم 4"]
+
+
+PASSES = [
+    cleaning.strip_controls, cleaning.normalize_letters, cleaning.remove_tashkeel, cleaning.normalize_whitespace, cleaning.remove_broken_html, cleaning.remove_ascii_noise,
+    cleaning.remove_repeated_tokens, cleaning.remove_garbage_symbols, cleaning.normalize_punctuation, cleaning.remove_isolated_fragments, cleaning.collapse_repeated_words,
+    cleaning.detect_headings, cleaning.detect_late_headings, cleaning.remove_page_noise, cleaning.final_cleanup,
+]
+
+
+@pytest.mark.parametrize("make", PASSES, ids=lambda f: f.__name__)
+def test_passes_are_linear_in_white_space(spark, make):
+    """A million inner spaces between Arabic letters, marks and a sign that a pattern waits for."""
+    import time
+
+    df = spark.sql("select concat('كتاب ©', repeat(' ', 1000000), 'كتاب , <b> ', repeat('~', 1000)) as text")
+    df.select(F.expr(make(SPARK, "text"))).collect()
+    began = time.time()
+    df.select(F.expr(make(SPARK, "text"))).collect()
+    assert time.time() - began < 2
+
+
+def test_auto_mode_keeps_every_row(spark):
+    df = spark.createDataFrame([(1, "س1: ما\nج: (أ) نعم ..."), (2, "كتاب"), (3, None), (4, "")], "id int, text string")
+    got = {r.id: r.cleaned for r in cleaning.clean(df, mode="auto").collect()}
+    one = {r.id: r.cleaned for r in cleaning.clean(df).where("id > 1").collect()}
+    assert got == one | {1: cleaning.clean(df, mode="exam").where("id = 1").first().cleaned}
+
+
+def test_spark_and_duckdb_agree_on_random_texts(spark):
+    """Spark's patterns differ in form from DuckDB's (look-arounds, guards, possessive runs): not in what they do."""
+    import random
+
+    import duckdb
+    import pandas as pd
+
+    rng = random.Random(11)
+    alphabet = list("اللكبةه،؛؟,,;?!!©()[]12 \n\t aZ-.…#~«»؛；？<b>") + ["  ", " \n ", "ال ", "© 12ه", " ه)"]
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 40))) for _ in range(4000)]
+    both = pd.DataFrame({"i": range(len(texts)), "text": texts})
+    df, con = spark.createDataFrame(both), duckdb.connect()
+    con.register("t", both)
+    duckdb_dialect = dialect.DUCK
+    makes = [p for p in PASSES if p not in (cleaning.remove_repeated_tokens, cleaning.collapse_repeated_words)]
+    makes += [normalizers.fold_query, normalizers.fold_index, lambda d, x: d.trim(x), lambda d, x: d.solid(x), lambda d, x: f"cast({analysis.word_count(d, x)} as {'varchar' if d.duck else 'string'})"]
+    got = df.select("i", *[F.expr(m(SPARK, "text")).alias(f"c{n}") for n, m in enumerate(makes)]).toPandas().set_index("i").sort_index()
+    for n, make in enumerate(makes):
+        want = [r[0] for r in con.sql(f"select {make(duckdb_dialect, 'text')} from t order by i").fetchall()]
+        for a, b, t in zip(got[f"c{n}"], want, texts):
+            assert a == b, (n, t, a, b)
+
+
+def test_repeats_found_from_a_hint_are_those_of_the_pattern(spark):
+    import random
+
+    rng = random.Random(12)
+    words = ["اب", "ب", "باب", "جد", "a", "،"]
+    texts = ["".join(rng.choice(words) + rng.choice([" ", " ", "\n", "  ", ""]) for _ in range(rng.randint(0, 16))) for _ in range(4000)]
+    letter = r"[\x{0600}-\x{06FF}]"
+    from quillspark.functions.dialect import WS
+
+    plain = SPARK.chain("text", ((rf"({letter}{{2,}}+)({WS}++\1){{2,}}", "$1"), (rf"((?:{letter}++{WS}++){{1,3}}{letter}++)({WS}++\1){{2,}}", "$1")))
+    df = spark.createDataFrame([(t,) for t in texts], "text string").select("text", F.expr(plain).alias("a"), F.expr(cleaning.collapse_repeated_words(SPARK, "text")).alias("b"))
+    assert df.where("a <> text").count() > 50 and df.where("a <> b").count() == 0
