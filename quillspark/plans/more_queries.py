@@ -79,19 +79,6 @@ def page_selection(spark, sf_dir):
     return V.select_pages(turns, wanted, "conv_id").select("conv_id", F.col("number").alias("turn"))
 
 
-@query(
-    """select source, count(*) as n_docs, sum(n_chars)::bigint as reading, string_agg(doc_id::varchar, ',' order by place) as steps from (
-    select source, doc_id, n_chars, row_number() over (partition by source order by n_chars, doc_id) as place from documents) where place <= 3 group by 1"""
-)
-def journeys(spark, sf_dir):
-    """Ordered lists of the three shortest documents of each source, joined back in their order and rolled up."""
-    docs = read(spark, sf_dir, "documents").select("source", "doc_id", "n_chars")
-    lists = docs.groupBy("source").agg(F.slice(F.transform(F.sort_array(F.collect_list(F.struct("n_chars", "doc_id"))), lambda s: s["doc_id"]), 1, 3).alias("steps"))
-    steps = R.expand_references(lists, "source", "steps").join(docs.select(F.col("doc_id").alias("reference"), "n_chars"), "reference")
-    ordered = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "reference"))), lambda s: s["reference"].cast("string")), ",")
-    return steps.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("n_chars").alias("reading"), ordered.alias("steps"))
-
-
 #: Steps of a journey; a longer list goes on in the next part.
 PART = 100
 
@@ -100,8 +87,8 @@ PART = 100
     f"""select source, part, count(*) as n_docs, sum(n_chars)::bigint as reading, string_agg(doc_id::varchar, ',' order by place) as steps from (
     select *, (place - 1) // {PART} as part from (select source, doc_id, n_chars, row_number() over (partition by source order by n_chars, doc_id) as place from documents)) group by 1, 2"""
 )
-def journeys_whole(spark, sf_dir):
-    """All documents of each source as ordered lists, in parts of fixed length so that no row gathers a source; ``journeys`` takes the first three."""
+def journeys(spark, sf_dir):
+    """All documents of each source as ordered lists, in parts of fixed length so that no row gathers a source."""
     docs = read(spark, sf_dir, "documents").select("source", "doc_id", "n_chars")
     place = F.row_number().over(Window.partitionBy("source").orderBy("n_chars", "doc_id")) - 1
     placed = docs.withColumn("place", place).withColumn("part", F.floor(F.col("place") / PART))
@@ -141,6 +128,6 @@ def percentages(spark, sf_dir):
     return read(spark, sf_dir, "documents").groupBy("source").agg(F.format_string("%.1f", share.cast("double")).alias("percent"))
 
 
-@query("select n_name from nation order by n_name limit 10")
+@query("select n_name from nation order by n_name")
 def sorted_names(spark, sf_dir):
-    return read(spark, sf_dir, "nation").select("n_name").orderBy("n_name").limit(10)
+    return read(spark, sf_dir, "nation").select("n_name").orderBy("n_name")

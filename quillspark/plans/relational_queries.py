@@ -398,15 +398,9 @@ def tag_diff(spark, sf_dir):
     return items.where("l_quantity > 45").select(F.col("l_partkey").alias("k")).distinct().join(items.where("l_quantity < 10").select(F.col("l_partkey").alias("k")), "k", "left_anti")
 
 
-@query("select doc_id, len(list_intersect(a, b)) as n_both, len(list_distinct(list_concat(a, b))) as n_any from (select doc_id, string_split(substring(text, 1, 200), ' ') as a, string_split(substring(text, 101, 200), ' ') as b from documents)")
-def set_sizes(spark, sf_dir):
-    words = lambda a: F.split(F.substring("text", a, 200), " ")
-    return read(spark, sf_dir, "documents").select("doc_id", F.size(F.array_intersect(words(1), words(101))).cast("long").alias("n_both"), F.size(F.array_union(words(1), words(101))).cast("long").alias("n_any"))
-
-
 @query("select doc_id, len(list_intersect(a, b)) as n_both, len(list_distinct(list_concat(a, b))) as n_any from (select doc_id, string_split(text, ' ') as a, string_split(nxt, ' ') as b from (select *, lead(text) over (partition by source order by doc_id) as nxt from documents) where nxt is not null)")
-def set_sizes_whole(spark, sf_dir):
-    """Words in both and in any of two documents that follow each other in a source, whole texts; ``set_sizes`` compares two pieces of one text."""
+def set_sizes(spark, sf_dir):
+    """Words in both and in any of two documents that follow each other in a source, whole texts."""
     from pyspark.sql import Window
 
     docs = read(spark, sf_dir, "documents").withColumn("nxt", F.lead("text").over(Window.partitionBy("source").orderBy("doc_id")))
@@ -418,14 +412,15 @@ def set_sizes_whole(spark, sf_dir):
 
 
 def _tree(spark, sf_dir):
+    """Regions, nations, and customers in a heap below them, which is the deeper the more there are."""
     r = read(spark, sf_dir, "region").select(F.expr("concat('r', r_regionkey)").alias("id"), F.lit(None).cast("string").alias("parent"), F.col("r_name").alias("name"), F.col("r_regionkey").cast("int").alias("order"))
     n = read(spark, sf_dir, "nation").select(F.expr("concat('n', n_nationkey)").alias("id"), F.expr("concat('r', n_regionkey)").alias("parent"), F.col("n_name").alias("name"), F.col("n_nationkey").cast("int").alias("order"))
-    c = read(spark, sf_dir, "customer").select(F.expr("concat('c', c_custkey)").alias("id"), F.expr("concat('n', c_nationkey)").alias("parent"), F.col("c_name").alias("name"), F.col("c_custkey").cast("int").alias("order"))
+    c = read(spark, sf_dir, "customer").select(F.expr("concat('c', c_custkey)").alias("id"), F.expr("if(c_custkey < 8, concat('n', c_nationkey), concat('c', c_custkey div 2))").alias("parent"), F.col("c_name").alias("name"), F.col("c_custkey").cast("int").alias("order"))
     return r.union(n).union(c)
 
 
 _TREE = """t as (select 'r' || r_regionkey::varchar as id, null::varchar as parent, r_name as name, r_regionkey::int as ord from region union all select 'n' || n_nationkey::varchar, 'r' || n_regionkey::varchar, n_name, n_nationkey::int from nation
-  union all select 'c' || c_custkey::varchar, 'n' || c_nationkey::varchar, c_name, c_custkey::int from customer),
+  union all select 'c' || c_custkey::varchar, case when c_custkey < 8 then 'n' || c_nationkey::varchar else 'c' || (c_custkey // 2)::varchar end, c_name, c_custkey::int from customer),
   a as (select id, id as ancestor, 0 as distance, parent from t union all select a.id, t.id, a.distance + 1, t.parent from a join t on a.parent = t.id)"""
 
 
@@ -525,36 +520,37 @@ def share_upsert(spark, sf_dir):
     return D.upsert(current, changes, ["o_custkey"])
 
 
-_SIDES = "(select distinct user_id as u, event_id % 20 as d from events where event_id % 2 = 0) a", "(select distinct user_id as u, event_id % 20 as d from events where event_id % 3 = 0) b"
+_SIDES = "(select distinct user_id as u, event_id % 20 as d from events where event_type in ('view', 'click')) a", "(select distinct user_id as u, event_id % 20 as d from events where event_type not in ('view', 'click')) b"
 
 
 @query(f"(select u, d from {_SIDES[0]} except select u, d from {_SIDES[1]}) union all (select u, d from {_SIDES[1]} except select u, d from {_SIDES[0]})")
 def bookmark_toggle(spark, sf_dir):
-    e = read(spark, sf_dir, "events").select(F.col("user_id").alias("u"), (F.col("event_id") % 20).alias("d"), "event_id")
-    return D.toggle(e.where("event_id % 2 = 0").select("u", "d").distinct(), e.where("event_id % 3 = 0").select("u", "d").distinct(), ["u", "d"])
+    e = read(spark, sf_dir, "events").select(F.col("user_id").alias("u"), (F.col("event_id") % 20).alias("d"), "event_type")
+    marked = F.col("event_type").isin("view", "click")
+    return D.toggle(e.where(marked).select("u", "d").distinct(), e.where(~marked).select("u", "d").distinct(), ["u", "d"])
 
 
 _BRIDGE = "select distinct l_orderkey as d, l_suppkey as t from lineitem"
 
 
-@query(f"select d, t from ({_BRIDGE}) where d % 5 <> 0 union all select distinct o_orderkey, 0 from orders where o_orderkey % 5 = 0")
+@query(f"select d, t from ({_BRIDGE}) where d not in (select o_orderkey from orders where o_orderstatus = 'P') union all select distinct o_orderkey, 0 from orders where o_orderstatus = 'P'")
 def set_tags(spark, sf_dir):
     bridge = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("d"), F.col("l_suppkey").alias("t")).distinct()
-    wanted = read(spark, sf_dir, "orders").where("o_orderkey % 5 = 0").select(F.col("o_orderkey").alias("d"), F.lit(0).cast("long").alias("t"))
+    wanted = read(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("d"), F.lit(0).cast("long").alias("t"))
     return D.replace_tags(bridge, wanted, "t", "d")
 
 
-@query(f"select distinct o_orderkey as d, 1 as t from orders where o_orderkey % 4 = 0 and not exists (select 1 from ({_BRIDGE}) b where b.d = o_orderkey and b.t = 1)")
+@query(f"select distinct o_orderkey as d, 1 as t from orders where o_orderstatus = 'O' and not exists (select 1 from ({_BRIDGE}) b where b.d = o_orderkey and b.t = 1)")
 def bulk_tag(spark, sf_dir):
     bridge = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("d"), F.col("l_suppkey").alias("t"))
-    wanted = read(spark, sf_dir, "orders").where("o_orderkey % 4 = 0").select(F.col("o_orderkey").alias("d"), F.lit(1).cast("long").alias("t"))
+    wanted = read(spark, sf_dir, "orders").where("o_orderstatus = 'O'").select(F.col("o_orderkey").alias("d"), F.lit(1).cast("long").alias("t"))
     return D.bulk_tag(bridge, wanted, ["d", "t"]).select("d", F.col("t").cast("int").alias("t"))
 
 
-@query(f"select d, t from ({_BRIDGE}) where t % 3 <> 0")
+@query(f"{_BRIDGE} except select l_orderkey, l_suppkey from lineitem where l_returnflag = 'R'")
 def bulk_untag(spark, sf_dir):
-    bridge = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("d"), F.col("l_suppkey").alias("t")).distinct()
-    return D.bulk_untag(bridge, bridge.where("t % 3 = 0"), ["d", "t"])
+    rows = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("d"), F.col("l_suppkey").alias("t"), "l_returnflag")
+    return D.bulk_untag(rows.select("d", "t").distinct(), rows.where("l_returnflag = 'R'").select("d", "t").distinct(), ["d", "t"])
 
 
 @query(f"select doc_id, case when source = 'src2' and deleted_at is null then timestamp '2024-06-01' else deleted_at end as deleted_at from ({_OWNED})")
@@ -588,16 +584,16 @@ def stale_jobs(spark, sf_dir):
 
 
 @query(
-    f"""with q as (select queue, idempotency_key, min(payload) as payload, min(status) as status, max(attempts) as attempts from {_JOBS} where id % 2 = 0 group by 1, 2),
-    r as (select queue, idempotency_key, payload from (select *, row_number() over (partition by queue, idempotency_key order by run_at desc, payload) as n from {_JOBS} where id % 3 = 0) where n = 1)
+    f"""with q as (select queue, idempotency_key, min(payload) as payload, min(status) as status, max(attempts) as attempts from {_JOBS} where hour(run_at) < 12 group by 1, 2),
+    r as (select queue, idempotency_key, payload from (select *, row_number() over (partition by queue, idempotency_key order by run_at desc, payload) as n from {_JOBS} where hour(run_at) >= 12) where n = 1)
     select queue, idempotency_key, case when o then r.payload else q.payload end as payload, case when o then 'pending' else status end as status, case when o then 0 else attempts end as attempts from (
       select coalesce(q.queue, r.queue) as queue, coalesce(q.idempotency_key, r.idempotency_key) as idempotency_key, q, r, status, attempts, r.payload is not null and (status is null or status in ('done', 'dead')) as o
       from q full join r on q.queue = r.queue and q.idempotency_key = r.idempotency_key)"""
 )
 def idempotent_enqueue(spark, sf_dir):
     jobs = _jobs(spark, sf_dir)
-    queue = jobs.where("id % 2 = 0").groupBy("queue", "idempotency_key").agg(F.min("payload").alias("payload"), F.min("status").alias("status"), F.max("attempts").alias("attempts"))
-    requests = jobs.where("id % 3 = 0").select("queue", "idempotency_key", "payload", F.col("run_at").alias("at"))
+    queue = jobs.where("hour(run_at) < 12").groupBy("queue", "idempotency_key").agg(F.min("payload").alias("payload"), F.min("status").alias("status"), F.max("attempts").alias("attempts"))
+    requests = jobs.where("hour(run_at) >= 12").select("queue", "idempotency_key", "payload", F.col("run_at").alias("at"))
     return D.idempotent_enqueue(queue, requests)
 
 

@@ -117,11 +117,11 @@ def front_matter(spark, sf_dir):
     return docs.select("doc_id", values["lang"].alias("language"), body.alias("body"))
 
 
-@query("select event_id from events where ts < (select max(ts) from events) - interval 5 day and event_id not in (select o_orderkey from orders where o_orderkey % 3 = 0)")
+@query("select event_id from events where ts < (select max(ts) from events) - interval 5 day and event_id not in (select o_orderkey from orders where o_orderstatus = 'F')")
 def orphan_files(spark, sf_dir):
     e = read(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("path"), F.col("ts").alias("modificationTime"))
     newest = F.lit(e.agg(F.max("modificationTime")).first()[0]) - F.expr("interval 5 days")
-    known = read(spark, sf_dir, "orders").where("o_orderkey % 3 = 0").select(F.col("o_orderkey").cast("string").alias("k"))
+    known = read(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").cast("string").alias("k"))
     return files.orphans(e, known, "k", newest).select(F.col("path").cast("long").alias("event_id"))
 
 

@@ -188,18 +188,6 @@ _numbers("font_heading_levels", "documents", "doc_id", lambda d: {"level": ("big
 _numbers("previews", "documents", "doc_id", lambda d: {"preview": ("string", labels.head(d, "text", 1000)), "bytes": ("bigint", "strlen(text)" if d.duck else "octet_length(text)")})
 
 
-def _pages_of(d: Dialect) -> str:
-    return f"concat('p1 ', chr(12), chr(12), {labels.head(d, 'text', 40)}, '===PAGE_BREAK=== b ===PAGE_BREAK===c')"
-
-
-_numbers(
-    "page_splits", "documents", "doc_id",
-    lambda d: {
-        "marked": ("string", d.join(labels.split_pages(d, _pages_of(d), "cast(doc_id % 5 + 1 as int)"), "|")),
-        "fed": ("string", d.join(labels.form_feed_pages(d, _pages_of(d)), "|")),
-    },
-)
-
 _BREAK = "===PAGE_BREAK==="
 
 
@@ -212,9 +200,8 @@ def _page_count(d: Dialect) -> str:
     return f"cast({d.size(d.split(_whole_pages(d), _BREAK))} + doc_id % 5 as int)"
 
 
-#: Whole texts; ``page_splits`` sees the first 40 characters of each.
 _numbers(
-    "page_splits_whole", "documents", "doc_id",
+    "page_splits", "documents", "doc_id",
     lambda d: {
         "n_marked": ("bigint", _page_count(d)),
         "marked": ("string", digest(d, d.join(labels.split_pages(d, _whole_pages(d), _page_count(d)), "|"))),
@@ -226,16 +213,16 @@ _numbers(
 
 @query(
     f"""select conv_id, turn, cast({A.character_error_rate('t', 'p')} as double) as cer from (
-    select conv_id, turn, {A.squeeze(DUCK, "regexp_replace(substring(text, 1, 200), '[^a-zA-Z .,]', '?', 'g')")} as t, {A.squeeze(DUCK, "regexp_replace(substring(coalesce(nxt, ''), 1, 200), '[^a-zA-Z .,]', '?', 'g')")} as p
+    select conv_id, turn, {A.squeeze(DUCK, "regexp_replace(text, '[^a-zA-Z .,]', '?', 'g')")} as t, {A.squeeze(DUCK, "regexp_replace(coalesce(nxt, ''), '[^a-zA-Z .,]', '?', 'g')")} as p
     from (select *, lead(text) over (partition by conv_id order by turn) as nxt from conversations) a) b"""
 )
 def cer_turns(spark, sf_dir):
-    """Character error rate between the first 200 characters of neighbouring turns (``cer_turns_whole``: all of them); letters beyond
-    ASCII are masked, as the oracle counts bytes."""
+    """Character error rate between neighbouring turns, whole texts; letters beyond ASCII are masked, as the oracle counts bytes
+    (``cer_turns_whole`` has all letters, and no oracle)."""
     from pyspark.sql import Window
 
     turns = read(spark, sf_dir, "conversations").withColumn("nxt", F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn")))
-    both = turns.select("conv_id", "turn", F.expr(A.squeeze(SPARK, "regexp_replace(substring(text, 1, 200), '[^a-zA-Z .,]', '?')")).alias("t"), F.expr(A.squeeze(SPARK, "regexp_replace(substring(coalesce(nxt, ''), 1, 200), '[^a-zA-Z .,]', '?')")).alias("p"))
+    both = turns.select("conv_id", "turn", F.expr(A.squeeze(SPARK, "regexp_replace(text, '[^a-zA-Z .,]', '?')")).alias("t"), F.expr(A.squeeze(SPARK, "regexp_replace(coalesce(nxt, ''), '[^a-zA-Z .,]', '?')")).alias("p"))
     return both.select("conv_id", "turn", F.expr(A.character_error_rate("t", "p")).alias("cer"))
 
 

@@ -64,7 +64,7 @@ def test_cer_turns(spark, tables):
 
 def test_page_splits(spark, tables):
     md5 = lambda pages: hashlib.md5("|".join(p.strip() for p in pages).encode()).hexdigest()
-    got = {r.doc_id: r for r in found(spark, tables, "page_splits_whole")}
+    got = {r.doc_id: r for r in found(spark, tables, "page_splits")}
     for i, text in ((1, MARKDOWN), (2, "short"), (3, ""), (4, ""), (6, PAGES)):
         text = f"p1 \f\f{text}===PAGE_BREAK=== b ===PAGE_BREAK===c"
         marked, fed = text.split("===PAGE_BREAK===") + [""] * (i % 5), [p for p in text.split("\f") if p]
@@ -74,7 +74,7 @@ def test_page_splits(spark, tables):
 
 def test_set_sizes(spark, tables):
     a, b = set(MARKDOWN.split(" ")), set(PAGES.split(" "))
-    assert list(map(tuple, found(spark, tables, "set_sizes_whole"))) == [(1, len(a & b), len(a | b))]
+    assert list(map(tuple, found(spark, tables, "set_sizes"))) == [(1, len(a & b), len(a | b))]
     assert "third" in b and "words" in a and len(a | b) > len(set(MARKDOWN[:100].split(" ")) | set(PAGES[:100].split(" ")))
 
 
@@ -87,5 +87,5 @@ def test_journeys(spark, tmp_path):
         for k in range(0, len(rows), 100):
             part = rows[k : k + 100]
             want.append((source, k // 100, len(part), sum(n for n, _ in part), ",".join(str(i) for _, i in part)))
-    assert sorted(map(tuple, found(spark, str(tmp_path), "journeys_whole"))) == want
+    assert sorted(map(tuple, found(spark, str(tmp_path), "journeys"))) == want
     assert sum(w[2] for w in want) == len(docs)
