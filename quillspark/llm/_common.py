@@ -3,20 +3,14 @@
 from __future__ import annotations
 
 import gc
-import itertools
-import tempfile
 import time
-import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspark.session import read_table
-
-_counter = itertools.count()
-_roots: dict[str, str] = {}
+from quillspark.session import discard, materialize, read_table, shared_root, table_path
 
 #: Rows of an Arrow batch: long texts must not make a Python worker hold thousands of them at once.
 BATCH_ROWS = "1000"
@@ -27,41 +21,6 @@ def configure(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
 
-def shared_root(spark: SparkSession) -> str:
-    """A folder of this application in the one that ``spark.checkpoint.dir`` names; a temporary one only where that is unset."""
-    app = spark.sparkContext.applicationId
-    if app not in _roots:
-        base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='quillspark-')}"
-        root = f"{base.rstrip('/')}/quillspark-{uuid.uuid4().hex}"
-        path = spark._jvm.org.apache.hadoop.fs.Path(root)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
-        _roots[app] = root
-    return _roots[app]
-
-
-def table_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_root(spark)}/{next(_counter):05d}-{name}"
-
-
-def materialize(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """Writes ``df`` as Parquet to the shared folder and reads it back: the lineage ends there and survives lost executors."""
-    spark = df.sparkSession
-    path = table_path(spark, name)
-    df.write.option("compression", compression).parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._quillspark_path = path
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Deletes a table of :func:`materialize` that nothing reads any more."""
-    path = getattr(df, "_quillspark_path", None)
-    if path:
-        spark = df.sparkSession
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def release(spark: SparkSession) -> None:
     """Lets Spark drop the shuffle files of plans that are finished, instead of at some later collection of garbage."""
     for _ in range(2):  # what finalizers let go in the first round is collected in the second
@@ -130,3 +89,5 @@ def field(name: str, kind: T.DataType) -> T.StructField:
 
 
 table = read_table
+
+__all__ = ["add_columns", "configure", "discard", "field", "materialize", "quoted", "release", "shared_root", "table", "table_path", "text_or_empty", "trim_memory", "without"]
