@@ -4,13 +4,16 @@ Strings are contexts of anchors, aligned at the anchor and grouped by it: only
 suffixes that start in the same column of the same group can begin equal
 windows of different places, so the Burrows-Wheeler transform of the collection
 is kept by columns (its positional form), each column a segment of its own.
-Rounds go from the last column to the first. A round takes the strings in the
-order of their suffixes so far, reads off their preceding symbols (that is the
-column's part of the transform), sorts them stably into the order of the longer
-suffixes, and updates the longest common prefixes of neighbours by range
-minima. What a round makes is appended to external files: symbols, order and
-common prefixes. They are written and read once, in sequence; memory holds two
-columns and the strings.
+The strings lie in an external file, column by column. Rounds go from the last
+column to the first. A round reads a column, puts its symbols into the order of
+the suffixes so far (that is the column's part of the transform), sorts them
+stably into the order of the longer suffixes, and updates the longest common
+prefixes of neighbours by range minima; both are appended to external files.
+
+Repeats are then read off these two files in one sequential pass. The pass walks
+the transform: sorting a segment's symbols stably leads from the order of one
+column's suffixes to that of the next, so which string a place belongs to needs
+no file of its own. Memory holds two columns of the strings, however wide.
 """
 
 from __future__ import annotations
@@ -21,32 +24,41 @@ import tempfile
 import numpy as np
 
 
-def columns_of(contexts: list[bytes], lefts: np.ndarray, reach: int, width: int) -> np.ndarray:
-    """The strings as a (width, strings) array of byte + 1, 0 outside; a context of ``left`` symbols before its anchor starts at column reach - left."""
-    out = np.zeros((width, len(contexts)), dtype=np.uint16)
+def write_strings(contexts: list[bytes], lefts: np.ndarray, reach: int, width: int, folder: str) -> None:
+    """The strings as a file of (width, strings) numbers, byte + 1 and 0 outside; a context of ``left`` symbols before its anchor starts at column reach - left."""
+    out = np.memmap(os.path.join(folder, "strings"), dtype=np.uint16, mode="w+", shape=(width, len(contexts)))
     for first in range(0, len(contexts), 2048):  # places of all bytes at once would outweigh the strings
         some = contexts[first : first + 2048]
         lengths = np.fromiter(map(len, some), dtype=np.int32, count=len(some))
         data = np.frombuffer(b"".join(some), dtype=np.uint8)
         before = np.cumsum(lengths, dtype=np.int32) - lengths
         column = np.arange(len(data), dtype=np.int32) + np.repeat((reach - lefts[first : first + 2048]).astype(np.int32) - before, lengths)
-        out[column, np.repeat(np.arange(first, first + len(some), dtype=np.int32), lengths)] = data.astype(np.uint16) + 1
-    return out
+        part = np.zeros((width, len(some)), dtype=np.uint16)
+        part[column, np.repeat(np.arange(len(some), dtype=np.int32), lengths)] = data.astype(np.uint16) + 1
+        out[:, first : first + len(some)] = part
+
+
+def _longer(symbols: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """From the order of suffixes to that of the suffixes one symbol longer, within groups, which keep their places."""
+    by_symbol = np.argsort(symbols, kind="stable")
+    return by_symbol[np.argsort(ranks[by_symbol], kind="stable")]
+
+
+def _ranks(groups: np.ndarray) -> np.ndarray:
+    return groups.astype(np.uint16) if not len(groups) or groups[-1] < 1 << 16 else groups
 
 
-def write_columns(columns: np.ndarray, groups: np.ndarray, folder: str) -> None:
-    """Runs the rounds; ``groups`` holds each string's group number, ascending."""
-    width, m = columns.shape
-    order = np.arange(m)
+def write_transform(groups: np.ndarray, width: int, folder: str) -> None:
+    """Runs the rounds over the file of strings; ``groups`` holds each string's group number, ascending."""
+    m = len(groups)
+    order, ranks = np.arange(m), _ranks(groups)
     lcp = np.zeros(m + 1, dtype=np.uint16)
-    ranks = groups.astype(np.uint16) if not m or groups[-1] < 1 << 16 else groups
     same_group = groups[1:] == groups[:-1]
-    with open(os.path.join(folder, "bwt"), "wb") as f_bwt, open(os.path.join(folder, "order"), "wb") as f_order, open(os.path.join(folder, "lcp"), "wb") as f_lcp:
+    with open(os.path.join(folder, "bwt"), "wb") as f_bwt, open(os.path.join(folder, "lcp"), "wb") as f_lcp:
         for c in range(width - 1, -1, -1):
-            symbols = columns[c][order]
+            symbols = np.fromfile(os.path.join(folder, "strings"), dtype=np.uint16, count=m, offset=2 * m * c)[order]
             symbols.tofile(f_bwt)
-            by_symbol = np.argsort(symbols, kind="stable")
-            moved = by_symbol[np.argsort(ranks[by_symbol], kind="stable")]  # groups keep their places
+            moved = _longer(symbols, ranks)
             sorted_symbols = symbols[moved]
             meets = np.flatnonzero(same_group & (sorted_symbols[1:] == sorted_symbols[:-1]) & (sorted_symbols[1:] > 0)) + 1
             after = np.zeros(m + 1, dtype=np.uint16)
@@ -59,16 +71,17 @@ def write_columns(columns: np.ndarray, groups: np.ndarray, folder: str) -> None:
                     least[~near] = np.minimum.reduceat(lcp, bounds)[::2]
                 after[meets] = least + 1
             order, lcp = order[moved], after
-            order.astype(np.int32).tofile(f_order)
             lcp[:m].tofile(f_lcp)
 
 
-def repeated_starts(folder: str, width: int, m: int, length: int) -> np.ndarray:
-    """Reads the columns in sequence: (strings, width), whether a window of ``length`` starts there that another string of the group has there too."""
+def repeated_starts(groups: np.ndarray, width: int, length: int, folder: str) -> np.ndarray:
+    """Reads transform and common prefixes in sequence: (strings, width), whether a window of ``length`` starts there that another string of the group has there too."""
+    m = len(groups)
     out = np.zeros((m, width), dtype=bool)
-    with open(os.path.join(folder, "order"), "rb") as f_order, open(os.path.join(folder, "lcp"), "rb") as f_lcp:
+    order, ranks = np.arange(m), _ranks(groups)
+    with open(os.path.join(folder, "bwt"), "rb") as f_bwt, open(os.path.join(folder, "lcp"), "rb") as f_lcp:
         for c in range(width - 1, -1, -1):
-            order = np.fromfile(f_order, dtype=np.int32, count=m)
+            order = order[_longer(np.fromfile(f_bwt, dtype=np.uint16, count=m), ranks)]
             long = np.fromfile(f_lcp, dtype=np.uint16, count=m) >= length
             either = long.copy()
             either[:-1] |= long[1:]
@@ -76,6 +89,12 @@ def repeated_starts(folder: str, width: int, m: int, length: int) -> np.ndarray:
     return out
 
 
+def scratch() -> str | None:
+    """The folder that Spark gives a task for its files; what lies there is lost with the executor and made again with the task."""
+    named = os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0]
+    return named if named and os.path.isdir(named) else None
+
+
 def spans_of(starts: np.ndarray, length: int, origin: int) -> list[list[int]]:
     """For each string, the columns that windows starting at ``starts`` cover, as [a, b, a, b, ...] counted from column ``origin``."""
     m, width = starts.shape
@@ -90,27 +109,20 @@ def spans_of(starts: np.ndarray, length: int, origin: int) -> list[list[int]]:
     return out
 
 
-def whole_windows(lefts: np.ndarray, sizes: np.ndarray, weights: np.ndarray, reach: int, width: int, length: int) -> np.ndarray:
-    """(strings, width): the starts of all windows of contexts that stand at two places or more."""
-    begin = (reach - lefts)[:, None]
-    at = np.arange(width)
-    return (weights > 1)[:, None] & (at >= begin) & (at + length <= begin + sizes[:, None])
-
-
 def decide(groups: np.ndarray, lefts: np.ndarray, contexts: list[bytes], weights: np.ndarray, k: int, length: int) -> list[list[int]]:
     """For each context the symbols, relative to its anchor, that windows found elsewhere cover.
 
-    ``weights``: 2 where the very same context stands at two places or more, so that all its windows repeat. A context that is the
-    only one of its anchor shares windows with no other and doesn't enter the construction.
+    ``weights``: 2 where the very same context stands at two places or more; it enters the collection twice. A context that is the
+    only string of its anchor shares windows with no other and doesn't enter.
     """
     reach = length - k
     width = 2 * reach + k
     starts = np.zeros((len(contexts), width), dtype=bool)
-    shared = np.flatnonzero(np.bincount(groups)[groups] > 1)
-    if len(shared):
-        columns = columns_of([contexts[i] for i in shared.tolist()], lefts[shared], reach, width)
-        with tempfile.TemporaryDirectory() as folder:
-            write_columns(columns, groups[shared], folder)
-            starts[shared] = repeated_starts(folder, width, len(shared), length)
-    sizes = np.fromiter(map(len, contexts), dtype=np.int64, count=len(contexts))
-    return spans_of(starts | whole_windows(lefts, sizes, weights, reach, width, length), length, reach)
+    entered = np.repeat(np.arange(len(contexts)), weights)
+    entered = entered[np.bincount(groups[entered])[groups[entered]] > 1] if len(entered) else entered
+    if len(entered):
+        with tempfile.TemporaryDirectory(dir=scratch()) as folder:
+            write_strings([contexts[i] for i in entered.tolist()], lefts[entered], reach, width, folder)
+            write_transform(groups[entered], width, folder)
+            starts[entered] = repeated_starts(groups[entered], width, length, folder)
+    return spans_of(starts, length, reach)

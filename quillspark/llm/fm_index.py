@@ -1,9 +1,11 @@
 """A compressed FM-index with backward search over a wavelet tree, and matching statistics of many documents at once.
 
-The Burrows-Wheeler transform of the shard's strings is stored bit by bit in a
-wavelet tree (in matrix form: one packed bit vector for each bit of a symbol,
-with running counts), so it takes log2(alphabet) bits a symbol and answers rank
-for any symbol. Documents are streamed from their last symbol to the first, all
+The Burrows-Wheeler transform of the shard's strings is kept as its runs: equal
+passages make long ones. The symbols of the runs lie bit by bit in a wavelet
+tree (in matrix form: one packed bit vector for each bit of a symbol, with
+running counts), and the running lengths of each symbol's runs turn a count of
+runs into a rank. The longest common prefixes of suffixes and their nearest
+smaller ones stay plain arrays, and so does one bit a suffix. Documents are streamed from their last symbol to the first, all
 of a block in step; each keeps the interval of its longest match. Where the
 match can't be extended, it is cut to the parent interval, found on the longest
 common prefixes by the nearest smaller ones on both sides.
@@ -97,17 +99,29 @@ class FmIndex:
         self.left, self.right = _smaller(self.lcp), n - _smaller(self.lcp[::-1])[::-1]
         alphabet = int(text.max()) + 1 if n else 1
         bwt = text[suffixes - 1]
-        self.tree = WaveletTree(bwt, max(1, int(alphabet - 1).bit_length()))
+        first = np.flatnonzero(np.concatenate([[True], bwt[1:] != bwt[:-1]])) if n else np.zeros(0, dtype=np.int64)
+        heads, lengths = bwt[first], np.diff(np.append(first, n))
+        self.runs = np.append(first, n).astype(np.int32)
+        self.heads = np.append(heads, -1).astype(np.int32)
+        self.tree = WaveletTree(heads, max(1, int(alphabet - 1).bit_length()))
         every = np.arange(alphabet, dtype=np.int32)
-        before = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=alphabet))])[:-1]
-        self.before = before.astype(np.int32) - self.tree.descend(every, np.zeros(alphabet, dtype=np.int32))
-        self.weight = np.concatenate([[0], np.cumsum(weights[owner[suffixes]])])
+        runs_before = np.concatenate([[0], np.cumsum(np.bincount(heads, minlength=alphabet))])[:-1]
+        self.before = runs_before.astype(np.int32) - self.tree.descend(every, np.zeros(alphabet, dtype=np.int32))
+        self.places = np.concatenate([[0], np.cumsum(lengths[np.argsort(heads, kind="stable")])]).astype(np.int32)
+        self.heavy = np.packbits(weights[owner[suffixes]] > 1, bitorder="little") if n else np.zeros(1, dtype=np.uint8)
 
     def extend(self, symbols: np.ndarray, sp: np.ndarray, ep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Backward search by one symbol: the intervals of ``symbols`` before the matches."""
-        base = self.before[symbols]
-        both = self.tree.descend(np.concatenate([symbols, symbols]), np.concatenate([sp, ep]))
-        return base + both[: len(sp)], base + both[len(sp) :]
+        at, symbols = np.concatenate([sp, ep]), np.concatenate([symbols, symbols])
+        run = (np.searchsorted(self.runs, at, side="right") - 1).astype(np.int32)  # at the end: one past the last run
+        inside = np.where(self.heads[run] == symbols, at - self.runs[run], 0)
+        out = self.places[self.before[symbols] + self.tree.descend(symbols, run)] + inside
+        return out[: len(sp)], out[len(sp) :]
+
+    def repeats(self, sp: np.ndarray, ep: np.ndarray) -> np.ndarray:
+        """Whether an interval stands for two places or more: two suffixes, or one of a string that weighs two."""
+        one = np.minimum(sp, max(self.n - 1, 0))
+        return (ep - sp > 1) | ((ep - sp == 1) & (self.heavy[one >> 3] >> (one & 7).astype(np.uint8) & 1 > 0))
 
     def parent(self, sp: np.ndarray, ep: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The least interval that holds more than [sp, ep), and the length that its suffixes have in common."""
@@ -118,8 +132,8 @@ class FmIndex:
         sp[root], ep[root] = 0, self.n
         return sp, ep, length
 
-    def matching_statistics(self, columns: np.ndarray, least_weight: int) -> np.ndarray:
-        """columns: (width, documents), 0 outside. For each place the length of the longest match that starts there and has ``least_weight``.
+    def matching_statistics(self, columns: np.ndarray) -> np.ndarray:
+        """columns: (width, documents), 0 outside. For each place the length of the longest match that starts there and stands at two places or more.
 
         What is found at a place depends on the symbols from there on alone, so documents that end alike share one search until
         they part: near copies, however many, are searched for about once.
@@ -137,7 +151,7 @@ class FmIndex:
             todo = np.flatnonzero(~outside)
             while len(todo):
                 a, b = self.extend(symbols[todo], sp[todo], ep[todo])
-                ok = (b > a) & (self.weight[np.maximum(a, b)] - self.weight[a] >= least_weight)
+                ok = self.repeats(a, b)
                 done = todo[ok]
                 sp[done], ep[done] = a[ok], b[ok]
                 length[done] += 1
@@ -149,13 +163,20 @@ class FmIndex:
         return out
 
 
+def _whole_windows(lefts: np.ndarray, sizes: np.ndarray, weights: np.ndarray, reach: int, width: int, length: int) -> np.ndarray:
+    """(strings, width): the starts of all windows of contexts that stand at two places or more."""
+    begin = (reach - lefts)[:, None]
+    at = np.arange(width)
+    return (weights > 1)[:, None] & (at >= begin) & (at + length <= begin + sizes[:, None])
+
+
 def decide(lefts: np.ndarray, contexts: list[bytes], groups: np.ndarray, weights: np.ndarray, k: int, length: int) -> list[list[int]]:
     """For each context, words joined by one space, the words, relative to its anchor, that windows found elsewhere cover.
 
     ``weights``: 2 where the very same context stands at two places or more: all its windows repeat, so it is indexed but need
     not be searched for. A context that is the only one of its anchor shares windows with no other and isn't indexed.
     """
-    from quillspark.llm.column_bwt import spans_of, whole_windows
+    from quillspark.llm.column_bwt import spans_of
 
     reach = length - k
     width = 2 * reach + k + 1
@@ -174,6 +195,6 @@ def decide(lefts: np.ndarray, contexts: list[bytes], groups: np.ndarray, weights
         inside[:, -1] = True
         index = FmIndex(rows[inside], weights[shared])
         streamed = np.flatnonzero(shared & (weights == 1))
-        starts[streamed] = (index.matching_statistics(np.ascontiguousarray(columns[:, streamed]), 2) >= length + 1).T
+        starts[streamed] = (index.matching_statistics(np.ascontiguousarray(columns[:, streamed])) >= length + 1).T
     sizes = np.fromiter((c.count(b" ") + 2 for c in contexts), dtype=np.int64, count=len(contexts))
-    return spans_of(starts | whole_windows(lefts, sizes, weights, reach, width, length + 1), length, reach)
+    return spans_of(starts | _whole_windows(lefts, sizes, weights, reach, width, length + 1), length, reach)

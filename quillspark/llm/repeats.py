@@ -11,7 +11,10 @@ decided. The steps:
    an anchor are merged before they travel, so a passage in a third of all
    documents is one string.
 3. Shards of whole anchor groups, decided by the operator's index. A group of very many distinct contexts, such as those at the
-   edge of a passage that a third of all documents hold, fits no task: its windows are counted one by one instead, exactly.
+   edge of a passage that a third of all documents hold, fits no task. It is narrowed: its windows are dealt into bands of
+   neighbouring starts, and contexts meet again by all that the windows of a band have in common. That is nearly a whole window,
+   so text that differs parts and text that doesn't merges; what is still large is narrowed further, down to single windows,
+   where a group is one string. The same index decides at every level.
 4. What was decided about a context goes back to all the places where it stands.
 
 Texts never meet in one task; a shard is read in blocks of complete groups, and a group is bounded.
@@ -35,9 +38,11 @@ from quillspark.llm._common import configure, discard, field, materialize, relea
 BLOCK = 1 << 14
 
 
-#: Distinct contexts of an anchor up to which its group is one block of an index; larger groups are told apart window by window.
-HOT = 1 << 14
-#: Hot anchors that are broadcast at most, 8 bytes each; there is one for every HOT contexts at most. Beyond, the same join is shuffled.
+#: Distinct contexts of a group that one task indexes; larger groups are narrowed.
+HOT = 1 << 9
+#: Bands into which the starts of a hot group's windows are dealt.
+BANDS = 8
+#: Hot groups that are broadcast at most, 8 bytes each; there is one for every HOT contexts at most. Beyond, the same join is shuffled.
 BROADCAST_ROWS = 1 << 20
 
 
@@ -115,13 +120,16 @@ def _instances(carriers: DataFrame, unit: Unit, ship: bool) -> DataFrame:
         for batch in batches:
             for key, copies, ps, text in zip(batch.column(0), batch.column(1), batch.column(2), batch.column(3)):
                 key, copies, raw = key.as_py(), copies.as_py(), unpack(text.as_buffer())
-                context, low = unit.context(raw), int.from_bytes(key[:8], "little")
+                context, low, seen = unit.context(raw), int.from_bytes(key[:8], "little"), {}
                 for anchor in ps.as_py():
                     p, h = anchor["p"], anchor["h"]
                     left, bytes_ = context(p)
                     if ship:
-                        place = (low + p * _anchors.BASE) & 0x7FFFFFFFFFFFFFFF
-                        row = (h, left, bytes_, place, copies)
+                        # a text that repeats itself, such as a run of one letter, sends each context at its first place and at one more
+                        times = seen[h, left, bytes_] = seen.get((h, left, bytes_), 0) + 1
+                        if times > 2:
+                            continue
+                        row = (h, left, bytes_, (low + p * _anchors.BASE) & 0x7FFFFFFFFFFFFFFF, copies)
                     else:
                         row = (h, _signature(left, bytes_), key, p)
                     for column, value in zip(columns, row):
@@ -171,34 +179,70 @@ def _decided(contexts: DataFrame, decide: Callable) -> DataFrame:
     return contexts.mapInArrow(run, schema)
 
 
-def _windows(contexts: DataFrame, unit: Unit) -> DataFrame:
-    """A row for each window of contexts (h, lft, context, weight): h, its start relative to the anchor, its MD5, and the context's signature and weight."""
-    schema = T.StructType([field("h", T.LongType()), field("start", T.IntegerType()), field("win", T.BinaryType()), field("sig", T.BinaryType()), field("weight", T.IntegerType())])
+def _bands(contexts: DataFrame, unit: Unit, k: int, band: int, ship: bool) -> DataFrame:
+    """The parts of contexts (h, lft, context, weight; anchors of ``k`` symbols) that the windows of each band of starts cover.
+
+    Windows of a band start at ``band`` neighbouring places relative to the anchor, so they have length - band + 1 symbols in
+    common: the core, which takes the anchor's role. ``ship``: (h, lft, context, weight) with the core's group as h; else
+    (part_h, part_sig, h, sig, shift), to take what was decided back: the core starts ``shift`` symbols after the anchor.
+    """
+    reach, length = unit.length - k, unit.length
+    if ship:
+        schema = T.StructType([field("h", T.LongType()), field("lft", T.IntegerType()), field("context", T.BinaryType()), field("weight", T.IntegerType())])
+    else:
+        schema = T.StructType([field("part_h", T.LongType()), field("part_sig", T.BinaryType()), field("h", T.LongType()), field("sig", T.BinaryType()), field("shift", T.IntegerType())])
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
 
-        for batch in (b.slice(at, 100) for b in batches for at in range(0, b.num_rows, 100)):  # a context has many windows
+        types = [f.type for f in to_arrow_schema(schema)]
+        for batch in (b.slice(at, 512) for b in batches for at in range(0, b.num_rows, 512)):
             columns = [[] for _ in schema.names]
             for h, left, context, weight in zip(*[batch.column(i).to_pylist() for i in range(4)]):
-                symbols, sig = context.split(b" ") if unit.words else context, _signature(left, context)
-                for a in range(len(symbols) - unit.length + 1):
-                    part = symbols[a : a + unit.length]
-                    win = hashlib.md5(b" ".join(part) if unit.words else part, usedforsecurity=False).digest()
-                    for column, value in zip(columns, (h, a - left, win, sig, weight)):
+                symbols, first = context.split(b" ") if unit.words else context, reach - left
+                join = b" ".join if unit.words else bytes
+                sig = None if ship else _signature(left, context)
+                last = first + len(symbols) - length  # columns at which windows start: first..last
+                for number in range(first // band, last // band + 1):
+                    low = number * band
+                    a, b, core = max(low, first) - first, min(low + band - 1, last) - first, low + band - 1 - first
+                    part, part_left = join(symbols[a : b + length]), core - a
+                    name = h.to_bytes(8, "little", signed=True) + number.to_bytes(4, "little") + join(symbols[core : low + length - first])
+                    part_h = int.from_bytes(hashlib.blake2b(name, digest_size=8).digest(), "little", signed=True)
+                    row = (part_h, part_left, part, weight) if ship else (part_h, _signature(part_left, part), h, sig, low + band - 1 - reach)
+                    for column, value in zip(columns, row):
                         column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int32()])], names=schema.names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, types)], names=schema.names)
         trim_memory()
 
     return contexts.mapInArrow(run, schema)
 
 
-def _decided_by_window(contexts: DataFrame, unit: Unit) -> DataFrame:
-    """What ``_decided`` gives, without gathering a group: windows that start alike are counted, and contexts joined to those that count twice."""
-    windows = _windows(contexts, unit)
-    twice = windows.groupBy("h", "start", "win").agg(F.sum("weight").alias("n")).where("n > 1").select("h", "start", "win")
-    found = windows.join(twice, ["h", "start", "win"]).groupBy("h", "sig").agg(F.collect_list("start").alias("starts"))
-    return found.select("h", "sig", F.flatten(F.transform("starts", lambda s: F.array(s, s + F.lit(unit.length)))).alias("spans"))
+def _verdicts(contexts: DataFrame, unit: Unit, k: int, decide: Callable) -> DataFrame:
+    """(h, sig, spans) of the contexts (h, lft, context, weight; anchors of ``k`` symbols) that hold repeated windows; h and sig may
+    come several times. Groups of more than HOT contexts are narrowed to bands and decided there, by the same function."""
+    spark = contexts.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    hot = materialize(contexts.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("h"), "hot")
+    rows = hot.count()
+    side = F.broadcast(hot) if rows <= BROADCAST_ROWS else hot
+    cold = contexts.join(side, "h", "left_anti") if rows else contexts
+    dealt = cold.select("h", "lft", "context", "weight").repartition(parts, "h").sortWithinPartitions("h")
+    out = materialize(_decided(dealt, lambda *columns: decide(*columns, k)), "verdicts")
+    if not rows:
+        return out
+    band = max(1, (unit.length - k + 1) // BANDS)
+    large = materialize(contexts.join(side, "h").select("h", "lft", "context", "weight"), "large")
+    merged = _bands(large, unit, k, band, ship=True).groupBy("h", "lft", "context").agg(F.count("*").alias("n"), F.max("weight").alias("weight"))
+    narrow = materialize(merged.select("h", "lft", "context", F.when(F.expr("n > 1 or weight > 1"), 2).otherwise(1).alias("weight")), "narrow")
+    found = _verdicts(narrow, unit, unit.length - band + 1, decide)
+    found = found.select(F.col("h").alias("part_h"), F.col("sig").alias("part_sig"), "spans")
+    back = _bands(large, unit, k, band, ship=False).join(found.hint("shuffle_hash"), ["part_h", "part_sig"])
+    taken = materialize(back.select("h", "sig", F.expr("transform(spans, x -> x + shift)").alias("spans")), "taken_back")
+    discard(narrow)
+    discard(large)
+    return out.unionByName(taken)
 
 
 def _packed(df: DataFrame, column: str) -> DataFrame:
@@ -233,14 +277,10 @@ def _keyed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
 
 
 def repeated(docs: DataFrame, unit: Unit, decide: Callable, id_column: str, text_column: str) -> DataFrame:
-    """(key, copies, spans): for each distinct text, by its MD5, that occurs more than once or holds repeated windows.
-
-    copies: rows that hold the text (1 where unset). spans: arrays [a, b, a, b, ...] of symbols that repeated windows cover, in no
-    order and overlapping. All windows of a text with copies repeat; no spans are listed for that.
-    """
+    """(key, spans): for each distinct text, by its MD5, that holds repeated windows, arrays [a, b, a, b, ...] of symbols that these
+    cover, in no order and overlapping. A text that several rows hold has contexts of two places or more throughout."""
     spark = docs.sparkSession
     configure(spark)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keyed = _keyed(docs, id_column, text_column)
     found = materialize(_anchor_table(keyed, unit).withColumn("rid", F.monotonically_increasing_id()), "anchors")
     every = found.select("rid", F.explode(F.arrays_zip("ps", "hs")).alias("a")).select("rid", F.col("a.ps").alias("p"), F.col("a.hs").alias("h"))
@@ -250,8 +290,6 @@ def repeated(docs: DataFrame, unit: Unit, decide: Callable, id_column: str, text
     places = every.join(twice.hint("shuffle_hash"), "h", "left_semi").groupBy("rid").agg(F.collect_list(F.struct("p", "h")).alias("ps"))
     chosen = places.join(texts.select("rid", "copies"), "rid").join(found.select("rid", "key", "did"), "rid").select("key", "did", "copies", "ps")
     carriers = materialize(_packed(keyed, "text").join(chosen.hint("shuffle_hash"), ["key", "did"]).select("key", "copies", "ps", "packed"), "carriers", "none")
-    copied = texts.where("copies > 1").select("key", "copies", F.expr("cast(null as array<array<int>>)").alias("spans"))
-    copied = materialize(copied, "copied")
     del every, twice, places, chosen, texts
     discard(found)
     release(spark)
@@ -259,19 +297,12 @@ def repeated(docs: DataFrame, unit: Unit, decide: Callable, id_column: str, text
     weighed = merged.select("h", "lft", "context", F.when(F.expr("a <> b or copies > 1"), 2).otherwise(1).alias("weight"))
     weighed = materialize(weighed, "contexts")
     release(spark)
-    hot = materialize(weighed.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("h"), "hot")
-    hot = F.broadcast(hot) if (hot_rows := hot.count()) <= BROADCAST_ROWS else hot
-    cold = weighed.join(hot, "h", "left_anti") if hot_rows else weighed
-    verdicts = materialize(_decided(cold.select("h", "lft", "context", "weight").repartition(parts, "h").sortWithinPartitions("h"), decide), "verdicts")
-    if hot_rows:
-        verdicts = verdicts.unionByName(materialize(_decided_by_window(weighed.join(hot, "h").select("h", "lft", "context", "weight"), unit), "hot_verdicts"))
+    verdicts = _verdicts(weighed, unit, unit.k, decide)
     discard(weighed)
-    del merged, weighed, cold
+    del merged, weighed
     release(spark)
     placed = _instances(carriers, unit, ship=False).join(verdicts.hint("shuffle_hash"), ["h", "sig"])
-    spans = placed.select("key", F.expr("transform(spans, x -> x + p)").alias("s")).groupBy("key").agg(F.collect_list("s").alias("spans"))
-    both = spans.select("key", F.lit(1).cast("long").alias("copies"), "spans").unionByName(copied)
-    return both.groupBy("key").agg(F.max("copies").alias("copies"), F.first("spans", ignorenulls=True).alias("spans"))
+    return placed.select("key", F.expr("transform(spans, x -> x + p)").alias("s")).groupBy("key").agg(F.collect_list("s").alias("spans"))
 
 
 def merge_spans(spans: list[list[int]] | None) -> list[tuple[int, int]]:
@@ -294,10 +325,10 @@ RESULT = ("n_symbols", "n_removed", "n_spans", "kept")
 def strip(docs: DataFrame, unit: Unit, decide: Callable, id_column: str, text_column: str, keep: list[str] | None = None, names: tuple[str, str, str, str] = RESULT) -> DataFrame:
     """The columns of ``docs`` (or those in ``keep``) with symbols, removed symbols, removed spans and what stays (binary), under ``names``."""
     carried = without(docs.select(*[F.col(f"`{c}`") for c in keep]) if keep is not None else docs, names)
-    found = repeated(docs, unit, decide, id_column, text_column).select(F.col("key").alias("__qs_key"), F.col("copies").alias("__qs_copies"), F.col("spans").alias("__qs_spans"))
+    found = repeated(docs, unit, decide, id_column, text_column).select(F.col("key").alias("__qs_key"), F.col("spans").alias("__qs_spans"))
     text = text_or_empty(text_column)
     source = docs.select(*[F.col(f"`{c}`") for c in carried], text.alias("__qs_text"), F.unhex(F.md5(F.encode(text, "UTF-8"))).alias("__qs_key"))
-    joined = _packed(source, "__qs_text").join(found.hint("shuffle_hash"), "__qs_key", "left").select(*[F.col(f"`{c}`") for c in carried], "packed", "__qs_copies", "__qs_spans")
+    joined = _packed(source, "__qs_text").join(found.hint("shuffle_hash"), "__qs_key", "left").select(*[F.col(f"`{c}`") for c in carried], "packed", "__qs_spans")
     count = len(carried)
     schema = T.StructType([source.schema[c] for c in carried] + [field(n, kind) for n, kind in zip(names, (T.LongType(), T.LongType(), T.LongType(), T.BinaryType()))])
 
@@ -309,11 +340,11 @@ def strip(docs: DataFrame, unit: Unit, decide: Callable, id_column: str, text_co
         unpack = _unpack()
         for batch in batches:
             made = [[], [], [], []]
-            for text, copies, spans in zip(batch.column(count), batch.column(count + 1), batch.column(count + 2)):
+            for text, spans in zip(batch.column(count), batch.column(count + 1)):
                 raw = unpack(text.as_buffer())
                 symbols = raw.split() if unit.words else raw
                 n = len(symbols)
-                cut = [(0, n)] if (copies.as_py() or 1) > 1 and n >= unit.length else merge_spans(spans.as_py())
+                cut = merge_spans(spans.as_py())
                 if cut:
                     left, at = [], 0
                     for a, b in [*cut, (n, n)]:

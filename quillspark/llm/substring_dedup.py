@@ -34,7 +34,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_column: str = "doc_
 def _strip(docs, length, id_column, text_column, keep, names) -> DataFrame:
     k = min(ANCHOR, max(1, length // 3))
 
-    def decide(groups, lefts, contexts, weights):
+    def decide(groups, lefts, contexts, weights, k):
         return fm_index.decide(lefts, contexts, groups, weights, k, length)
 
     return strip(docs, Unit(True, length, k), decide, id_column, text_column, keep, names)

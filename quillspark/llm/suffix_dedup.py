@@ -32,7 +32,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_column: str = "doc_
     """
     k = min(ANCHOR, max(1, length // 3))
 
-    def decide(groups, lefts, contexts, weights):
+    def decide(groups, lefts, contexts, weights, k):
         return column_bwt.decide(groups, lefts, contexts, weights, k, length)
 
     return strip(docs, Unit(False, length, k), decide, id_column, text_column, keep)
