@@ -30,6 +30,31 @@ WHITE_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WORD = rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{WHITE_SPACE}\p{{L}}\p{{N}}]+"
 
 
+#: The parts of a tokenizer file that this module does by its own means; a file that says otherwise is refused.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+PRETOKENIZERS = [
+    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]
+MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
+ADDED = {"single_word": False, "lstrip": False, "rstrip": False, "normalized": False}
+
+
+def check_spec(spec: dict) -> None:
+    """Raises ValueError where a tokenizer file asks for anything that isn't built here; truncation and padding are not used."""
+    known = [
+        ("normalizer", (spec.get("normalizer") or {}).get("normalizers"), NORMALIZERS),
+        ("pre_tokenizer", (spec.get("pre_tokenizer") or {}).get("pretokenizers"), PRETOKENIZERS),
+        ("decoder", spec.get("decoder"), None),
+        ("post_processor", spec.get("post_processor"), None),
+        ("model", {k: spec["model"].get(k) for k in MODEL}, MODEL),
+        ("added_tokens", [{k: t.get(k) for k in ADDED} for t in spec.get("added_tokens", [])], [ADDED for _ in spec.get("added_tokens", [])]),
+    ]
+    for name, found, built in known:
+        if found != built:
+            raise ValueError(f"this tokenizer's {name} is not supported: {found!r}")
+
+
 def default_path() -> str:
     import public_tokenizers
 
@@ -57,6 +82,8 @@ class WordBpe:
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        check_spec(spec)
+        self.path, self._library = path, None
         model = spec["model"]
         self.ids: dict[str, int] = dict(model["vocab"])
         self.end = model["end_of_word_suffix"] or ""
@@ -118,9 +145,14 @@ class WordBpe:
             if special:
                 yield array("I", [self.special[part]]).tobytes(), part, 1
                 continue
-            if not part.isascii():
+            if part.isascii():
+                words = self.word.findall(self.space.sub(" ", part).lower())
+            elif any(unicodedata.category(c) == "Cn" for c in set(part)):
+                words = self._words_of_unassigned(part)
+            else:
                 part = unicodedata.normalize("NFC", part).replace("Σ", "σ")  # case is folded letter by letter, with no final form
-            for word in self.word.findall(self.space.sub(" ", part).lower()):
+                words = self.word.findall(self.space.sub(" ", part).lower())
+            for word in words:
                 found = known.get(word)
                 if found is None:
                     found = self.encode_word(word)
@@ -130,9 +162,20 @@ class WordBpe:
                         known[word] = found
                 yield found
 
+    def _words_of_unassigned(self, part: str) -> list[str]:
+        """Words of a text with code points that this Python's Unicode table doesn't know. Other tables, of the regex module or
+        the tokenizers library, may know them, each in its own way; so the library's own normaliser and splitter decide here."""
+        if self._library is None:
+            from tokenizers import Tokenizer
+
+            self._library = Tokenizer.from_file(self.path)
+            self._bytes = {c: b for b, c in enumerate(byte_characters())}
+        plain = self._library.normalizer.normalize_str(part)
+        return [bytes(self._bytes[c] for c in word).decode("utf-8") for word, _ in self._library.pre_tokenizer.pre_tokenize_str(plain)]
+
     def _split(self, text: str):
         at = 0
-        if self.parts is not None and "<|" in text:
+        if self.parts is not None and any(s in text for s in self.special):
             for m in self.parts.finditer(text):
                 if m.start() > at:
                     yield text[at : m.start()], False
@@ -160,9 +203,11 @@ def encode_texts(docs: DataFrame, path: str | None = None, text_column: str = "t
     32-bit integers, binary), decoded (the decoded text), ids_sha256 and decoded_sha256 (lowercase hex).
 
     Each row by itself, so repeated rows, ids and null ids need no care. A null text is encoded as an empty one: no
-    tokens, no ids, an empty decoded text. Columns of ``docs`` with the name of an output are replaced.
+    tokens, no ids, an empty decoded text. Columns of ``docs`` with the name of an output are replaced. A tokenizer file with a
+    normaliser, splitter, decoder or model other than those built here is a ValueError.
     """
     path = path or default_path()
+    tokenizer(path)  # a file that isn't supported is an error here, not in a task
     kinds = {"n_tokens": T.LongType(), "ids": T.BinaryType(), "decoded": T.StringType(), "ids_sha256": T.StringType(), "decoded_sha256": T.StringType()}
 
     def run(texts):
