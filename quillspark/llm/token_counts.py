@@ -11,6 +11,7 @@ of equals) or "split" (to each by its share of bytes).
 from __future__ import annotations
 
 import base64
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -43,10 +44,29 @@ def encoding(path: str):
     return tiktoken.Encoding("public", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), lengths
 
 
+#: White space as the tokenizer's splitter knows it, and runs of it that the splitter's stack may not survive.
+_SPACE = "[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+LONG_RUN = 100_000
+
+
+def encode_whole(tokenizer, text: str) -> list[int]:
+    """The ids of a text. The splitter takes a run of white space up to the one before the last, if something follows, as one
+    piece, and backtracks over it; a very long run is cut there beforehand and merged as the piece that it is, which gives the same."""
+    if len(text) < LONG_RUN:
+        return tokenizer.encode_ordinary(text)
+    ids, at = [], 0
+    for run in re.finditer(f"{_SPACE}{{{LONG_RUN},}}", text):
+        end = run.end() - (run.end() < len(text))
+        ids += tokenizer.encode_ordinary(text[at : run.start()])
+        ids += tokenizer._encode_single_piece(text[run.start() : end].encode("utf-8"))
+        at = end
+    return ids + tokenizer.encode_ordinary(text[at:])
+
+
 def token_ends(text: str, path: str) -> tuple[list[int], np.ndarray]:
     """The ids of a text and the byte at which each token ends."""
     tokenizer, lengths = encoding(path)
-    ids = tokenizer.encode_ordinary(text)
+    ids = encode_whole(tokenizer, text)
     return ids, np.cumsum(lengths[np.asarray(ids, dtype=np.int64)]) if ids else np.zeros(0, dtype=np.int64)
 
 
@@ -82,7 +102,7 @@ def section_counts(docs: DataFrame, rule: str = "largest", path: str | None = No
     """A row for each line of each document: the columns of ``docs`` (or those in ``keep``), n_tokens (of the document), section
     (from 0), char_start, char_end, section_tokens (double, by ``rule``) and n_crossing (tokens of the document that cross lines).
 
-    A null or empty text gives one row with section null and no tokens, so that every row of ``docs`` is in the result. Each row by
+    Texts of any length are encoded whole, long runs of white space among them. A null or empty text gives one row with section null and no tokens, so that every row of ``docs`` is in the result. Each row by
     itself: repeated rows, ids and null ids need no care. Columns of ``docs`` with the name of a result column are replaced.
     """
     if rule not in RULES:
