@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm._common import discard, materialize, release
+from quillspark.llm._common import discard, materialize
 
 
 def _digest(edges: DataFrame) -> tuple:
@@ -21,7 +21,6 @@ def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
     of edges never grows and stars are reached after a few rounds, also on long chains. A round is written to the shared folder, so
     lineage stays short and a lost executor costs one round at most. Nodes of many links are joined, not gathered.
     """
-    spark = edges.sparkSession
     ordered = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
     current = materialize(ordered, "edges")
     digest = _digest(current)
@@ -37,7 +36,6 @@ def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
         now = _digest(after)
         discard(current)
         current = after
-        release(spark)
         if now == digest:
             break
         digest = now

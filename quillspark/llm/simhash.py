@@ -3,10 +3,13 @@
 A 64-bit fingerprint is eight positional bytes. Two fingerprints that differ in
 at most four bits differ in at most four bytes, so they share at least four:
 that is the guaranteed minimum. Posting lists of single bytes would hold 1/256
-of the corpus each, so the index lists fingerprints under triples of positional
-bytes: 20 triples, chosen so that any four of the eight positions contain one
-of them. Within a list the shared positional bytes of a pair are tallied, pairs
-below the minimum are dropped, and the rest is verified bit by bit.
+of the corpus each, and N fingerprints would meet in N * N / 64 pairs, so the
+index lists fingerprints under triples of positional bytes: 20 triples, chosen
+so that any four of the eight positions contain one of them. Within a list the
+shared positional bytes of a pair are tallied, pairs below the minimum are
+dropped, and the rest is verified bit by bit. Members of a list share three
+bytes and a pair needs four, so a long list is split without loss into lists by
+a fourth byte, at each of the other five positions.
 
 Only distinct fingerprints are indexed, so exact copies cost nothing. A list
 yields links that connect what is connected, not all its pairs.
@@ -22,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspark.llm._common import add_columns, field, materialize, release, table
+from quillspark.llm._common import add_columns, discard, field, materialize, release, table, text_or_empty
 from quillspark.llm.components import components
 
 SHINGLE = 4
@@ -32,6 +35,10 @@ MOST_BITS = 4
 LEAST_SHARED = 8 - MOST_BITS
 #: Lists up to this size compare all their pairs at once; longer ones go by pivots.
 SMALL = 32
+#: Lists beyond this size are split by a fourth byte.
+LONG = 1 << 14
+#: Long lists that are broadcast at most, 8 bytes each; beyond, the same join is shuffled.
+BROADCAST_ROWS = 1 << 20
 _PARTS = ((0, 1, 2), (3, 4, 5), (6, 7))
 
 
@@ -160,6 +167,12 @@ def candidate_links(fingerprints: DataFrame) -> DataFrame:
     part = lambda p: F.shiftright("fp", 8 * p).bitwiseAND(F.lit(255))
     keys = [F.lit(i << 24).bitwiseOR(F.shiftleft(part(a), 16)).bitwiseOR(F.shiftleft(part(b), 8)).bitwiseOR(part(c)).cast("long") for i, (a, b, c) in enumerate(triples())]
     index = fingerprints.select("fp", F.explode(F.array(*keys)).alias("k"))
+    long = materialize(index.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") > LONG).select("k", F.lit(True).alias("long")), "long_lists")
+    if n_long := long.count():
+        side = F.broadcast(long) if n_long <= BROADCAST_ROWS else long.hint("shuffle_hash")
+        others = F.element_at(F.array(*[F.array(*[F.struct(F.lit(p).alias("p"), part(p).alias("b")) for p in range(8) if p not in t]) for t in triples()]), F.shiftright("k", 24).cast("int") + 1)
+        split = F.transform(others, lambda o: F.shiftleft("k", 12).bitwiseOR(F.shiftleft(o["p"] + 8, 8)).bitwiseOR(o["b"]).cast("long"))  # from bit 35 on: apart from the keys of triples
+        index = index.join(side, "k", "left").select("fp", F.explode(F.when(F.col("long"), split).otherwise(F.array("k"))).alias("k"))
     lists = index.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "k").sortWithinPartitions("k")
     schema = T.StructType([field("u", T.LongType()), field("v", T.LongType())])
 
@@ -195,30 +208,43 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     ids each get their row. Null ids stay null and are never the least, unless a component has no other (then component_id is
     null). Other columns are not read. An empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    rows = materialize(with_fingerprints(docs, text_column, [id_column]).withColumnRenamed(id_column, "__qs_id"), "fingerprints")
-    distinct = materialize(rows.groupBy("fp").agg(F.min("__qs_id").alias("least")), "distinct")
-    links = materialize(candidate_links(distinct.select("fp")).distinct(), "links")
-    release(spark)
-    roots = components(links)
-    linked = distinct.join(roots, F.col("fp") == F.col("node")).select("fp", "root", "least")
-    reach = linked.groupBy("root").agg(F.min("least").alias("reached"))
-    named = linked.join(reach, "root").select("fp", "reached")
-    all_named = distinct.join(named, "fp", "left").select("fp", F.coalesce("reached", "least").alias("component_id"))
-    all_named = materialize(all_named, "named")  # written, so that the next join has two plain shuffles, which Spark can split where many rows share a fingerprint
-    return rows.join(all_named, "fp").select(F.col("__qs_id").alias(id_column), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    rows, named = _named(docs.select(F.col(f"`{id_column}`").alias("__qs_id"), F.col(f"`{text_column}`").alias("__qs_source")), ["__qs_id"], "__qs_source")
+    each = rows.groupBy("fp").agg(F.min("__qs_id").alias("least")).join(named, "fp").select("fp", "root", "least")
+    reach = each.groupBy("root").agg(F.min("least").alias("component_id"))
+    # written, so that the next join has two plain shuffles, which Spark can split where many rows share a fingerprint
+    answers = materialize(each.join(reach, "root").select("fp", "component_id"), "answers")
+    discard(named)
+    return rows.join(answers, "fp").select(F.col("__qs_id").alias(id_column), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _named(docs: DataFrame, columns: list[str], text_column: str) -> tuple[DataFrame, DataFrame]:
+    """Fingerprints (``columns``, fp) of all rows, and (fp, root) for every distinct fingerprint: the least that links lead to."""
+    rows = materialize(with_fingerprints(docs, text_column, columns), "fingerprints")
+    distinct = materialize(rows.select("fp").distinct(), "distinct")
+    links = materialize(candidate_links(distinct).distinct(), "links")
+    release(docs.sparkSession)
+    roots = components(links).withColumnRenamed("node", "fp")
+    named = materialize(distinct.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")), "named")
+    discard(links)
+    discard(distinct)
+    return rows, named
 
 
 def drop_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``docs`` with one document of each component, the one of least id; all columns unchanged.
+    """``docs`` with one document of each component: that of least id, and of least MD5 of the text among those; all columns unchanged.
 
-    Rows equal in id and text are one document. Rows with a null id cannot be told apart by name and are all kept.
+    Null ids come last, so a row without id stays only where its component has no other. Rows equal in id and text are one
+    document, whatever their other columns hold; a null text is an empty one. An empty table gives an empty result.
     """
-    found = near_duplicates(docs, id_column, text_column)
-    kept = found.where(F.col(id_column) == F.col("component_id")).select(F.col(id_column).alias("__qs_kept")).distinct()
-    named = docs.where(F.col(f"`{id_column}`").isNotNull()).join(kept, F.col(f"`{id_column}`") == F.col("__qs_kept"), "left_semi")
-    one = named.withColumn("__qs_text", F.md5(F.col(f"`{text_column}`").cast("binary"))).dropDuplicates([id_column, "__qs_text"]).drop("__qs_text")
-    return one.unionByName(docs.where(F.col(f"`{id_column}`").isNull()))
+    digest = F.md5(F.encode(text_or_empty(text_column), "UTF-8"))
+    keyed = docs.select(F.col(f"`{id_column}`").alias("__qs_id"), digest.alias("__qs_md5"), F.col(f"`{text_column}`").alias("__qs_source"))
+    rows, named = _named(keyed, ["__qs_id", "__qs_md5"], "__qs_source")
+    each = rows.groupBy("fp").agg(F.min(F.struct(F.col("__qs_id").isNull().alias("none"), F.col("__qs_id").alias("id"), F.col("__qs_md5").alias("md5"))).alias("one"))
+    kept = each.join(named, "fp").groupBy("root").agg(F.min("one").alias("one")).select(F.col("one.id").alias("__qs_kept"), F.col("one.md5").alias("__qs_kept_md5"))
+    kept = materialize(kept, "kept")  # written, so that both sides of the next join are plain shuffles
+    marked = docs.withColumn("__qs_md5", digest)
+    one = marked.join(kept, F.col(f"`{id_column}`").eqNullSafe(F.col("__qs_kept")) & (F.col("__qs_md5") == F.col("__qs_kept_md5")), "left_semi")
+    return one.dropDuplicates([id_column, "__qs_md5"]).drop("__qs_md5")
 
 
 def op9_simhash(spark, sf_dir):
