@@ -96,8 +96,10 @@ def find_hits(docs: DataFrame, keys: list[str], norm: str, windows: DataFrame, e
     for b in sizes:
         cut = F.regexp_extract_all(F.col(norm), F.lit(rf"(?:[^ ]+ ){{0,{b - 1}}}[^ ]+"), F.lit(0))
         blocks.append(_with_neighbours(cut, b))
-    kind = "struct<b: int, q: int, before: string, block: string, after: string>"
-    marker = F.expr(f"array(cast(null as {kind}))")
+    # A row of every key goes through both joins. Where its join keys are null, a string of its own that no text holds (words have
+    # no NUL) spreads such rows over all partitions of a shuffled join; nulls alone would all meet in one.
+    own = F.concat(F.lit("\0"), F.hex(F.xxhash64(*keys)))
+    marker = F.array(F.struct(F.lit(None).cast("int").alias("b"), F.lit(None).cast("int").alias("q"), F.lit(None).cast("string").alias("before"), own.alias("block"), F.lit(None).cast("string").alias("after")))
     cut = docs.select(*keys, F.explode(F.concat(marker, *blocks) if every_row else F.concat(*blocks)).alias("x")).select(*keys, "x.*")
     grams = []
     for n in lengths:
@@ -118,7 +120,7 @@ def find_hits(docs: DataFrame, keys: list[str], norm: str, windows: DataFrame, e
         tried.append(F.when(usable, at).otherwise(none))
     tried = F.concat(*tried)
     tried = F.when(F.col("b").isNotNull(), tried)
-    candidates = around.select(*keys, (F.explode_outer if every_row else F.explode)(tried).alias("t")).select(*keys, "t.start", "t.n", "t.gram")
+    candidates = around.select(*keys, (F.explode_outer if every_row else F.explode)(tried).alias("t")).select(*keys, "t.start", "t.n", F.coalesce("t.gram", own).alias("gram"))
     members = _sized(windows, "gram")
     kept = candidates.join(members.withColumnRenamed("n", "window_n"), "gram", "left" if every_row else "inner")
     hit = F.when(F.col("window_n").isNotNull(), F.struct("start", "n"))
