@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quillspark.llm._common import table
+from quillspark.llm._common import field, materialize, table
 from quillspark.llm.numbering import number_rows
 
 #: How a turn is rendered; the loss covers the text and the end mark of the assistant's turns.
@@ -20,15 +23,17 @@ def gather_turns(conversations: DataFrame) -> DataFrame:
     return conversations.select("conv_id", turn.alias("t")).groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
 
 
-def neighbour_pairs(conversations: DataFrame) -> DataFrame:
+def neighbour_pairs(turns: DataFrame) -> DataFrame:
     """(pair_id, chosen_id, rejected_id): conversations in the order of (MD5 of the opening turn's role and text, conv_id) are
     paired two by two, so those that open alike stand together; the earlier is taken as chosen. The last one of an odd number
-    has no rejected partner (null)."""
+    has no rejected partner (null). A conversation without id is one too, and first among equals. ``turns``: of :func:`gather_turns`."""
     opening = F.expr("concat(turns[0].role, '\n', turns[0].text)")
-    keyed = gather_turns(conversations).select("conv_id", F.md5(F.encode(opening, "UTF-8")).alias("k"))
+    keyed = turns.select("conv_id", F.md5(F.encode(opening, "UTF-8")).alias("k"))
     rows, _ = number_rows(keyed, [F.col("k"), F.col("conv_id").asc_nulls_first()], "n")
     side = F.col("n") % 2
-    return rows.groupBy(F.expr("n div 2L").alias("pair_id")).agg(F.max(F.when(side == 0, F.col("conv_id"))).alias("chosen_id"), F.max(F.when(side == 1, F.col("conv_id"))).alias("rejected_id"))
+    one = lambda s: F.max(F.when(side == s, F.struct("conv_id")))  # noqa: E731  a struct, so that an id that is null differs from none
+    made = rows.groupBy(F.expr("n div 2L").alias("pair_id")).agg(one(0).alias("c"), one(1).alias("r"))
+    return made.select("pair_id", F.col("c.conv_id").alias("chosen_id"), F.col("r.conv_id").alias("rejected_id"), F.col("r").isNotNull().alias("paired"))
 
 
 def _common(a: str, b: str) -> Column:
@@ -52,26 +57,36 @@ def _rendered(segments: str) -> Column:
     return F.expr(f"array_join(transform({segments}, s -> s.text), '')")
 
 
-def _masks(segments: str) -> Column:
-    """Half-open character spans of a completion that the loss covers."""
-    return F.expr(
-        f"transform(filter(sequence(0, size({segments})), i -> i < size({segments}) and {segments}[i].train), i -> named_struct("
-        f"'start', aggregate(slice({segments}, 1, i), 0, (n, s) -> n + length(s.text)), "
-        f"'end', aggregate(slice({segments}, 1, i + 1), 0, (n, s) -> n + length(s.text))))"
-    )
+@F.pandas_udf(T.ArrayType(T.StructType([field("start", T.IntegerType()), field("end", T.IntegerType())])))
+def _masks(lengths: pd.Series, trained: pd.Series) -> pd.Series:
+    """Half-open character spans of completions that the loss covers, from the lengths of their segments: running sums, which array
+    functions would take anew for every segment."""
+
+    def one(sizes, train):
+        ends = np.cumsum(sizes)
+        return [{"start": int(e - n), "end": int(e)} for e, n, t in zip(ends, sizes, train) if t]
+
+    return pd.Series([one(a, b) for a, b in zip(lengths, trained)], dtype=object)
 
 
 def format_pairs(pairs: DataFrame, conversations: DataFrame) -> DataFrame:
+    """:func:`format_gathered` of conversations (conv_id, turn, role, text)."""
+    return format_gathered(pairs, gather_turns(conversations))
+
+
+def format_gathered(pairs: DataFrame, turns: DataFrame) -> DataFrame:
     """For each row of ``pairs`` (pair_id, chosen_id, rejected_id): n_common, prompt, chosen, rejected, chosen_mask, rejected_mask.
 
     The prompt is the longest common prefix of the two conversations, in whole turns equal in role and text, rendered once; the
     completions are the rest of each, with the character spans that the loss covers (the assistant's texts and end marks; nothing
-    else). Equal conversations leave empty completions. An id that is null or has no turns is an empty conversation: nothing is
-    common and its completion is empty. Only (conv_id, turn, role, text) are read, so other columns cannot clash.
+    else). Equal conversations leave empty completions. An id that has no turns is an empty conversation: nothing is
+    common and its completion is empty. A null id is that of the turns without id, if there are such; where ``pairs`` has a column
+    ``paired`` and it is false, the rejected side is empty instead. Only the columns named are read, so others cannot clash.
     """
-    turns = gather_turns(conversations)
-    side = lambda name: turns.select(F.col("conv_id").alias(f"{name}_id"), F.col("turns").alias(f"{name}_turns"))
-    both = pairs.select("pair_id", "chosen_id", "rejected_id").join(side("chosen"), "chosen_id", "left").join(side("rejected"), "rejected_id", "left")
+    side = lambda name: turns.select(F.col("conv_id").alias(f"__qs_{name}"), F.col("turns").alias(f"{name}_turns"))
+    there = F.col("paired") if "paired" in pairs.columns else F.lit(True)
+    wanted = pairs.select("pair_id", "chosen_id", "rejected_id", there.alias("there"))
+    both = wanted.join(side("chosen"), F.col("chosen_id").eqNullSafe(F.col("__qs_chosen")), "left").join(side("rejected"), F.col("rejected_id").eqNullSafe(F.col("__qs_rejected")) & F.col("there"), "left")
     empty = F.expr(f"cast(array() as {turns.schema['turns'].dataType.simpleString()})")
     both = both.withColumns({f"{s}_turns": F.coalesce(f"{s}_turns", empty) for s in ("chosen", "rejected")})
     both = both.withColumn("n_common", _common("chosen_turns", "rejected_turns"))
@@ -83,14 +98,15 @@ def format_pairs(pairs: DataFrame, conversations: DataFrame) -> DataFrame:
     return both.select(
         "pair_id", "chosen_id", "rejected_id", "n_common",
         _rendered("p").alias("prompt"), _rendered("c").alias("chosen"), _rendered("r").alias("rejected"),
-        _masks("c").alias("chosen_mask"), _masks("r").alias("rejected_mask"),
+        *[_masks(F.expr(f"transform({v}, s -> length(s.text))"), F.expr(f"transform({v}, s -> s.train)")).alias(f"{n}_mask") for n, v in (("chosen", "c"), ("rejected", "r"))],
     )
 
 
 def op8_chat_format(spark, sf_dir):
     conversations = table(spark, sf_dir, "conversations")
     covered = lambda m: F.expr(f"aggregate({m}, 0L, (n, s) -> n + s.end - s.start)")
-    made = format_pairs(neighbour_pairs(conversations), conversations)
+    turns = materialize(gather_turns(conversations), "turns")
+    made = format_gathered(neighbour_pairs(turns), turns)
     return made.select(
         "pair_id", "chosen_id", "rejected_id", F.col("n_common").cast("long").alias("n_common"),
         *[F.sha2(F.encode(c, "UTF-8"), 256).alias(f"{c}_sha256") for c in ("prompt", "chosen", "rejected")],
@@ -102,8 +118,8 @@ OP8_SQL = """
 with t as (select conv_id, list(struct_pack(turn := turn, role := coalesce(role, ''), text := coalesce(text, '')) order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as turns
            from conversations group by conv_id),
 n as (select conv_id, turns, row_number() over (order by md5(turns[1].role || chr(10) || turns[1].text), conv_id nulls first) - 1 as n from t),
-p as (select n // 2 as pair_id, max(case when n % 2 = 0 then conv_id end) as chosen_id, max(case when n % 2 = 1 then conv_id end) as rejected_id from n group by 1),
-b as (select pair_id, chosen_id, rejected_id, coalesce(c.turns, []) as c, coalesce(r.turns, []) as r from p left join t c on chosen_id = c.conv_id left join t r on rejected_id = r.conv_id),
+p as (select n // 2 as pair_id, max(case when n % 2 = 0 then conv_id end) as chosen_id, max(case when n % 2 = 1 then conv_id end) as rejected_id, count(*) as k from n group by 1),
+b as (select pair_id, chosen_id, rejected_id, coalesce(c.turns, []) as c, coalesce(r.turns, []) as r from p left join t c on chosen_id is not distinct from c.conv_id left join t r on rejected_id is not distinct from r.conv_id and k = 2),
 m as (select *, list_min(list_filter(range(0, least(len(c), len(r)) + 1), lambda i: i = least(len(c), len(r)) or c[i + 1].role <> r[i + 1].role or c[i + 1].text <> r[i + 1].text)) as k from b),
 s as (select *, c[1:k] as pt, c[k + 1:] as ct, r[k + 1:] as rt from m)
 select pair_id::bigint as pair_id, chosen_id, rejected_id, k::bigint as n_common,
