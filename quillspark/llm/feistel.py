@@ -93,3 +93,13 @@ def permute(df: DataFrame, source: str, target: str, n: int, key: int) -> DataFr
         df = df.withColumn(target, F.when(F.col(target) >= n, F.col("__qs_again")).otherwise(F.col(target))).drop("__qs_again")
     # Through a generator, because a filter on the result would else be pushed below, with the whole network written out in it several times over.
     return df.withColumn("__qs_place", F.col(target)).drop(target).select("*", F.explode(F.array("__qs_place")).alias(target)).drop("__qs_place")
+
+
+def network_sql(x: str, key: int) -> str:
+    """One pass of the network on a number, as DuckDB's SQL; ``a`` names the base. Oracles walk with it in a recursive query."""
+    let = lambda value, name, body: f"list_transform([{value}], lambda {name}: {body})[1]"
+    out = "l{0} * a + r{0}".format(ROUNDS)
+    for i, k in reversed(list(enumerate(round_keys(key)))):
+        mixed = let(f"r{i} * {_M1} + {k}", f"u{i}", let(f"(xor(u{i}, u{i} >> 29) & {_LOW31}) * {_M2}", f"v{i}", f"xor(v{i}, v{i} >> 32)"))
+        out = let(f"(l{i} + {mixed} % a) % a", f"r{i + 1}", let(f"r{i}", f"l{i + 1}", out))
+    return let(f"{x} // a", "l0", let(f"{x} % a", "r0", out))

@@ -9,12 +9,13 @@ on the ledger and never reads the texts again.
 from __future__ import annotations
 
 from collections import Counter
+from unicodedata import category
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspark.llm._common import add_columns, field, table, without
+from quillspark.llm._common import add_columns, field, materialize, table, without
 
 #: Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -61,9 +62,11 @@ def measure(text: str) -> tuple[int, ...]:
                 if counts[window] > 1:
                     repeated += i + 3 - max(i, reach)
                     reach = i + 3
-    lowered = text.lower()
-    upper = 0 if lowered == text else sum(map(str.isupper, text))
-    lower = 0 if not upper else sum(map(str.islower, text))
+    upper = lower = 0
+    if not text.isascii() or text.lower() != text:
+        counts = Counter(text)
+        upper = sum(k for c, k in counts.items() if category(c) == "Lu")
+        lower = sum(k for c, k in counts.items() if category(c) == "Ll") if upper else 0
     return n, len(text) - spaces, symbols, len(lines) - len(set(lines)), repeated, len(lines), upper, lower
 
 
@@ -80,8 +83,8 @@ def ledger(docs: DataFrame, text_column: str = "text", keep: list[str] | None =
     One row for each row: nothing is joined or shuffled, so repeated rows and
     ids, null ids and ties need no care. A null or empty text has no words and
     fails "few_words". n_dup_lines counts lines (split at \\n, holding a word)
-    that equal an earlier line; n_lines the lines that hold a word; upper and
-    lower case letters are counted where there are any of upper case. Columns
+    that equal an earlier line; n_lines the lines that hold a word; n_upper and
+    n_lower the letters of Unicode's categories Lu and Ll, where there are any of upper case. Columns
     of ``docs`` with the name of a result column are replaced. An empty table
     gives an empty ledger.
     """
@@ -128,6 +131,16 @@ def op4_quality_rules(spark, sf_dir):
     )
 
 
+def quality_ablations(spark, sf_dir):
+    """Ablations of every policy from one stored ledger: the texts are measured once."""
+    rows = materialize(ledger(table(spark, sf_dir, "documents"), keep=["doc_id"]).select("failed"), "ledger")
+    made = [ablations(rows, version).withColumn("policy", F.lit(version)) for version in POLICIES]
+    out = made[0]
+    for more in made[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 _WORD = r"[^\x20\x09-\x0D]+"
 _FAILED = " + ".join(f"case when {c} then {1 << b} else 0 end" for b, _, c in RULES)
 OP4_SQL = f"""
@@ -150,3 +163,12 @@ f as (select *, ({_FAILED})::bigint as failed from m)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        (failed & {POLICIES["base"]}) <> 0 as base_failed, (failed & {POLICIES[CURRENT]}) = 0 as kept, failed from f
 """
+
+_LEDGER_SQL = OP4_SQL.rsplit("select doc_id, n_words", 1)[0]
+ABLATIONS_SQL = _LEDGER_SQL + " union all ".join(
+    f"select '{version}' as policy, '{name}' as rule, count(*) filter (where failed & {1 << bit} <> 0) as n_failed, count(*) filter (where failed & {mask} = {1 << bit}) as n_failed_alone,"
+    f" count(*) filter (where failed & {mask} <> 0) as n_dropped from f"
+    for version, mask in POLICIES.items()
+    for bit, name, _ in RULES
+    if mask >> bit & 1
+)

@@ -5,11 +5,11 @@ from __future__ import annotations
 from quillspark.llm.bpe import op7_bpe
 from quillspark.llm.chat_format import OP8_SQL, op8_chat_format
 from quillspark.llm.decontamination import OP1_SQL, op1_decontamination
-from quillspark.llm.quality_rules import OP4_SQL, op4_quality_rules
-from quillspark.llm.sharding import op6_sharding
+from quillspark.llm.quality_rules import ABLATIONS_SQL, OP4_SQL, op4_quality_rules, quality_ablations
+from quillspark.llm.sharding import OP6_SQL, op6_sharding
 from quillspark.llm.simhash import op9_simhash
 from quillspark.llm.substring_dedup import OP5_SQL, op5_substring_dedup
-from quillspark.llm.suffix_dedup import op3_suffix_dedup
+from quillspark.llm.suffix_dedup import OP3_SQL, op3_suffix_dedup
 from quillspark.llm.token_counts import op10_token_counts
 from quillspark.llm.token_shards import op2_token_shards
 
@@ -24,11 +24,15 @@ QUERIES = {
     "op8_chat_format": op8_chat_format,
     "op9_simhash": op9_simhash,
     "op10_token_counts": op10_token_counts,
+    "quality_ablations": quality_ablations,
 }
 
 ORACLES = {
     "op1_decontamination": OP1_SQL,
+    "op3_suffix_dedup": OP3_SQL,
     "op4_quality_rules": OP4_SQL,
     "op5_substring_dedup": OP5_SQL,
+    "op6_sharding": OP6_SQL,
     "op8_chat_format": OP8_SQL,
+    "quality_ablations": ABLATIONS_SQL,
 }

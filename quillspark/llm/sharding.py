@@ -6,13 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm._common import table, text_or_empty, without
-from quillspark.llm.feistel import permute
+from quillspark.llm.feistel import network_sql, permute
 from quillspark.llm.numbering import number_rows
 
 RESULT = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
-def shard_rows(docs: DataFrame, shards: int = 8, key: int = 20240, id_column: str = "doc_id", text_column: str = "text", columns: list[str] | None = None) -> DataFrame:
+SHARDS, KEY = 8, 20240
+
+
+def shard_rows(docs: DataFrame, shards: int = SHARDS, key: int = KEY, id_column: str = "doc_id", text_column: str = "text", columns: list[str] | None = None) -> DataFrame:
     """Every row with ``shard``, ``slot``, ``size``, ``text_crc32``, ``law`` and ``grown_shard``; DataFrame operations only.
 
     Rows are numbered in the order of (id, CRC and size of the text); place =
@@ -49,3 +52,16 @@ def shard_rows(docs: DataFrame, shards: int = 8, key: int = 20240, id_column: st
 
 def op6_sharding(spark, sf_dir):
     return shard_rows(table(spark, sf_dir, "documents"), columns=["doc_id"])
+
+
+#: CRC-32, bit by bit for the 256 bytes, then byte by byte over a text.
+_CRC = "list_reduce([4294967295::bigint] || list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: ('0x' || x)::bigint), lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1]))"
+OP6_SQL = f"""
+with recursive bits as (select i::bigint as i, i::bigint as v, 0 as step from range(256) x(i) union all select i, xor(v >> 1, case when v & 1 = 1 then 3988292384 else 0 end), step + 1 from bits where step < 8),
+crcs as (select list(v order by i) as crc from bits where step = 8),
+t as (select doc_id, (strlen(text) + 1)::bigint as size, xor({_CRC}, 4294967295) as text_crc32 from (select doc_id, coalesce(text, '') as text from documents), crcs),
+c as (select count(*) as n, greatest(1, ceil(sqrt(count(*))))::bigint as a from t),
+s as (select *, row_number() over (order by doc_id nulls first, text_crc32, size) - 1 as number from t),
+w as (select number, number as x, 0 as step from s union all select number, {network_sql("x", KEY)}, 1 from w, c where step = 0 or x >= n)
+select doc_id, size, text_crc32, 'rows' as law, (x % {SHARDS})::int as shard, (x // {SHARDS})::bigint as slot, null::int as grown_shard from s join w using (number), c where step = 1 and x < n
+"""
