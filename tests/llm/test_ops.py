@@ -142,15 +142,62 @@ def test_token_shards(spark, docs, none):
         tokens[r.doc_id].append(read[r.slot][: r.n_tokens])
     for i, t in ROWS:
         if i is not None and [x for x, _ in ROWS].count(i) == 1:
-            assert sum(tokens[i], []) == [*encode(t or ""), token_shards.END]
-    numbers = [n for n, _ in enumerate(rows)]
-    assert sorted(feistel.permute_np(numbers, layout.sequences, layout.key)) == numbers
+            assert sum(tokens[i], []) == [*encode(t or ""), layout.end]
+    # the slot of a sequence is the permutation of its number in the order of (id, XXH64 of the text, place)
+    hashed = {t: h for t, h in docs.select("text", F.xxhash64(F.coalesce("text", F.lit("")))).collect()}
+    numbered = sorted((i is not None, i or 0, hashed[t], k) for i, t in ROWS for k in range(-(-(len(encode(t or "")) + 1) // 16)))
+    want = feistel.permute_np(np.arange(len(numbered)), layout.sequences, layout.key)
+    assert sorted(((r.doc_id is not None, r.doc_id or 0, r.seq), r.slot) for r in rows) == sorted(((a, b, k), int(s)) for (a, b, _, k), s in zip(numbered, want))
     again, _ = token_shards.materialize_training_order(docs.repartition(2), length=16, rows=50)
     same([tuple(r)[1:] for r in again.collect()], [tuple(r)[1:] for r in rows])
     nothing, layout = token_shards.materialize_training_order(none)
     assert nothing.count() == 0 and token_shards.read_sequences(spark, layout).count() == 0
 
 
+def test_shards_written_twice_interrupted_and_refused(spark, docs, tmp_path, monkeypatch):
+    path = f"{tmp_path}/shards"
+    write = lambda df=docs: token_shards.materialize_training_order(df, path, length=16, rows=50)[1]
+    calls = []
+
+    def stop(spark):
+        calls.append(1)
+        if len(calls) == 3:  # after the tokens, and the first and second wave
+            raise KeyboardInterrupt
+
+    with monkeypatch.context() as m:
+        m.setattr(token_shards, "release", stop)
+        with pytest.raises(KeyboardInterrupt):
+            write()
+    files = {f: f.stat().st_mtime_ns for f in tmp_path.glob("shards/shard=*/part-*")}
+    assert files
+    layout = write()
+    assert all(f.stat().st_mtime_ns == t for f, t in files.items())  # what was done stays
+    first = sorted((r.slot, r.tokens) for r in token_shards.read_sequences(spark, layout).collect())
+    assert [s for s, _ in first] == list(range(layout.sequences)) and len(list(tmp_path.glob("shards/shard=*"))) > len(files)
+    assert write() == layout
+    assert sorted((r.slot, r.tokens) for r in token_shards.read_sequences(spark, layout).collect()) == first
+    with pytest.raises(ValueError):
+        write(docs.where("doc_id < 100"))
+    other = f"{tmp_path}/other"
+    spark.range(3).write.parquet(other)
+    with pytest.raises(ValueError):
+        token_shards.materialize_training_order(docs, other, length=16, rows=50)
+
+
+def test_texts_with_long_white_space(spark):
+    """A run of a million spaces stops the tokenizer's splitter; shorter ones give what it gives."""
+    rng, encoder = random.Random(9), token_counts.encoding(token_counts.default_path())[0]
+    for run in (" " * 100_000, "\n\t" * 60_000, " \u3000\u00a0" * 40_000):
+        for text in (run, f"{run}a", f"a{run}", f"one{run}two, three{run} 4", f"{run}!{run}", f"x {run}\ny"):
+            assert token_counts.encode_whole(encoder, text) == encoder.encode_ordinary(text), (run[:3], len(text))
+    text = f"before{' ' * 1_000_000}after"
+    docs = spark.createDataFrame([(1, text), (2, " " * 1_200_000)], "doc_id long, text string")
+    rows = token_counts.section_counts(docs, keep=["doc_id"]).collect()
+    assert encoder.decode(token_counts.encode_whole(encoder, text)) == text and {r.doc_id for r in rows} == {1, 2}
+    manifest, layout = token_shards.materialize_training_order(docs, length=256, rows=500)
+    assert manifest.agg(F.sum("n_tokens")).first()[0] == sum(r.n_tokens for r in rows) + 2
+
+
 # 3 and 5
 
 
@@ -191,6 +238,32 @@ def test_repeats_in_blocks_and_by_windows(docs, module, monkeypatch):
     same([tuple(r) for r in module.remove_repeats(docs, 30, keep=["doc_id"]).collect()], want)
 
 
+def test_a_hot_group_is_narrowed(spark):
+    """One passage in 600 texts between words of their own: the groups at its edges have 600 contexts, more than a task takes."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    passage = " ".join(word() for _ in range(60))
+    rows = [(i, f"{' '.join(word() for _ in range(40))} {passage} {' '.join(word() for _ in range(40))}") for i in range(600)] + [(700, "a" * 1500), (701, "ab " * 300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for module, words, length in ((suffix_dedup, False, 200), (substring_dedup, True, 35)):
+        got = [(r.doc_id, r.n_symbols, r.n_removed, r.n_spans, sha(bytes(r.kept))) for r in module.remove_repeats(df, length).collect()]
+        same(got, brute_repeats(rows, words, length))
+
+
+def test_fm_index_counts_by_runs():
+    from quillspark.llm.fm_index import FmIndex
+
+    rng = np.random.default_rng(4)
+    strings = [rng.integers(1, 5, int(rng.integers(1, 30))).tolist() for _ in range(20)] + [[1, 2, 3] * 9] * 6
+    index = FmIndex(np.array([x for s in strings for x in [*s, 0]], dtype=np.int32), np.ones(len(strings), dtype=np.int64))
+    for _ in range(300):
+        pattern = rng.integers(1, 5, int(rng.integers(1, 6))).tolist()
+        sp, ep = np.array([0], dtype=np.int32), np.array([index.n], dtype=np.int32)
+        for symbol in reversed(pattern):
+            sp, ep = index.extend(np.array([symbol], dtype=np.int32), sp, ep)
+        assert int(ep[0] - sp[0]) == sum(s[i : i + len(pattern)] == pattern for s in strings for i in range(len(s)))
+
+
 def test_repeats_of_nothing(none):
     assert suffix_dedup.remove_repeats(none).count() == 0
     assert substring_dedup.drop_repeats(none).count() == 0
@@ -236,6 +309,14 @@ def test_quality(docs, none):
     assert quality_rules.ledger(none).count() == 0
 
 
+def test_capitals_are_those_of_unicode():
+    import unicodedata
+
+    text = "ⅠªºʰǅΣ𝐀𝐚 É é ÀB"
+    upper, lower = quality_rules.measure(text)[-2:]
+    assert (upper, lower) == tuple(sum(unicodedata.category(c) == k for c in text) for k in ("Lu", "Ll"))
+
+
 def test_clean_prose_passes(spark):
     prose = "\n".join("Ores the oredat the, anntly re thorreou ndernt for tionatth edes." for _ in range(1)) + " " + " ".join(f"word{i}" for i in range(80))
     assert quality_rules.apply_policy(quality_rules.ledger(spark.createDataFrame([(prose,)], "text string"))).first().kept
@@ -261,6 +342,10 @@ def test_sharding(docs, none):
     for s in range(8):
         assert sorted(r.slot for r in rows if r.shard == s) == list(range(counts[s]))
     again = sharding.shard_rows(docs.repartition(5), shards=8)
+    # the number of a row in the order of (id, CRC, size), permuted, gives shard and slot
+    numbers = sorted((r.doc_id is not None, r.doc_id or 0, r.text_crc32, r.size) for r in rows)
+    at = feistel.permute_np(np.arange(len(numbers)), len(numbers), 20240)
+    assert sorted((r.doc_id is not None, r.doc_id or 0, r.text_crc32, r.size, r.slot * 8 + r.shard) for r in rows) == sorted((*k, int(p)) for k, p in zip(numbers, at)) or len(set(numbers)) < len(numbers)
     place = lambda df: sorted(key((r.doc_id, r.text_crc32, r.shard, r.slot)) for r in df.collect())
     assert place(again) == place(out)
     assert sharding.shard_rows(none).count() == 0
@@ -285,6 +370,33 @@ def test_bpe(docs, none):
     assert bpe.encode_texts(none).count() == 0
 
 
+def test_bpe_on_all_kinds_of_code_points():
+    """Letters, marks, unassigned code points of three Unicode tables, alone and mixed."""
+    from tokenizers import Tokenizer
+
+    library, own, rng = Tokenizer.from_file(bpe.default_path()), bpe.WordBpe(bpe.default_path()), random.Random(3)
+    points = [c for c in [*range(0x3100), *range(0xA000, 0xAC80), *range(0xF900, 0x11000), *range(0x1D000, 0x1D800), *range(0x1E600, 0x1E800), *range(0x2B700, 0x2B900), *range(0x323A0, 0x323C0)] if not 0xD800 <= c <= 0xDFFF]
+    texts = ["".join(f"a{chr(c)}b {chr(c)}1{chr(c)}! " for c in points[i : i + 8]) for i in range(0, len(points), 8)]
+    texts += ["".join(chr(rng.choice(points)) if rng.random() < 0.5 else rng.choice("ab 1'sΣ") for _ in range(12)) for _ in range(10000)]
+    for text, found in zip(texts, library.encode_batch(texts, add_special_tokens=False)):
+        assert own.encode(text) == found.ids, text
+
+
+def test_bpe_refuses_other_files(tmp_path):
+    import json
+
+    import public_tokenizers
+
+    with pytest.raises(ValueError):
+        bpe.WordBpe(public_tokenizers.path("byte_bpe_50k.json"))
+    with open(bpe.default_path(), encoding="utf-8") as f:
+        spec = json.load(f)
+    for change in ({"normalizer": None}, {"decoder": {"type": "ByteLevel"}}, {"model": spec["model"] | {"byte_fallback": True}}):
+        (tmp_path / "other.json").write_text(json.dumps(spec | change), encoding="utf-8")
+        with pytest.raises(ValueError):
+            bpe.WordBpe(str(tmp_path / "other.json"))
+
+
 # 8
 
 
@@ -302,10 +414,29 @@ def test_chat(spark):
     assert (out[2].n_common, out[2].rejected) == (0, "") and out[2].chosen == "<||>\nx<|end|>\n<|user|>\n<|end|>\n"
     assert (out[3].n_common, out[3].prompt, out[3].chosen) == (0, "", "")
     assert out[4].chosen == "" and out[4].rejected.startswith("<|system|>")
-    made = chat_format.neighbour_pairs(turns).collect()
+    made = chat_format.neighbour_pairs(chat_format.gather_turns(turns)).collect()
     assert sorted(x for p in made for x in (p.chosen_id, p.rejected_id) if x is not None) == [1, 2, 3] and len(made) == 2
     assert any({p.chosen_id, p.rejected_id} == {1, 2} for p in made) or any(p.rejected_id is None for p in made)
-    assert chat_format.neighbour_pairs(turns.limit(0)).count() == 0
+    assert chat_format.neighbour_pairs(chat_format.gather_turns(turns.limit(0))).count() == 0
+
+
+def test_chat_without_ids(spark):
+    """Turns without a conversation id are one conversation, whose turns stay; a missing partner is not it."""
+    t = [(None, 0, "user", "u"), (None, 1, "assistant", "a"), (1, 0, "user", "u"), (1, 1, "assistant", "b"), (2, 0, "user", "z")]
+    turns = chat_format.gather_turns(spark.createDataFrame(t, "conv_id long, turn long, role string, text string"))
+    pairs = chat_format.neighbour_pairs(turns)
+    texts = sorted((r.chosen_id is None, r.prompt, r.chosen, r.rejected) for r in chat_format.format_gathered(pairs, turns).collect())
+    u, a, b, z = (f"<|{r}|>\n{x}<|end|>\n" for r, x in (("user", "u"), ("assistant", "a"), ("assistant", "b"), ("user", "z")))
+    assert sum(sum(map(len, x[1:])) for x in texts) in (len(u + a + b + z), len(u + u + a + b + z))
+    assert sorted(x for r in pairs.collect() for x in ([r.chosen_id, r.rejected_id] if r.paired else [r.chosen_id]) if x is not None) == [1, 2]
+
+
+def test_masks_of_a_long_conversation(spark):
+    t = [(c, i, "assistant" if i % 2 else "user", f"t{i}" if i or not c else "other") for c in (0, 1) for i in range(3000)]
+    turns = spark.createDataFrame(t, "conv_id long, turn long, role string, text string")
+    pairs = spark.createDataFrame([(0, 0, 1)], "pair_id long, chosen_id long, rejected_id long")
+    r = chat_format.format_pairs(pairs, turns).first()
+    assert [r.chosen[m.start : m.end] for m in r.chosen_mask] == [f"t{i}<|end|>\n" for i in range(1, 3000, 2)]
 
 
 # 9
@@ -343,10 +474,51 @@ def test_simhash(docs, none):
     same([(r.doc_id, r.fingerprint, r.component_id) for r in simhash.near_duplicates(docs).collect()], want)
     kept = simhash.drop_near_duplicates(docs)
     assert kept.columns == docs.columns
-    same({(r.doc_id, r.text) for r in kept.collect()}, {(i, t) for n, (i, t) in enumerate(ROWS) if i is None or i == least[find(n)]})
+    best = {}
+    for n, (i, t) in enumerate(ROWS):
+        rank = (i is None, i or 0, hashlib.md5((t or "").encode()).hexdigest())
+        if find(n) not in best or rank < best[find(n)][0]:
+            best[find(n)] = rank, (i, t or "")
+    same([(r.doc_id, r.text or "") for r in kept.collect()], [b for _, b in best.values()])
     assert simhash.near_duplicates(none).count() == 0 and simhash.drop_near_duplicates(none).count() == 0
 
 
+def test_near_duplicates_keep_rows_not_ids(spark):
+    a, b = " ".join(f"word{i}" for i in range(60)), " ".join(f"other{i}" for i in range(60))
+    rows = [(3, a, 1), (5, a, 2), (5, b, 3), (None, a, 4), (None, b, 5), (None, "lone text", 6), (None, "lone text", 7)]
+    kept = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, n int")).collect()
+    same([(r.doc_id, r.text) for r in kept], [(3, a), (5, b), (None, "lone text")])
+
+
+def test_long_lists_are_split_without_loss(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    x = {int(v) for v in rng.integers(0, 2**40, 300)}
+    for v in list(x)[:150]:
+        for _ in range(4):
+            x.add(v ^ sum(1 << int(b) for b in rng.choice(64, int(rng.integers(1, 5)), replace=False)))
+    signed = [v - (v >> 63 << 64) for v in sorted(x)]
+    df = spark.createDataFrame([(v,) for v in signed], "fp long")
+
+    def groups():
+        parent = {v: v for v in signed}
+
+        def find(a):
+            while parent[a] != a:
+                a = parent[a]
+            return a
+
+        for r in simhash.candidate_links(df).collect():
+            parent[find(r.u)] = find(r.v)
+        roots = defaultdict(set)
+        for v in signed:
+            roots[find(v)].add(v)
+        return sorted(map(sorted, roots.values()))
+
+    want = groups()
+    monkeypatch.setattr(simhash, "LONG", 3)
+    assert groups() == want and any(len(g) > 1 for g in want)
+
+
 def test_long_chain_is_one_component(spark):
     from quillspark.llm.components import components
 
