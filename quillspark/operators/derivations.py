@@ -94,3 +94,14 @@ def idempotent_enqueue(queue: DataFrame, requests: DataFrame) -> DataFrame:
         F.when(opens, "pending").otherwise(F.col("status")).alias("status"),
         F.when(opens, 0).otherwise(F.col("attempts")).alias("attempts"),
     )
+
+
+def dead_letters(jobs: DataFrame, error: str) -> DataFrame:
+    """Jobs that are dead, with a note (JSON) of their attempts and last error."""
+    return jobs.where("status = 'dead'").withColumn("dead_letter", F.to_json(F.struct("attempts", F.col(error).alias("error"))))
+
+
+def requeue(jobs: DataFrame, chosen: Column) -> DataFrame:
+    """Dead jobs that are chosen are pending again, with no attempts; all others stay."""
+    again = (F.col("status") == "dead") & F.coalesce(chosen, F.lit(False))
+    return jobs.withColumns({"status": F.when(again, "pending").otherwise(F.col("status")), "attempts": F.when(again, 0).otherwise(F.col("attempts"))})

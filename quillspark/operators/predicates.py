@@ -111,3 +111,9 @@ def check_batch(values: Sequence, most: int = 50) -> Sequence:
     if not 1 <= len(values) <= most:
         raise ValueError(f"between 1 and {most} values can be given")
     return values
+
+
+def batch_errors(requests: DataFrame, keys: Sequence[str], value: str, most: int = 50) -> DataFrame:
+    """(keys, n, error): distinct values that each request names, and why it is refused: EMPTY, TOO_MANY, or null if it isn't."""
+    counted = requests.groupBy(*keys).agg(F.count_distinct(value).alias("n"))
+    return counted.withColumn("error", F.when(F.col("n") < 1, "EMPTY").when(F.col("n") > most, "TOO_MANY"))

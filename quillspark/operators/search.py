@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions.cleaning import _SPACE
@@ -28,7 +28,7 @@ def terms(d: Dialect, x: str) -> str:
 def postings(df: DataFrame, key: str, fields: dict[str, str]) -> DataFrame:
     """(key, term, weight, tf, doc_len): how often each term stands in each field. ``fields``: column by weight (A to D).
 
-    Terms are counted within a document before anything moves; the table is meant to be written bucketed or partitioned by term.
+    Terms are counted within a document before anything moves; the table is meant to be stored, see :func:`write_postings`.
     """
     parts = [F.transform(F.expr(terms(SPARK, f"coalesce(`{c}`, '')")), _tagged(w)) for w, c in fields.items()]
     every = df.select(F.col(key), F.concat(*parts).alias("__qs_t")).withColumn("doc_len", F.size("__qs_t"))
@@ -40,9 +40,32 @@ def _tagged(weight: str):
     return lambda t: F.struct(t.alias("term"), F.lit(weight).alias("weight"))
 
 
-def write_postings(index: DataFrame, table: str, buckets: int = 64) -> None:
-    """Postings as a table bucketed by term: a query reads the buckets of its terms alone."""
-    index.write.mode("overwrite").bucketBy(buckets, "term").sortBy("term").saveAsTable(table)
+#: Parts of a stored index.
+BUCKETS = 64
+
+
+def bucket(term: Column, buckets: int = BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+
+
+def write_postings(index: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """Stores postings in a folder for each bucket of terms, sorted by term: a query opens the buckets of its terms alone, and in
+    there the row groups whose range of terms fits. A bucket may have any number of files, so a term in every document spreads."""
+    parts = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = index.withColumn("bucket", bucket(F.col("term"), buckets))
+    placed.repartitionByRange(parts, "bucket", "term", F.xxhash64(*index.columns)).sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
+def read_postings(spark: SparkSession, path: str, query: str, buckets: int = BUCKETS) -> DataFrame:
+    """The stored postings of a query's terms."""
+    wanted = query_terms(query)
+    numbers = spark.range(1).select(F.array(*[bucket(F.lit(t), buckets) for t in wanted])).first()[0]
+    return spark.read.parquet(path).where(F.col("bucket").isin(sorted(set(numbers))) & F.col("term").isin(wanted)).drop("bucket")
+
+
+def valid_query(d: Dialect, x: str) -> str:
+    """Whether a text can be searched for: two characters at least, and something left once it is folded."""
+    return f"(length({d.trim(x)}) >= {LEAST_QUERY} and {fold_query(d, x)} <> '')"
 
 
 def query_terms(query: str) -> list[str]:
@@ -111,4 +134,4 @@ def search(docs: DataFrame, index: DataFrame, query: str, key: str, where: Colum
     return page(found, [F.col("rank").desc(), *sort, F.col(key)], number, limit, MOST_LIMIT)
 
 
-__all__ = ["DUCK", "SPARK", "excerpt", "match", "matched_in", "postings", "query_terms", "search", "suggest", "terms", "write_postings"]
+__all__ = ["DUCK", "SPARK", "excerpt", "match", "matched_in", "postings", "query_terms", "read_postings", "search", "suggest", "terms", "valid_query", "write_postings"]

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from quillspark.plans import more_queries, relational_queries, search_queries, stream_queries, text_queries
+from quillspark.plans import export_queries, more_queries, relational_queries, search_queries, stream_queries, text_queries
 from quillspark.plans.registry import ORACLES, QUERIES
 
-__all__ = ["more_queries", "oracles", "queries", "relational_queries", "search_queries", "stream_queries", "text_queries"]
+__all__ = ["export_queries", "more_queries", "oracles", "queries", "relational_queries", "search_queries", "stream_queries", "text_queries"]
 
 
 def queries() -> dict:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillspark.functions.dialect import DUCK
+from quillspark.functions.dialect import DUCK, SPARK
 from quillspark.functions.normalizers import fold_token, tokens
 from quillspark.operators import search as S
 from quillspark.operators import tagging as G
-from quillspark.plans.registry import query, read
+from quillspark.plans.registry import pick, query, read
+from quillspark.session import table_path
 
 FIELDS = {"A": "source", "B": "lang", "D": "text"}
 QUERY = "the that"
@@ -26,6 +27,25 @@ def _index(spark, sf_dir):
     return S.postings(read(spark, sf_dir, "documents"), "doc_id", FIELDS)
 
 
+_stored: dict[tuple, str] = {}
+
+
+def _stored_index(spark, sf_dir):
+    """The path of the index of ``documents``: stored once for an application and a state of the table's files."""
+    files = read(spark, sf_dir, "documents").inputFiles()
+    state = tuple(map(tuple, spark.read.format("binaryFile").load(files).select("path", "length", "modificationTime").orderBy("path").collect())) if files else ()
+    key = (spark.sparkContext.applicationId, sf_dir, state)
+    if key not in _stored:
+        path = table_path(spark, "postings")
+        S.write_postings(_index(spark, sf_dir), path)
+        _stored[key] = path
+    return _stored[key]
+
+
+def _found(spark, sf_dir):
+    return S.read_postings(spark, _stored_index(spark, sf_dir), QUERY)
+
+
 @query(f"{_POSTINGS} select doc_id, doc_len, term, weight, tf from p")
 def postings(spark, sf_dir):
     return _index(spark, sf_dir)
@@ -40,25 +60,39 @@ def postings_unweighted(spark, sf_dir):
 
 @query(f"{_RANKED} select doc_id, floor(rank * 1e6 + 0.5)::bigint as rank_ppm from m")
 def search_match(spark, sf_dir):
-    return S.match(_index(spark, sf_dir), QUERY, "doc_id").select("doc_id", F.floor(F.col("rank") * 1e6 + 0.5).cast("long").alias("rank_ppm"))
+    return S.match(_found(spark, sf_dir), QUERY, "doc_id").select("doc_id", F.floor(F.col("rank") * 1e6 + 0.5).cast("long").alias("rank_ppm"))
 
 
 @query(f"{_RANKED} select doc_id from m join documents using (doc_id) order by rank desc, doc_id limit 20")
 def search_ranked(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("doc_id")
-    return S.search(docs, _index(spark, sf_dir), QUERY, "doc_id").select("doc_id")
+    return S.search(docs, _found(spark, sf_dir), QUERY, "doc_id").select("doc_id")
 
 
 @query(f"{_RANKED} select doc_id from m join documents using (doc_id) where source = 'src1' and n_chars > 300 order by rank desc, doc_id limit 10 offset 10")
 def search_filtered(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
-    return S.search(docs, _index(spark, sf_dir), QUERY, "doc_id", (F.col("source") == "src1") & (F.col("n_chars") > 300), number=2, limit=10).select("doc_id")
+    return S.search(docs, _found(spark, sf_dir), QUERY, "doc_id", (F.col("source") == "src1") & (F.col("n_chars") > 300), number=2, limit=10).select("doc_id")
+
+
+@query("select case when weight in ('A', 'B') then weight else 'D' end as weight, count(*) as postings, count(distinct term) as terms, sum(tf)::bigint as words from (" + _POSTINGS + " select * from p) group by 1")
+def stored_index(spark, sf_dir):
+    """What the stored index holds, by field."""
+    index = spark.read.parquet(_stored_index(spark, sf_dir))
+    return index.groupBy("weight").agg(F.count("*").alias("postings"), F.count_distinct("term").alias("terms"), F.sum("tf").alias("words"))
+
+
+def _asked(d) -> str:
+    return pick(d, ["", " ", "a", " ab ", "ـ_", "كتاب", "a b"], "event_id")
+
+
+@query(f"select event_id, {S.valid_query(DUCK, _asked(DUCK))} as valid from events")
+def query_checks(spark, sf_dir):
+    return read(spark, sf_dir, "events").select("event_id", F.expr(S.valid_query(SPARK, _asked(SPARK))).alias("valid"))
 
 
 @query(f"select doc_id, {S.excerpt(DUCK, 'text', chr(39) + 'ation' + chr(39))} as excerpt from documents")
 def excerpts(spark, sf_dir):
-    from quillspark.functions.dialect import SPARK
-
     return read(spark, sf_dir, "documents").select("doc_id", F.expr(S.excerpt(SPARK, "text", "'ation'")).alias("excerpt"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quillspark.plans.registry import query, read
 from quillspark.sources import exports as E
-from quillspark.sources import files
+from quillspark.sources import files, office
 from quillspark.streaming import sinks, stateful, windows
 
 
@@ -92,11 +92,19 @@ def export_readme(spark, sf_dir):
     return E.readme(docs, "source", "title", "doc_id")
 
 
-@query()
+_BATCH = 50
+
+
+@query(f"select source, doc_id // {_BATCH} as batch, count(*) as n_files, sum(strlen(coalesce(text, '')))::bigint as total_size, count(*) + 1 + (count(*) > 1)::int as n_members, string_agg(doc_id::varchar || '.txt', ',' order by doc_id::varchar || '.txt') as listed from documents group by 1, 2")
 def export_packages(spark, sf_dir):
-    """A ZIP for each source; its size, so that results stay small."""
-    docs = read(spark, sf_dir, "documents").select("source", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("name"), F.col("text").alias("content"))
-    return E.packages(docs, "source").select("source", F.octet_length("package").alias("bytes"))
+    """A ZIP for each source and batch of documents; what its manifest and its directory list, so that results stay small."""
+    docs = read(spark, sf_dir, "documents")
+    name = F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))
+    files_ = docs.select("source", F.expr(f"doc_id div {_BATCH}").alias("batch"), F.col("doc_id").alias("document"), name.alias("title"), name.alias("name"), F.col("text").alias("content"))
+    made = E.packages(files_, ["source", "batch"])
+    manifest = office.member("package", "manifest.json")
+    listed = F.expr("array_join(transform(from_json(m, 'documents array<struct<files array<struct<path string>>>>').documents, d -> d.files[0].path), ',')")
+    return made.select("source", "batch", "n_files", "total_size", office.member_count("package").alias("n_members"), manifest.alias("m")).withColumn("listed", listed).drop("m")
 
 
 @query("select doc_id, lang, n_chars from documents")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import json
 import zipfile
 from collections.abc import Callable, Iterator
 
@@ -18,7 +19,7 @@ PROFILES = (
     ("developer", ("json",), True, False, True, True),
 )
 #: Formats that this engine writes; others need programs outside of it.
-WRITTEN = ("md", "txt", "json")
+WRITTEN = ("md", "txt", "json", "docx", "epub")
 
 
 def profiles(spark: SparkSession) -> DataFrame:
@@ -44,21 +45,30 @@ def readme(df: DataFrame, key: str, title: str, place: str) -> DataFrame:
     return df.groupBy(key).agg(F.array_join(lines, "\n").alias("readme"))
 
 
-def packages(files: DataFrame, key: str) -> DataFrame:
-    """(key, package): a ZIP of each export's files (name, content: string), names in order, the same bytes each time.
+def packages(files: DataFrame, keys: list[str], profile: str = "plain") -> DataFrame:
+    """(keys, n_files, total_size, package): a ZIP of each export's files (document, title, name, content: string), names in order,
+    the same bytes each time, with a manifest of documents, files and sizes, and an index of titles where there are several documents.
 
-    A package is one binary value, so its size is bounded by what an export may hold; batches are checked before.
+    A package is one binary value of one task, so ``keys`` should name batches of bounded size, as requests do (see ``predicates.check_batch``).
     """
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        out = io.BytesIO()
+        out, documents, total = io.BytesIO(), {}, 0
         with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-            for name, content in sorted(zip(group["name"], group["content"], strict=True)):
-                z.writestr(zipfile.ZipInfo(name), content or "")
-        return pd.DataFrame({key: [group[key].iloc[0]], "package": [out.getvalue()]})
-
-    kind = files.schema[key].dataType.simpleString()
-    return files.select(key, "name", "content").groupBy(key).applyInPandas(run, f"{key} {kind}, package binary")
+            for document, title, name, content in sorted(zip(group["document"], group["title"], group["name"], group["content"], strict=True), key=lambda r: r[2]):
+                raw = (content or "").encode("utf-8")
+                z.writestr(zipfile.ZipInfo(name), raw, zipfile.ZIP_DEFLATED)
+                documents.setdefault(document, {"id": document, "title": title, "files": []})["files"].append({"path": name, "size": len(raw), "format": name.rpartition(".")[2]})
+                total += len(raw)
+            if len(documents) > 1:
+                index = "".join(f"{i}. {d['title']}\n" for i, d in enumerate(documents.values(), 1))
+                z.writestr(zipfile.ZipInfo("README.md"), index, zipfile.ZIP_DEFLATED)
+            manifest = {"export": "/".join(str(group[k].iloc[0]) for k in keys), "profile": profile, "documents": list(documents.values()), "total_size": total}
+            z.writestr(zipfile.ZipInfo("manifest.json"), json.dumps(manifest, ensure_ascii=False, indent=2), zipfile.ZIP_DEFLATED)
+        return pd.DataFrame({k: [group[k].iloc[0]] for k in keys} | {"n_files": [len(group)], "total_size": [total], "package": [out.getvalue()]})
+
+    kinds = ", ".join(f"`{k}` {files.schema[k].dataType.simpleString()}" for k in keys)
+    return files.select(*keys, F.col("document").cast("string").alias("document"), "title", "name", "content").groupBy(*keys).applyInPandas(run, f"{kinds}, n_files bigint, total_size bigint, package binary")
 
 
 def prometheus(metrics: DataFrame) -> DataFrame:

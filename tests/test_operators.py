@@ -107,12 +107,17 @@ def test_search_isolation_and_folding(spark):
 
 
 def test_packages_and_pages(spark):
-    rows = spark.createDataFrame([(1, "b.txt", "x"), (1, "a.txt", None)], "export int, name string, content string")
+    rows = spark.createDataFrame([(1, 7, "B", "b.txt", "xé"), (1, 8, "A", "a.txt", None), (2, 9, "C", "c.md", "y")], "export int, document int, title string, name string, content string")
     import io
+    import json
     import zipfile
 
-    package = exports.packages(rows, "export").first().package
-    assert zipfile.ZipFile(io.BytesIO(bytes(package))).namelist() == ["a.txt", "b.txt"]
+    made = {r.export: r for r in exports.packages(rows, ["export"]).collect()}
+    z = zipfile.ZipFile(io.BytesIO(bytes(made[1].package)))
+    assert z.namelist() == ["a.txt", "b.txt", "README.md", "manifest.json"] and z.read("README.md").decode() == "1. A\n2. B\n"
+    manifest = json.loads(z.read("manifest.json"))
+    assert manifest["total_size"] == made[1].total_size == 3 and [d["files"][0]["size"] for d in manifest["documents"]] == [0, 3]
+    assert zipfile.ZipFile(io.BytesIO(bytes(made[2].package))).namelist() == ["c.md", "manifest.json"]
     engine = lambda content: [(content.decode(), 0.5), ("two", 0.9)]
     pages = exports.extract_pages(spark.createDataFrame([(1, bytearray(b"one"))], "id int, c binary"), engine, "id", "c")
     assert [(r.number, r.text) for r in pages.orderBy("number").collect()] == [(1, "one"), (2, "two")]
@@ -186,3 +191,58 @@ def test_windows_stream_equals_table(spark, tmp_path):
     live = windows.counts(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), "ts", ["user"], "1 hour")
     live.writeStream.format("memory").queryName("w").outputMode("complete").trigger(availableNow=True).start().awaitTermination()
     assert sorted(map(tuple, spark.table("w").collect())) == sorted(map(tuple, windows.counts(df, "ts", ["user"], "1 hour").collect()))
+
+
+def test_docx_and_epub_parse(spark):
+    """Packages whose members are well-formed XML with the text of the blocks; control characters and marks survive or go."""
+    import io
+    import zipfile
+    from xml.etree import ElementTree
+
+    from quillspark.functions import ir
+    from quillspark.sources import office
+
+    source = "# One <&>\n\nPlain **bold** \x01 *it*\nline\n\n- a\n- b\n\n2. c\n\n```\nx < y\n```\n\nنص عربي"
+    df = ir.with_blocks(spark.createDataFrame([(1, source, "T & t"), (2, "", None), (3, None, "n")], "id int, text string, title string"))
+    made = {r.id: r for r in office.render_epub(office.render_docx(df), "title").collect()}
+    assert made[3].docx is None and made[3].epub is None
+    for i in (1, 2):
+        for package, files in ((made[i].docx, 5), (made[i].epub, 5)):
+            z = zipfile.ZipFile(io.BytesIO(bytes(package)))
+            assert z.testzip() is None and len(z.namelist()) == files
+            for name in z.namelist():
+                if name != "mimetype":
+                    ElementTree.fromstring(z.read(name))
+    z = zipfile.ZipFile(io.BytesIO(bytes(made[1].epub)))
+    assert z.namelist()[0] == "mimetype" and z.getinfo("mimetype").compress_type == zipfile.ZIP_STORED
+    words = "".join(ElementTree.fromstring(z.read("OEBPS/text.xhtml")).itertext())
+    assert "One <&>" in words and "bold" in words and "2. c" in words and "x < y" in words and "نص عربي" in words and "\x01" not in words
+    document = ElementTree.fromstring(zipfile.ZipFile(io.BytesIO(bytes(made[1].docx))).read("word/document.xml"))
+    assert "One <&>" in "".join(document.itertext()) and len(document.findall(".//{%s}bidi" % office.WORD)) == 1
+
+
+def test_a_stored_index_opens_the_buckets_of_a_query(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"word{i % 7} common other{i}") for i in range(200)], "id int, text string")
+    index = search.postings(docs, "id", {"D": "text"})
+    search.write_postings(index, f"{tmp_path}/index")
+    found = search.read_postings(spark, f"{tmp_path}/index", "common word3")
+    want = search.match(index, "common word3", "id").collect()
+    assert sorted(search.match(found, "common word3", "id").collect()) == sorted(want) and len(want) == len([i for i in range(200) if i % 7 == 3])
+    import contextlib
+    import io
+
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        found.explain("formatted")
+    plan = out.getvalue()
+    assert "PartitionFilters: [isnotnull(bucket" in plan.replace("PartitionFilters: [bucket", "PartitionFilters: [isnotnull(bucket") and "PushedFilters: [In(term" in plan
+    opened = {f.split("bucket=")[1].split("/")[0] for (f,) in found.select(F.input_file_name()).distinct().collect()}
+    assert len(opened) <= 2
+
+
+def test_dead_letters_and_requests(spark):
+    jobs = spark.createDataFrame([(1, "ocr", "dead", 3, "E"), (2, "ocr", "done", 1, None), (3, None, "dead", 2, None)], "id int, queue string, status string, attempts int, e string")
+    assert {r.id: r.dead_letter for r in derivations.dead_letters(jobs, "e").collect()} == {1: '{"attempts":3,"error":"E"}', 3: '{"attempts":2}'}
+    assert {r.id: (r.status, r.attempts) for r in derivations.requeue(jobs, F.col("queue") == "ocr").collect()} == {1: ("pending", 0), 2: ("done", 1), 3: ("dead", 2)}
+    asked = spark.createDataFrame([(1, i) for i in range(51)] + [(2, 5), (2, 5), (3, None)], "r int, v int")
+    assert {r.r: (r.n, r.error) for r in predicates.batch_errors(asked, ["r"], "v").collect()} == {1: (51, "TOO_MANY"), 2: (1, None), 3: (0, "EMPTY")}
