@@ -31,26 +31,71 @@ def session_windows(spark, sf_dir):
     return windows.sessions(read(spark, sf_dir, "events"), "ts", ["user_id"], "30 minutes").select("user_id", F.col("start").cast("timestamp_ntz"), F.col("end").cast("timestamp_ntz"), "n")
 
 
-@query()
+def _replay_sql(state: dict[str, tuple], shown: dict[str, str]) -> str:
+    """A state machine as a recursive query: {name} in an expression is a field of the state before the row ``o``."""
+    start = {n: f"({v}::bigint)" for n, (v, _) in state.items()}
+    held = {n: f"s.{n}" for n in state}
+    step = lambda prior: ", ".join(f"({e.format(**prior)}) as {n}" for n, e in [*((n, e) for n, (_, e) in state.items()), *((f"shown_{n}", e) for n, e in shown.items())])
+    return f"""with recursive e as (select event_id, user_id, epoch_us(ts) as us, event_type = 'error' as failed, ['claim', 'complete', 'fail', 'recover', 'requeue'][event_id % 5 + 1] as command, event_id // 3 as lease from events),
+    o as (select *, row_number() over (partition by user_id order by us, event_id) as n from e),
+    s as (select o.user_id, o.n, o.event_id, {step(start)} from o where n = 1 union all select o.user_id, o.n, o.event_id, {step(held)} from s join o on o.user_id = s.user_id and o.n = s.n + 1)
+    select event_id, {', '.join(f'shown_{n} as {n}' for n in shown)} from s"""
+
+
+_DAY, _LOCK, _COOL = 86_400_000_000, 900_000_000, 30_000_000
+_FRESH = f"{{start}} < 0 or o.us >= {{start}} + {_DAY}"
+_HITS = f"case when {_FRESH} then 1 else {{hits}} + 1 end"
+
+
+@query(
+    _replay_sql(
+        {"start": (-1, f"case when {_FRESH} then o.us else {{start}} end"), "hits": (0, _HITS)},
+        {"allowed": f"{_HITS} <= 3", "remaining": f"greatest(0, 3 - {_HITS})", "retry_after_us": f"case when {_HITS} <= 3 then 0 else {{start}} + {_DAY} - o.us end"},
+    )
+)
 def rate_limit_replay(spark, sf_dir):
     """Three events of a user in a window of a day that opens with the first."""
-    out = stateful.replay(_events(spark, sf_dir), "user_id", stateful.rate_limit(3, 86_400_000_000), (-1, 0), stateful.RATE_RESULT, ["us", "event_id"])
+    out = stateful.replay(_events(spark, sf_dir), "user_id", stateful.rate_limit(3, _DAY), (-1, 0), stateful.RATE_RESULT, ["us", "event_id"])
     return out.select("event_id", "allowed", "remaining", "retry_after_us")
 
 
-@query()
+_FAILED = "case when o.failed then case when {until} <> 0 then 1 else {failures} + 1 end else 0 end"
+_UNTIL = f"case when o.us < {{until}} then {{until}} when ({_FAILED}) >= 2 then o.us + {_LOCK} else 0 end"
+_LOCKED = f"case when o.us < {{until}} then {{failures}} else {_FAILED} end"
+
+
+@query(_replay_sql({"failures": (0, _LOCKED), "until": (0, _UNTIL)}, {"locked": f"o.us < {{until}} or ({_UNTIL}) > 0", "failures": _LOCKED}))
 def lockout_replay(spark, sf_dir):
-    out = stateful.replay(_events(spark, sf_dir), "user_id", stateful.lockout(2, 900_000_000), (0, 0), stateful.LOCKOUT_RESULT, ["us", "event_id"])
+    out = stateful.replay(_events(spark, sf_dir), "user_id", stateful.lockout(2, _LOCK), (0, 0), stateful.LOCKOUT_RESULT, ["us", "event_id"])
     return out.select("event_id", "locked", "failures")
 
 
-@query()
+_OPEN = f"{{failures}} >= 3 and o.us - {{last}} < {_COOL}"
+_IN_A_ROW = f"case when {_OPEN} then {{failures}} when not o.failed then 0 when {{failures}} >= 3 then 1 else {{failures}} + 1 end"
+
+
+@query(
+    _replay_sql(
+        {"failures": (0, _IN_A_ROW), "last": (0, f"case when not ({_OPEN}) and o.failed then o.us else {{last}} end")},
+        {"state": f"case when {_OPEN} then 'open' when {{failures}} >= 2 then 'degraded' else 'healthy' end", "failures": _IN_A_ROW},
+    )
+)
 def breaker_replay(spark, sf_dir):
-    out = stateful.replay(_events(spark, sf_dir), "user_id", stateful.breaker(3, 30_000_000), (0, 0), stateful.BREAKER_RESULT, ["us", "event_id"])
+    out = stateful.replay(_events(spark, sf_dir), "user_id", stateful.breaker(3, _COOL), (0, 0), stateful.BREAKER_RESULT, ["us", "event_id"])
     return out.select("event_id", "state", "failures")
 
 
-@query()
+_ENDS = "{status} = 1 and o.lease = {lease}"
+_MOVED = f"case when o.command = 'claim' and {{status}} = 0 then 1 when o.command = 'complete' and {_ENDS} then 2 when o.command = 'fail' and {_ENDS} then case when {{attempts}} < 3 then 0 else 3 end when o.command = 'recover' and {{status}} = 1 then 0 when o.command = 'requeue' and {{status}} in (2, 3) then 0 end"
+_TRIES = "case when o.command = 'claim' and {status} = 0 then {attempts} + 1 when o.command = 'requeue' and {status} in (2, 3) then 0 else {attempts} end"
+
+
+@query(
+    _replay_sql(
+        {"status": (0, f"coalesce({_MOVED}, {{status}})"), "attempts": (0, _TRIES), "lease": (0, f"case when ({_MOVED}) is null then {{lease}} when ({_MOVED}) = 1 then o.lease else 0 end")},
+        {"accepted": f"({_MOVED}) is not null", "status": f"['pending', 'reserved', 'done', 'dead'][coalesce({_MOVED}, {{status}}) + 1]", "attempts": _TRIES},
+    )
+)
 def job_machine_replay(spark, sf_dir):
     """Commands of leased jobs: only the lease that claimed a job may end it."""
     jobs = _events(spark, sf_dir).withColumns({"command": F.expr("element_at(array('claim', 'complete', 'fail', 'recover', 'requeue'), cast(event_id % 5 + 1 as int))"), "lease": F.expr("event_id div 3")})

@@ -104,7 +104,17 @@ def line_reconstruct(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", F.md5(C.merge_lines_udf(F.expr(as_arabic(SPARK, "text")))).alias("result"))
 
 
-@query()
+_PLAIN = A.squeeze(DUCK, "p")
+_DROPPED = f"s.last <> '' and length(o.plain) > 20 and ({C.similarity(DUCK, 'o.plain', 's.last')}) > 0.7"
+
+
+@query(
+    f"""with recursive x as (select doc_id, unnest(string_split(text, chr(10))) as p, unnest(range(1, len(string_split(text, chr(10))) + 1)) as n from documents),
+    o as (select doc_id, n, p, {_PLAIN} as plain from x),
+    s as (select doc_id, n, p, true as kept, plain as last from o where n = 1 union all
+      select o.doc_id, o.n, o.p, not ({_DROPPED}), case when {_DROPPED} then s.last else o.plain end from s join o on o.doc_id = s.doc_id and o.n = s.n + 1)
+    select doc_id, md5(string_agg(p, chr(10) || chr(10) order by n) filter (where kept)) as result from s group by doc_id"""
+)
 def paragraph_collapse(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", F.md5(C.drop_near_paragraphs_udf(F.expr("replace(text, chr(10), '\n\n')"))).alias("result"))
 
@@ -308,12 +318,28 @@ _numbers("file_titles", "events", "event_id", lambda d: {"title": ("string", lab
 _numbers("content_dispositions", "events", "event_id", lambda d: {"header": ("string", labels.content_disposition(d, f"concat(event_type, ' ', {pick(d, ['تقرير (1).pdf', 'a b.md', '*' + chr(39) + 'x!~', ''], 'event_id')})"))})
 
 
-@query()
+def _pad(key: str, byte: int) -> str:
+    return "unhex('" + bytes(b ^ byte for b in key.encode().ljust(64, b"\0")).hex() + "')"
+
+
+@query(f"select event_id, sha256({_pad('secret', 0x5C)} || unhex(sha256({_pad('secret', 0x36)} || encode(props)))) as signature from events")
 def signatures(spark, sf_dir):
     return read(spark, sf_dir, "events").select("event_id", labels.sign("secret")(F.col("props")).alias("signature"))
 
 
-@query()
+_FILE = (
+    "case event_id % 6 when 0 then encode('%PDF-1.7 ' || repeat('x', 30) || ' %%EOF') when 1 then encode('%PDF-1.7 /Encrypt ' || repeat('x', 30) || ' %%EOF')"
+    " when 2 then unhex('89504E470D0A') when 3 then unhex('FFD8FFE0') when 4 then encode('%PDF-1.7 truncated and long enough') else encode('tiny') end"
+)
+_MIME = "['application/pdf', 'application/pdf', 'image/png', 'image/jpeg', 'application/pdf', 'text/html', 'application/pdf'][event_id % 7 + 1]"
+
+
+@query(
+    f"""select event_id, case when mime not in ('application/pdf', 'image/png', 'image/jpeg') then 'INVALID_TYPE' when length(h) > {2 * 100 * 1024 * 1024} then 'FILE_TOO_LARGE'
+    when mime = 'image/jpeg' then case when h not like 'FFD8FF%' then 'IMAGE_CORRUPT' end when mime = 'image/png' then case when h not like '89504E47%' then 'IMAGE_CORRUPT' end
+    when length(h) < 40 then 'PDF_MALFORMED' when not regexp_matches(h[1:40], '^(20)*255044462D3[0-9]') then 'PDF_CORRUPT' when not regexp_matches(h[greatest(length(h) - 39, 1):], '^(..)*2525454F46') then 'PDF_TRUNCATED'
+    when regexp_matches(h[1:16384], '^(..)*2F456E6372797074') then 'PDF_ENCRYPTED' end as error from (select event_id, {_MIME} as mime, hex({_FILE}) as h from events)"""
+)
 def file_checks(spark, sf_dir):
     """Validation of file contents by MIME type, size and magic bytes."""
     content = F.expr(
