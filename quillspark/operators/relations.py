@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.session import materialize
+
 
 def with_parent(df: DataFrame, parents: DataFrame, key: str, parent_key: str, name: str, columns: Sequence[str]) -> DataFrame:
     """``df`` with its parent's columns as a struct, null without one."""
@@ -44,9 +46,32 @@ def latest_per(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> D
 
 
 def neighbours(df: DataFrame, order: Sequence[Column], value: str, keys: Sequence[str] = ()) -> DataFrame:
-    """``df`` with the ``value`` of the row before and after, within ``keys``."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumns({"previous": F.lag(value).over(w), "next": F.lead(value).over(w)})
+    """``df`` with the ``value`` of the row ``previous`` and ``next``, in the order of ``order`` and within ``keys``.
+
+    No task sees all rows, nor all of a key: rows are range-partitioned by (keys, order), sorted and written once with their place;
+    a window of its own finds neighbours within each partition, and the first and last rows of partitions, two for each, are
+    exchanged. ``order`` should break all ties. Carry keys and short values; join long texts by them afterwards.
+    """
+    spark = df.sparkSession
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    by = [*[F.col(f"`{k}`") for k in keys], *order]
+    carried = F.struct(*[F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(keys)], F.col(f"`{value}`").alias("v")).alias("__qs_at")
+    rows = df.select("*", carried).repartitionByRange(parts, *by).sortWithinPartitions(*by).withColumn("__qs_place", F.monotonically_increasing_id())
+    rows = materialize(rows, "ordered").withColumn("__qs_part", F.shiftright("__qs_place", 33))
+    edges = rows.groupBy("__qs_part").agg(F.min_by("__qs_at", "__qs_place").alias("first"), F.max_by("__qs_at", "__qs_place").alias("last"))
+    over = Window.orderBy("__qs_part")  # a row for each partition
+    edges = edges.select("__qs_part", F.lag("last").over(over).alias("__qs_before"), F.lead("first").over(over).alias("__qs_after"))
+    w = Window.partitionBy("__qs_part").orderBy("__qs_place")
+    found = rows.withColumns({"__qs_lag": F.lag("__qs_at").over(w), "__qs_lead": F.lead("__qs_at").over(w)}).join(F.broadcast(edges), "__qs_part")
+
+    def of(inside: str, beyond: str) -> Column:
+        at = F.coalesce(F.col(inside), F.col(beyond))
+        same = F.lit(True)
+        for i in range(len(keys)):
+            same = same & at[f"k{i}"].eqNullSafe(F.col("__qs_at")[f"k{i}"])
+        return F.when(same, at["v"])
+
+    return found.withColumns({"previous": of("__qs_lag", "__qs_before"), "next": of("__qs_lead", "__qs_after")}).select(*[F.col(f"`{c}`") for c in df.columns], "previous", "next")
 
 
 def next_order(df: DataFrame, parent: str, order: str = "order") -> DataFrame:

@@ -401,10 +401,9 @@ def tag_diff(spark, sf_dir):
 @query("select doc_id, len(list_intersect(a, b)) as n_both, len(list_distinct(list_concat(a, b))) as n_any from (select doc_id, string_split(text, ' ') as a, string_split(nxt, ' ') as b from (select *, lead(text) over (partition by source order by doc_id) as nxt from documents) where nxt is not null)")
 def set_sizes(spark, sf_dir):
     """Words in both and in any of two documents that follow each other in a source, whole texts."""
-    from pyspark.sql import Window
+    from quillspark.plans.text_queries import followed_by
 
-    docs = read(spark, sf_dir, "documents").withColumn("nxt", F.lead("text").over(Window.partitionBy("source").orderBy("doc_id")))
-    words = docs.where("nxt is not null").select("doc_id", F.split("text", " ").alias("a"), F.split("nxt", " ").alias("b"))
+    words = followed_by(read(spark, sf_dir, "documents")).select("doc_id", F.split("text", " ").alias("a"), F.split("nxt", " ").alias("b"))
     return words.select("doc_id", F.size(F.array_intersect("a", "b")).cast("long").alias("n_both"), F.size(F.array_union("a", "b")).cast("long").alias("n_any"))
 
 

@@ -10,6 +10,7 @@ from quillspark.functions import ir, labels
 from quillspark.functions import normalizers as N
 from quillspark.functions import patterns as P
 from quillspark.functions.dialect import DUCK, SPARK, Dialect
+from quillspark.operators import relations as R
 from quillspark.plans.registry import ORACLES, QUERIES, pick, query, read
 
 LATIN = "[A-Za-zÀ-ÿ]"
@@ -255,16 +256,20 @@ def wer_turns(spark, sf_dir):
     return turns.where("nxt is not null").select("conv_id", "turn", A.word_error_rate("text", "nxt").alias("wer"))
 
 
+def followed_by(docs):
+    """(doc_id, text, nxt): each document with the text of the one that follows it in its source. Ids alone are put in order."""
+    pairs = R.neighbours(docs.select("source", "doc_id"), [F.col("doc_id")], "doc_id", ["source"]).where("next is not null").select("doc_id", "next")
+    return pairs.join(docs.select("doc_id", "text"), "doc_id").join(docs.select(F.col("doc_id").alias("next"), F.col("text").alias("nxt")), "next").select("doc_id", "text", "nxt")
+
+
 _PAIRS = "select a.doc_id, {sim} as similarity from (select *, lead(text) over (partition by source order by doc_id) as nxt from documents) a where nxt is not null"
 
 
 @query(_PAIRS.format(sim=C.similarity(DUCK, "text", "nxt")))
 def jaccard_neighbours(spark, sf_dir):
     """Word-set similarity of documents that follow each other in a source."""
-    from pyspark.sql import Window
-
-    docs = read(spark, sf_dir, "documents").withColumn("nxt", F.lead("text").over(Window.partitionBy("source").orderBy("doc_id")))
-    return docs.where("nxt is not null").select("doc_id", F.expr(C.similarity(SPARK, "text", "nxt")).alias("similarity"))
+    both = followed_by(read(spark, sf_dir, "documents"))
+    return both.select("doc_id", F.expr(C.similarity(SPARK, "text", "nxt")).alias("similarity"))
 
 
 #: A heading, the whole text, and a block of each kind for texts that hold none.

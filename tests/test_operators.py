@@ -246,3 +246,17 @@ def test_dead_letters_and_requests(spark):
     assert {r.id: (r.status, r.attempts) for r in derivations.requeue(jobs, F.col("queue") == "ocr").collect()} == {1: ("pending", 0), 2: ("done", 1), 3: ("dead", 2)}
     asked = spark.createDataFrame([(1, i) for i in range(51)] + [(2, 5), (2, 5), (3, None)], "r int, v int")
     assert {r.r: (r.n, r.error) for r in predicates.batch_errors(asked, ["r"], "v").collect()} == {1: (51, "TOO_MANY"), 2: (1, None), 3: (0, "EMPTY")}
+
+
+@pytest.mark.parametrize("keys", [[], ["k"]])
+def test_neighbours_across_partitions(spark, keys):
+    import random
+
+    rows = [(random.Random(i).choice(["a", "b", None, "c"]), i) for i in range(300)]
+    df = spark.createDataFrame(rows, "k string, v int").repartition(7)
+    got = {r.v: (r.previous, r.next) for r in relations.neighbours(df, [F.col("v")], "v", keys).collect()}
+    for k, v in rows:
+        line = [x for y, x in rows if not keys or y == k]
+        at = line.index(v)
+        assert got[v] == (line[at - 1] if at else None, line[at + 1] if at + 1 < len(line) else None)
+    assert relations.neighbours(df.limit(0), [F.col("v")], "v", keys).count() == 0
