@@ -100,6 +100,13 @@ class Dialect:
         """Without white space."""
         return self.replace(x, f"{WS}+", "") if self.duck else f"translate({x}, {self.lit(WHITE)}, '')"
 
+    def counted(self, xs: str) -> str:
+        """Spark: the distinct strings of an array, ascending, with how often each stands there: structs (item, n). A sort and a scan
+        for the places at which the item changes, within the row: nothing is exploded to be counted."""
+        edges = "filter(sequence(0, size(s)), i -> i = 0 or i = size(s) or s[i] <> s[i - 1])"
+        runs = self.let(edges, "b", "transform(slice(b, 1, size(b) - 1), (x, j) -> named_struct('item', s[x], 'n', cast(b[j + 1] - x as bigint)))")
+        return self.let(f"sort_array({xs})", "s", runs)
+
     def single_spaced(self, x: str) -> str:
         """With one space for each run of white space; single spaces stay as they are, so they cost nothing."""
         return self.replace(x, f"{WS}+", " ") if self.duck else self.replace(self.spaces(x), " {2,}+", " ")

@@ -27,10 +27,23 @@ def fold_token(d: Dialect, x: str) -> str:
 TOKEN_MARKS = "[\\x{0610}-\\x{061A}\\x{064B}-\\x{0652}\\x{0670}]"
 
 
+def stop_words(d: Dialect) -> str:
+    return ", ".join(d.lit(w) for w in P.STOP_WORDS)
+
+
 def tokens(d: Dialect, x: str) -> str:
     """The words of a text for tagging: folded, of two characters or more, no stop words."""
-    cleaned = d.replace(x, rf"[^\p{{L}}\p{{N}}{WS[1:-1]}]", " ")
-    parts = f"regexp_split_to_array({cleaned}, {d.lit(WS + '+')})" if d.duck else f"split({cleaned}, {d.lit(WS + '+')}, -1)"
-    folded = d.map(parts, "w", fold_token(d, "w"))
-    stops = ", ".join(d.lit(w) for w in P.STOP_WORDS)
-    return d.filter(folded, "w", f"length(w) >= 2 and w not in ({stops})")
+    return d.filter(all_tokens(d, x), "w", counts(d, "w"))
+
+
+def counts(d: Dialect, word: str) -> str:
+    """Whether a folded word counts."""
+    return f"length({word}) >= 2 and {word} not in ({stop_words(d)})"
+
+
+def all_tokens(d: Dialect, x: str) -> str:
+    """The words of a text, folded. In Spark all at once: words joined by spaces, which folding leaves alone."""
+    if d.duck:
+        cleaned = d.replace(x, rf"[^\p{{L}}\p{{N}}{WS[1:-1]}]", " ")
+        return d.map(f"regexp_split_to_array({cleaned}, {d.lit(WS + '+')})", "w", fold_token(d, "w"))
+    return f"split({fold_token(d, d.join(d.extract_all(x, '[' + chr(92) + 'p{L}' + chr(92) + 'p{N}]+'), ' '))}, ' ')"

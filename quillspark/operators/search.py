@@ -26,18 +26,21 @@ def terms(d: Dialect, x: str) -> str:
 
 
 def postings(df: DataFrame, key: str, fields: dict[str, str]) -> DataFrame:
-    """(key, term, weight, tf, doc_len): how often each term stands in each field. ``fields``: column by weight (A to D).
+    """(key, doc_len, term, weight, tf): how often each term stands in each field. ``fields``: column by weight (A to D); a row for
+    each document, told apart by ``key``.
 
-    Terms are counted within a document before anything moves; the table is meant to be stored, see :func:`write_postings`.
+    Terms are counted within the row, so only distinct ones become rows and nothing is shuffled; the table is meant to be stored,
+    see :func:`write_postings`.
     """
-    parts = [F.transform(F.expr(terms(SPARK, f"coalesce(`{c}`, '')")), _tagged(w)) for w, c in fields.items()]
-    every = df.select(F.col(key), F.concat(*parts).alias("__qs_t")).withColumn("doc_len", F.size("__qs_t"))
-    each = every.select(key, "doc_len", F.explode("__qs_t").alias("t"))
-    return each.groupBy(key, "doc_len", F.col("t.term").alias("term"), F.col("t.weight").alias("weight")).agg(F.count("*").alias("tf"))
+    rows = df.select(F.col(key), *[F.expr(terms(SPARK, f"coalesce(`{c}`, '')")).alias(f"__qs_{w}") for w, c in fields.items()])
+    doc_len = sum((F.size(f"__qs_{w}") for w in fields), F.lit(0))
+    counted = [F.transform(F.expr(SPARK.counted(f"`__qs_{w}`")), _tagged(w)) for w in fields]
+    each = rows.select(key, doc_len.alias("doc_len"), F.concat(*counted).alias("ts")).select(key, "doc_len", F.explode("ts").alias("t"))
+    return each.select(key, "doc_len", "t.term", "t.weight", "t.tf")
 
 
 def _tagged(weight: str):
-    return lambda t: F.struct(t.alias("term"), F.lit(weight).alias("weight"))
+    return lambda t: F.struct(t["item"].alias("term"), F.lit(weight).alias("weight"), t["n"].alias("tf"))
 
 
 #: Parts of a stored index.

@@ -5,16 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.functions import patterns as P
 from quillspark.functions.dialect import SPARK
-from quillspark.functions.normalizers import fold_token, tokens
+from quillspark.functions.normalizers import all_tokens, fold_token, tokens
 
 MOST_NEW, MOST = 5, 15
 
 
 def document_tokens(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, token, n): frequencies of the words that count."""
-    each = docs.select(key, F.explode(F.expr(tokens(SPARK, f"coalesce(`{text}`, '')"))).alias("token"))
-    return each.groupBy(key, "token").agg(F.count("*").alias("n"))
+    """(key, token, n, top): frequencies of the words that count, and the highest of them in the document. A row for each document,
+    told apart by ``key``: words are counted, and stop words dropped, within the row, and nothing is shuffled."""
+    words = F.filter(F.expr(SPARK.counted(all_tokens(SPARK, f"coalesce(`{text}`, '')"))), lambda t: (F.length(t["item"]) >= 2) & ~t["item"].isin(*P.STOP_WORDS))
+    rows = docs.select(key, words.alias("ts")).select(key, "ts", F.array_max(F.transform("ts", lambda t: t["n"])).alias("top"))
+    return rows.select(key, "top", F.explode("ts").alias("t")).select(key, F.col("t.item").alias("token"), F.col("t.n").alias("n"), "top")
 
 
 def existing_tags(words: DataFrame, tags: DataFrame, key: str, applied: DataFrame | None = None) -> DataFrame:
@@ -32,11 +35,10 @@ def existing_tags(words: DataFrame, tags: DataFrame, key: str, applied: DataFram
 def new_tags(words: DataFrame, tags: DataFrame, key: str, most: int = MOST_NEW) -> DataFrame:
     """(key, name, score): each document's most frequent words that no tag has, by their share of its highest frequency."""
     known = tags.select(F.explode(F.concat(F.expr(tokens(SPARK, "name")), F.array(F.expr(fold_token(SPARK, "name"))))).alias("token")).distinct()
-    top = words.groupBy(key).agg(F.max("n").alias("top"))
     fresh = words.join(known, "token", "left_anti")
     rank = F.row_number().over(Window.partitionBy(key).orderBy(F.col("n").desc(), "token"))
     best = fresh.withColumn("r", rank).where(F.col("r") <= most)
-    return best.join(top, key).select(key, F.col("token").alias("name"), (F.floor(F.col("n") / F.col("top") * 100 + 0.5) / 100).alias("score"))
+    return best.select(key, F.col("token").alias("name"), (F.floor(F.col("n") / F.col("top") * 100 + 0.5) / 100).alias("score"))
 
 
 def suggestions(existing: DataFrame, new: DataFrame, key: str, most: int = MOST) -> DataFrame:
