@@ -27,6 +27,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,10 +39,10 @@ from quillspark.llm._common import configure, discard, field, materialize, relea
 BLOCK = 1 << 14
 
 
-#: Distinct contexts of a group that one task indexes; larger groups are narrowed.
-HOT = 1 << 9
-#: Bands into which the starts of a hot group's windows are dealt.
-BANDS = 8
+#: Distinct contexts of a group that one task indexes: a small part of a block, so that no group decides how long a task takes. Larger groups are narrowed.
+HOT = BLOCK >> 4
+#: Bands into which the starts of a hot group's windows are dealt; each context goes into as many.
+BANDS = 4
 #: Hot groups that are broadcast at most, 8 bytes each; there is one for every HOT contexts at most. Beyond, the same join is shuffled.
 BROADCAST_ROWS = 1 << 20
 
@@ -220,8 +221,7 @@ def _bands(contexts: DataFrame, unit: Unit, k: int, band: int, ship: bool) -> Da
 
 
 def _verdicts(contexts: DataFrame, unit: Unit, k: int, decide: Callable) -> DataFrame:
-    """(h, sig, spans) of the contexts (h, lft, context, weight; anchors of ``k`` symbols) that hold repeated windows; h and sig may
-    come several times. Groups of more than HOT contexts are narrowed to bands and decided there, by the same function."""
+    """(h, sig, spans), a row for each of the contexts (h, lft, context, weight; anchors of ``k`` symbols) that holds repeated windows. Groups of more than HOT contexts are narrowed to bands and decided there, by the same function."""
     spark = contexts.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     hot = materialize(contexts.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("h"), "hot")
@@ -239,7 +239,8 @@ def _verdicts(contexts: DataFrame, unit: Unit, k: int, decide: Callable) -> Data
     found = _verdicts(narrow, unit, unit.length - band + 1, decide)
     found = found.select(F.col("h").alias("part_h"), F.col("sig").alias("part_sig"), "spans")
     back = _bands(large, unit, k, band, ship=False).join(found.hint("shuffle_hash"), ["part_h", "part_sig"])
-    taken = materialize(back.select("h", "sig", F.expr("transform(spans, x -> x + shift)").alias("spans")), "taken_back")
+    shifted = back.select("h", "sig", F.expr("transform(spans, x -> x + shift)").alias("s")).groupBy("h", "sig").agg(F.collect_list("s").alias("spans"))  # of a context's few bands
+    taken = materialize(shifted.select("h", "sig", _joined("spans").alias("spans")), "taken_back")
     discard(narrow)
     discard(large)
     return out.unionByName(taken)
@@ -318,6 +319,12 @@ def merge_spans(spans: list[list[int]] | None) -> list[tuple[int, int]]:
     return out
 
 
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _joined(spans: pd.Series) -> pd.Series:
+    """Lists of spans as one list of their maximal runs."""
+    return spans.map(lambda s: [x for run in merge_spans(list(s)) for x in run])
+
+
 #: The columns of a result.
 RESULT = ("n_symbols", "n_removed", "n_spans", "kept")
 

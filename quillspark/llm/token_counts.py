@@ -98,13 +98,52 @@ def allocate(token_ends: np.ndarray, section_ends: np.ndarray, rule: str) -> np.
     return out
 
 
-def section_counts(docs: DataFrame, rule: str = "largest", path: str | None = None, text_column: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """A row for each line of each document: the columns of ``docs`` (or those in ``keep``), n_tokens (of the document), section
-    (from 0), char_start, char_end, section_tokens (double, by ``rule``) and n_crossing (tokens of the document that cross lines).
+def paragraph_sections(raw: bytes) -> np.ndarray:
+    """As :func:`line_sections`, where a section is a paragraph with the empty lines that close it."""
+    ends = np.array([m.end() for m in re.finditer(rb"\n\n+", raw)], dtype=np.int64)
+    return ends if len(ends) and ends[-1] == len(raw) or not raw else np.append(ends, len(raw))
+
+
+SECTIONS = {"lines": line_sections, "paragraphs": paragraph_sections}
+
+
+def section_counts(docs: DataFrame, rule: str = "largest", path: str | None = None, text_column: str = "text", keep: list[str] | None = None, sections: str = "lines") -> DataFrame:
+    """A row for each section (line or paragraph) of each document: the columns of ``docs`` (or those in ``keep``), n_tokens (of the document), section
+    (from 0), char_start, char_end, section_tokens (double, by ``rule``) and n_crossing (tokens of the document that cross sections).
 
     Texts of any length are encoded whole, long runs of white space among them. A null or empty text gives one row with section null and no tokens, so that every row of ``docs`` is in the result. Each row by
     itself: repeated rows, ids and null ids need no care. Columns of ``docs`` with the name of a result column are replaced.
     """
+    if sections not in SECTIONS:
+        raise ValueError(f"sections must be one of {sorted(SECTIONS)}")
+    cut = SECTIONS[sections]
+
+    def parts(text):
+        raw = text.encode("utf-8")
+        return text, raw, cut(raw)
+
+    return _counts(docs, rule, path, text_column, keep, parts)
+
+
+def field_counts(docs: DataFrame, fields: list[str], rule: str = "largest", path: str | None = None, keep: list[str] | None = None, separator: str = "\n") -> DataFrame:
+    """As :func:`section_counts` for documents that consist of several columns: their texts, each but the last followed by
+    ``separator``, which counts with the text before it, are encoded as one; ``section`` is the number of a field in ``fields``.
+
+    A null field is an empty one, and has its row, with no tokens but those of its separator.
+    """
+    texts = [F.concat(F.coalesce(F.col(f"`{f}`").cast("string"), F.lit("")), F.lit(separator if i + 1 < len(fields) else "")) for i, f in enumerate(fields)]
+    sizes = F.concat_ws(",", *[F.octet_length(t).cast("string") for t in texts])
+    joined = docs.withColumn("__qs_fields", F.concat(sizes, F.lit(";"), *texts))  # sizes first, so that any text can follow
+
+    def parts(text):
+        head, _, text = text.partition(";")
+        return text, text.encode("utf-8"), np.cumsum(np.array(head.split(","), dtype=np.int64))
+
+    carried = docs.columns if keep is None else keep
+    return _counts(joined, rule, path, "__qs_fields", carried, parts)
+
+
+def _counts(docs: DataFrame, rule: str, path: str | None, text_column: str, keep: list[str] | None, parts_of) -> DataFrame:
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
     path = path or default_path()
@@ -114,15 +153,13 @@ def section_counts(docs: DataFrame, rule: str = "largest", path: str | None = No
     def run(texts):
         totals, crossing, sections = [], [], []
         for text in texts:
-            text = text.as_py()
-            raw = text.encode("utf-8")
+            text, raw, parts = parts_of(text.as_py())
             ids, ends = token_ends(text, path)
-            parts = line_sections(raw)
             counts = allocate(ends, parts, rule)
             byte = np.frombuffer(raw, dtype=np.uint8)
-            chars = parts if len(text) == len(raw) else np.cumsum((byte & 0xC0) != 0x80)[parts - 1] if len(parts) else parts
+            chars = parts if len(text) == len(raw) else np.concatenate([[0], np.cumsum((byte & 0xC0) != 0x80)])[parts]
             totals.append(len(ids))
-            crossing.append(len(np.setdiff1d(parts[:-1], ends, assume_unique=True)) if len(parts) else 0)
+            crossing.append(len(np.setdiff1d(parts[:-1], [0, *ends])) if len(parts) else 0)
             begin = [0, *chars[:-1].tolist()] if len(parts) else []
             sections.append([{"section": i, "char_start": a, "char_end": b, "section_tokens": c} for i, (a, b, c) in enumerate(zip(begin, chars.tolist(), counts.tolist()))])
         return totals, crossing, sections

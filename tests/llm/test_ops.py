@@ -238,8 +238,11 @@ def test_repeats_in_blocks_and_by_windows(docs, module, monkeypatch):
     same([tuple(r) for r in module.remove_repeats(docs, 30, keep=["doc_id"]).collect()], want)
 
 
-def test_a_hot_group_is_narrowed(spark):
-    """One passage in 600 texts between words of their own: the groups at its edges have 600 contexts, more than a task takes."""
+def test_a_hot_group_is_narrowed(spark, monkeypatch):
+    """One passage in 600 texts between words of their own: the groups at its edges have 600 contexts, more than a task takes here."""
+    from quillspark.llm import repeats
+
+    monkeypatch.setattr(repeats, "HOT", 500)
     rng = random.Random(8)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
     passage = " ".join(word() for _ in range(60))
@@ -594,3 +597,22 @@ def test_token_counts(docs, none, rule):
     assert not got and token_counts.section_counts(none).count() == 0
     rolled = token_counts.document_counts(token_counts.section_counts(docs, rule), ["lang"]).collect()
     assert sum(r.n_docs for r in rolled) == len(ROWS)
+
+
+def test_token_counts_of_fields_and_paragraphs(spark):
+    encode = token_counts.encoding(token_counts.default_path())[0]
+    rows = [(1, "Title é", "a body\n\nof words; 1,2", None), (2, None, None, None), (3, "", "x", "tail")]
+    df = spark.createDataFrame(rows, "doc_id long, title string, text string, note string")
+    for rule in token_counts.RULES:
+        got = defaultdict(dict)
+        for r in token_counts.field_counts(df, ["title", "text", "note"], rule, keep=["doc_id"]).collect():
+            got[r.doc_id][r.section] = r
+        for i, *texts in rows:
+            parts = [(t or "") + ("\n" if n < 2 else "") for n, t in enumerate(texts)]
+            whole = "".join(parts)
+            assert [whole[got[i][n].char_start : got[i][n].char_end] for n in range(3)] == parts
+            assert all(r.n_tokens == len(encode.encode_ordinary(whole)) for r in got[i].values())
+            assert sum(r.section_tokens for r in got[i].values()) == pytest.approx(len(encode.encode_ordinary(whole)))
+            assert got[i][2].section_tokens > 0 or not parts[2]
+    out = token_counts.section_counts(df, keep=["doc_id"], sections="paragraphs").where("doc_id = 1").orderBy("section").collect()
+    assert [(r.char_start, r.char_end) for r in out] == [(0, 8), (8, 21)] and sum(r.section_tokens for r in out) == out[0].n_tokens
