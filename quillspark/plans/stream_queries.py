@@ -59,6 +59,14 @@ def rate_limit_replay(spark, sf_dir):
     return out.select("event_id", "allowed", "remaining", "retry_after_us")
 
 
+@query()
+def bounded_store_replay(spark, sf_dir):
+    """A store for each type of event, of twenty users at most: the oldest goes for a new one. No oracle: its state is an ordered map."""
+    rows = _events(spark, sf_dir).withColumn("client", F.col("user_id"))
+    out = stateful.replay(rows, "event_type", stateful.bounded_store(3, _DAY, 20), ({},), stateful.BOUNDED_RESULT, ["us", "event_id"])
+    return out.select("event_id", "allowed", "held", "evicted")
+
+
 _FAILED = "case when o.failed then case when {until} <> 0 then 1 else {failures} + 1 end else 0 end"
 _UNTIL = f"case when o.us < {{until}} then {{until}} when ({_FAILED}) >= 2 then o.us + {_LOCK} else 0 end"
 _LOCKED = f"case when o.us < {{until}} then {{failures}} else {_FAILED} end"

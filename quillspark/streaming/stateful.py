@@ -32,6 +32,27 @@ def rate_limit(limit: int, window_us: int) -> Step:
     return step
 
 
+def bounded_store(limit: int, window_us: int, most: int = 10_000) -> Step:
+    """Rate limits of many clients in one store of ``most`` entries: state (entries: client -> [hits, end of its window], in the order
+    in which they came). A full store lets its oldest entry go for a new one, whose client then starts afresh; entries whose window
+    is over are replaced when their client comes again. Rows have us and client. Result: allowed, held, evicted."""
+
+    def step(state: tuple, row) -> tuple[tuple, tuple]:
+        entries, evicted = dict(state[0]), None
+        found = entries.get(row.client)
+        if found is None or row.us > found[1]:
+            if len(entries) >= most:
+                evicted = next(iter(entries))
+                del entries[evicted]
+            entries[row.client] = [1, row.us + window_us]
+        else:
+            entries[row.client] = [found[0] + 1, found[1]]
+        return (entries,), (entries[row.client][0] <= limit, len(entries), evicted)
+
+    return step
+
+
+BOUNDED_RESULT = "allowed boolean, held long, evicted long"
 RATE_STATE, RATE_RESULT = "start long, hits long", "allowed boolean, remaining long, retry_after_us long"
 
 

@@ -146,6 +146,16 @@ def run(step, state, rows):
     return out
 
 
+def test_a_full_store_lets_the_oldest_go():
+    from types import SimpleNamespace as Row
+
+    step, state, out = stateful.bounded_store(1, 100, 2), ({},), []
+    for us, client in ((0, 1), (1, 1), (2, 2), (3, 3), (4, 1), (150, 3)):
+        state, made = step(state, Row(us=us, client=client))
+        out.append(made)
+    assert out == [(True, 1, None), (False, 1, None), (True, 2, None), (True, 2, 1), (True, 2, 2), (True, 2, 3)]
+
+
 def test_rate_limit_window_opens_at_first_hit():
     step = stateful.rate_limit(2, 100)
     assert [o[0] for o in run(step, (-1, 0), [{"us": t} for t in (50, 60, 70, 149, 150, 151)])] == [True, True, False, False, True, True]
