@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillspark.functions import patterns as P
+
 RUN = T.StructType([T.StructField("content", T.StringType()), *[T.StructField(n, T.BooleanType()) for n in ("bold", "italic", "strikethrough")]])
 BLOCK = T.StructType([
     T.StructField("type", T.StringType()),
@@ -241,14 +243,13 @@ def render_markdown(df: DataFrame, blocks: str = "blocks", name: str = "markdown
 
 def protected_spans(text: str) -> list[dict]:
     """Spans that restoration must not touch: quoted verses, references to laws; overlapping ones merged."""
-    marks = re.compile("[ؐ-ًؚ-ٰٟۖ-ۭࣔ-࣡]")
     found = []
-    for m in re.finditer("[﴿«\"'(](.*?)[﴾»\"')]", text):
+    for m in re.finditer(P.QUOTED, text):
         quote = m.group()
-        letters = len(re.findall("[؀-ۿ]", quote))
-        if "﴿" in quote or "﴾" in quote or letters and len(marks.findall(quote)) / letters > 0.3:
+        letters = len(re.findall(P.QUOTED_LETTERS, quote))
+        if any(b in quote for b in P.VERSE_BRACKETS) or letters and len(re.findall(P.QUOTED_MARKS, quote)) / letters > P.MARKS_A_LETTER:
             found.append(m.span())
-    found += [m.span() for m in re.finditer(r"(?:المادة|قانون|مرسوم|قرار)\s*(?:رقم|عدد)?\s*\d+", text)]
+    found += [m.span() for m in re.finditer(P.LAW, text)]
     out: list[list[int]] = []
     for a, b in sorted(found):
         if out and a <= out[-1][1]:

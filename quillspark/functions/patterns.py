@@ -1,4 +1,7 @@
-"""Fixed values of the text operators: ranges, word lists, patterns. They must equal what the operators are defined by."""
+"""Fixed values of the text operators: ranges, word lists, patterns. They must equal what the operators are defined by.
+
+All tables and patterns here are such values but for JUNK and BEFORE_JUNK, which say TRAILING_JUNK in two more ways.
+"""
 
 from quillspark.functions.dialect import WS
 
@@ -38,19 +41,19 @@ HEADING_NUMBERED = rf"^\d+[.)–—]{WS}+"
 HEADING_NUMBERED_ANY = rf"^\d+[.\-)–—]{WS}"
 HEADING_EXAMPLE = rf"^(المثال){WS}+(الأول|الاول|الثاني|الثالث|الرابع|الخامس|السادس)"
 HEADING_PARTICIPATION = rf"^(المشاركة){WS}+(الأولى|الأول|الثانية|الثاني|الثالثة|الثالث)"
-_TO_FOUR = "الأول|الاول|الثاني|الثالث|الرابع"
-_TO_SIX = f"{_TO_FOUR}|الخامس|السادس"
-MAJOR_UNITS = (
-    ("الفصل", f"{_TO_SIX}|السابع|الثامن|التاسع|العاشر"),
-    ("الباب", _TO_SIX),
-    ("المبحث", _TO_SIX),
-    ("المطلب", f"{_TO_FOUR}|الخامس"),
-    ("القسم", _TO_FOUR),
-    ("الجزء", _TO_FOUR),
-    ("الدرس", _TO_SIX),
-    ("الوحدة", _TO_SIX),
+#: Fixed value: units of a book, each with the numerals that may follow it.
+HEADING_MAJOR = (
+    "^(?:"
+    rf"الفصل{WS}+(?:الأول|الاول|الثاني|الثالث|الرابع|الخامس|السادس|السابع|الثامن|التاسع|العاشر|[0-9]+)"
+    rf"|الباب{WS}+(?:الأول|الاول|الثاني|الثالث|الرابع|الخامس|السادس|[0-9]+)"
+    rf"|المبحث{WS}+(?:الأول|الاول|الثاني|الثالث|الرابع|الخامس|السادس|[0-9]+)"
+    rf"|المطلب{WS}+(?:الأول|الاول|الثاني|الثالث|الرابع|الخامس|[0-9]+)"
+    rf"|القسم{WS}+(?:الأول|الاول|الثاني|الثالث|الرابع|[0-9]+)"
+    rf"|الجزء{WS}+(?:الأول|الاول|الثاني|الثالث|الرابع|[0-9]+)"
+    rf"|الدرس{WS}+(?:الأول|الاول|الثاني|الثالث|الرابع|الخامس|السادس|[0-9]+)"
+    rf"|الوحدة{WS}+(?:الأول|الاول|الثاني|الثالث|الرابع|الخامس|السادس|[0-9]+)"
+    ")"
 )
-HEADING_MAJOR = "^(?:" + "|".join(rf"{unit}{WS}+(?:{numbers}|[0-9]+)" for unit, numbers in MAJOR_UNITS) + ")"
 HEADING_SUB = rf"^(?:سورة{WS}|الحديث{WS}|الخاتمة|المقدمة|المراجع|المصادر|الملاحق|النتائج|التوصيات|ملخص|خلاصة|تمهيد|مدخل|ملحوظة|تنبيه|فائدة|تتمة|تكملة|هامش|أسئلة|تمارين|تدريبات|أهداف|مقدمة|خاتمة)"
 HEADING_ORDINAL = rf"^(?:اولاً?|ثانياً?|ثالثاً?|رابعاً?|خامساً?|سادساً?|سابعاً?|ثامناً?|تاسعاً?|عاشراً?|أخيراً?|أخيرا){WS}*[.:]?{WS}+"
 
@@ -150,3 +153,11 @@ FAILURES = (
     (("JOB_ABORTED",), "fatal", "JOB_ABORTED"),
 )
 OTHER_FAILURE = ("transient", "UNKNOWN_ERROR")
+
+#: Quotations that may be verses, the marks and letters that tell, the brackets that always do; references to laws.
+QUOTED = "[﴿«\"'(](.*?)[﴾»\"')]"
+QUOTED_MARKS = "[ؐ-ًؚ-ٰٟۖ-ۭࣔ-࣡]"
+QUOTED_LETTERS = "[؀-ۿ]"
+VERSE_BRACKETS = ("﴿", "﴾")
+MARKS_A_LETTER = 0.3
+LAW = r"(?:المادة|قانون|مرسوم|قرار)\s*(?:رقم|عدد)?\s*\d+"
