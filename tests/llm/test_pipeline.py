@@ -85,3 +85,32 @@ def test_run(spark):
     for r in rows:
         ids = model.encode(r.text)
         assert bytes(final[r.doc_id].ids) == np.array(ids, dtype="<u4").tobytes() and final[r.doc_id].n_tokens == len(ids)
+
+
+def test_run_on_odd_tables(spark, tmp_path):
+    """Nulls in every column, repeated ids and rows, empty and very long texts, another column; then an empty table."""
+    import random
+
+    rng = random.Random(7)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8))) for _ in range(n))
+    passage, item = prose(50), prose(14)
+    rows = [(i, prose(70), "en", "s", None, "x") for i in range(20)]
+    rows += [(100 + i, f"{prose(60)} {passage}", None, None, 1, None) for i in range(3)] + [(200, f"{prose(80)} {item} {prose(9)}", "en", "s", 1, "x")]
+    rows += [(5, rows[5][1], "en", "s", None, "x"), (5, prose(90), "en", "s", None, "x"), (None, prose(75), None, None, None, None), (None, rows[1][1], None, None, None, None)]
+    rows += [(300, None, "en", "s", 0, "x"), (301, "", "en", "s", 0, "x"), (302, prose(60000), "en", "s", 0, "x"), (303, f"{prose(60)}{' ' * 300000}end", "en", "s", 0, "x")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, kept string"
+    spark.createDataFrame([(1, item), (2, None), (None, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    made = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    ids = Counter(r.doc_id for r in made)
+    # rows of equal text stay once, under the least id; null ids last; short texts are rejected
+    assert ids == Counter([*range(20), 100, 101, 102, 200, 5, None, 302, 303])
+    model, decoded = bpe.WordBpe(bpe.default_path()), {}
+    for r in made:
+        assert r.n_tokens == len(bytes(r.ids)) // 4
+        decoded.setdefault(r.doc_id, []).append(model.decode(np.frombuffer(bytes(r.ids), dtype="<u4").tolist()).replace("</w>", "").replace(" ", ""))
+    assert not any(passage.replace(" ", "") in t or item.replace(" ", "") in t for ts in decoded.values() for t in ts)
+    assert [rows[0][1].replace(" ", "")] == decoded[0]
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/none/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/none/benchmark.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
