@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import ir, labels
 from quillspark.functions.dialect import DUCK, SPARK
 from quillspark.operators import relations as R
 from quillspark.operators import validation as V
+from quillspark.operators.numbering import number_within
 from quillspark.plans.registry import pick, query, read
 from quillspark.sources import exports as E
 
@@ -90,8 +90,7 @@ PART = 100
 def journeys(spark, sf_dir):
     """All documents of each source as ordered lists, in parts of fixed length so that no row gathers a source."""
     docs = read(spark, sf_dir, "documents").select("source", "doc_id", "n_chars")
-    place = F.row_number().over(Window.partitionBy("source").orderBy("n_chars", "doc_id")) - 1
-    placed = docs.withColumn("place", place).withColumn("part", F.floor(F.col("place") / PART))
+    placed = number_within(docs, ["source"], ["n_chars", "doc_id"], "place").withColumn("part", F.floor(F.col("place") / PART))
     lists = placed.groupBy(F.struct("source", "part").alias("journey")).agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "doc_id"))), lambda s: s["doc_id"]).alias("steps"))
     steps = R.expand_references(lists, "journey", "steps").join(docs.select(F.col("doc_id").alias("reference"), "n_chars"), "reference")
     ordered = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "reference"))), lambda s: s["reference"].cast("string")), ",")
