@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillspark.llm._common import field, materialize, table
-from quillspark.llm.numbering import number_rows
+from quillspark.operators.numbering import number_rows
 
 #: How a turn is rendered; the loss covers the text and the end mark of the assistant's turns.
 TEMPLATE = ("<|", "|>\n", "<|end|>\n")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm._common import table, text_or_empty, without
 from quillspark.llm.feistel import network_sql, permute
-from quillspark.llm.numbering import number_rows
+from quillspark.operators.numbering import number_rows
 
 RESULT = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
