@@ -25,6 +25,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -184,22 +185,29 @@ def _bands(contexts: DataFrame, unit: Unit, k: int, band: int, ship: bool) -> Da
     """The parts of contexts (h, lft, context, weight; anchors of ``k`` symbols) that the windows of each band of starts cover.
 
     Windows of a band start at ``band`` neighbouring places relative to the anchor, so they have length - band + 1 symbols in
-    common: the core, which takes the anchor's role. ``ship``: (h, lft, context, weight) with the core's group as h; else
-    (part_h, part_sig, h, sig, shift), to take what was decided back: the core starts ``shift`` symbols after the anchor.
+    common: the core, which takes the anchor's role. ``ship``: (h, lft, context, weight) with the core's group as h, equal parts
+    of a task's contexts merged; else (part_h, part_sig, h, shift, sigs), to take what was decided about a part back to the
+    contexts that hold it: the core starts ``shift`` symbols after the anchor.
     """
     reach, length = unit.length - k, unit.length
     if ship:
         schema = T.StructType([field("h", T.LongType()), field("lft", T.IntegerType()), field("context", T.BinaryType()), field("weight", T.IntegerType())])
     else:
-        schema = T.StructType([field("part_h", T.LongType()), field("part_sig", T.BinaryType()), field("h", T.LongType()), field("sig", T.BinaryType()), field("shift", T.IntegerType())])
+        schema = T.StructType([field("part_h", T.LongType()), field("part_sig", T.BinaryType()), field("h", T.LongType()), field("shift", T.IntegerType()), field("sigs", T.ArrayType(T.BinaryType()))])
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
         from pyspark.sql.pandas.types import to_arrow_schema
 
         types = [f.type for f in to_arrow_schema(schema)]
-        for batch in (b.slice(at, 512) for b in batches for at in range(0, b.num_rows, 512)):
-            columns = [[] for _ in schema.names]
+        held: dict[tuple, Any] = {}
+        size = 0
+
+        def batch_of():
+            rows = [(*key, value) for key, value in held.items()]
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], type=t) for i, t in enumerate(types)], names=schema.names)
+
+        for batch in batches:
             for h, left, context, weight in zip(*[batch.column(i).to_pylist() for i in range(4)]):
                 symbols, first = context.split(b" ") if unit.words else context, reach - left
                 join = b" ".join if unit.words else bytes
@@ -211,10 +219,19 @@ def _bands(contexts: DataFrame, unit: Unit, k: int, band: int, ship: bool) -> Da
                     part, part_left = join(symbols[a : b + length]), core - a
                     name = h.to_bytes(8, "little", signed=True) + number.to_bytes(4, "little") + join(symbols[core : low + length - first])
                     part_h = int.from_bytes(hashlib.blake2b(name, digest_size=8).digest(), "little", signed=True)
-                    row = (part_h, part_left, part, weight) if ship else (part_h, _signature(part_left, part), h, sig, low + band - 1 - reach)
-                    for column, value in zip(columns, row):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, types)], names=schema.names)
+                    if ship:
+                        key = part_h, part_left, part
+                        held[key] = 2 if key in held else weight
+                        size += len(part)
+                    else:
+                        held.setdefault((part_h, _signature(part_left, part), h, low + band - 1 - reach), []).append(sig)
+                        size += 64
+                if size > 16 << 20:
+                    yield batch_of()
+                    held.clear()
+                    size = 0
+        if held:
+            yield batch_of()
         trim_memory()
 
     return contexts.mapInArrow(run, schema)
@@ -239,7 +256,8 @@ def _verdicts(contexts: DataFrame, unit: Unit, k: int, decide: Callable) -> Data
     found = _verdicts(narrow, unit, unit.length - band + 1, decide)
     found = found.select(F.col("h").alias("part_h"), F.col("sig").alias("part_sig"), "spans")
     back = _bands(large, unit, k, band, ship=False).join(found.hint("shuffle_hash"), ["part_h", "part_sig"])
-    shifted = back.select("h", "sig", F.expr("transform(spans, x -> x + shift)").alias("s")).groupBy("h", "sig").agg(F.collect_list("s").alias("spans"))  # of a context's few bands
+    each = back.select("h", F.explode("sigs").alias("sig"), F.expr("transform(spans, x -> x + shift)").alias("s"))
+    shifted = each.groupBy("h", "sig").agg(F.collect_list("s").alias("spans"))  # of a context's few bands
     taken = materialize(shifted.select("h", "sig", _joined("spans").alias("spans")), "taken_back")
     discard(narrow)
     discard(large)
