@@ -32,8 +32,8 @@ _stored: dict[tuple, str] = {}
 
 def _stored_index(spark, sf_dir):
     """The path of the index of ``documents``: stored once for an application and a state of the table's files."""
-    files = read(spark, sf_dir, "documents").inputFiles()
-    state = tuple(map(tuple, spark.read.format("binaryFile").load(files).select("path", "length", "modificationTime").orderBy("path").collect())) if files else ()
+    files = spark.read.format("binaryFile").load(f"{sf_dir}/documents.parquet")
+    state = tuple(files.agg(F.count("*"), F.sum("length"), F.max("modificationTime"), F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)"))).first())
     key = (spark.sparkContext.applicationId, sf_dir, state)
     if key not in _stored:
         path = table_path(spark, "postings")

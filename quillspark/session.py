@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Tables of long texts: what is done to a row costs far more than moving it.
 TEXTS = ("documents", "pages", "conversations")
@@ -20,13 +21,14 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A Parquet table of a folder. A table of texts whose files hold row groups for less than half the cores is dealt out to all
     cores: a small file is one row group, and so one busy task however many ways it is split. Tables of any size to speak of are
     read as they lie."""
-    df = spark.read.parquet(f"{folder}/{name}.parquet")
+    path = f"{folder}/{name}.parquet"
+    df = spark.read.parquet(path)
     if name in TEXTS:
-        cores, files = spark.sparkContext.defaultParallelism, df.inputFiles()
-        if 2 * len(files) < cores:
-            sizes = spark.read.format("binaryFile").load(files).select("length").collect() if files else []  # fewer rows than cores; contents are not read
-            if 2 * sum(-(-r.length // ROW_GROUP) for r in sizes) < cores:
-                return df.repartition(cores)
+        files = spark.read.format("binaryFile").load(path)  # the lengths of files; contents that nobody asks for are not read
+        groups = files.agg(F.sum(F.ceil(F.col("length") / ROW_GROUP))).first()[0] or 0
+        cores = spark.sparkContext.defaultParallelism
+        if 2 * groups < cores:
+            return df.repartition(cores)
     return df
 
 
