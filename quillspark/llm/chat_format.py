@@ -18,7 +18,8 @@ TRAINED_ROLE = "assistant"
 
 def gather_turns(conversations: DataFrame) -> DataFrame:
     """conv_id and its turns, an array of (turn, role, text) in this order. Null roles and texts are read as empty, null turns come
-    first, turns with equal numbers are ordered by role and text; repeated rows are repeated turns."""
+    first, turns with equal numbers are ordered by role and text; repeated rows are repeated turns. A conversation is one row of what
+    this operator makes (its texts are strings), so a task holds its turns: memory follows the longest conversation."""
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     return conversations.select("conv_id", turn.alias("t")).groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
 
