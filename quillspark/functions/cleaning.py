@@ -183,7 +183,8 @@ def _compiled(pattern: str) -> re.Pattern:
 _SPACE = _compiled(f"{WS}+")
 _BULLET, _LINE_START = _compiled(P.BULLET), _compiled(P.LINE_START)
 _LAST_WORD, _ARABIC = _compiled(rf"{WS}(?:{P.LINE_END_WORDS})\z"), _compiled(P.ARABIC)
-_LISTED = _compiled(rf"^\[?{WS}*[0-9]+{WS}*\]?(?:[\-.)]|{WS})|^\([0-9]+\)|^[¹²³]")
+LISTED = rf"^\[?{WS}*[0-9]+{WS}*\]?(?:[\-.)]|{WS})|^\([0-9]+\)|^[¹²³]"
+_LISTED = _compiled(LISTED)
 _SENTENCE_END = tuple(".?!،؟")
 SHORT_LINE = 40
 

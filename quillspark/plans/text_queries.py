@@ -9,7 +9,7 @@ from quillspark.functions import cleaning as C
 from quillspark.functions import ir, labels
 from quillspark.functions import normalizers as N
 from quillspark.functions import patterns as P
-from quillspark.functions.dialect import DUCK, SPARK, Dialect
+from quillspark.functions.dialect import DUCK, SPARK, WS, Dialect
 from quillspark.operators import relations as R
 from quillspark.plans.registry import ORACLES, QUERIES, pick, query, read
 
@@ -100,7 +100,20 @@ def unicode_composition(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", F.md5(F.when(F.octet_length("text") == F.length("text"), F.col("text")).otherwise(C.compose_udf("text"))).alias("result"))
 
 
-@query()
+_OPENS = " or ".join(DUCK.starts("l", p) for p in ("## ", "# ", "### "))
+_ALONE = f"l = '' or {_OPENS} or {DUCK.matches('l', P.BULLET)} or {DUCK.matches('l', C.LISTED)}"
+_GOES_ON = DUCK.matches("l", rf"{P.ARABIC}{WS}+(?:{P.LINE_END_WORDS})\z")
+
+
+@query(
+    f"""with x as (select doc_id, string_split({as_arabic(DUCK, 'text')}, chr(10)) as ls from documents), y as (select doc_id, unnest(ls) as l, unnest(range(1, len(ls) + 1)) as n from x),
+    z as (select doc_id, n, {DUCK.trim('l')} as l from y), a as (select doc_id, n, l, {_ALONE} as alone, {_GOES_ON} as goes, {DUCK.matches('l', P.LINE_START)} as starts from z),
+    b as (select *, coalesce(lag(goes and not alone) over w, false) as carried from a window w as (partition by doc_id order by n)),
+    c as (select *, not alone and not starts and not carried and ({DUCK.matches('l', '[.?!،؟]' + chr(92) + 'z')} or length(l) < {C.SHORT_LINE} and not goes) as closes from b),
+    d as (select *, case when alone or coalesce(lag(alone or closes) over w, true) then 1 else 0 end as opens from c window w as (partition by doc_id order by n)),
+    e as (select doc_id, n, l, sum(opens) over (partition by doc_id order by n) as g from d), f as (select doc_id, g, string_agg(l, ' ' order by n) as l from e group by 1, 2)
+    select doc_id, md5(string_agg(l, chr(10) order by g)) as result from f group by 1"""
+)
 def line_reconstruct(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", F.md5(C.merge_lines_udf(F.expr(as_arabic(SPARK, "text")))).alias("result"))
 
@@ -297,7 +310,22 @@ def ir_markdown(spark, sf_dir):
     return ir.render_markdown(ir.with_blocks(docs)).select("doc_id", F.md5("markdown").alias("result"))
 
 
-@query()
+def _found(pattern: str, kept: str = "true") -> str:
+    """Spans of a pattern's matches in ``text`` of t, for DuckDB: lengths of what lies between them and of themselves, summed up."""
+    parts = f"select doc_id, regexp_extract_all(text, {DUCK.lit(pattern)}) as ms, regexp_split_to_array(text, {DUCK.lit(pattern)}) as ps from t"
+    each = f"select doc_id, unnest(ms) as m, unnest(ps[1:len(ms)]) as p, unnest(range(1, len(ms) + 1)) as k from ({parts})"
+    return f"select doc_id, a, a + length(m) as b from (select doc_id, m, sum(length(p) + length(m)) over (partition by doc_id order by k) - length(m) as a from ({each})) where {kept}"
+
+
+_VERSE = f"{DUCK.matches('m', '[' + ''.join(P.VERSE_BRACKETS) + ']')} or {DUCK.ratio(DUCK.count('m', P.QUOTED_MARKS), DUCK.count('m', P.QUOTED_LETTERS))} > {P.MARKS_A_LETTER}"
+
+
+@query(
+    f"""with t as (select doc_id, concat('«﴿', {as_arabic(DUCK, 'text')}, '﴾» المادة 15 ') as text from documents), f as ({_found(P.QUOTED, _VERSE)} union all {_found(P.LAW)}),
+    g as (select *, max(b) over (partition by doc_id order by a, b rows between unbounded preceding and 1 preceding) as reach from f),
+    h as (select *, sum(case when a <= reach then 0 else 1 end) over (partition by doc_id order by a, b) as island from g)
+    select doc_id, min(a)::int as start, max(b)::int as "end" from h group by doc_id, island"""
+)
 def protected_spans(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("doc_id", F.expr(f"concat('«﴿', {as_arabic(SPARK, 'text')}, '﴾» المادة 15 ')").alias("text"))
     return docs.select("doc_id", F.explode(ir.protected_spans_udf("text")).alias("s")).select("doc_id", "s.start", "s.end")
