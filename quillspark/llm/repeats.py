@@ -259,8 +259,8 @@ def _verdicts(contexts: DataFrame, unit: Unit, k: int, decide: Callable) -> Data
     each = back.select("h", F.explode("sigs").alias("sig"), F.expr("transform(spans, x -> x + shift)").alias("s"))
     shifted = each.groupBy("h", "sig").agg(F.collect_list("s").alias("spans"))  # of a context's few bands
     taken = materialize(shifted.select("h", "sig", _joined("spans").alias("spans")), "taken_back")
-    discard(narrow)
-    discard(large)
+    for done in (hot, narrow, large):
+        discard(done)
     return out.unionByName(taken)
 
 
@@ -309,8 +309,9 @@ def repeated(docs: DataFrame, unit: Unit, decide: Callable, id_column: str, text
     places = every.join(twice.hint("shuffle_hash"), "h", "left_semi").groupBy("rid").agg(F.collect_list(F.struct("p", "h")).alias("ps"))
     chosen = places.join(texts.select("rid", "copies"), "rid").join(found.select("rid", "key", "did"), "rid").select("key", "did", "copies", "ps")
     carriers = materialize(_packed(keyed, "text").join(chosen.hint("shuffle_hash"), ["key", "did"]).select("key", "copies", "ps", "packed"), "carriers", "none")
-    del every, twice, places, chosen, texts
     discard(found)
+    discard(twice)
+    del every, twice, places, chosen, texts
     release(spark)
     merged = _instances(carriers, unit, ship=True).groupBy("h", "lft", "context").agg(F.min("place").alias("a"), F.max("place").alias("b"), F.max("copies").alias("copies"))
     weighed = merged.select("h", "lft", "context", F.when(F.expr("a <> b or copies > 1"), 2).otherwise(1).alias("weight"))

@@ -242,6 +242,8 @@ def drop_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column
     each = rows.groupBy("fp").agg(F.min(F.struct(F.col("__qs_id").isNull().alias("none"), F.col("__qs_id").alias("id"), F.col("__qs_md5").alias("md5"))).alias("one"))
     kept = each.join(named, "fp").groupBy("root").agg(F.min("one").alias("one")).select(F.col("one.id").alias("__qs_kept"), F.col("one.md5").alias("__qs_kept_md5"))
     kept = materialize(kept, "kept")  # written, so that both sides of the next join are plain shuffles
+    discard(rows)
+    discard(named)
     marked = docs.withColumn("__qs_md5", digest)
     one = marked.join(kept, F.col(f"`{id_column}`").eqNullSafe(F.col("__qs_kept")) & (F.col("__qs_md5") == F.col("__qs_kept_md5")), "left_semi")
     return one.dropDuplicates([id_column, "__qs_md5"]).drop("__qs_md5")
