@@ -21,7 +21,7 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -240,13 +240,17 @@ def drop_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column
     keyed = docs.select(F.col(f"`{id_column}`").alias("__qs_id"), digest.alias("__qs_md5"), F.col(f"`{text_column}`").alias("__qs_source"))
     rows, named = _named(keyed, ["__qs_id", "__qs_md5"], "__qs_source")
     each = rows.groupBy("fp").agg(F.min(F.struct(F.col("__qs_id").isNull().alias("none"), F.col("__qs_id").alias("id"), F.col("__qs_md5").alias("md5"))).alias("one"))
-    kept = each.join(named, "fp").groupBy("root").agg(F.min("one").alias("one")).select(F.col("one.id").alias("__qs_kept"), F.col("one.md5").alias("__qs_kept_md5"))
+    kept = each.join(named, "fp").groupBy("root").agg(F.min("one").alias("one")).select(_key(F.col("one.id"), F.col("one.md5")).alias("__qs_key"))
     kept = materialize(kept, "kept")  # written, so that both sides of the next join are plain shuffles
     discard(rows)
     discard(named)
-    marked = docs.withColumn("__qs_md5", digest)
-    one = marked.join(kept, F.col(f"`{id_column}`").eqNullSafe(F.col("__qs_kept")) & (F.col("__qs_md5") == F.col("__qs_kept_md5")), "left_semi")
-    return one.dropDuplicates([id_column, "__qs_md5"]).drop("__qs_md5")
+    marked = docs.withColumn("__qs_key", _key(F.col(f"`{id_column}`"), digest))
+    return marked.join(kept, "__qs_key", "left_semi").dropDuplicates(["__qs_key"]).drop("__qs_key")  # one shuffle of the texts for both
+
+
+def _key(id_: Column, digest: Column) -> Column:
+    """Id and digest as one value that is never null, so that a join and what follows it can share a partitioning."""
+    return F.concat(digest, F.coalesce(F.concat(F.lit("="), id_.cast("string")), F.lit("")))
 
 
 def op9_simhash(spark, sf_dir):
