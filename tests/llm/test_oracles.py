@@ -17,4 +17,4 @@ def test_oracle(spark, duck, name):  # noqa: F811
 
 def test_all_are_registered():
     names = set(entry.queries())
-    assert {f"op{n}_" for n in range(1, 11)} <= {x[: x.index("_") + 1] for x in names if x.startswith("op")} and "pipeline" in names
+    assert {f"op{n}_" for n in range(1, 14)} <= {x[: x.index("_") + 1] for x in names if x.startswith("op")} and "pipeline" in names
