@@ -158,9 +158,11 @@ def fit(distinct: DataFrame, d: int, components: int = COMPONENTS) -> Model | No
     Components are unit eigenvectors by falling eigenvalue, signed so that their largest entry is positive. Eigenvalues within
     rounding of zero count as zero.
     """
+    if not d:
+        return None
     head = _merged(distinct, lambda parts: _total(parts, d), d)
     n = head.get((0, 0), 0)
-    if not n or not d:
+    if not n:
         return None
     sums = [head.get((0, 1 + i), 0) for i in range(d)]
     centre = np.array([s // n for s in sums], dtype=np.int64)
