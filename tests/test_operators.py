@@ -48,6 +48,98 @@ def test_deep_trees_cycles_and_orphans(spark):
     assert {r.id: r.path for r in hierarchy.paths(f).collect()}[59] == " / ".join(f"n{i}" for i in range(60))
 
 
+def forest(rng, n):
+    """Random trees, one long chain, a wide folder, orphans and rings: rows, and (depth, path of ids) by climbing."""
+    rows = [(i, rng.randint(0, i - 1) if i and rng.random() > 0.02 else None, f"n{i}", rng.randint(0, 3)) for i in range(n)]
+    rows += [(1000 + i, 999 + i if i else 5, f"c{i}", 0) for i in range(150)] + [(3000 + i, 7, f"w{i}", i % 3) for i in range(300)]
+    rows += [(5000, 5002, "a", 0), (5001, 5000, "b", 0), (5002, 5001, "c", 0), (5003, 5000, "t", 0), (5010, 5010, "s", 0), (5020, 9999, "o", 0), (5021, 5020, "p", 0)]
+    parent = {i: p for i, p, _, _ in rows}
+    climbs = {}
+    for i in parent:
+        at, way = i, []
+        while at in parent and at not in way:
+            way.append(at)
+            at = parent[at]
+        climbs[i] = way
+    return rows, parent, climbs
+
+
+@pytest.mark.parametrize("few", [None, 60])
+def test_labels(spark, monkeypatch, few):
+    """One task's walk and the contraction of lists agree with climbing; heights over many blocks; many roots by pieces of ranges."""
+    import random
+    from collections import Counter
+
+    rows, parent, climbs = forest(random.Random(4), 400)
+    f = spark.createDataFrame(rows, "id int, parent int, name string, order int").repartition(3)
+    labelled = hierarchy.labels(f, few)
+    place = {r.id: (r.enter, r.leave, r.depth) for r in labelled.collect()}
+    rings = {5000, 5001, 5002, 5003, 5010}
+    assert {i for i, p in place.items() if p[0] is None} == rings and len(place) == len(rows)
+    live = {i: p for i, p in place.items() if i not in rings}
+    assert sorted(x for p in live.values() for x in p[:2]) == list(range(2 * len(live)))
+    assert all(p[2] == len(climbs[i]) - 1 for i, p in live.items())
+    order = {i: (o, i) for i, _, _, o in rows}
+    for i, (a, b, _) in live.items():
+        assert a < b
+        if parent[i] in live:
+            assert live[parent[i]][0] < a and b < live[parent[i]][1]
+            assert all((order[i] < order[j]) == (a < live[j][0]) for j in live if parent[j] == parent[i] and j != i)
+    below = Counter(a for way in climbs.values() for a in way)
+    monkeypatch.setattr(hierarchy, "PLACES", 100)
+    height = {}
+    for way in climbs.values():
+        for d, a in enumerate(way):
+            height[a] = max(height.get(a, 0), d)
+    assert {r.id: r.height for r in hierarchy.heights(f, labelled).collect()} == height
+    assert {r.id: r.depth for r in hierarchy.depths(f, labelled).collect()} == {i: len(w) - 1 for i, w in climbs.items()}
+    roots = spark.createDataFrame([(i,) for i in parent] + [(5,), (-1,)], "root int")
+    for most in (10_000, 10):  # broadcast, and by pieces
+        monkeypatch.setattr(hierarchy, "FEW_ROOTS", most)
+        found = hierarchy.descendants(f, roots, labelled).collect()
+        assert Counter(r.root for r in found) == below and all(r.root in climbs[r.id] for r in found)
+    assert {r.id: r.path for r in hierarchy.paths(f, "/", few).collect()} == {i: "/".join(rows_name(rows, a) for a in reversed(w)) for i, w in climbs.items()}
+    rooted = {i for i, w in climbs.items() if parent[w[-1]] is None}
+    assert {r.id: r.depth for r in hierarchy.tree(f, "/", few).collect()} == {i: len(climbs[i]) - 1 for i in rooted}
+
+
+def rows_name(rows, i, names={}):  # noqa: B006
+    if not names:
+        names |= {r[0]: r[2] for r in rows}
+    return names[i]
+
+
+def test_a_chain_of_ten_thousand(spark):
+    """By contraction, not in one task; what is written is a few times the folders, not depth times."""
+    n = 10_000
+    f = spark.range(n).select("id", F.when(F.col("id") > 0, F.col("id") - 1).alias("parent"), F.lit("x").alias("name"), F.lit(0).alias("order"))
+    labelled = hierarchy.labels(f, 500)
+    got = {r.id: (r.enter, r.leave, r.depth) for r in labelled.collect()}
+    assert got == {i: (i, 2 * n - 1 - i, i) for i in range(n)}
+    assert hierarchy.heights(f, labelled).where(F.col("height") != n - 1 - F.col("id")).isEmpty()
+    assert hierarchy.descendants(f, spark.createDataFrame([(9000,)], "root long"), labelled).count() == 1000
+
+
+def test_lists(spark, monkeypatch):
+    """Ranks of several lists and a ring; rows written are counted."""
+    import random
+
+    from quillspark.operators import lists
+
+    rng = random.Random(9)
+    names = rng.sample(range(10**6), 3000)
+    chains = [names[:2000], names[2000:2900], names[2900:2901]]
+    ring = names[2901:]
+    rows = [(c[i], c[i - 1] if i else None, c[i + 1] if i + 1 < len(c) else None, i, 0 if not i else 1) for c in chains for i in range(len(c))]
+    rows += [(ring[i], ring[i - 1], ring[(i + 1) % len(ring)], 5, 1) for i in range(len(ring))]
+    written = []
+    keep = lists.materialize
+    monkeypatch.setattr(lists, "materialize", lambda df, name: (out := keep(df, name), written.append(out.count()))[0])
+    got = lists.rank(spark.createDataFrame(rows, "e long, pred long, succ long, w long, one long"), ["w", "one"], 100)
+    assert {(r.e, r.w, r.one) for r in got.collect()} == {(c[i], i * (i + 1) // 2, i) for c in chains for i in range(len(c))}
+    assert sum(written) < 9 * len(rows)
+
+
 def test_moves(spark):
     moves = spark.createDataFrame([(2, 4), (2, 2), (2, 9), (3, 9), (6, None), (6, 5)], "id int, target int")
     out = {(r.id, r.target): r.verdict for r in hierarchy.check_moves(folders(spark), moves).collect()}
