@@ -11,7 +11,8 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspa
 
 import corpus_pipeline
 from quillspark.llm import bpe, quality_rules
-from tests.llm.test_ops import brute_fingerprint, norm_words
+from tests.llm.test_near_texts import brute_shingles
+from tests.llm.test_ops import norm_words
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables aren't here")
@@ -27,7 +28,7 @@ def test_run(spark):
     items = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     docs = [(i, t) for i, t in docs if kept_by_rules(t)]
 
-    fps = [brute_fingerprint(t) for _, t in docs]
+    sets = [brute_shingles(t) for _, t in docs]
     root = list(range(len(docs)))
 
     def find(i):
@@ -37,7 +38,7 @@ def test_run(spark):
 
     for i in range(len(docs)):
         for j in range(i):
-            if (fps[i] ^ fps[j]).bit_count() <= 4:
+            if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]):
                 a, b = sorted((find(i), find(j)), key=lambda k: docs[k][0])
                 root[b] = a
     docs = [d for n, d in enumerate(docs) if find(n) == n]
