@@ -25,6 +25,8 @@ REMEMBERED = 150_000
 #: Longer words are encoded anew each time.
 LONGEST_REMEMBERED = 64
 
+#: Marks of combining classes 1, 7, 9, 129, 202, 220, 230 and 240, beside which others are tried.
+REFERENCE_MARKS = "\u0334\u093c\u094d\u0f71\u0321\u0316\u0300\u0345"
 #: Unicode's White_Space.
 WHITE_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WORD = rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{WHITE_SPACE}\p{{L}}\p{{N}}]+"
@@ -74,6 +76,33 @@ def byte_characters() -> list[str]:
     return out
 
 
+def folded(text: str) -> str:
+    """NFC and lower case, letter by letter: without the final form of a sigma."""
+    return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+
+
+@lru_cache(maxsize=1)
+def odd_marks() -> frozenset[str]:
+    """Code points that this Python and the tokenizers library order or compose otherwise, by trying: every mark before and after marks
+    of low and high combining class, and every canonical decomposition. Made once for each Python worker that meets a text beyond
+    ASCII."""
+    import sys
+
+    from tokenizers import normalizers
+
+    library = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()]).normalize_str
+    differ = lambda s: folded(s) != library(s)
+    odd = set()
+    for c in map(chr, range(0x80, sys.maxunicode + 1)):
+        if unicodedata.category(c)[0] == "M" or unicodedata.combining(c):
+            if any(differ(s) for other in REFERENCE_MARKS for s in (f"a{c}{other}", f"a{other}{c}")):
+                odd.add(c)
+        apart = unicodedata.decomposition(c)
+        if apart and apart[0] != "<" and (differ(c) or differ(unicodedata.normalize("NFD", c))):
+            odd |= {c, *unicodedata.normalize("NFD", c)[1:]}
+    return frozenset(odd)
+
+
 class WordBpe:
     """A byte-level BPE with word ends, as the file at ``path`` defines it."""
 
@@ -147,11 +176,10 @@ class WordBpe:
                 continue
             if part.isascii():
                 words = self.word.findall(self.space.sub(" ", part).lower())
-            elif any(unicodedata.category(c) == "Cn" for c in set(part)):
-                words = self._words_of_unassigned(part)
+            elif any(c in odd_marks() or unicodedata.category(c) == "Cn" for c in set(part)):
+                words = self._words_by_library(part)
             else:
-                part = unicodedata.normalize("NFC", part).replace("Σ", "σ")  # case is folded letter by letter, with no final form
-                words = self.word.findall(self.space.sub(" ", part).lower())
+                words = self.word.findall(self.space.sub(" ", folded(part)))
             for word in words:
                 found = known.get(word)
                 if found is None:
@@ -162,9 +190,10 @@ class WordBpe:
                         known[word] = found
                 yield found
 
-    def _words_of_unassigned(self, part: str) -> list[str]:
-        """Words of a text with code points that this Python's Unicode table doesn't know. Other tables, of the regex module or
-        the tokenizers library, may know them, each in its own way; so the library's own normaliser and splitter decide here."""
+    def _words_by_library(self, part: str) -> list[str]:
+        """Words of a text with code points that this Python's Unicode table doesn't know, or orders and composes otherwise than the
+        library's. The tables of the regex module and the library each have their own age; so the library's own normaliser and
+        splitter decide here."""
         if self._library is None:
             from tokenizers import Tokenizer
 
