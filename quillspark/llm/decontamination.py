@@ -158,8 +158,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "spans", te
     """``docs`` without what is in the benchmark: mode "spans" removes the words that windows cover, with the gap before each, from
     the texts and leaves all else; mode "documents" removes whole documents that hold a window. Columns as in ``docs``.
 
-    Hits are found once for each distinct text and joined by its MD5, so copies cost little. Texts without hits are not changed,
-    null texts stay null.
+    Hits are joined by the text's MD5, under which those of copies merge. What is done to a text takes linear time, however many of
+    its words are hit. Texts without hits are not changed, null texts stay null.
     """
     if mode not in ("spans", "documents"):
         raise ValueError("mode must be 'spans' or 'documents'")
@@ -175,7 +175,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "spans", te
     ink, gap = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
     pieces = F.regexp_extract_all(F.col(f"`{text_column}`"), F.lit(f"{gap}*{ink}+"), F.lit(0))
     tail = F.regexp_extract(F.col(f"`{text_column}`"), f"{gap}*\\z", 0)
-    kept = F.concat(F.array_join(F.filter(pieces, lambda p, i: ~F.array_contains("__qs_hit", i)), ""), tail)
+    # as a lambda's variable the pieces are made once; a text with hits has words
+    rest = F.transform(F.array(pieces), lambda p: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(p) - 1), "__qs_hit"), lambda i: p[i]), ""))
+    kept = F.concat(rest[0], tail)
     return joined.select(*[F.when(F.col("__qs_hit").isNotNull(), kept).otherwise(F.col(f"`{c}`")).alias(c) if c == text_column else F.col(f"`{c}`") for c in docs.columns])
 
 
