@@ -352,6 +352,7 @@ def strip(docs: DataFrame, unit: Unit, decide: Callable, id_column: str, text_co
     """The columns of ``docs`` (or those in ``keep``) with symbols, removed symbols, removed spans and what stays (binary), under ``names``."""
     carried = without(docs.select(*[F.col(f"`{c}`") for c in keep]) if keep is not None else docs, names)
     found = repeated(docs, unit, decide, id_column, text_column).select(F.col("key").alias("__qs_key"), F.col("spans").alias("__qs_spans"))
+    found = materialize(found, "spans")  # written, so that the next join has two plain shuffles, which Spark can split where one text has very many copies
     text = text_or_empty(text_column)
     source = docs.select(*[F.col(f"`{c}`") for c in carried], text.alias("__qs_text"), F.unhex(F.md5(F.encode(text, "UTF-8"))).alias("__qs_key"))
     joined = _packed(source, "__qs_text").join(found.hint("shuffle_hash"), "__qs_key", "left").select(*[F.col(f"`{c}`") for c in carried], "packed", "__qs_spans")
