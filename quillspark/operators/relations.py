@@ -80,11 +80,35 @@ def next_order(df: DataFrame, parent: str, order: str = "order") -> DataFrame:
 
 
 def streaks(df: DataFrame, keys: Sequence[str], order: Sequence[Column], failed: Column) -> DataFrame:
-    """``df`` with the number of failures in a row up to each row; a success starts anew."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    runs = df.withColumn("__qs_failed", failed).withColumn("__qs_run", F.sum(F.when(F.col("__qs_failed"), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    inside = Window.partitionBy(*keys, "__qs_run").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return runs.withColumn("streak", F.sum(F.when(F.col("__qs_failed"), 1).otherwise(0)).over(inside)).drop("__qs_failed", "__qs_run")
+    """``df`` with the number of failures in a row up to each row; a success starts anew. A null in ``failed`` counts as a success.
+
+    No task sees all of a key: rows are range-partitioned by (keys, order) and written once; within a partition a streak is the
+    distance from the last success or the key's first row. What a partition adds to the streak that it begins with composes: none
+    of it is left after a success or another key, else its rows are added. These sums, over a row a partition, give each
+    partition's first key what it begins with. ``order`` should break all ties.
+    """
+    spark = df.sparkSession
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    by = [*[F.col(f"`{k}`") for k in keys], *order]
+    key = F.struct(*[F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(keys)])
+    placed = df.withColumns({"__qs_key": key, "__qs_failed": F.coalesce(failed, F.lit(False))})
+    rows = materialize(placed.repartitionByRange(parts, *by).sortWithinPartitions(*by).withColumn("__qs_place", F.monotonically_increasing_id()), "ordered")
+    rows = rows.withColumn("__qs_part", F.shiftright("__qs_place", 33))
+    w = Window.partitionBy("__qs_part", "__qs_key").orderBy("__qs_place")
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    inside = rows.withColumns({"__qs_ended": F.max(F.when(~F.col("__qs_failed"), F.col("__qs_place"))).over(so_far), "__qs_begun": F.first("__qs_place").over(so_far)})
+    inside = inside.withColumn("streak", F.col("__qs_place") - F.coalesce("__qs_ended", F.col("__qs_begun") - 1))
+    at = lambda c, f: f(F.col(c), F.col("__qs_place"))
+    edges = inside.groupBy("__qs_part").agg(at("__qs_key", F.min_by).alias("first"), at("__qs_key", F.max_by).alias("last"), at("streak", F.max_by).alias("adds"), F.max_by(F.col("__qs_ended").isNull(), "__qs_place").alias("open"))
+    over = Window.orderBy("__qs_part")  # a row for each partition
+    edges = edges.withColumn("goes_on", F.col("first").eqNullSafe(F.lag("last").over(over)) & F.lag("__qs_part").over(over).isNotNull())
+    through = F.col("goes_on") & F.col("open") & F.col("first").eqNullSafe(F.col("last"))
+    edges = edges.withColumn("run", F.sum(F.when(through, 0).otherwise(1)).over(over.rowsBetween(Window.unboundedPreceding, 0)))
+    edges = edges.withColumn("left", F.sum("adds").over(Window.partitionBy("run").orderBy("__qs_part").rowsBetween(Window.unboundedPreceding, 0)))
+    edges = edges.select("__qs_part", F.col("first").alias("__qs_first"), F.when(F.col("goes_on"), F.lag("left").over(over)).otherwise(0).alias("__qs_carried"))
+    found = inside.join(F.broadcast(edges), "__qs_part")
+    begun = F.when(F.col("__qs_ended").isNull() & F.col("__qs_key").eqNullSafe(F.col("__qs_first")), F.col("__qs_carried")).otherwise(0)
+    return found.withColumn("streak", F.col("streak") + begun).select(*[F.col(f"`{c}`") for c in df.columns], "streak")
 
 
 def claimable(jobs: DataFrame, per_queue: int) -> DataFrame:

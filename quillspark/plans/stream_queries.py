@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quillspark.plans.registry import query, read
 from quillspark.sources import exports as E
 from quillspark.sources import files, office
-from quillspark.streaming import sinks, stateful, windows
+from quillspark.streaming import scan, sinks, stateful, windows
 
 
 def _events(spark, sf_dir):
@@ -55,7 +55,7 @@ _HITS = f"case when {_FRESH} then 1 else {{hits}} + 1 end"
 )
 def rate_limit_replay(spark, sf_dir):
     """Three events of a user in a window of a day that opens with the first."""
-    out = stateful.replay(_events(spark, sf_dir), "user_id", stateful.rate_limit(3, _DAY), (-1, 0), stateful.RATE_RESULT, ["us", "event_id"])
+    out = scan.replay(_events(spark, sf_dir), "user_id", scan.rate_limit(3, _DAY), stateful.RATE_RESULT, ["us", "event_id"])
     return out.select("event_id", "allowed", "remaining", "retry_after_us")
 
 
@@ -74,7 +74,7 @@ _LOCKED = f"case when o.us < {{until}} then {{failures}} else {_FAILED} end"
 
 @query(_replay_sql({"failures": (0, _LOCKED), "until": (0, _UNTIL)}, {"locked": f"o.us < {{until}} or ({_UNTIL}) > 0", "failures": _LOCKED}))
 def lockout_replay(spark, sf_dir):
-    out = stateful.replay(_events(spark, sf_dir), "user_id", stateful.lockout(2, _LOCK), (0, 0), stateful.LOCKOUT_RESULT, ["us", "event_id"])
+    out = scan.replay(_events(spark, sf_dir), "user_id", scan.lockout(2, _LOCK), stateful.LOCKOUT_RESULT, ["us", "event_id"])
     return out.select("event_id", "locked", "failures")
 
 
@@ -89,7 +89,7 @@ _IN_A_ROW = f"case when {_OPEN} then {{failures}} when not o.failed then 0 when
     )
 )
 def breaker_replay(spark, sf_dir):
-    out = stateful.replay(_events(spark, sf_dir), "user_id", stateful.breaker(3, _COOL), (0, 0), stateful.BREAKER_RESULT, ["us", "event_id"])
+    out = scan.replay(_events(spark, sf_dir), "user_id", scan.breaker(3, _COOL), stateful.BREAKER_RESULT, ["us", "event_id"])
     return out.select("event_id", "state", "failures")
 
 
@@ -107,7 +107,7 @@ _TRIES = "case when o.command = 'claim' and {status} = 0 then {attempts} + 1 whe
 def job_machine_replay(spark, sf_dir):
     """Commands of leased jobs: only the lease that claimed a job may end it."""
     jobs = _events(spark, sf_dir).withColumns({"command": F.expr("element_at(array('claim', 'complete', 'fail', 'recover', 'requeue'), cast(event_id % 5 + 1 as int))"), "lease": F.expr("event_id div 3")})
-    out = stateful.replay(jobs, "user_id", stateful.job_machine(3), (0, 0, 0), stateful.JOB_RESULT, ["us", "event_id"])
+    out = scan.replay(jobs, "user_id", scan.jobs(3), stateful.JOB_RESULT, ["us", "event_id"])
     return out.select("event_id", "accepted", "status", "attempts")
 
 
