@@ -59,11 +59,34 @@ def rate_limit_replay(spark, sf_dir):
     return out.select("event_id", "allowed", "remaining", "retry_after_us")
 
 
-@query()
+_SHARDS, _ENTRIES = 16, 8
+_FOUND = "list_filter({entries}, lambda e: e.client = o.user_id)"
+_NEW = f"(len({_FOUND}) = 0 or o.us > {_FOUND}[1].til)"
+_EVICTS = f"({_NEW} and len({{entries}}) >= {_ENTRIES})"
+_LEFT = f"case when {_EVICTS} then {{entries}}[2:] else {{entries}} end"
+_FRESH_ENTRY = f"{{{{'client': o.user_id, 'hits': 1::bigint, 'til': o.us + {_DAY}}}}}"
+_STORED = (
+    f"case when not {_NEW} then list_transform({{entries}}, lambda e: case when e.client = o.user_id then {{{{'client': e.client, 'hits': e.hits + 1, 'til': e.til}}}} else e end)"
+    f" when len(list_filter({_LEFT}, lambda e: e.client = o.user_id)) > 0 then list_transform({_LEFT}, lambda e: case when e.client = o.user_id then {_FRESH_ENTRY} else e end)"
+    f" else list_append({_LEFT}, {_FRESH_ENTRY}) end"
+)
+
+
+def _bounded_sql() -> str:
+    """The stores' entries as a list of structs, in the order in which they came, row by row."""
+    none = "cast([] as struct(client bigint, hits bigint, til bigint)[])"
+    hit = lambda prior: f"list_filter({_STORED.format(entries=prior)}, lambda e: e.client = o.user_id)[1].hits <= 3"
+    shown = lambda prior: f"{_STORED.format(entries=prior)} as entries, {hit(prior)} as allowed, case when {_EVICTS.format(entries=prior)} then {prior}[1].client end::bigint as evicted"
+    return f"""with recursive o as (select event_id, user_id::bigint as user_id, epoch_us(ts) as us, user_id % {_SHARDS} as shard, row_number() over (partition by user_id % {_SHARDS} order by ts, event_id) as n from events),
+    s as (select o.shard, o.n, o.event_id, {shown(none)} from o where n = 1 union all select o.shard, o.n, o.event_id, {shown('s.entries')} from s join o on o.shard = s.shard and o.n = s.n + 1)
+    select event_id, allowed, len(entries)::bigint as held, evicted from s"""
+
+
+@query(_bounded_sql())
 def bounded_store_replay(spark, sf_dir):
-    """A store for each type of event, of twenty users at most: the oldest goes for a new one. No oracle: its state is an ordered map."""
-    rows = _events(spark, sf_dir).withColumn("client", F.col("user_id"))
-    out = stateful.replay(rows, "event_type", stateful.bounded_store(3, _DAY, 20), ({},), stateful.BOUNDED_RESULT, ["us", "event_id"])
+    """Stores by shard of users, of eight entries at most each: the oldest goes for a new one."""
+    rows = _events(spark, sf_dir).withColumns({"client": F.col("user_id"), "shard": F.expr(f"user_id % {_SHARDS}")})
+    out = stateful.replay_sorted(rows, "shard", stateful.bounded_store(3, _DAY, _ENTRIES), (None,), stateful.BOUNDED_RESULT, ["us", "event_id"])
     return out.select("event_id", "allowed", "held", "evicted")
 
 

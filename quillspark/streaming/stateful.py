@@ -12,6 +12,7 @@ from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 Step = Callable[[tuple, Any], tuple[tuple, tuple]]
@@ -34,11 +35,12 @@ def rate_limit(limit: int, window_us: int) -> Step:
 
 def bounded_store(limit: int, window_us: int, most: int = 10_000) -> Step:
     """Rate limits of many clients in one store of ``most`` entries: state (entries: client -> [hits, end of its window], in the order
-    in which they came). A full store lets its oldest entry go for a new one, whose client then starts afresh; entries whose window
-    is over are replaced when their client comes again. Rows have us and client. Result: allowed, held, evicted."""
+    in which they came; None at first), changed in place. A full store lets its oldest entry go for a new one, whose client then starts
+    afresh; entries whose window is over are replaced when their client comes again. Rows have us and client. Result: allowed, held,
+    evicted. On streams: :func:`quillspark.streaming.live.bounded_stores`."""
 
     def step(state: tuple, row) -> tuple[tuple, tuple]:
-        entries, evicted = dict(state[0]), None
+        entries, evicted = {} if state[0] is None else state[0], None
         found = entries.get(row.client)
         if found is None or row.us > found[1]:
             if len(entries) >= most:
@@ -46,7 +48,7 @@ def bounded_store(limit: int, window_us: int, most: int = 10_000) -> Step:
                 del entries[evicted]
             entries[row.client] = [1, row.us + window_us]
         else:
-            entries[row.client] = [found[0] + 1, found[1]]
+            found[0] += 1
         return (entries,), (entries[row.client][0] <= limit, len(entries), evicted)
 
     return step
@@ -150,6 +152,29 @@ def replay(df: DataFrame, key: str, step: Step, initial: tuple, result: str, ord
     return df.groupBy(key).applyInPandas(run, f"{fields}, {result}")
 
 
+def replay_sorted(df: DataFrame, key: str, step: Step, initial: tuple, result: str, order: list[str]) -> DataFrame:
+    """As :func:`replay`, for keys of any length: a key's rows are sorted by Spark and pass through one task a batch at a time, which
+    holds the state alone. For states that no stretch of rows makes a small function of, such as a store's; keys are its shards."""
+    names, columns = _names(result), df.columns
+    dealt = df.repartition(F.col(f"`{key}`")).sortWithinPartitions(F.col(f"`{key}`"), *[F.col(f"`{c}`") for c in order])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        state, of, begun = initial, None, False
+        for batch in batches:
+            made = []
+            for row, value in zip(batch.itertuples(index=False), batch[key]):
+                if not begun or value != of:
+                    state, of, begun = initial, value, True
+                state, out = step(state, row)
+                made.append(out)
+            for i, n in enumerate(names):
+                batch[n] = pd.array([m[i] for m in made], dtype="Int64") if any(m[i] is None for m in made) else [m[i] for m in made]
+            yield batch
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    return dealt.select(*[F.col(f"`{c}`") for c in columns]).mapInPandas(run, f"{fields}, {result}")
+
+
 def stream(df: DataFrame, key: str, step: Step, initial: tuple, state: str, result: str, order: list[str], idle_ms: int | None = None) -> DataFrame:
     """As :func:`replay` on a stream: (key, columns in ``order``, result). Rows of a batch are taken in ``order``. ``idle_ms``: a
     key's state is dropped after so long without rows."""

@@ -241,7 +241,7 @@ def run(step, state, rows):
 def test_a_full_store_lets_the_oldest_go():
     from types import SimpleNamespace as Row
 
-    step, state, out = stateful.bounded_store(1, 100, 2), ({},), []
+    step, state, out = stateful.bounded_store(1, 100, 2), (None,), []
     for us, client in ((0, 1), (1, 1), (2, 2), (3, 3), (4, 1), (150, 3)):
         state, made = step(state, Row(us=us, client=client))
         out.append(made)
