@@ -66,6 +66,77 @@ def read_postings(spark: SparkSession, path: str, query: str, buckets: int = BUC
     return spark.read.parquet(path).where(F.col("bucket").isin(sorted(set(numbers))) & F.col("term").isin(wanted)).drop("bucket")
 
 
+#: Tiers of a ranked index: of the impacts of a term, those within a factor of sqrt(2).
+TIER = 2
+#: Rows of the rarest term that a ranked search opens at first, for each row of its page; then four times as many, and so on.
+FIRST_ROWS = 8
+#: Decimal places of a rank, so that documents tie whatever the order in which sums were made.
+PLACES = 9
+
+
+def write_ranked(index: DataFrame, key: str, path: str, buckets: int = BUCKETS) -> None:
+    """Stores postings by impact: a row for each document of a term with what it adds to the rank, in a folder for each bucket of terms
+    and tier of impacts, and beside it the numbers of rows and greatest impacts of each term's tiers."""
+    parts = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    summed = index.groupBy(key, "term").agg(F.sum(impact()).alias("impact"))
+    placed = summed.withColumns({"bucket": bucket(F.col("term"), buckets), "tier": F.floor(F.log2("impact") * TIER).cast("int")})
+    placed.repartitionByRange(parts, "bucket", "tier", "term", F.xxhash64(key)).sortWithinPartitions("bucket", "tier", "term").write.mode("overwrite").partitionBy("bucket", "tier").parquet(f"{path}/postings")
+    stored = index.sparkSession.read.parquet(f"{path}/postings")
+    stored.groupBy("bucket", "term", "tier").agg(F.count("*").alias("n"), F.max("impact").alias("most")).repartition("bucket").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/tiers")
+
+
+def impact() -> Column:
+    """What a posting adds to a document's rank."""
+    return F.create_map(*[F.lit(x) for w in WEIGHTS.items() for x in w])[F.col("weight")] * F.col("tf") / (1 + F.log("doc_len"))
+
+
+def search_tiers(docs: DataFrame, path: str, query: str, key: str, where: Column | None = None, sort: Sequence[Column] = (), number: int = 1, limit: int = DEFAULT_LIMIT, opened: list | None = None) -> DataFrame:
+    """A page as :func:`search` gives it, from an index of :func:`write_ranked`: tiers of all terms are opened from the greatest impact
+    down, until no document that isn't known by then can reach the page.
+
+    A document is known once all its terms' tiers are open. Any other lacks one, so it ranks below what that term has in its tiers
+    still shut and the other terms at most. The tiers of a query's terms are some dozens of numbers. ``opened``: gets the number of
+    rows opened and that of all rows of the terms, for measurements.
+    """
+    from quillspark.operators.relations import page
+
+    spark, wanted = docs.sparkSession, query_terms(query)
+    tiers: dict[str, dict[int, tuple[int, float]]] = {t: {} for t in wanted}
+    for r in spark.read.parquet(f"{path}/tiers").where(F.col("term").isin(wanted)).collect():
+        tiers[r.term][r.tier] = (r.n, r.most)
+    number, limit = max(1, number), min(MOST_LIMIT, max(1, limit))
+    need = number * limit
+    levels = sorted({t for of in tiers.values() for t in of}, reverse=True)
+    least, at = FIRST_ROWS * need, 0
+    postings_ = spark.read.parquet(f"{path}/postings").where(F.col("term").isin(wanted))
+    while True:
+        while at < len(levels):
+            at += 1
+            if min(sum(n for tier, (n, _) in of.items() if tier >= levels[at - 1]) for of in tiers.values()) >= least:
+                break
+        cut = levels[at - 1] if levels else 0
+        found = postings_.where((F.col("tier") >= cut) & F.col("bucket").isin(_buckets(spark, wanted)))
+        ranked = found.groupBy(key).agg(F.round(F.sum("impact"), PLACES).alias("rank"), F.count("*").alias("__qs_n")).where(F.col("__qs_n") == len(wanted)).drop("__qs_n")
+        met = docs.join(ranked, key)
+        if where is not None:
+            met = met.where(where)
+        order = [F.col("rank").desc(), *sort, F.col(key)]
+        if opened is not None:
+            opened[:] = [sum(n for of in tiers.values() for tier, (n, _) in of.items() if tier >= cut), sum(n for of in tiers.values() for n, _ in of.values())]
+        if at >= len(levels):
+            return page(met, order, number, limit, MOST_LIMIT)
+        top = {t: max(m for _, m in of.values()) if of else 0.0 for t, of in tiers.items()}
+        bound = max(max([m for tier, (_, m) in of.items() if tier < cut], default=0.0) + sum(v for u, v in top.items() if u != t) for t, of in tiers.items())
+        best = met.select("rank").orderBy(F.col("rank").desc()).limit(need).collect()  # a page's numbers
+        if len(best) == need and best[-1][0] > bound + 10**-PLACES:
+            return page(met, order, number, limit, MOST_LIMIT)
+        least *= 4
+
+
+def _buckets(spark: SparkSession, wanted: list[str]) -> list[int]:
+    return sorted(set(spark.range(1).select(F.array(*[bucket(F.lit(t)) for t in wanted])).first()[0]))
+
+
 def valid_query(d: Dialect, x: str) -> str:
     """Whether a text can be searched for: two characters at least, and something left once it is folded."""
     return f"(length({d.trim(x)}) >= {LEAST_QUERY} and {fold_query(d, x)} <> '')"
@@ -91,8 +162,7 @@ def match(index: DataFrame, query: str, key: str) -> DataFrame:
     """(key, rank) of documents with all terms of the query: sum over their postings of weight * tf / (1 + ln(doc_len))."""
     wanted = query_terms(query)
     found = index.where(F.col("term").isin(wanted))
-    score = F.create_map(*[F.lit(x) for w in WEIGHTS.items() for x in w])[F.col("weight")] * F.col("tf") / (1 + F.log("doc_len"))
-    return found.groupBy(key).agg(F.sum(score).alias("rank"), F.count_distinct("term").alias("__qs_n")).where(F.col("__qs_n") == len(wanted)).drop("__qs_n")
+    return found.groupBy(key).agg(F.sum(impact()).alias("rank"), F.count_distinct("term").alias("__qs_n")).where(F.col("__qs_n") == len(wanted)).drop("__qs_n")
 
 
 def excerpt(d: Dialect, text: str, query: str) -> str:
@@ -137,4 +207,4 @@ def search(docs: DataFrame, index: DataFrame, query: str, key: str, where: Colum
     return page(found, [F.col("rank").desc(), *sort, F.col(key)], number, limit, MOST_LIMIT)
 
 
-__all__ = ["DUCK", "SPARK", "excerpt", "match", "matched_in", "postings", "query_terms", "read_postings", "search", "suggest", "terms", "valid_query", "write_postings"]
+__all__ = ["DUCK", "SPARK", "excerpt", "impact", "match", "matched_in", "postings", "query_terms", "read_postings", "search", "search_tiers", "suggest", "terms", "valid_query", "write_postings", "write_ranked"]

@@ -42,6 +42,19 @@ def _stored_index(spark, sf_dir):
     return _stored[key]
 
 
+_ranked: dict[str, str] = {}
+
+
+def _ranked_index(spark, sf_dir):
+    """The path of the index by impact, made from the stored one, once for each state of it."""
+    stored = _stored_index(spark, sf_dir)
+    if stored not in _ranked:
+        path = table_path(spark, "ranked")
+        S.write_ranked(spark.read.parquet(stored), "doc_id", path)
+        _ranked[stored] = path
+    return _ranked[stored]
+
+
 def _found(spark, sf_dir):
     return S.read_postings(spark, _stored_index(spark, sf_dir), QUERY)
 
@@ -69,6 +82,13 @@ def search_ranked(spark, sf_dir):
     return S.search(docs, _found(spark, sf_dir), QUERY, "doc_id").select("doc_id")
 
 
+@query(f"{_RANKED} select doc_id from m join documents using (doc_id) order by round(rank, 9) desc, doc_id limit 20")
+def search_by_impact(spark, sf_dir):
+    """The same page from the index by impact, which is opened as far as the page needs."""
+    docs = read(spark, sf_dir, "documents").select("doc_id")
+    return S.search_tiers(docs, _ranked_index(spark, sf_dir), QUERY, "doc_id").select("doc_id")
+
+
 @query(f"{_RANKED} select doc_id from m join documents using (doc_id) where source = 'src1' and n_chars > 300 order by rank desc, doc_id limit 10 offset 10")
 def search_filtered(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")

@@ -362,3 +362,28 @@ def test_neighbours_across_partitions(spark, keys):
         at = line.index(v)
         assert got[v] == (line[at - 1] if at else None, line[at + 1] if at + 1 < len(line) else None)
     assert relations.neighbours(df.limit(0), [F.col("v")], "v", keys).count() == 0
+
+
+def test_search_by_impact(spark, tmp_path):
+    """Pages from tiers equal those from all postings, for frequent and rare terms, filters and later pages; frequent ones open few rows."""
+    import random
+
+    rng = random.Random(12)
+    rows = []
+    for i in range(3000):
+        n = rng.choice([5, 20, 60, 200, 200, 200])
+        words = ["the", "of"] * (1 + n // 40) + [f"w{int(rng.paretovariate(0.7)) % 500}" for _ in range(n)]
+        rows.append((i, " ".join(words) if rng.random() < 0.9 else "of nothing", "the title of" if rng.random() < 0.05 else "other", i % 7))
+    docs = spark.createDataFrame(rows, "id long, text string, title string, kind int").repartition(4)
+    index = search.postings(docs, "id", {"A": "title", "D": "text"})
+    search.write_postings(index, f"{tmp_path}/plain")
+    search.write_ranked(spark.read.parquet(f"{tmp_path}/plain"), "id", f"{tmp_path}/ranked")
+    read = []
+    for query, where, number in (("the of", None, 1), ("the of", None, 3), ("of", F.col("kind") == 3, 2), ("the w1 w2", None, 1), ("w7 title", None, 1), ("the absent", None, 1)):
+        opened = []
+        got = search.search_tiers(docs, f"{tmp_path}/ranked", query, "id", where, number=number, opened=opened).collect()
+        every = search.match(search.read_postings(spark, f"{tmp_path}/plain", query), query, "id").join(docs, "id").where(F.lit(True) if where is None else where)
+        want = sorted((-round(r.rank, 9), r.id) for r in every.collect())[20 * (number - 1) : 20 * number]
+        assert [(-r.rank, r.id) for r in got] == [(pytest.approx(r, abs=2e-9), i) for r, i in want]
+        read.append(opened)
+    assert read[0][0] < 0.5 * read[0][1], read
