@@ -106,9 +106,12 @@ PUNCTUATION = (
     ("؛؛", "؛{2,}", "؛"),
 )
 
-STOP_WORDS = tuple(
-    "في من إلى على مع هذا هذه ذلك تلك وقد كان كانت يكون هو هي 他们 نحن انت انها عن او اما ان لا ما لم لن به بها وب فى ثم حتى غير كل بعض هناك هنا عند بلغ عدد خلال بين ضمن "
-    "the and for with that this from into your have has was were been will would should can could may file document doc pdf page pages untitled copy".split()
+STOP_WORDS = (
+    "في", "من", "إلى", "على", "مع", "هذا", "هذه", "ذلك", "تلك", "وقد", "كان", "كانت", "يكون", "هو", "هي", "他们", "نحن", "انت",
+    "انها", "عن", "او", "اما", "ان", "لا", "ما", "لم", "لن", "به", "بها", "وب", "فى", "ثم", "حتى", "غير", "كل", "بعض", "هناك",
+    "هنا", "عند", "بلغ", "عدد", "خلال", "بين", "ضمن",
+    "the", "and", "for", "with", "that", "this", "from", "into", "your", "have", "has", "was", "were", "been", "will", "would",
+    "should", "can", "could", "may", "file", "document", "doc", "pdf", "page", "pages", "untitled", "copy",
 )
 
 SECRETS = (

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillspark.plans.registry import query, read
+from quillspark.functions.dialect import DUCK, SPARK
+from quillspark.plans.registry import pick, query, read
 from quillspark.sources import exports as E
 from quillspark.sources import files, office
 from quillspark.streaming import scan, sinks, stateful, windows
@@ -151,9 +152,17 @@ def prometheus_text(spark, sf_dir):
     return E.prometheus(docs.select(F.lit("docs_total").alias("name"), F.lit("lang").alias("label"), F.col("lang").alias("label_value"), "value"))
 
 
-@query("select * from (values ('research', 'md,json,pdf,docx'), ('archive', 'md,txt,json,pdf,docx,epub'), ('plain', 'txt'), ('developer', 'json')) as v(profile, formats)")
+_PROFILE = lambda d: pick(d, ["research", "archive", "plain", "developer", "unknown"], "doc_id")
+
+
+@query(
+    f"""with v as (select * from (values ('research', ['md', 'json', 'pdf', 'docx']), ('archive', ['md', 'txt', 'json', 'pdf', 'docx', 'epub']), ('plain', ['txt']), ('developer', ['json'])) as v(profile, formats))
+    select profile, format, count(*) as files, sum(n_chars)::bigint as chars from (select profile, n_chars, unnest(formats) as format from (select {_PROFILE(DUCK)} as profile, n_chars from documents) join v using (profile)) group by all"""
+)
 def export_profiles(spark, sf_dir):
-    return E.profiles(spark).select("profile", F.array_join("formats", ",").alias("formats"))
+    """The files that exports of the documents make, by profile and format."""
+    docs = read(spark, sf_dir, "documents").select(F.expr(_PROFILE(SPARK)).alias("profile"), "n_chars")
+    return E.planned_files(docs, "profile").groupBy("profile", "format").agg(F.count("*").alias("files"), F.sum("n_chars").alias("chars"))
 
 
 @query("select doc_id, '---' || chr(10) || 'title: ' || source || chr(10) || 'lang: ' || lang || case when n_chars % 2 = 0 then chr(10) || 'size: ' || n_chars::varchar else '' end || chr(10) || '---' || chr(10) as header from documents")

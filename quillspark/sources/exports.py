@@ -45,6 +45,13 @@ def readme(df: DataFrame, key: str, title: str, place: str) -> DataFrame:
     return df.groupBy(key).agg(F.array_join(lines, "\n").alias("readme"))
 
 
+def planned_files(docs: DataFrame, profile: str) -> DataFrame:
+    """``docs`` by the files that an export makes: a row for each format of the document's profile (column ``profile``), with
+    ``format`` and the profile's flags. Unknown and null profiles export nothing."""
+    known = profiles(docs.sparkSession).withColumnRenamed("profile", profile)
+    return docs.join(F.broadcast(known), profile).withColumn("format", F.explode("formats")).drop("formats")  # a row for each profile
+
+
 def packages(files: DataFrame, keys: list[str], profile: str = "plain") -> DataFrame:
     """(keys, n_files, total_size, package): a ZIP of each export's files (document, title, name, content: string), names in order,
     the same bytes each time, with a manifest of documents, files and sizes, and an index of titles where there are several documents.
