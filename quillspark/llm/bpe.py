@@ -127,6 +127,8 @@ class WordBpe:
         self.inner = [self.ids.get(c) for c in shown]
         self.last = [self.ids.get(c + self.end) for c in shown]
         self.known: dict[str, tuple[bytes, str, int]] = {}
+        self.looked_up: set[str] = set()
+        self.strange: set[str] = set()
 
     def merge(self, symbols: list[int]) -> list[int]:
         """The symbols of one word after all merges, least rank first and leftmost among equals."""
@@ -176,7 +178,7 @@ class WordBpe:
                 continue
             if part.isascii():
                 words = self.word.findall(self.space.sub(" ", part).lower())
-            elif any(c in odd_marks() or unicodedata.category(c) == "Cn" for c in set(part)):
+            elif self._strange(part):
                 words = self._words_by_library(part)
             else:
                 words = self.word.findall(self.space.sub(" ", folded(part)))
@@ -190,6 +192,15 @@ class WordBpe:
                         known[word] = found
                 yield found
 
+    def _strange(self, part: str) -> bool:
+        """Whether a text holds code points on which Python and the library may differ; each is looked up once."""
+        met = set(part)
+        for c in met - self.looked_up:
+            self.looked_up.add(c)
+            if unicodedata.category(c) == "Cn" or c in odd_marks():
+                self.strange.add(c)
+        return not met.isdisjoint(self.strange)
+
     def _words_by_library(self, part: str) -> list[str]:
         """Words of a text with code points that this Python's Unicode table doesn't know, or orders and composes otherwise than the
         library's. The tables of the regex module and the library each have their own age; so the library's own normaliser and
