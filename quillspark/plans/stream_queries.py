@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillspark.functions.dialect import DUCK, SPARK
+from quillspark.operators import aggregates as A
 from quillspark.plans.registry import pick, query, read
+from quillspark.session import materialize
 from quillspark.sources import exports as E
 from quillspark.sources import files, office
 from quillspark.streaming import scan, sinks, stateful, windows
@@ -26,6 +28,13 @@ def active_windows(spark, sf_dir):
     return windows.active_users(read(spark, sf_dir, "events"), "ts", "user_id").select(F.col("start").cast("timestamp_ntz"), F.col("end").cast("timestamp_ntz"), "users")
 
 
+@query("select event_type, cast(floor(epoch_us(w) / 300000000) as bigint) as slice, count(distinct user_id) as users from (select event_type, user_id, unnest([ts, ts - interval 5 minute, ts - interval 10 minute]) as w from events) group by 1, 2")
+def active_users_by_slices(spark, sf_dir):
+    """Active users of a quarter of an hour by type of event, every five minutes, from stored slices."""
+    slices = materialize(A.distinct_slices(read(spark, sf_dir, "events"), "ts", "user_id", 300, ["event_type"]), "slices")
+    return A.sliding_distinct(slices, 3, ["event_type"], "users")
+
+
 @query("""select user_id, min(ts) as start, max(ts) + interval 30 minute as "end", count(*) as n from (select *, sum(b) over (partition by user_id order by ts, event_id) as g from (
     select *, case when ts - lag(ts) over (partition by user_id order by ts, event_id) < interval 30 minute then 0 else 1 end as b from events)) group by user_id, g""")
 def session_windows(spark, sf_dir):

@@ -387,3 +387,21 @@ def test_search_by_impact(spark, tmp_path):
         assert [(-r.rank, r.id) for r in got] == [(pytest.approx(r, abs=2e-9), i) for r, i in want]
         read.append(opened)
     assert read[0][0] < 0.5 * read[0][1], read
+
+
+def test_sliding_distinct(spark):
+    """Any window from the same slices; members beyond one bitmap, negative ones, repeats, nulls, times before 1970."""
+    import random
+
+    rng = random.Random(2)
+    rows = [(rng.choice("ab"), rng.choice([1, 2, 32768, 32769, 10**12, -5, None]), rng.randint(-3000, 3000) * 1_000_000 if i % 50 else None) for i in range(2000)]
+    df = spark.createDataFrame(rows, "k string, who long, us long").withColumn("ts", F.timestamp_micros("us"))
+    slices = aggregates.distinct_slices(df, "ts", "who", 60, ["k"])
+    for width in (1, 4, 30):
+        want = {}
+        for k, who, us in rows:
+            if who is not None and us is not None:
+                for s in range(width):
+                    want.setdefault((k, us // 60_000_000 - s), set()).add(who)
+        got = {(r.k, r.slice): r.n for r in aggregates.sliding_distinct(slices, width, ["k"], "n").collect()}
+        assert got == {at: len(m) for at, m in want.items()}
