@@ -7,9 +7,13 @@ tallied, pairs below a minimum dropped) has 40 triples here, so that any seven o
 seven bytes always meet, and those with five or six mostly. What is found is verified on the texts, so chance similarity of
 fingerprints costs time and never a document.
 
-A list of up to SMALL members gives all its pairs, a longer one those with its most central members: copies of one text differ less
-from it than from each other. Pairs are verified twice: each text with its nearest candidate first, then all pairs whose texts
-that left apart.
+A list of up to SMALL members gives all its pairs, a longer one each member with the nearest of its most central ones: copies of one
+text differ less from it than from each other. Pairs are verified twice: each text with its nearest candidate first, then all pairs
+whose texts that left apart.
+
+That closes most groups and leaves out pairs, those far apart as fingerprints and those of long lists. All others come from an exact
+index of prefixes (``prefix_lists``), which looks at texts of different groups alone and is verified in the same way: no pair of
+similarity 0.8 is lost.
 """
 
 from __future__ import annotations
@@ -22,7 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspark.llm._common import add_columns, configure, discard, field, materialize, text_or_empty, trim_memory
+from quillspark.llm import prefix_lists
+from quillspark.llm._common import add_columns, configure, discard, field, materialize, release, text_or_empty, trim_memory
 from quillspark.llm.components import components
 
 SHINGLE = 5
@@ -78,22 +83,22 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def list_pairs(f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows of ``f`` (n x 16 bytes) that one list gives: all that share LEAST_SHARED bytes in a short list, those with central
-    members in a long one, again and again for the members that no central one came near."""
+    """Pairs of rows of ``f`` (n x 16 bytes) that one list gives: all that share LEAST_SHARED bytes in a short list, each member with its
+    nearest central one in a long list, again and again for the members that no central one came near."""
     us, vs, rest = [], [], np.arange(len(f))
     while len(rest) > SMALL:
         part = f[rest]
         middle = np.packbits(2 * np.unpackbits(part, axis=1).sum(axis=0, dtype=np.int64) > len(part))
         central = np.argsort(np.bitwise_count(part ^ middle).sum(axis=1, dtype=np.int64), kind="stable")[:PIVOTS]
-        seen = np.zeros(len(rest), dtype=bool)
-        for p in central:
-            differ = part ^ part[p]
-            met = (differ == 0).sum(axis=1) >= LEAST_SHARED
-            met[p] = False
-            us.append(np.full(int(met.sum()), rest[p]))
-            vs.append(rest[met])
-            seen |= np.bitwise_count(differ).sum(axis=1, dtype=np.int64) <= SEEN
-        rest = rest[~seen]
+        differ = part[None, :] ^ part[central][:, None]
+        bits = np.bitwise_count(differ).sum(axis=2, dtype=np.int64)
+        met = (differ == 0).sum(axis=2) >= LEAST_SHARED
+        met[np.arange(len(central)), central] = False
+        near = np.where(met, bits, 8 * BYTES + 1)
+        nearest, some = near.argmin(axis=0), met.any(axis=0)
+        us.append(rest[central[nearest[some]]])
+        vs.append(rest[some])
+        rest = rest[~(bits <= SEEN).any(axis=0)]
     if len(rest) > 1:
         i, j = np.triu_indices(len(rest), 1)
         met = (f[rest[i]] == f[rest[j]]).sum(axis=1) >= LEAST_SHARED
@@ -190,30 +195,47 @@ def _key(id_, digest):
 
 
 def groups(texts: DataFrame, docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(node, root) of all ``texts`` (node, md5, one: the row that stands for it, fp), written: what verified pairs connect. First each
-    text and its nearest candidate; then the pairs between groups that these left apart, which link the groups' roots."""
+    """(node, root) of all ``texts`` (node, md5, one: the row that stands for it, fp, n, parity, prefix), written: what pairs of similar
+    texts connect. First each text and its nearest candidate; then the pairs between groups that these left apart, which link the
+    groups' roots, with the nearest members of lists of prefixes; then all that these lists still hold between groups."""
+    spark = texts.sparkSession
+    lists = prefix_lists.lists(texts)
+    release(spark)
+    close = materialize(prefix_lists.apart(lists.withColumn("root", F.col("node")), True).select("u", "v"), "close")  # every text that has a partner in a list is in it
     pairs = materialize(candidates(texts.select("node", "fp")), "candidates")
-    involved = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(texts.select("node", _key(F.col("one.id"), F.col("md5")).alias("key")), "node")
+    release(spark)
+    involved = pairs.select("u", "v").union(close).select(F.explode(F.array("u", "v")).alias("node")).distinct().join(texts.select("node", _key(F.col("one.id"), F.col("md5")).alias("key")), "node")
     digest = F.md5(F.encode(text_or_empty(text_column), "UTF-8"))
     source = docs.select(_key(F.col(f"`{id_column}`"), digest).alias("key"), text_or_empty(text_column).alias("text"))  # by row, so that copies of a text don't meet
     once = source.join(involved.hint("shuffle_hash"), "key").dropDuplicates(["key"]).select("node", "text")
     sets = materialize(add_columns(once, "text", [field("s", T.BinaryType())], lambda column: [[shingles(t.as_py()).astype("<u8").tobytes() for t in column]], ["node"]), "shingles", "none")
     both = pairs.union(pairs.select("v", "u", "bits"))
     nearest = both.groupBy(F.col("u").alias("v")).agg(F.min(F.struct("bits", F.col("v").alias("u"))).alias("m")).select(F.least("v", "m.u").alias("u"), F.greatest("v", "m.u").alias("v")).distinct()
+    release(spark)
     first = materialize(_verified(nearest.select("u", "v", F.col("u").alias("a"), F.col("v").alias("b")), sets), "links")
     roots = materialize(components(first), "roots")
     of = lambda c, name: roots.select(F.col("node").alias(c), F.col("root").alias(name))
-    apart = pairs.join(of("u", "a"), "u", "left").join(of("v", "b"), "v", "left").select("u", "v", F.coalesce("a", "u").alias("a"), F.coalesce("b", "v").alias("b")).where("a <> b")
+    found = pairs.select("u", "v").union(close).distinct()
+    apart = found.join(of("u", "a"), "u", "left").join(of("v", "b"), "v", "left").select("u", "v", F.coalesce("a", "u").alias("a"), F.coalesce("b", "v").alias("b")).where("a <> b")
     rest = apart.join(nearest.withColumn("__qs_done", F.lit(True)), ["u", "v"], "left").where("__qs_done is null").select("u", "v", "a", "b")
-    joined = materialize(_verified(rest, sets).distinct(), "links")
-    tops = components(joined).select(F.col("node").alias("root"), F.col("root").alias("top"))
     named = texts.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
-    out = materialize(named.join(tops, "root", "left").select("node", F.coalesce("top", "root").alias("root")), "groups")
-    for t in (pairs, sets, first, roots, joined):
+    out = _joined(named, _verified(rest, sets))
+    out, before = _joined(out, _verified(prefix_lists.apart(lists.join(out, "node"), False), sets)), out
+    discard(before)
+    for t in (pairs, lists, close, sets, first, roots):
         discard(t)
     return out
 
 
+def _joined(named: DataFrame, links: DataFrame) -> DataFrame:
+    """``named`` (node, root), written, with the roots that ``links`` (u, v) of roots lead to."""
+    between = materialize(links.distinct(), "links")
+    tops = components(between).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    out = materialize(named.join(tops, "root", "left").select("node", F.coalesce("top", "root").alias("root")), "groups")
+    discard(between)
+    return out
+
+
 def drop_near_texts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``docs`` with one document of each group of near-duplicates: that of least id, and of least MD5 of the text among those; all
     columns unchanged. A group is what chains of near-duplicates connect.
@@ -225,9 +247,16 @@ def drop_near_texts(docs: DataFrame, id_column: str = "doc_id", text_column: str
     configure(docs.sparkSession)
     digest = F.md5(F.encode(text_or_empty(text_column), "UTF-8"))
     keyed = docs.select(F.col(f"`{id_column}`").alias("__qs_id"), digest.alias("md5"), F.col(f"`{text_column}`").alias("__qs_source"))
-    made = add_columns(keyed, "__qs_source", [field("fp", T.BinaryType())], lambda column: [[fingerprint(t.as_py()) for t in column]], ["__qs_id", "md5"])
+    often = docs.sparkSession.sparkContext.broadcast(prefix_lists.frequent(docs, text_column, shingles))
+    measures = [field("fp", T.BinaryType()), field("n", T.LongType()), field("parity", T.BinaryType()), field("prefix", T.ArrayType(T.LongType()))]
+
+    def measured(column):
+        sets = [shingles(t.as_py()) for t in column]
+        return [[fingerprint(t.as_py()) for t in column], [len(s) for s in sets], [prefix_lists.parity(s) for s in sets], [prefix_lists.prefix(s, *often.value) for s in sets]]
+
+    made = add_columns(keyed, "__qs_source", measures, measured, ["__qs_id", "md5"])
     one = F.min(F.struct(F.col("__qs_id").isNull().alias("none"), F.col("__qs_id").alias("id"))).alias("one")
-    each = materialize(made.groupBy("md5").agg(one, F.min("fp").alias("fp")).withColumn("node", F.monotonically_increasing_id()), "texts")
+    each = materialize(made.groupBy("md5").agg(one, *[F.first(c.name).alias(c.name) for c in measures]).withColumn("node", F.monotonically_increasing_id()), "texts")
     named = groups(each, docs, id_column, text_column)
     grouped = each.join(named, "node").groupBy("root").agg(F.min(F.struct("one.none", "one.id", "md5")).alias("one"))
     kept = materialize(grouped.select(_key(F.col("one.id"), F.col("one.md5")).alias("__qs_key")), "kept")  # written, so that both sides of the next join are plain shuffles

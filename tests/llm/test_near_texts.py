@@ -124,3 +124,43 @@ def test_list_pairs_of_far_members():
     pairs = {(min(a, b), max(a, b)) for a, b in zip(u.tolist(), v.tolist())}
     assert all((f[a] == f[b]).sum() >= 5 for a, b in pairs)
     assert len({x for p in pairs for x in p} & {5, *range(200, 210)}) == 11
+
+
+def test_no_similar_pair_is_left_out(spark):
+    """Survivors are those of brute force: copies just beyond 0.8, and long lists of copies that are alike among themselves alone."""
+    rng = random.Random(7)
+    rows = planted(rng, 60, (0.012, 0.02, 0.022, 0.024))
+    base = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(200)]
+    for i in range(60):  # two of a family differ in four words at most from their parent, parents in nine from the base
+        parent = list(base)
+        for at in rng.sample(range(200), 9):
+            parent[at] = f"p{rng.random()}"
+        for k in range(3):
+            copy = list(parent)
+            for at in rng.sample(range(200), k):
+                copy[at] = f"c{rng.random()}"
+            rows.append((100_000 + 10 * i + k, " ".join(copy)))
+    find, pairs = brute_groups(rows)
+    firsts = {}
+    for i, t in sorted(rows):
+        firsts.setdefault(find(t), i)
+    kept = {r.doc_id for r in near_texts.drop_near_texts(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert len(pairs) > 300 and kept == set(firsts.values())
+
+
+def test_prefix_lists_hold_every_similar_pair():
+    """Prefixes meet and parities pass for every pair of 0.8 or more, whatever the order says."""
+    from quillspark.llm import prefix_lists
+
+    rng = np.random.default_rng(4)
+    often = np.unique(rng.integers(0, 1 << 63, 300, dtype=np.uint64)), rng.integers(2, 5, 300)
+    met = 0
+    for _ in range(400):
+        base = np.concatenate([rng.choice(often[0], 40, replace=False), rng.integers(0, 1 << 63, int(rng.integers(1, 300)), dtype=np.uint64)])
+        a, b = (np.unique(np.concatenate([rng.choice(base, int(len(base) * rng.uniform(0.85, 1)), replace=False), rng.integers(0, 1 << 63, 2, dtype=np.uint64)])) for _ in range(2))
+        if near_texts.similarity(a, b) >= near_texts.SIMILAR:
+            met += 1
+            p = np.array([np.frombuffer(prefix_lists.parity(s), dtype=np.uint64) for s in (a, b)]).T
+            assert set(prefix_lists.prefix(a, *often).tolist()) & set(prefix_lists.prefix(b, *often).tolist())
+            assert prefix_lists._near(np.ascontiguousarray(p), np.array([len(a), len(b)]), np.array([0]), np.array([1]))[0].all()
+    assert met > 50
