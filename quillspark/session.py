@@ -20,10 +20,11 @@ ROW_GROUP = 128 << 20
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A Parquet table of a folder. A table of texts whose files hold row groups for less than half the cores is dealt out to all
     cores: a small file is one row group, and so one busy task however many ways it is split. Tables of any size to speak of are
-    read as they lie."""
+    read as they lie. Python gets texts in small batches."""
     path = f"{folder}/{name}.parquet"
     df = spark.read.parquet(path)
     if name in TEXTS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", TEXT_BATCH_ROWS)
         files = spark.read.format("binaryFile").load(path)  # the lengths of files; contents that nobody asks for are not read
         groups = files.agg(F.sum(F.ceil(F.col("length") / ROW_GROUP))).first()[0] or 0
         cores = spark.sparkContext.defaultParallelism
@@ -32,6 +33,9 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return df
 
 
+#: Rows of a batch that a Python worker gets of a table of texts: whole texts, and what is made of them, must not be held by the ten thousand.
+TEXT_BATCH_ROWS = "250"
+
 _counter = itertools.count()
 _roots: dict[str, str] = {}
 

@@ -89,3 +89,16 @@ def test_journeys(spark, tmp_path):
             want.append((source, k // 100, len(part), sum(n for n, _ in part), ",".join(str(i) for _, i in part)))
     assert sorted(map(tuple, found(spark, str(tmp_path), "journeys"))) == want
     assert sum(w[2] for w in want) == len(docs)
+
+
+def test_python_gets_texts_in_small_batches(spark, tmp_path):
+    """A worker holds a few hundred whole texts and what is made of them, not ten thousand."""
+    import pandas as pd
+    from pyspark.sql import functions as F
+
+    from quillspark.session import read_table
+
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.range(3000).selectExpr("id as doc_id", "'a' as text").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = F.pandas_udf(lambda s: pd.Series([len(s)] * len(s)), "long")
+    assert read_table(spark, str(tmp_path), "documents").coalesce(1).select(rows("text").alias("n")).agg(F.max("n")).first()[0] <= 250
