@@ -405,3 +405,31 @@ def test_sliding_distinct(spark):
                     want.setdefault((k, us // 60_000_000 - s), set()).add(who)
         got = {(r.k, r.slice): r.n for r in aggregates.sliding_distinct(slices, width, ["k"], "n").collect()}
         assert got == {at: len(m) for at, m in want.items()}
+
+
+def test_terms_are_folded_as_a_whole_and_counted_once(spark):
+    from quillspark.functions.dialect import SPARK
+    from quillspark.functions.normalizers import fold_query
+
+    texts = ["A_b  C", "\u0391\u03a3\ufeff\u0391", "\u0391\u03a3 \u0391\u03a3_x", "\u0623\u064eب ـ b", " \u3000Zz zz\n", "", None]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string")
+    index = search.postings(docs, "id", {"D": "text"})
+    words = docs.selectExpr("id", f"explode(regexp_extract_all(lower({fold_query(SPARK, 'coalesce(text, chr(0))')}), '[\\\\p{{L}}\\\\p{{N}}]+', 0)) as term")
+    want = words.groupBy("id", "term").count()
+    assert sorted(map(tuple, index.select("id", "term", "tf").collect())) == sorted(map(tuple, want.collect()))
+    plan = index._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and plan.count("regexp_extract_all") == 1
+
+
+def test_a_stored_index_is_made_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def watched(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    index = search.postings(spark.createDataFrame([(i, f"common w{i}") for i in range(50)], "id int, text string"), "id", {"D": "text"})
+    path = str(tmp_path / "index")
+    search.write_postings(index.mapInArrow(watched, index.schema), path)
+    assert seen.value == 100 and spark.read.parquet(path).drop("bucket").exceptAll(index).isEmpty()
