@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.session import materialize
+
 #: How the states of a queue are shown.
 BUCKETS = (("pending", "waiting"), ("reserved", "active"), ("done", "completed"), ("dead", "failed"), ("delayed", "delayed"))
 
@@ -98,3 +100,24 @@ def sliding_distinct(slices: DataFrame, width: int, keys: Sequence[str] = (), na
     each = slices.select(*keys, F.explode(F.sequence(F.col("slice") - (width - 1), F.col("slice"))).alias("slice"), "bucket", F.col("members").alias("__qs_m"))
     merged = each.groupBy(*keys, "slice", "bucket").agg(F.bitmap_or_agg("__qs_m").alias("__qs_m"))
     return merged.groupBy(*keys, "slice").agg(F.sum(F.bitmap_count("__qs_m")).alias(name))
+
+
+def trailing_counts(df: DataFrame, at: str, width: int, name: str) -> DataFrame:
+    """``df`` with how many of its rows have an ``at`` (long) of this row's less ``width`` or more, up to this row's; of a null one,
+    how many are null.
+
+    A row adds one at its place and takes it away again behind ``width``, so the count is a running sum of such changes: it costs
+    the same whatever a window holds. Changes of one place are one row; those rows are range-partitioned and written once, and the
+    sums of partitions, a row for each, give every partition what it begins with.
+    """
+    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    each = df.groupBy(F.col(f"`{at}`").alias("__qs_at")).agg(F.count("*").alias("__qs_n"))
+    changes = each.union(each.select(F.col("__qs_at") + width + 1, -F.col("__qs_n"))).where("__qs_at is not null").groupBy("__qs_at").agg(F.sum("__qs_n").alias("__qs_n"))
+    placed = changes.repartitionByRange(parts, "__qs_at").sortWithinPartitions("__qs_at").withColumn("__qs_part", F.spark_partition_id())
+    rows = materialize(placed, "changes")
+    before = F.sum("__qs_n").over(Window.orderBy("__qs_part").rowsBetween(Window.unboundedPreceding, -1))  # a row for each partition
+    begun = rows.groupBy("__qs_part").agg(F.sum("__qs_n").alias("__qs_n")).select("__qs_part", F.coalesce(before, F.lit(0)).alias("__qs_begun"))
+    inside = F.sum("__qs_n").over(Window.partitionBy("__qs_part").orderBy("__qs_at").rowsBetween(Window.unboundedPreceding, 0))
+    sums = rows.withColumn("__qs_n", inside).join(F.broadcast(begun), "__qs_part").select("__qs_at", (F.col("__qs_n") + F.col("__qs_begun")).alias(name))
+    known = sums.union(each.where("__qs_at is null"))
+    return df.join(known, F.col(f"`{at}`").eqNullSafe(F.col("__qs_at"))).drop("__qs_at")

@@ -601,14 +601,9 @@ def idempotent_enqueue(spark, sf_dir):
 
 @query("select event_id, count(*) over (order by epoch_us(ts) range between 3600000000 preceding and current row) as trailing from events")
 def trailing_hour(spark, sf_dir):
-    """Events of the last hour at each event. Time is cut into hours, so that a window needs its own hour and the one before and no task sees all."""
-    e = read(spark, sf_dir, "events").select("event_id", "ts", F.expr("unix_micros(cast(ts as timestamp))").alias("us"))
-    hour = 3600_000_000
-    spread = e.select("event_id", "us", F.explode(F.array(F.expr(f"us div {hour}"), F.expr(f"us div {hour} + 1"))).alias("h"))
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("h").orderBy("us").rangeBetween(-hour, 0)
-    return spread.withColumn("trailing", F.count("*").over(w)).where(f"us div {hour} = h").select("event_id", "trailing")
+    """Events of the last hour at each event."""
+    e = read(spark, sf_dir, "events").select("event_id", F.expr("unix_micros(cast(ts as timestamp))").alias("us"))
+    return A.trailing_counts(e, "us", 3600_000_000, "trailing").select("event_id", "trailing")
 
 
 @query(f"select count(distinct user_id) as active from events where ts > {_NOW} - interval 15 minute")

@@ -433,3 +433,17 @@ def test_a_stored_index_is_made_once(spark, tmp_path):
     path = str(tmp_path / "index")
     search.write_postings(index.mapInArrow(watched, index.schema), path)
     assert seen.value == 100 and spark.read.parquet(path).drop("bucket").exceptAll(index).isEmpty()
+
+
+def test_trailing_counts(spark):
+    times = [None, None, 0, 0, 5, 10, 11, 15, 3_599, 3_600, 7_200, 7_210, 7_211, -4, -4_000]
+    df = spark.createDataFrame(list(enumerate(times)), "id int, at bigint")
+    got = {r.id: r.n for r in aggregates.trailing_counts(df, "at", 10, "n").collect()}
+    assert got == {i: sum(u is None if t is None else u is not None and t - 10 <= u <= t for u in times) for i, t in enumerate(times)}
+
+
+def test_trailing_hour_keeps_rows_without_a_time(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    spark.sql("select * from values (1L, timestamp_ntz '2024-01-01 00:00:00'), (2L, timestamp_ntz '2024-01-01 01:00:00'), (3L, null), (4L, timestamp_ntz '2024-01-01 01:00:00.000001') as t(event_id, ts)").write.parquet(f"{tmp_path}/events.parquet")
+    assert sorted(map(tuple, entry.queries()["trailing_hour"](spark, str(tmp_path)).collect())) == [(1, 1), (2, 2), (3, 1), (4, 2)]
