@@ -89,11 +89,13 @@ def _follow(elements: DataFrame, weights: Sequence[str]) -> DataFrame:
     return elements.mapInArrow(run, schema)
 
 
-def count_items(df: DataFrame, lists: Sequence[str], keep: Sequence[str]) -> DataFrame:
-    """(``keep``, list, item, n): how often each distinct string stands in each of the columns ``lists``, whose numbers from 0 are
+def count_items(df: DataFrame, lists: Sequence[str], keep: Sequence[str], top: bool = False) -> DataFrame:
+    """(``keep``, list, item, n; with ``top``, the greatest n of the list): how often each distinct string stands in each of the columns ``lists``, whose numbers from 0 are
     ``list``; none is null. Counted within the row, in Arrow batches: nothing is exploded to be counted, and nothing shuffled."""
     kept = df.select(*[F.col(f"`{c}`") for c in [*keep, *lists]])
     schema = T.StructType([*[kept.schema[c] for c in keep], T.StructField("list", T.IntegerType()), T.StructField("item", T.StringType()), T.StructField("n", T.LongType())])
+    if top:
+        schema = schema.add("top", T.LongType())
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -109,6 +111,10 @@ def count_items(df: DataFrame, lists: Sequence[str], keep: Sequence[str]) -> Dat
                 at = pa.array(each // known)
                 made = [batch.column(i).take(at) for i in range(len(keep))]
                 made += [pa.array(np.full(len(each), place, dtype=np.int32)), words.dictionary.take(pa.array(each % known)), pa.array(n)]
+                if top:
+                    greatest = np.zeros(len(column), dtype=np.int64)
+                    np.maximum.at(greatest, each // known, n)
+                    made.append(pa.array(greatest[each // known]))
                 yield pa.RecordBatch.from_arrays(made, names=schema.names)
 
     return kept.mapInArrow(run, schema)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import patterns as P
 from quillspark.functions.dialect import SPARK
 from quillspark.functions.normalizers import all_tokens, fold_token, tokens
+from quillspark.operators.lists import count_items
 
 MOST_NEW, MOST = 5, 15
 
@@ -15,9 +16,9 @@ MOST_NEW, MOST = 5, 15
 def document_tokens(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, token, n, top): frequencies of the words that count, and the highest of them in the document. A row for each document,
     told apart by ``key``: words are counted, and stop words dropped, within the row, and nothing is shuffled."""
-    words = F.filter(F.expr(SPARK.counted(all_tokens(SPARK, f"coalesce(`{text}`, '')"))), lambda t: (F.length(t["item"]) >= 2) & ~t["item"].isin(*P.STOP_WORDS))
-    rows = docs.select(key, words.alias("ts")).select(key, "ts", F.array_max(F.transform("ts", lambda t: t["n"])).alias("top"))
-    return rows.select(key, "top", F.explode("ts").alias("t")).select(key, F.col("t.item").alias("token"), F.col("t.n").alias("n"), "top")
+    rows = docs.select(key, F.expr(all_tokens(SPARK, f"coalesce(`{text}`, '')")).alias("ts"))
+    rows = rows.select(key, F.filter("ts", lambda w: (F.length(w) >= 2) & ~w.isin(*P.STOP_WORDS)).alias("ts"))
+    return count_items(rows, ["ts"], [key], top=True).select(key, F.col("item").alias("token"), "n", "top")
 
 
 def existing_tags(words: DataFrame, tags: DataFrame, key: str, applied: DataFrame | None = None) -> DataFrame:

@@ -447,3 +447,12 @@ def test_trailing_hour_keeps_rows_without_a_time(spark, tmp_path):
 
     spark.sql("select * from values (1L, timestamp_ntz '2024-01-01 00:00:00'), (2L, timestamp_ntz '2024-01-01 01:00:00'), (3L, null), (4L, timestamp_ntz '2024-01-01 01:00:00.000001') as t(event_id, ts)").write.parquet(f"{tmp_path}/events.parquet")
     assert sorted(map(tuple, entry.queries()["trailing_hour"](spark, str(tmp_path)).collect())) == [(1, 1), (2, 2), (3, 1), (4, 2)]
+
+
+def test_tokens_of_documents_are_counted_once(spark):
+    from quillspark.operators import tagging
+
+    words = tagging.document_tokens(spark.createDataFrame([(1, "bb aa bb x"), (2, ""), (3, None), (4, "cc")], "id int, text string"), "id", "text")
+    assert sorted(map(tuple, words.collect())) == [(1, "aa", 1, 2), (1, "bb", 2, 2), (4, "cc", 1, 1)]
+    plan = words._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and plan.count("regexp_extract_all") == 1
