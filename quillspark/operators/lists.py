@@ -118,3 +118,32 @@ def count_items(df: DataFrame, lists: Sequence[str], keep: Sequence[str], top: b
                 yield pa.RecordBatch.from_arrays(made, names=schema.names)
 
     return kept.mapInArrow(run, schema)
+
+
+def weigh_items(df: DataFrame, lists: dict[str, float], keep: Sequence[str]) -> DataFrame:
+    """(``keep``, item, n): the distinct strings of all the columns ``lists`` of a row together, with the sum of the weights of the
+    columns in which they stand, repeats included; no list is null. Counted within the row, as :func:`count_items`."""
+    kept = df.select(*[F.col(f"`{c}`") for c in [*keep, *lists]])
+    schema = T.StructType([*[kept.schema[c] for c in keep], T.StructField("item", T.StringType()), T.StructField("n", T.DoubleType())])
+    weights = list(lists.values())
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            columns = [batch.column(len(keep) + i) for i in range(len(weights))]
+            sizes = [np.diff(c.offsets.to_numpy()) for c in columns]
+            words = pa.concat_arrays([c.flatten() for c in columns]).dictionary_encode()
+            rows = np.concatenate([np.repeat(np.arange(len(s), dtype=np.int64), s) for s in sizes])
+            known = max(1, len(words.dictionary))
+            found = rows * known + words.indices.to_numpy(zero_copy_only=False)
+            order = np.argsort(found, kind="stable")
+            found, of = found[order], np.repeat(weights, [s.sum() for s in sizes])[order]
+            starts = np.flatnonzero(np.diff(found, prepend=-1))
+            each = found[starts]
+            at = pa.array(each // known)
+            n = np.add.reduceat(of, starts) if len(starts) else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([*[batch.column(i).take(at) for i in range(len(keep))], words.dictionary.take(pa.array(each % known)), pa.array(n)], names=schema.names)
+
+    return kept.mapInArrow(run, schema)

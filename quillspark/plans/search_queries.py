@@ -30,29 +30,25 @@ def _index(spark, sf_dir):
 _stored: dict[tuple, str] = {}
 
 
-def _stored_index(spark, sf_dir):
-    """The path of the index of ``documents``: stored once for an application and a state of the table's files."""
+def _once(spark, sf_dir, name, write) -> str:
+    """The path of an index of ``documents``: stored once for an application and a state of the table's files."""
     files = spark.read.format("binaryFile").load(f"{sf_dir}/documents.parquet")
     state = tuple(files.agg(F.count("*"), F.sum("length"), F.max("modificationTime"), F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)"))).first())
-    key = (spark.sparkContext.applicationId, sf_dir, state)
+    key = (spark.sparkContext.applicationId, sf_dir, state, name)
     if key not in _stored:
-        path = table_path(spark, "postings")
-        S.write_postings(_index(spark, sf_dir), path)
+        path = table_path(spark, name)
+        write(path)
         _stored[key] = path
     return _stored[key]
 
 
-_ranked: dict[str, str] = {}
+def _stored_index(spark, sf_dir):
+    return _once(spark, sf_dir, "postings", lambda path: S.write_postings(_index(spark, sf_dir), path))
 
 
 def _ranked_index(spark, sf_dir):
-    """The path of the index by impact, made from the stored one, once for each state of it."""
-    stored = _stored_index(spark, sf_dir)
-    if stored not in _ranked:
-        path = table_path(spark, "ranked")
-        S.write_ranked(spark.read.parquet(stored), "doc_id", path)
-        _ranked[stored] = path
-    return _ranked[stored]
+    """The path of the index by impact, made from the texts: a document's impacts need no other document."""
+    return _once(spark, sf_dir, "ranked", lambda path: S.write_impacts(S.impacts(read(spark, sf_dir, "documents"), "doc_id", FIELDS), path))
 
 
 def _found(spark, sf_dir):

@@ -456,3 +456,19 @@ def test_tokens_of_documents_are_counted_once(spark):
     assert sorted(map(tuple, words.collect())) == [(1, "aa", 1, 2), (1, "bb", 2, 2), (4, "cc", 1, 1)]
     plan = words._jdf.queryExecution().executedPlan().toString()
     assert "Generate" not in plan and plan.count("regexp_extract_all") == 1
+
+
+def test_impacts_are_summed_within_the_row(spark, tmp_path):
+    """The index by impact comes from the texts, without a shuffle, and equals the one from stored postings: repeats, several fields, nulls."""
+    rows = [(1, "a b a", "a", None), (2, "b", None, "b c"), (3, None, None, None), (4, "\u0391\u03a3\ufeff\u0391 \u0623\u064eب é", "é", ""), (5, "x " * 999, "y", "x")]
+    docs = spark.createDataFrame(rows, "id int, text string, title string, kind string").repartition(3)
+    fields = {"A": "title", "B": "kind", "D": "text"}
+    made = search.impacts(docs, "id", fields)
+    assert "Exchange" not in search.impacts(spark.range(9).selectExpr("id", "'a' as text"), "id", {"D": "text"})._jdf.queryExecution().executedPlan().toString()
+    got = {(r.id, r.term): r.impact for r in made.collect()}
+    want = search.postings(docs, "id", fields).groupBy("id", "term").agg(F.sum(search.impact()).alias("impact")).collect()
+    assert len(got) == made.count() and got == {(r.id, r.term): pytest.approx(r.impact, abs=1e-12) for r in want}
+    search.write_impacts(made, f"{tmp_path}/ranked")
+    for query in ("a b", "x y", "b c", "absent"):
+        plain = sorted((-round(r.rank, 9), r.id) for r in search.match(search.postings(docs, "id", fields), query, "id").collect())
+        assert [(-r.rank, r.id) for r in search.search_tiers(docs, f"{tmp_path}/ranked", query, "id").collect()] == [(pytest.approx(x, abs=2e-9), i) for x, i in plain]
