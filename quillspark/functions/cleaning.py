@@ -77,8 +77,12 @@ EDGE = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))
 
 
 def remove_repeated_tokens(d: Dialect, x: str) -> str:
-    """A token four times or more in a row, with ASCII edges, stays once. Back references: not in DuckDB."""
-    return d.replace(x, rf"{EDGE}({NOT_WS}++)({WS}++\1){{3,}}{EDGE}", "$1")
+    """A token four times or more in a row, with ASCII edges, stays once. Back references: not in DuckDB.
+
+    The second and third are whole, so texts in which no word comes twice at once, with a third time begun, are left alone.
+    """
+    hint = d.matches("g", rf"(?<={WS})({NOT_WS}++){WS}++\1{WS}++\1")
+    return d.let(x, "g", f"if({hint}, {d.replace('g', rf'{EDGE}({NOT_WS}++)({WS}++' + chr(92) + f'1){{3,}}{EDGE}', '$1')}, g)")
 
 
 def remove_garbage_symbols(d: Dialect, x: str, confidence: str | None = None) -> str:
@@ -114,9 +118,11 @@ def collapse_repeated_words(d: Dialect, x: str) -> str:
     """
     letter = r"[\x{0600}-\x{06FF}]"
     word, phrase = rf"({letter}{{2,}}+)", rf"((?:{letter}++{WS}++){{1,3}}{letter}++)"
-    for repeated in (word, phrase):
-        # of three in a row, the second starts after white space and is followed by itself: looked for at starts of words alone
-        hint = d.matches("g", rf"(?<={WS}){repeated}{WS}++\1")
+    # of three in a row, the second starts after white space and is followed by itself; of a phrase, the first's words but its first
+    # are whole too, and so are the third's but its last: looked for at starts of words alone
+    met = rf"(?<={WS})((?:{letter}++{WS}++){{0,2}}{letter}++){WS}++({letter}++{WS}++)\1{WS}++\2\1"
+    for repeated, sign in ((word, rf"(?<={WS}){word}{WS}++\1"), (phrase, met)):
+        hint = d.matches("g", sign)
         x = d.let(x, "g", f"if({hint}, {d.replace('g', rf'{repeated}({WS}++' + chr(92) + '1){2,}', '$1')}, g)")
     return x
 

@@ -241,3 +241,20 @@ def test_repeats_found_from_a_hint_are_those_of_the_pattern(spark):
     plain = SPARK.chain("text", ((rf"({letter}{{2,}}+)({WS}++\1){{2,}}", "$1"), (rf"((?:{letter}++{WS}++){{1,3}}{letter}++)({WS}++\1){{2,}}", "$1")))
     df = spark.createDataFrame([(t,) for t in texts], "text string").select("text", F.expr(plain).alias("a"), F.expr(cleaning.collapse_repeated_words(SPARK, "text")).alias("b"))
     assert df.where("a <> text").count() > 50 and df.where("a <> b").count() == 0
+
+
+def test_repeats_are_replaced_only_where_three_stand_in_a_row(spark):
+    """The signs that let the costly patterns run are necessary, whole words or parts of them, and two in a row no longer are enough."""
+    import random
+
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(["اب", "ج", "اباب", "باب", "a", "ab", "b-ab"]) for _ in range(rng.randint(1, 25))).replace(" ", rng.choice([" ", "\n", "  "]), rng.randint(0, 4)) for _ in range(4000)]
+    texts += ["زاب ج اب ج اب جد", "xab-ab ab ab abc", "زاب اب ابج", "اب ج د ه اب ج د ه اب ج د ه", "اب  ج اب ج اب ج"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").repartition(4)
+    C, d, letter = cleaning, SPARK, r"[\x{0600}-\x{06FF}]"
+    plain = d.replace("t", rf"{C.EDGE}({dialect.NOT_WS}++)({dialect.WS}++\1){{3,}}{C.EDGE}", "$1")
+    for repeated in (rf"({letter}{{2,}}+)", rf"((?:{letter}++{dialect.WS}++){{1,3}}{letter}++)"):
+        plain = d.replace(plain, rf"{repeated}({dialect.WS}++\1){{2,}}", "$1")
+    made = C.collapse_repeated_words(d, C.remove_repeated_tokens(d, "t"))
+    assert df.where(f"{made} <> {plain}").isEmpty() and df.where(f"t <> {plain}").count() > 100
+    assert made.count("rlike") == 3
