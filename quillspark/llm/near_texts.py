@@ -14,6 +14,9 @@ whose texts that left apart.
 That closes most groups and leaves out pairs, those far apart as fingerprints and those of long lists. All others come from an exact
 index of prefixes (``prefix_lists``), which looks at texts of different groups alone and is verified in the same way: no pair of
 similarity 0.8 is lost.
+
+Sets of shingles are larger than the texts, so before any are made or moved all pairs pass a bound on their similarity: parities of at
+least as many bits as a set has members.
 """
 
 from __future__ import annotations
@@ -194,23 +197,48 @@ def _key(id_, digest):
     return F.concat(digest, F.coalesce(F.concat(F.lit("="), id_.cast("string")), F.lit("")))
 
 
-def groups(texts: DataFrame, docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(node, root) of all ``texts`` (node, md5, one: the row that stands for it, fp, n, parity, prefix), written: what pairs of similar
-    texts connect. First each text and its nearest candidate; then the pairs between groups that these left apart, which link the
-    groups' roots, with the nearest members of lists of prefixes; then all that these lists still hold between groups."""
-    spark = texts.sparkSession
-    lists = prefix_lists.lists(texts)
-    release(spark)
-    close = materialize(prefix_lists.apart(lists.withColumn("root", F.col("node")), True).select("u", "v"), "close")  # every text that has a partner in a list is in it
-    pairs = materialize(candidates(texts.select("node", "fp")), "candidates")
-    release(spark)
-    involved = pairs.select("u", "v").union(close).select(F.explode(F.array("u", "v")).alias("node")).distinct().join(texts.select("node", _key(F.col("one.id"), F.col("md5")).alias("key")), "node")
+def _plausible(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those rows of ``pairs`` (u, v, ...) whose texts may be similar by their sizes and parities: no similar pair goes, and of others hardly
+    one below 0.7 stays, so that sets are made and moved for few. ``texts``: (node, n, parity, wide)."""
+    of = lambda c: texts.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.coalesce("wide", "parity").alias(f"p_{c}"))
+    names = pairs.columns
+    joined = pairs.join(of("u"), "u").join(of("v"), "v").select(*names, "n_u", "n_v", "p_u", "p_v")
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            keep = [prefix_lists.may_be_similar(*of) for of in zip(*(c.to_pylist() for c in batch.columns[len(names) :]))]
+            yield pa.RecordBatch.from_arrays(batch.columns[: len(names)], names=names).filter(pa.array(keep, type=pa.bool_()))
+
+    return joined.mapInArrow(run, pairs.schema)
+
+
+def _sets(texts: DataFrame, nodes: DataFrame, docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """(node, s), written: the sorted hashes of the shingles of ``nodes`` (node), 8 bytes each."""
     digest = F.md5(F.encode(text_or_empty(text_column), "UTF-8"))
+    keys = nodes.join(texts.select("node", _key(F.col("one.id"), F.col("md5")).alias("key")), "node")
     source = docs.select(_key(F.col(f"`{id_column}`"), digest).alias("key"), text_or_empty(text_column).alias("text"))  # by row, so that copies of a text don't meet
-    once = source.join(involved.hint("shuffle_hash"), "key").dropDuplicates(["key"]).select("node", "text")
-    sets = materialize(add_columns(once, "text", [field("s", T.BinaryType())], lambda column: [[shingles(t.as_py()).astype("<u8").tobytes() for t in column]], ["node"]), "shingles", "none")
+    once = source.join(keys.hint("shuffle_hash"), "key").dropDuplicates(["key"]).select("node", "text")
+    return materialize(add_columns(once, "text", [field("s", T.BinaryType())], lambda column: [[shingles(t.as_py()).astype("<u8").tobytes() for t in column]], ["node"]), "shingles", "none")
+
+
+def _nodes(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("u").alias("node")).distinct().union(pairs.select(F.col("v").alias("node")).distinct()).distinct()
+
+
+def groups(texts: DataFrame, lists: DataFrame, docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(node, root) of all ``texts`` (node, md5, one: the row that stands for it, fp, n, parity, wide), written: what pairs of similar
+    texts connect. First each text and its nearest candidate; then the pairs between groups that these left apart, which link the
+    groups' roots, with the nearest members of ``lists`` of prefixes; then all that these lists still hold between groups."""
+    spark = texts.sparkSession
+    close = materialize(_plausible(prefix_lists.apart(lists.withColumn("root", F.col("node")), True).select("u", "v"), texts), "close")
+    pairs = materialize(_plausible(candidates(texts.select("node", "fp")), texts), "candidates")
     both = pairs.union(pairs.select("v", "u", "bits"))
-    nearest = both.groupBy(F.col("u").alias("v")).agg(F.min(F.struct("bits", F.col("v").alias("u"))).alias("m")).select(F.least("v", "m.u").alias("u"), F.greatest("v", "m.u").alias("v")).distinct()
+    nearest = materialize(both.groupBy("u").agg(F.min(F.struct("bits", "v")).alias("m")).select("u", "m.v"), "nearest")  # a row for each text that has a candidate
+    release(spark)
+    sets = _sets(texts, nearest.select(F.col("u").alias("node")).union(_nodes(close)).distinct(), docs, id_column, text_column)
+    nearest, before = nearest.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), nearest
     release(spark)
     first = materialize(_verified(nearest.select("u", "v", F.col("u").alias("a"), F.col("v").alias("b")), sets), "links")
     roots = materialize(components(first), "roots")
@@ -219,10 +247,16 @@ def groups(texts: DataFrame, docs: DataFrame, id_column: str = "doc_id", text_co
     apart = found.join(of("u", "a"), "u", "left").join(of("v", "b"), "v", "left").select("u", "v", F.coalesce("a", "u").alias("a"), F.coalesce("b", "v").alias("b")).where("a <> b")
     rest = apart.join(nearest.withColumn("__qs_done", F.lit(True)), ["u", "v"], "left").where("__qs_done is null").select("u", "v", "a", "b")
     named = texts.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    release(spark)
     out = _joined(named, _verified(rest, sets))
-    out, before = _joined(out, _verified(prefix_lists.apart(lists.join(out, "node"), False), sets)), out
-    discard(before)
-    for t in (pairs, lists, close, sets, first, roots):
+    for t in (pairs, close, before, first, roots):
+        discard(t)
+    last = materialize(_plausible(prefix_lists.apart(lists.join(out, "node"), False), texts), "apart")
+    release(spark)
+    missing = _nodes(last).join(sets.select("node"), "node", "left_anti")  # texts whose nearest one is too far, and another isn't
+    more = None if missing.isEmpty() else _sets(texts, missing, docs, id_column, text_column)
+    out, before = _joined(out, _verified(last, sets if more is None else sets.union(more))), out
+    for t in (before, last, sets) if more is None else (before, last, sets, more):
         discard(t)
     return out
 
@@ -248,16 +282,21 @@ def drop_near_texts(docs: DataFrame, id_column: str = "doc_id", text_column: str
     digest = F.md5(F.encode(text_or_empty(text_column), "UTF-8"))
     keyed = docs.select(F.col(f"`{id_column}`").alias("__qs_id"), digest.alias("md5"), F.col(f"`{text_column}`").alias("__qs_source"))
     often = docs.sparkSession.sparkContext.broadcast(prefix_lists.frequent(docs, text_column, shingles))
-    measures = [field("fp", T.BinaryType()), field("n", T.LongType()), field("parity", T.BinaryType()), field("prefix", T.ArrayType(T.LongType()))]
+    measures = [field("fp", T.BinaryType()), field("n", T.LongType()), field("parity", T.BinaryType()), field("wide", T.BinaryType()), field("prefix", T.ArrayType(T.LongType()))]
 
     def measured(column):
         sets = [shingles(t.as_py()) for t in column]
-        return [[fingerprint(t.as_py()) for t in column], [len(s) for s in sets], [prefix_lists.parity(s) for s in sets], [prefix_lists.prefix(s, *often.value) for s in sets]]
+        return [[fingerprint(t.as_py()) for t in column], [len(s) for s in sets], [prefix_lists.parity(s) for s in sets], [prefix_lists.wide_parity(s) for s in sets], [prefix_lists.prefix(s, *often.value) for s in sets]]
 
     made = add_columns(keyed, "__qs_source", measures, measured, ["__qs_id", "md5"])
     one = F.min(F.struct(F.col("__qs_id").isNull().alias("none"), F.col("__qs_id").alias("id"))).alias("one")
-    each = materialize(made.groupBy("md5").agg(one, *[F.first(c.name).alias(c.name) for c in measures]).withColumn("node", F.monotonically_increasing_id()), "texts")
-    named = groups(each, docs, id_column, text_column)
+    whole = materialize(made.groupBy("md5").agg(one, *[F.first(c.name).alias(c.name) for c in measures]).withColumn("node", F.monotonically_increasing_id()), "texts")
+    lists = prefix_lists.lists(whole)
+    each = materialize(whole.drop("prefix"), "texts")  # prefixes, most of the table, are done with
+    discard(whole)
+    release(docs.sparkSession)
+    named = groups(each, lists, docs, id_column, text_column)
+    discard(lists)
     grouped = each.join(named, "node").groupBy("root").agg(F.min(F.struct("one.none", "one.id", "md5")).alias("one"))
     kept = materialize(grouped.select(_key(F.col("one.id"), F.col("one.md5")).alias("__qs_key")), "kept")  # written, so that both sides of the next join are plain shuffles
     discard(named)

@@ -62,8 +62,21 @@ def prefix(s: np.ndarray, h: np.ndarray, n: np.ndarray) -> np.ndarray:
     return s[np.lexsort((s, count))][: len(s) - (4 * len(s) + 4) // 5 + 1].view(np.int64)
 
 
-def parity(s: np.ndarray) -> bytes:
-    return np.packbits((np.bincount((s & np.uint64(64 * WORDS - 1)).astype(np.int64), minlength=64 * WORDS) & 1).astype(np.uint8)).tobytes()
+def parity(s: np.ndarray, bits: int = 64 * WORDS) -> bytes:
+    return np.packbits((np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def wide_parity(s: np.ndarray) -> bytes | None:
+    """The parity of a set of more members than :func:`parity` has bits, of as many bits as it has members at least; None for others."""
+    return parity(s, 1 << (len(s) - 1).bit_length()) if len(s) > 64 * WORDS else None
+
+
+def may_be_similar(n: int, m: int, p: bytes, q: bytes) -> bool:
+    """Whether sets of n and m members with these parities may be similar. The wider parity is folded: bit i of half its bits is that of i and of i + half."""
+    a, b = np.frombuffer(p, dtype=np.uint64), np.frombuffer(q, dtype=np.uint64)
+    least = min(len(a), len(b))
+    differ = np.bitwise_xor.reduce(a.reshape(-1, least)) ^ np.bitwise_xor.reduce(b.reshape(-1, least))
+    return 9 * max(int(np.bitwise_count(differ).sum()), abs(n - m)) <= n + m
 
 
 def lists(texts: DataFrame) -> DataFrame:

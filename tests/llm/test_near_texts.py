@@ -164,3 +164,52 @@ def test_prefix_lists_hold_every_similar_pair():
             assert set(prefix_lists.prefix(a, *often).tolist()) & set(prefix_lists.prefix(b, *often).tolist())
             assert prefix_lists._near(np.ascontiguousarray(p), np.array([len(a), len(b)]), np.array([0]), np.array([1]))[0].all()
     assert met > 50
+
+
+def test_wide_parities():
+    """They let every similar pair through, whatever the sizes, and tell large sets apart where 1024 bits can't."""
+    from quillspark.llm import prefix_lists
+
+    rng = np.random.default_rng(8)
+    passed = 0
+    for n in (3, 900, 1020, 1100, 2040, 5000, 20000) * 4:
+        base = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        a, b = (np.unique(np.concatenate([base[rng.random(n) < rng.uniform(0.9, 1)], rng.integers(0, 1 << 63, 1 + n // 40, dtype=np.uint64)])) for _ in range(2))
+        other = np.unique(rng.integers(0, 1 << 63, n + n // 50, dtype=np.uint64))
+        p, q, r = (prefix_lists.wide_parity(s) or prefix_lists.parity(s) for s in (a, b, other))
+        if near_texts.similarity(a, b) >= near_texts.SIMILAR:
+            passed += 1
+            assert prefix_lists.may_be_similar(len(a), len(b), p, q)
+        assert n < 10 or not prefix_lists.may_be_similar(len(a), len(other), p, r)
+    assert passed > 15
+
+
+def test_sets_are_made_for_texts_that_may_be_similar_alone(spark, monkeypatch):
+    """Long texts of the same words in another order have one fingerprint, and no shingle in common: none is fetched to be verified."""
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(2500)]
+    rows = [(i, " ".join(rng.sample(words, len(words)))) for i in range(4)]
+    made, materialize = {}, near_texts.materialize
+
+    def watched(df, name, *more):
+        made[name] = materialize(df, name, *more)
+        return made[name]
+
+    monkeypatch.setattr(near_texts, "materialize", watched)
+    monkeypatch.setattr(near_texts, "discard", lambda table: None)
+    assert near_texts.drop_near_texts(spark.createDataFrame(rows, "doc_id long, text string")).count() == 4
+    assert made["shingles"].count() == 0
+
+
+def test_pairs_that_the_last_look_alone_finds(spark, monkeypatch):
+    """Texts without a candidate or a nearest one that may be similar get their sets when the lists are looked through at last."""
+    rows = planted(random.Random(9), 12, (0.005, 0.012))
+    apart = near_texts.prefix_lists.apart
+    monkeypatch.setattr(near_texts.prefix_lists, "apart", lambda members, nearest: apart(members, nearest).where(F.lit(not nearest)))
+    monkeypatch.setattr(near_texts, "candidates", lambda texts: texts.selectExpr("node u", "node v", "0 bits").where("false"))
+    find, _ = brute_groups(rows)
+    firsts = {}
+    for i, t in sorted(rows):
+        firsts.setdefault(find(t), i)
+    kept = {r.doc_id for r in near_texts.drop_near_texts(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert len(firsts) < len(rows) and kept == set(firsts.values())
