@@ -236,8 +236,9 @@ def replay(df: DataFrame, key: str, machine: Machine, result: str, order: Sequen
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names=started.names)
 
-    functions = written.groupBy("__qs_part").applyInArrow(summarise, function)
-    states = functions.coalesce(1).mapInArrow(scan, started)  # a row for each partition
+    dealt = written.repartition(parts, "__qs_part")  # as many tasks as partitions, however many there are
+    functions = dealt.groupBy("__qs_part").applyInArrow(summarise, function)
+    states = functions.repartition(1).mapInArrow(scan, started)  # a row for each partition, shuffled: coalesced, one task would make them all
     shown = T.StructType([*df.schema.fields, *T._parse_datatype_string(result).fields])
 
     def apply(table):
@@ -255,4 +256,4 @@ def replay(df: DataFrame, key: str, machine: Machine, result: str, order: Sequen
         schema = to_arrow_schema(shown)
         return pa.table([*[table[c].combine_chunks() for c in names], *[pa.array(c, type=f.type) for c, f in zip(zip(*made), list(schema)[len(names) :])]], schema=schema)
 
-    return written.join(F.broadcast(states), "__qs_part").groupBy("__qs_part").applyInArrow(apply, shown)
+    return dealt.join(F.broadcast(states), "__qs_part").groupBy("__qs_part").applyInArrow(apply, shown)

@@ -108,3 +108,17 @@ def test_streaks(spark, failing):
     for i, who, bad in rows:
         held[who] = want[i] = held.get(who, 0) + 1 if bad else 0
     assert got == want
+
+
+def test_no_task_reads_all_rows(spark, tmp_path):
+    """The functions of partitions are made side by side: only they, not the rows, meet in one task."""
+    from pyspark import TaskContext
+
+    class Watched(scan.Jobs):
+        def summary(self, rows):
+            (tmp_path / str(TaskContext.get().partitionId())).touch()
+            return super().summary(rows)
+
+    _, df = events(spark, 2000, 0.5)
+    assert scan.replay(df, "who", Watched(3), stateful.JOB_RESULT, ["us", "id"], rows=100).count() == 2000
+    assert len(list(tmp_path.iterdir())) > 4
