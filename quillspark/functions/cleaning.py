@@ -171,12 +171,14 @@ def final_cleanup(d: Dialect, x: str) -> str:
 
 def similarity(d: Dialect, a: str, b: str) -> str:
     """Jaccard similarity of the sets of words: equal texts 1, an empty one 0."""
-    parts = (lambda x: f"regexp_split_to_array({x}, {d.lit(WS + '+')})") if d.duck else (lambda x: f"split({x}, {d.lit(WS + '+')}, -1)")
     if d.duck:
-        both, union = f"len(list_distinct(list_intersect({parts(a)}, {parts(b)})))", f"len(list_distinct(list_concat({parts(a)}, {parts(b)})))"
-    else:
-        both, union = f"size(array_intersect({parts(a)}, {parts(b)}))", f"size(array_union({parts(a)}, {parts(b)}))"
-    return f"case when {a} = {b} then cast(1 as double) when {a} = '' or {b} = '' then cast(0 as double) else cast({both} as double) / {union} end"
+        parts = lambda x: f"regexp_split_to_array({x}, {d.lit(WS + '+')})"
+        share = f"cast(len(list_distinct(list_intersect({parts(a)}, {parts(b)}))) as double) / len(list_distinct(list_concat({parts(a)}, {parts(b)})))"
+    else:  # each text is split once
+        words = lambda x: f"array_distinct(split({d.spaces(x)}, ' +', -1))"
+        share = d.let("size(array_intersect(p, q))", "n", "cast(n as double) / (size(p) + size(q) - n)")
+        share = d.let(words(a), "p", d.let(words(b), "q", share))
+    return f"case when {a} = {b} then cast(1 as double) when {a} = '' or {b} = '' then cast(0 as double) else {share} end"
 
 
 # --- steps that are Python functions of one text ---

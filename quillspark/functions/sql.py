@@ -11,10 +11,8 @@ from quillspark.functions.dialect import SPARK
 def register(spark: SparkSession) -> list[str]:
     """Makes functions of texts callable from SQL in this session: scalar ones as SQL functions, which Catalyst inlines, and a table
     function of markdown blocks. Returns their names."""
-    metrics = analysis.measures(SPARK, "x")
-    derived = analysis.derived(SPARK)
-    fields = ", ".join(f"'{n}', cast({e} as {'double' if n.endswith('ratio') else 'bigint'})" for n, e in metrics.items())
-    more = ", ".join(f"'{n}', cast({_of('m', e, metrics)} as bigint)" for n, e in derived.items())
+    metrics = {n: f"cast({e} as {'double' if n.endswith('ratio') else 'bigint'})" for n, e in analysis.measures(SPARK, "x").items()}
+    derived = {n: f"cast({_with(e, metrics)} as bigint)" for n, e in analysis.derived(SPARK).items()}
     functions = {
         "normalize_arabic": ("x string", "string", normalizers.fold_index(SPARK, "x")),
         "normalize_search_query": ("x string", "string", normalizers.fold_query(SPARK, "x")),
@@ -23,15 +21,16 @@ def register(spark: SparkSession) -> list[str]:
     }
     for name, (arguments, kind, body) in functions.items():
         spark.sql(f"create or replace temporary function {name}({arguments}) returns {kind} return {body}")
-    kinds = ", ".join(f"{n}: {'double' if n.endswith('ratio') else 'bigint'}" for n in [*metrics, *derived])
-    body = SPARK.let(f"named_struct({fields})", "m", f"named_struct({', '.join(f'{chr(39)}{n}{chr(39)}, m.{n}' for n in metrics)}, {more})")
+    body = f"named_struct({', '.join(f'{chr(39)}{n}{chr(39)}, {e}' for n, e in (metrics | derived).items())})"  # flat, so that Catalyst makes the fields alone that are asked for
+    made = spark.sql(f"select {body} as m from values (cast(null as string)) as t(x)").schema["m"].dataType
+    kinds = ", ".join(f"{f.name}: {f.dataType.simpleString()}{'' if f.nullable else ' not null'}" for f in made)  # as it is, nulls included: a cast to another type would hide the fields
     spark.sql(f"create or replace temporary function analyze_text(x string) returns struct<{kinds}> return {body}")
     spark.udtf.register("markdown_blocks", ir.ExplodeBlocks)
     return [*functions, "analyze_text", "markdown_blocks"]
 
 
-def _of(struct: str, expression: str, names) -> str:
-    """An expression over columns as one over the fields of a struct."""
+def _with(expression: str, values: dict[str, str]) -> str:
+    """An expression over names as one over what they stand for."""
     import re
 
-    return re.sub(rf"\b({'|'.join(names)})\b", rf"{struct}.\1", expression)
+    return re.sub(rf"\b({'|'.join(values)})\b", lambda m: values[m[0]], expression)

@@ -85,11 +85,11 @@ def stored_objects(spark, sf_dir):
     f" cast({A.script_ratio(DUCK, 'text')} as double) as arabic_ratio, cast({A.page_estimate(DUCK, A.word_count(DUCK, 'text'))} as bigint) as pages from documents"
 )
 def sql_functions(spark, sf_dir):
-    """Functions of the library, called by name in SQL."""
+    """Functions of the library, called by name in SQL. Fields are asked for where they are made: of a struct of a subquery with two costly fields Catalyst makes all."""
     sql.register(spark)
     read(spark, sf_dir, "documents").createOrReplaceTempView("__qs_documents")
     return spark.sql(
-        "select doc_id, normalize_arabic(text) as folded, text_similarity(text, source) as similarity, text_word_count(text) as words, m.arabic_ratio, m.page_count as pages from (select *, analyze_text(text) as m from __qs_documents)"
+        "select doc_id, normalize_arabic(text) as folded, text_similarity(text, source) as similarity, text_word_count(text) as words, analyze_text(text).arabic_ratio, analyze_text(text).page_count as pages from __qs_documents"
     )
 
 

@@ -1,5 +1,7 @@
 """Pinned vectors and laws of the text operators."""
 
+import re
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -258,3 +260,29 @@ def test_repeats_are_replaced_only_where_three_stand_in_a_row(spark):
     made = C.collapse_repeated_words(d, C.remove_repeated_tokens(d, "t"))
     assert df.where(f"{made} <> {plain}").isEmpty() and df.where(f"t <> {plain}").count() > 100
     assert made.count("rlike") == 3
+
+
+def test_fields_of_analyze_text(spark):
+    """By name, only the fields that are asked for are made; their values are those of ``analyze``, nulls apart."""
+    from quillspark.functions import analysis, sql
+
+    sql.register(spark)
+    rows = [(0, "# A\n\nfoo bar  baz\n\nكلمة <b>x</b> ؟؟؟"), (1, ""), (2, " 　\n"), (3, "## b\n" + "w " * 300)]
+    df = spark.createDataFrame(rows, "id long, text string")
+    df.createOrReplaceTempView("__qs_analyzed")
+    got = {r.id: r.m.asDict() for r in spark.sql("select id, analyze_text(text) as m from __qs_analyzed").collect()}
+    assert got == {r.id: {n: r[n] for n in analysis.METRICS} for r in analysis.analyze(df).collect()}
+    plan = spark.sql("select analyze_text(text).arabic_ratio, analyze_text(text).page_count from __qs_analyzed")._jdf.queryExecution().optimizedPlan().toString()
+    assert "named_struct" not in plan and "<[a-zA-Z]" not in plan
+
+
+def test_similarity_splits_a_text_once(spark):
+    from quillspark.functions import cleaning
+    from quillspark.functions.dialect import SPARK
+
+    rows = [("a b  b", "b c"), (" a", "a "), ("a", "a"), ("", "a"), (" ", "\t\n"), ("x　y z", "z y x")]
+    got = spark.createDataFrame(rows, "a string, b string").selectExpr(f"{cleaning.similarity(SPARK, 'a', 'b')} as s").collect()
+    parts = [[set(re.split(r"[\s　  ]+", t)) for t in r] for r in rows]
+    want = [1.0 if r[0] == r[1] else 0.0 if "" in r else len(p & q) / len(p | q) for r, (p, q) in zip(rows, parts)]
+    assert [r.s for r in got] == want
+    assert cleaning.similarity(SPARK, "a", "b").count("split(") == 2
