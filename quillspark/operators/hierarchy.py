@@ -79,6 +79,13 @@ def _walk(folders: DataFrame, text: Column, separator: str) -> DataFrame:
     return folders.select("id", "parent", "order", text.alias("text")).coalesce(1).mapInArrow(run, schema)
 
 
+def _left_by_parent(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """``rows`` with what ``known`` has of their parents. The join is shuffled: broadcast, all folders would go through the driver. Roots
+    stay out of it, as they would all meet in one task."""
+    joined = rows.where("parent is not null").join(known.hint("shuffle_hash"), "parent", "left")
+    return joined.unionByName(rows.where("parent is null"), allowMissingColumns=True)
+
+
 def labels(folders: DataFrame, few: int | None = None) -> DataFrame:
     """(id, enter, leave, depth), written: places in the walk around all trees, from 0, and levels below the root; nulls on rings.
     ``few``: folders that one task may walk through, FEW_FOLDERS unless said."""
@@ -86,14 +93,14 @@ def labels(folders: DataFrame, few: int | None = None) -> DataFrame:
         return materialize(_walk(folders, F.lit(None).cast("string"), "").select("id", "enter", "leave", "depth"), "labels")
     parts = folders.select("id", "parent", "order")
     exists = folders.select(F.col("id").alias("__qs_p"))
-    nodes = parts.join(exists, F.col("parent") == F.col("__qs_p"), "left").select("id", F.col("__qs_p").alias("parent"), "order", F.monotonically_increasing_id().alias("g"))
+    nodes = _left_by_parent(parts, exists.select(F.col("__qs_p").alias("parent"), "__qs_p")).select("id", F.col("__qs_p").alias("parent"), "order", F.monotonically_increasing_id().alias("g"))
     nodes = materialize(nodes, "folders")  # numbers stay as they are written
     beside = materialize(neighbours(nodes, [F.col("order"), F.col("id")], "g", ["parent"]), "siblings")
     ups = nodes.select(F.col("id").alias("parent"), F.col("g").alias("up"))
     first = beside.where("previous is null").select("parent", F.col("g").alias("first"))
     last = beside.where("next is null").select("parent", F.col("g").alias("last"))
-    ends = first.join(last, "parent").join(ups, "parent").select(F.col("up").alias("g"), "first", "last")
-    linked = beside.join(ups, "parent", "left").join(ends, "g", "left")
+    ends = first.join(last.hint("shuffle_hash"), "parent").join(ups.hint("shuffle_hash"), "parent").select(F.col("up").alias("g"), "first", "last")
+    linked = _left_by_parent(beside, ups).join(ends.hint("shuffle_hash"), "g", "left")
     # folder g is entered at element 2 g and left at 2 g + 1
     enter = F.struct(
         (2 * F.col("g")).alias("e"),
@@ -112,7 +119,7 @@ def labels(folders: DataFrame, few: int | None = None) -> DataFrame:
     ranked = lists.rank(linked.select(F.explode(F.array(enter, leave)).alias("x")).select("x.*"), ["place", "depth"], None if few is None else max(2, few))
     inside = F.col("e") % 2 == 0
     placed = ranked.groupBy(F.expr("e div 2").alias("g")).agg(F.max(F.when(inside, F.col("place"))).alias("enter"), F.max(F.when(~inside, F.col("place"))).alias("leave"), F.max(F.when(inside, F.col("depth"))).cast("int").alias("depth"))
-    out = materialize(nodes.select("id", "g").join(placed, "g", "left").drop("g"), "labels")
+    out = materialize(nodes.select("id", "g").join(placed.hint("shuffle_hash"), "g", "left").drop("g"), "labels")
     for t in (nodes, beside, ranked):
         discard(t)
     return out
@@ -247,7 +254,7 @@ def heights(folders: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
     between = made.where("part = 'all'").agg(F.transform(F.sort_array(F.collect_list(F.struct("block", "most"))), lambda x: x["most"]).alias("all"))  # a number for each block
     found = whole
     if n > size:
-        spans = begun.join(ended, "id").join(F.broadcast(between))
+        spans = begun.join(ended.hint("shuffle_hash"), "id").join(F.broadcast(between))
         inner = F.when(F.col("b") - F.col("a") > 1, F.array_max(F.slice("all", F.col("a") + 2, F.col("b") - F.col("a") - 1))).otherwise(0)
         found = whole.unionByName(spans.select("id", (F.greatest("rest", "start", inner) - F.col("depth")).alias("height")))
     rings = _rings(folders, labelled)
@@ -302,14 +309,17 @@ def paths(folders: DataFrame, separator: str = " / ", few: int | None = None) ->
 def check_moves(folders: DataFrame, moves: DataFrame) -> DataFrame:
     """``moves`` (id, target; null for the root) with a verdict: CIRCULAR, MAX_DEPTH or OK."""
     labelled = labels(folders)
-    mine = labelled.select("id", "enter", "leave")
-    theirs = labelled.select(F.col("id").alias("target"), F.col("enter").alias("at"))
+    named = moves.select("id").union(moves.select(F.col("target").alias("id"))).distinct()
+    asked = lambda df: df.join(named, "id", "left_semi")  # noqa: E731  of all folders, those that are moved or moved to
+    spots = asked(labelled)
+    mine = spots.select("id", "enter", "leave")
+    theirs = spots.select(F.col("id").alias("target"), F.col("enter").alias("at"))
     checked = moves.join(mine, "id", "left").join(theirs, "target", "left").withColumn("below", (F.col("at") >= F.col("enter")) & (F.col("at") <= F.col("leave")))
     rings = _rings(folders, labelled)
     if rings is not None:
-        ringed = rings.select(F.col("id").alias("target"), F.col("ancestor").alias("id"), F.lit(True).alias("ring"))
+        ringed = asked(rings).select(F.col("id").alias("target"), F.col("ancestor").alias("id"), F.lit(True).alias("ring"))
         checked = checked.join(ringed, ["id", "target"], "left").withColumn("below", F.coalesce("ring", "below"))
-    checked = checked.join(depths(folders, labelled).select(F.col("id").alias("target"), "depth"), "target", "left").join(heights(folders, labelled), "id", "left")
+    checked = checked.join(asked(depths(folders, labelled)).select(F.col("id").alias("target"), "depth"), "target", "left").join(asked(heights(folders, labelled)), "id", "left")
     deep = F.coalesce(F.col("depth"), F.lit(0)) + 1 + F.coalesce(F.col("height"), F.lit(0)) >= MAX_DEPTH
     verdict = F.when(F.col("below"), "CIRCULAR").when(F.col("target").isNotNull() & deep, "MAX_DEPTH").otherwise("OK")
     return checked.select("id", "target", verdict.alias("verdict"))

@@ -20,7 +20,7 @@ def rank(elements: DataFrame, weights: Sequence[str], least: int | None = None)
 
     A round takes out the elements whose hash is less than both neighbours', a third of them, and ties their neighbours together;
     once ``least`` are left, one task follows them, and the rounds are undone backwards: an element that was taken out is as far
-    as its predecessor and the way from there. Rounds shrink by a third each, so all that is written is some six times the
+    as its predecessor and the way from there. Joins are shuffled: broadcast, each would go through the driver. Rounds shrink by a third each, so all that is written is some six times the
     elements, whatever their number and the lists' lengths. Elements of a ring, which no head leads to, are left out.
     """
     least = LEAST if least is None else least
@@ -35,7 +35,7 @@ def rank(elements: DataFrame, weights: Sequence[str], least: int | None = None)
         out = materialize(marked.where("__qs_out").drop("__qs_out"), "taken_out")
         ties = out.select(F.col("pred").alias("e"), F.col("succ").alias("__qs_succ"), F.lit(True).alias("__qs_tied"))
         back = out.where("succ is not null").select(F.col("succ").alias("e"), F.col("pred").alias("__qs_pred"), *[F.col(w).alias(f"__qs_{w}") for w in weights])
-        kept = marked.where("not __qs_out").join(ties, "e", "left").join(back, "e", "left")
+        kept = marked.where("not __qs_out").join(ties.hint("shuffle_hash"), "e", "left").join(back.hint("shuffle_hash"), "e", "left")
         after = materialize(
             kept.select(
                 "e",
@@ -55,7 +55,7 @@ def rank(elements: DataFrame, weights: Sequence[str], least: int | None = None)
     discard(current)
     for out in reversed(rounds):
         from_pred = known.select(F.col("e").alias("pred"), *[F.col(w).alias(f"__qs_{w}") for w in weights])
-        found = out.join(from_pred, "pred").select("e", *[(F.col(w) + F.col(f"__qs_{w}")).alias(w) for w in weights])
+        found = out.hint("shuffle_hash").join(from_pred, "pred").select("e", *[(F.col(w) + F.col(f"__qs_{w}")).alias(w) for w in weights])
         last, known = known, materialize(known.unionByName(found), "ranks")
         discard(last)
         discard(out)

@@ -472,3 +472,25 @@ def test_impacts_are_summed_within_the_row(spark, tmp_path):
     for query in ("a b", "x y", "b c", "absent"):
         plain = sorted((-round(r.rank, 9), r.id) for r in search.match(search.postings(docs, "id", fields), query, "id").collect())
         assert [(-r.rank, r.id) for r in search.search_tiers(docs, f"{tmp_path}/ranked", query, "id").collect()] == [(pytest.approx(x, abs=2e-9), i) for x, i in plain]
+
+
+def test_rankings_go_round_the_driver(spark, monkeypatch):
+    """No join of a ranking or of a walk around folders is broadcast, small as the tables are; roots don't meet in a join by parent."""
+    from quillspark.operators import hierarchy, lists
+
+    plans, keep = [], lists.materialize
+
+    def watched(df, name, *more):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return keep(df, name, *more)
+
+    monkeypatch.setattr(lists, "materialize", watched)
+    monkeypatch.setattr(hierarchy, "materialize", watched)
+    elements = spark.createDataFrame([(i, i - 1 if i else None, i + 1 if i < 199 else None, 1 if i else 0) for i in range(200)], "e long, pred long, succ long, place long")
+    assert {(r.e, r.place) for r in lists.rank(elements, ["place"], 8).collect()} == {(i, i) for i in range(200)}
+    rows = [(i, None if i < 40 else i - 40 if i % 7 else 1000, i) for i in range(120)]
+    folders = spark.createDataFrame(rows, "id long, parent long, order int")
+    few, all_ = hierarchy.labels(folders, few=8), hierarchy.labels(folders)
+    assert {tuple(r) for r in few.select("id", "depth").collect()} == {tuple(r) for r in all_.select("id", "depth").collect()}
+    assert {tuple(r) for r in few.select("id", "enter", "leave").collect()} == {tuple(r) for r in all_.select("id", "enter", "leave").collect()}
+    assert len(plans) > 10 and not any("BroadcastHashJoin" in p for p in plans if "__qs_before" not in p)  # ends of partitions, a row each, are
