@@ -89,7 +89,7 @@ def sql_functions(spark, sf_dir):
     sql.register(spark)
     read(spark, sf_dir, "documents").createOrReplaceTempView("__qs_documents")
     return spark.sql(
-        "select doc_id, normalize_arabic(text) as folded, text_similarity(text, source) as similarity, text_word_count(text) as words, analyze_text(text).arabic_ratio, analyze_text(text).page_count as pages from __qs_documents"
+        "select doc_id, normalize_arabic(text) as folded, text_similarity(text, source) as similarity, text_word_count(text) as words, analyze_text(text).arabic_ratio as arabic_ratio, analyze_text(text).page_count as pages from __qs_documents"
     )
 
 
