@@ -18,6 +18,9 @@ JUNK = f"[^{_SOUND}]"
 TRAILING_JUNK = rf"{JUNK}+\z"
 BEFORE_JUNK = rf"(?s)^((?:.*[{_SOUND}])?){JUNK}*+\z"
 
+#: What lines that aren't garbled are made of.
+KNOWN = rf"{ARABIC_RANGES}a-zA-Z0-9\-.,!?:;،؟؛\](){{}}\"'>&*%=@#«»"
+
 LINE_END_WORDS = "من|في|عن|على|إلى|حتى|مذ|منذ|لدى|مع|غير|سوى|بين|تحت|فوق|دون|قبل|بعد|عند|نحو|حول|أو|أم|ثم|بل|لا|قد|هل|لم|لن|إن|أن|ما|هذا|هذه|ذلك|تلك|هو|هي|هم|هن|الذين|التي|الذي"
 LINE_START_WORDS = (
     "و|ف|ب|ل|ك|فـ|بال|فلـ|ولـ|بل|هل|قد|سـ|فسـ|وسـ|لن|لم|لما|إن|أن|فإن|فأن|فقد|فهل|ولا|فلا|ولن|فلم|بأن|لكن|لعل|ليت|حيث|حين|عند|بين|بعد|قبل|تحت|فوق|مع|منذ|من|في|عن|على|إلى|حتى|حول|خلال|"

@@ -135,8 +135,8 @@ def paragraph_collapse(spark, sf_dir):
 
 @query()
 def full_clean(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").withColumn("text", F.expr(as_arabic(SPARK, "text")))
-    return C.clean(docs).select("doc_id", F.length("cleaned").alias("n_chars"), F.md5("cleaned").alias("result"))
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.expr(as_arabic(SPARK, "text")).alias("text"))
+    return C.clean(docs, name="text").select("doc_id", F.length("text").alias("n_chars"), F.md5("text").alias("result"))
 
 
 @query()
