@@ -584,11 +584,9 @@ def clean(df: DataFrame, column: str = "text", name: str = "cleaned", options: C
     A null text stays null. The passes run text by text, one after the other: as SQL, each would decode a text anew and keep its lines
     as arrays of rows.
     """
-    if mode == "auto":
-        scored = df.withColumn("__qs_exam", F.coalesce(F.expr(exam_score(SPARK, f"`{column}`")) >= P.EXAM_CUTOFF, F.lit(False)))
-        general = clean(scored.where("not __qs_exam"), column, name, options, confidence=confidence)
-        return general.unionByName(clean(scored.where("__qs_exam"), column, name, EXAM, confidence=confidence)).drop("__qs_exam")
     by_row = {}
+    if mode == "auto":
+        by_row["__qs_exam"] = F.coalesce(F.expr(exam_score(SPARK, f"`{column}`")) >= P.EXAM_CUTOFF, F.lit(False))
     if confidence is not None:
         by_row["__qs_confidence"] = F.expr(confidence).cast("double")
     df = df.withColumns(by_row).withColumn(name, F.col(f"`{column}`"))
@@ -599,9 +597,10 @@ def clean(df: DataFrame, column: str = "text", name: str = "cleaned", options: C
         import pyarrow as pa
 
         for batch in batches:
+            exams = [EXAM if e else same for e in batch.column("__qs_exam").to_pylist()] if mode == "auto" else repeat(same)
             sure = ((c,) for c in batch.column("__qs_confidence").to_pylist()) if confidence is not None else repeat(())
             field = batch.schema.field(place)
-            texts = [None if t is None else clean_text(t, same, *c) for t, c in zip(batch.column(place).to_pylist(), sure)]
+            texts = [None if t is None else clean_text(t, o, *c) for t, o, c in zip(batch.column(place).to_pylist(), exams, sure)]
             yield batch.set_column(place, field, pa.array(texts, type=field.type))
 
     return df.mapInArrow(run, schema).drop(*by_row)

@@ -142,8 +142,9 @@ def full_clean(spark, sf_dir):
 @query()
 def full_clean_auto(spark, sf_dir):
     """Exam papers by their score, others in general, with a confidence for each text."""
-    docs = read(spark, sf_dir, "documents").withColumns({"text": F.expr(f"if(doc_id % 2 = 0, concat('س1: ', text, '\nج: x (أ)'), {as_arabic(SPARK, 'text')})"), "confidence": F.expr("(doc_id % 10) / 10.0D")})
-    return C.clean(docs, mode="auto", confidence="confidence").select("doc_id", F.md5("cleaned").alias("result"))
+    text = F.expr(f"if(doc_id % 2 = 0, concat('س1: ', text, '\nج: x (أ)'), {as_arabic(SPARK, 'text')})")
+    docs = read(spark, sf_dir, "documents").select("doc_id", text.alias("text"), F.expr("(doc_id % 10) / 10.0D").alias("confidence"))
+    return C.clean(docs, name="text", mode="auto", confidence="confidence").select("doc_id", F.md5("text").alias("result"))
 
 
 def _cleaned_measures(d: Dialect) -> str:
