@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, fields
 from itertools import pairwise, repeat
 from operator import eq
@@ -375,31 +375,41 @@ _WORD_SIGN = _compiled(rf"{WS}({_LETTER}{{2,}}+)(?={WS}++\1)")
 _REPEATED_PHRASE = _compiled(rf"((?:{_LETTER}++{WS}++){{1,3}}{_LETTER}++)({WS}++\1){{2,}}")
 
 
-def _collapsed(text: str, sign: re.Pattern, repeated: re.Pattern) -> str:
-    """As ``repeated.sub(r"\\1", text)``, tried only where the first copy must begin: the second is a whole word, so it tells the place."""
+#: Of two to four words: the second copy of the first word, between copies of the others.
+_PHRASE_SIGNS = [_compiled(rf"{WS}(?=((?:{_LETTER}++{WS}++){{{k - 2}}}{_LETTER}++){WS}++({_LETTER}++{WS}++)\1{WS}++\2)") for k in (2, 3, 4)]
+
+
+def _collapsed(text: str, starts: Iterable[int], repeated: re.Pattern) -> str:
+    """As ``repeated.sub(r"\\1", text)``, tried only where the first copy must begin, ascending: the second copy's words are whole, so
+    they tell the places."""
     out, at = [], 0
-    for second in sign.finditer(text):
-        end = second.start()
-        while end > at and text[end - 1] in WHITE:
-            end -= 1
-        start = end - len(second[1])
+    for start in starts:
         if start >= at and (found := repeated.match(text, start)):
             out += [text[at:start], found[1]]
             at = found.end()
-    return "".join([*out, text[at:]])
+    return "".join([*out, text[at:]]) if out else text
+
+
+def _first_copies(text: str, sign: re.Pattern) -> Iterator[int]:
+    for second in sign.finditer(text):
+        end = second.start()
+        while end > 0 and text[end - 1] in WHITE:
+            end -= 1
+        yield end - len(second[1])
 
 
 def _repeated_tokens(text: str) -> str:
-    return _collapsed(text, _TOKEN_SIGN, _REPEATED_TOKEN)
+    return _collapsed(text, _first_copies(text, _TOKEN_SIGN), _REPEATED_TOKEN)
 
 
 def _repeated_words(text: str) -> str:
     """Of phrases that come three times in a row, all words but the first and the last are whole: with k words in a phrase, 2k - 2 in
     a row equal the one that comes k later."""
-    text = _collapsed(text, _WORD_SIGN, _REPEATED_WORD)
+    text = _collapsed(text, _first_copies(text, _WORD_SIGN), _REPEATED_WORD)
     words = _words(text)
-    met = any(b"\1" * (2 * k - 2) in bytes(map(eq, words, words[k:])) for k in (2, 3, 4))
-    return _REPEATED_PHRASE.sub(r"\1", text) if met else text
+    if not any(b"\1" * (2 * k - 2) in bytes(map(eq, words, words[k:])) for k in (2, 3, 4)):
+        return text
+    return _collapsed(text, sorted({m.end() - len(m[2]) for sign in _PHRASE_SIGNS for m in sign.finditer(text)}), _REPEATED_PHRASE)
 
 
 _ONLY_MARKS = _compiled(rf"[？！.،\-{WS[1:-1]}]{{5,}}\z")

@@ -362,3 +362,13 @@ def test_auto_mode_is_one_pass(spark):
     exams, others = ({r.id: r.cleaned for r in cleaning.clean(df, mode=m, confidence="sure").collect()} for m in ("exam", "general"))
     assert got == {i: (exams if i in (1, 3, 6) else others)[i] for i, _, _ in rows}
     assert len(got[1]) < 100 and len(got[2]) < 100 and exams[1] != others[1]
+
+
+@pytest.mark.parametrize("text", ["كتاب" * 75000 + " اب جد اب جد اب جد", "اب جد ه " * 50000 + "كتاب" * 50000, "اب" + " " * 200000 + "جد اب جد اب جد اب"])
+def test_phrases_are_found_in_linear_time(text):
+    """Long words in a text that has a repeated phrase: each letter of them was tried as the first."""
+    import time
+
+    began = time.time()
+    made = cleaning.clean_text(text, cleaning.GENERAL)
+    assert time.time() - began < 3 and len(made) < len(text)
